@@ -34,14 +34,14 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?:={0,2})(?![
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {"hex": DIGITS + "abcdef", "hex upper": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base36 upper": DIGITS + UPPER, "base62": DIGITS + LOWER + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 
-#: Model of an ordinary string: chance that two characters agree, share of neighbours of different class, lag-1 correlation.
-ORDINARY_AGREE, ORDINARY_SWITCH, ORDINARY_CORRELATION = 0.065, 0.25, 0.35
+#: Model of an ordinary string: chance that two characters agree (at least so many times the uniform chance), share of neighbours of different class, lag-1 correlation.
+ORDINARY_AGREE, AGREE_TIMES, ORDINARY_SWITCH, ORDINARY_CORRELATION = 0.065, 2.2, 0.22, 0.4
 #: Correlation assumed between the three tests when they are combined.
 BETWEEN_TESTS = 0.5
 #: A string is no longer plausible as random when its chi-squared statistic is so many deviations above the uniform mean.
 TOO_UNEVEN = 3.5
 #: Expected share of ordinary strings among those reported; steps of -log10(p) kept; largest score kept.
-FALSE_SHARE, STEPS, TOP = 0.001, 50, 2000
+FALSE_SHARE, STEPS, TOP = 0.01, 50, 2000
 #: Length whose weight is 1.
 EVEN_LENGTH = 32
 
@@ -85,7 +85,7 @@ def randomness(token: str) -> float:
     chi = float(((counts - n / k) ** 2).sum() * k / n)
     if chi > k - 1 + TOO_UNEVEN * math.sqrt(2 * (k - 1)):
         return 0.0
-    shift = max(0.0, n * (k * ORDINARY_AGREE - 1))
+    shift = n * (max(k * ORDINARY_AGREE, AGREE_TIMES) - 1)
     z_uniform = (k - 1 + shift - chi) / math.sqrt(2 * (k - 1 + 2 * shift))
     switches = int((classes[1:] != classes[:-1]).sum())
     z_runs = (switches - (n - 1) * ORDINARY_SWITCH) / math.sqrt((n - 1) * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))

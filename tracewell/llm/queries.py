@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, quality, secret_scan, url_filter
+from tracewell.llm import audio, bpe, quality, secret_scan, toxicity, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -30,6 +30,11 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +44,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op7_audio_media, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op5_classifier_chain, op7_audio_media, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,8 +29,8 @@ CHAIN = ("named", "derived", "repeated", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings that may be marks; a mark needs so many toxic documents, this share of its documents toxic, and odds against chance.
 LEAST_LETTERS, MOST_LETTERS, LEAST_DOCUMENTS, LEAST_SHARE, CHANCE = 4, 8, 4, 0.97, 1e-6
-#: Marks kept at most; toxic documents that a beginning must add, or have; columns of Chain.features().
-MARKS, ADDS, COMMON, FEATURES = 1000, 2, 20, 7
+#: Marks kept at most; toxic documents that a beginning must add, or have; different words that it must begin; columns of Chain.features().
+MARKS, ADDS, COMMON, WORDS, FEATURES = 1000, 2, 20, 4, 7
 #: Rows of each label that are fitted on at most; folds; strength of the penalty; marks that make "repeated".
 TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS, PENALTY, MANY = 1200, 8000, 5, 1.0, 3
 
@@ -49,7 +49,7 @@ def find_marks(rows: list[tuple[str, int]]) -> dict[str, float]:
     """Marks with their weights, the smoothed log odds of a document with the mark against one without.
 
     A whole word is a mark where chance can't explain its documents; a beginning must
-    also be common, or add toxic documents that no mark before it holds.
+    begin several words, and be common or add toxic documents that no mark before it holds.
     """
     toxic = [set(words_of(t)) for t, y in rows if y]
     seen = Counter(s for words in toxic for s in stems(words))
@@ -66,7 +66,8 @@ def find_marks(rows: list[tuple[str, int]]) -> dict[str, float]:
     for i, words in enumerate(toxic):
         for s in stems({w for w in words if w[:LEAST_LETTERS] in starts}) & good:
             holders[s].add(i)
-    order = sorted(good, key=lambda s: (s.endswith("-"), -len(holders[s]), -len(s), s))
+    words_with = Counter(s for w in set().union(*toxic) if w[:LEAST_LETTERS] in starts for s in stems({w}) if s.endswith("-"))
+    order = sorted((s for s in good if not s.endswith("-") or words_with[s] >= WORDS), key=lambda s: (s.endswith("-"), -len(holders[s]), -len(s), s))
     marks: dict[str, float] = {}
     covered: set[int] = set()
     for s in order:

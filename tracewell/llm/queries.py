@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, quality, secret_scan, toxicity, url_filter
+from tracewell.llm import audio, bpe, neardup, quality, secret_scan, toxicity, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,6 +35,10 @@ def op5_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_bayesian_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op5_classifier_chain, op7_audio_media, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op5_classifier_chain, op6_bayesian_minhash, op7_audio_media, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

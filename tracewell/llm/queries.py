@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import audio, bpe, neardup, quality, secret_scan, toxicity, url_filter
+from tracewell.llm import audio, bpe, neardup, packing, quality, secret_scan, toxicity, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -43,12 +43,16 @@ def op7_audio_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op5_classifier_chain, op6_bayesian_minhash, op7_audio_media, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op5_classifier_chain, op6_bayesian_minhash, op7_audio_media, op8_hilbert_packing, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

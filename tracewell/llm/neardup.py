@@ -6,10 +6,12 @@ pair's signatures are compared batch by batch; it is dropped as soon as the post
 probability that its similarity reaches the threshold falls below MISS. Pairs that
 survive all batches are verified on their full sets.
 
-Two rounds keep hot buckets linear. First each document is compared with one other of
-its buckets, the least id it shares most buckets with, and what is linked becomes one
-component. Then only members of one bucket in different components are compared, in
-blocks of bounded size, so every candidate pair is either compared or already joined.
+Two rounds keep hot buckets linear. First each document is compared with the least id
+of each of its buckets, and the likeliest of these pairs is verified; what is linked
+becomes one component. Pairs that are similar at all, linked or not, make families.
+Then members of one family in different components are compared, in blocks of bounded
+size that give no more links than they have members. So every candidate pair of a
+family is compared, already joined, or implausible.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from tracewell.llm.common import connected_components, materialise, prepare, sli
 
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 HASHES = BANDS * ROWS
-#: Buckets up to SMALL members are compared as rows of a join, larger ones in blocks of BLOCK members.
-SMALL, BLOCK = 12, 512
+#: Similarity of signatures from which documents of a bucket are of one family; members of a block.
+FAMILY, BLOCK = 0.5, 512
 #: Ids up to which a table of them is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -172,18 +174,25 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
     return reps.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def surviving(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose signatures survive every batch."""
-    need = least_matches(percent / 100)
+def compared(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(a, b, matches, likely) of the pairs that may be of one family, similar by FAMILY or more.
+
+    likely tells whether the sizes allow the similarity and every batch leaves it plausible.
+    """
+    need, family = least_matches(percent / 100), least_matches(FAMILY)
     one, two = (reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("signature").alias(f"s{x}")) for x in "ab")
-    rows = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb")
+    sizes = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).alias("fits")
+    rows = pairs.join(one, "a").join(two, "b").select("a", "b", sizes, "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(plausible(matrix(batch.column(2)), matrix(batch.column(3)), need))
-            yield batch.select(["a", "b"]).filter(keep)
+            x, y = matrix(batch.column(3)), matrix(batch.column(4))
+            near = plausible(x, y, family)
+            kept, x, y = batch.filter(pa.array(near)), x[near], y[near]
+            likely = plausible(x, y, need) & kept.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array((x == y).sum(axis=1, dtype=np.int32)), pa.array(likely)], names=["a", "b", "matches", "likely"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, matches int, likely boolean")
 
 
 def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
@@ -192,9 +201,8 @@ def restrict(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFra
     return docs.join(F.broadcast(ids) if few else ids, "id", how)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets, of which six bytes of each hash are compared."""
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+def packed_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, found binary): six bytes of each hash of the sets of the documents (id, text) with these ids."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,16 +210,24 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 found = [np.unique(s & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for s in shingle_sets(*utf8(part.column(1)), k)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["id", "found"])
 
-    known = materialise(restrict(docs, ids).mapInArrow(sets, "id long, found binary"), "sets")
+    return materialise(restrict(docs, ids).mapInArrow(sets, "id long, found binary"), "sets")
 
-    def numbers(column: pa.Array) -> list[np.ndarray]:
-        data, at = utf8(column)
-        out = []
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            wide = np.zeros(((b - a) // 6, 8), np.uint8)
-            wide[:, :6] = data[a:b].reshape(-1, 6)
-            out.append(wide.view(np.uint64).ravel())
-        return out
+
+def numbers(column: pa.Array) -> list[np.ndarray]:
+    """The sets of packed_sets() as sorted 64-bit numbers."""
+    data, at = utf8(column)
+    out = []
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        wide = np.zeros(((b - a) // 6, 8), np.uint8)
+        wide[:, :6] = data[a:b].reshape(-1, 6)
+        out.append(wide.view(np.uint64).ravel())
+    return out
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets."""
+    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    known = packed_sets(docs, ids, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,33 +243,59 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return materialise(rows.mapInArrow(run, "a long, b long").distinct(), "links")
 
 
-def other_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs (a, b) of different components in a bucket, from members (key, id, size, component)."""
+def root(parent: dict[int, int], x: int) -> int:
+    while parent.get(x, x) != x:
+        parent[x] = parent.get(parent[x], parent[x])
+        x = parent[x]
+    return x
+
+
+def links_between(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between components of one family, from members (family, size, id, component).
+
+    Small families are dealt into bins by hash, large ones into blocks of which every
+    pair meets in one task; a task holds about twice BLOCK members at most. In a task
+    plausible pairs are verified on full sets, the likeliest first, unless its own links
+    join their components already; so it gives fewer links than it has members.
+    """
     need = least_matches(percent / 100)
-    small = members.where(F.col("size") <= SMALL)
-    one, two = (small.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    few = surviving(one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct(), reps, percent)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    large = members.where(F.col("size") > SMALL).join(reps.select("id", "n", "signature"), "id").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "component", "n", "signature")
+    total = members.count()
+    bins, blocks = max(1, -(-total // BLOCK)), F.ceil(F.col("size") / BLOCK).cast("int")
+    sets = packed_sets(docs, members.select("id").distinct(), k)
+    full = members.join(reps.select("id", "n", "signature"), "id").join(sets, "id")
+    small = full.where(F.col("size") <= BLOCK).select(F.pmod(F.xxhash64("family"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("own"), "family", "id", "component", "n", "signature", "found")
+    large = full.where(F.col("size") > BLOCK).withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    large = large.select(F.col("family").alias("g"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "family", "id", "component", "n", "signature", "found")
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        own, ids, component, n = (table.column(c).to_numpy() for c in ("own", "id", "component", "n"))
-        sign = matrix(table.column("signature"))
-        out: list[np.ndarray] = []
+        own, family, ids, component, n = (table.column(c).to_numpy() for c in ("own", "family", "id", "component", "n"))
+        sign, sets = matrix(table.column("signature")), numbers(table.column("found"))
+        flat, at = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        parent: dict[int, int] = {}
+        out = []
         for x in left:
             y = right if i != j else right[right > x]
-            y = y[(component[y] != component[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+            y = y[(family[y] == family[x]) & (component[y] != component[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
             if len(y):
                 y = y[plausible(np.broadcast_to(sign[x], (len(y), HASHES)), sign[y], need)]
-                out.append(np.column_stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0].astype(np.int64), "b": pairs[:, 1].astype(np.int64)})
-
-    many = large.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
-    return few.unionByName(many).distinct()
+            y = np.array([v for v in y if root(parent, component[v]) != root(parent, component[x])], np.int64)
+            if not len(y):
+                continue
+            elements = np.concatenate([flat[at[v] : at[v + 1]] for v in y])
+            place = np.minimum(np.searchsorted(sets[x], elements), len(sets[x]) - 1)
+            edge = np.concatenate([[0], np.cumsum(at[y + 1] - at[y])])
+            hit = np.concatenate([[0], np.cumsum(sets[x][place] == elements)])
+            shared = hit[edge[1:]] - hit[edge[:-1]]
+            for v in y[100 * shared >= percent * (n[x] + n[y] - shared)]:
+                p, q = root(parent, component[v]), root(parent, component[x])
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((min(ids[x], ids[v]), max(ids[x], ids[v])))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    return materialise(small.unionByName(large).groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -274,16 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(whole.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "signature"), "id").alias("x")).select("digest", "id", "x.n", "x.signature"), "representatives")
     rows = bucket_rows(reps)
     keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    members = materialise(rows.join(keys, "key"), "members")
-    shared = members.where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("times"))
-    best = shared.groupBy("id").agg(F.max(F.struct("times", (-F.col("pivot")).alias("p"))).alias("m"))
-    first = materialise(best.select((-F.col("m.p")).alias("a"), F.col("id").alias("b")), "pairs")
-    links = verified(materialise(surviving(first, reps, percent), "pairs"), plain, shingle, percent)
-    parts = materialise(connected_components(links), "parts")
-    labelled = members.join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    mixed_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rest = materialise(other_pairs(labelled.join(mixed_keys, "key"), reps, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = verified(rest, plain, shingle, percent)
+    stars = rows.join(keys, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    near = materialise(compared(stars, reps, percent), "near")
+    best = near.where("likely").groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("first"))).alias("m"))
+    links = verified(materialise(best.select((-F.col("m.first")).alias("a"), "b"), "pairs"), plain, shingle, percent)
+    parts = connected_components(links).withColumnRenamed("node", "id")
+    families = connected_components(near.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    labelled = materialise(families.join(parts, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "families")
+    open_ones = labelled.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", "size")
+    more = links_between(materialise(labelled.join(open_ones, "family"), "open"), reps, plain, shingle, percent)
     final = connected_components(links.unionByName(more))
     classes = reps.select("digest", F.col("id").alias("node")).join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))

@@ -16,6 +16,11 @@ EPS_M, MIN_WEIGHT, LEAST_POINTS, LEAST_CELLS = 50.0, 8, 8, 8
 CORE_RADIUS_M, CORE_SHARE = 120.0, 0.5
 
 
+def mean_degrees(total: str, n: str) -> Column:
+    """total / n, rounded half up, of a sum of whole 1e-7 degrees; integers, so the order of addition doesn't matter."""
+    return F.expr(f"(2 * `{total}` + `{n}`) div (2 * `{n}`) / 1e7")
+
+
 def stay_points(processed: DataFrame) -> DataFrame:
     return processed.where(F.col("is_stay_point") & ~F.col("is_anomaly") & valid_lat_lng(F.col("lat"), F.col("lng")))
 
@@ -28,9 +33,9 @@ def with_cell(points: DataFrame) -> DataFrame:
 def cells(processed: DataFrame) -> DataFrame:
     """One row for each user's cell of stay pings: sums, count, first and last time, centre at 7 decimals."""
     grouped = with_cell(stay_points(processed)).groupBy("user_id", "cell_lat", "cell_lng").agg(
-        F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"), F.count("*").alias("count"), F.min("gps_ts").alias("first_seen"), F.max("gps_ts").alias("last_seen")
+        F.sum("lat").alias("lat_sum"), F.sum("lng").alias("lng_sum"), *(F.sum(F.round(F.col(c) * 1e7).cast("long")).alias(f"_{c}") for c in ("lat", "lng")), F.count("*").alias("count"), F.min("gps_ts").alias("first_seen"), F.max("gps_ts").alias("last_seen")
     )
-    return grouped.withColumns({"lat": F.round(F.col("lat_sum") / F.col("count"), 7), "lng": F.round(F.col("lng_sum") / F.col("count"), 7)})
+    return grouped.withColumns({c: mean_degrees(f"_{c}", "count") for c in ("lat", "lng")}).drop("_lat", "_lng")
 
 
 def gated(cell_rows: DataFrame, least_points: int = LEAST_POINTS, least_cells: int = LEAST_CELLS) -> DataFrame:
@@ -116,13 +121,13 @@ def centres(labelled: DataFrame) -> DataFrame:
     anchor = by.orderBy(F.desc("count"), "first_seen", "cell_lat", "cell_lng").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     q = kept.withColumns({"a_lat": F.first("lat").over(anchor), "a_lng": F.first("lng").over(anchor)})
     q = q.withColumn("near", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng")) <= CORE_RADIUS_M)
-    weigh = lambda c, all_cells: F.sum(F.when(F.lit(all_cells) | F.col("near"), F.col(c) * F.col("count")))
+    weigh = lambda c, all_cells: F.sum(F.when(F.lit(all_cells) | F.col("near"), F.round(F.col(c) * 1e7).cast("long") * F.col("count")))
     sums = q.groupBy("user_id", "cluster_id").agg(
         F.sum("count").alias("total_points"), F.sum(F.when(F.col("near"), F.col("count"))).alias("core"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
         *(weigh(c, whole).alias(f"{c}_{'all' if whole else 'core'}") for c in ("lat", "lng") for whole in (True, False)),
     )
     core = F.col("core") >= F.greatest(F.floor(F.col("total_points") * CORE_SHARE), F.lit(1))
-    pick = lambda c: F.round(F.when(core, F.col(f"{c}_core") / F.col("core")).otherwise(F.col(f"{c}_all") / F.col("total_points")), 7)
+    pick = lambda c: F.when(core, mean_degrees(f"{c}_core", "core")).otherwise(mean_degrees(f"{c}_all", "total_points"))
     made = sums.select("user_id", "cluster_id", pick("lat").alias("lat"), pick("lng").alias("lng"), F.when(core, "weighted_mean_core_120m").otherwise("weighted_mean_all").alias("center_method"), "total_points", "first_seen", "last_seen")
     far = kept.select("user_id", "cluster_id", F.col("lat").alias("c_lat"), F.col("lng").alias("c_lng")).join(made, ["user_id", "cluster_id"])
     radius = far.groupBy("user_id", "cluster_id").agg(F.round(F.max(haversine_m(F.col("lat"), F.col("lng"), F.col("c_lat"), F.col("c_lng"))), 2).alias("radius_meters"))

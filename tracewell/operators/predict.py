@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -11,6 +11,11 @@ from tracewell.functions import timefn as T
 SLOT_MIN = 30
 
 
+def hundredths(column: str) -> Column:
+    """Rounded half up to two decimals; sums that differ in their last bits round alike."""
+    return F.floor(F.col(column) * 100 + 0.5 + 1e-7) / 100
+
+
 def history(visits: DataFrame, day: str) -> DataFrame:
     """Each user's visits of a weekday, or all of them where there are none, with match_level."""
     same = F.col("day_of_week") == day
@@ -44,7 +49,7 @@ def place_at(visits: DataFrame, day: str, minute: int, top: int = 3) -> DataFram
     q = sums.withColumn("_any", F.count("direct").over(user) > 0)
     q = q.withColumns({"score": F.when(F.col("_any"), F.col("direct")).otherwise(F.col("nearby")), "first": F.when(F.col("_any"), F.col("first_direct")).otherwise(F.col("first_nearby"))}).where("score > 0")
     q = q.withColumns({"total": F.sum("score").over(user), "rank": F.row_number().over(user.orderBy(F.desc(F.round("score", 9)), "first", "cluster_id"))}).where(F.col("rank") <= top)
-    return q.select("user_id", "match_level", "rank", "cluster_id", F.round(F.col("score") / F.round("total", 2), 3).alias("confidence"), F.round("score", 2).alias("support"))
+    return q.select("user_id", "match_level", "rank", "cluster_id", F.round(F.col("score") / hundredths("total"), 3).alias("confidence"), hundredths("score").alias("support"))
 
 
 def day_schedule(visits: DataFrame, day: str) -> DataFrame:
@@ -58,14 +63,14 @@ def day_schedule(visits: DataFrame, day: str) -> DataFrame:
     scores = slots.groupBy("user_id", "match_level", "slot", "cluster_id").agg(F.sum("duration_score").alias("score"), F.min("visit_start").alias("first"))
     w = Window.partitionBy("user_id", "slot")
     top = scores.withColumns({"total": F.sum("score").over(w), "_k": F.row_number().over(w.orderBy(F.desc(F.round("score", 9)), "first", "cluster_id"))}).where("_k = 1")
-    top = top.select("user_id", "match_level", "slot", "cluster_id", F.round(F.col("score") / F.col("total"), 3).alias("confidence"), F.round("score", 2).alias("support"))
+    top = top.select("user_id", "match_level", "slot", "cluster_id", F.round(F.col("score") / F.col("total"), 3).alias("confidence"), hundredths("score").alias("support"))
     user = Window.partitionBy("user_id").orderBy("slot")
     new = F.when((F.lag("cluster_id").over(user) == F.col("cluster_id")) & (F.lag("slot").over(user) == F.col("slot") - 1), 0).otherwise(1)
     runs = top.withColumn("_new", new).withColumn("_no", F.sum("_new").over(user.rowsBetween(Window.unboundedPreceding, 0)))
-    grouped = runs.groupBy("user_id", "match_level", "_no").agg(F.max("cluster_id").alias("cluster_id"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.sort_array(F.collect_list(F.struct("slot", "confidence"))).alias("c"), F.round(F.sum("support"), 2).alias("support"))
+    grouped = runs.groupBy("user_id", "match_level", "_no").agg(F.max("cluster_id").alias("cluster_id"), F.min("slot").alias("a"), F.max("slot").alias("b"), F.sort_array(F.collect_list(F.struct("slot", "confidence"))).alias("c"), F.sum("support").alias("support"))
     mean = F.aggregate(F.slice("c", 2, 48), F.element_at("c", 1)["confidence"], lambda a, x: F.round((a + x["confidence"]) / 2, 3))
     start, end = F.col("a") * SLOT_MIN, (F.col("b") + 1) * SLOT_MIN
-    return grouped.select("user_id", "match_level", F.row_number().over(Window.partitionBy("user_id").orderBy("_no")).alias("rank"), "cluster_id", T.format_minutes(start).alias("start_time"), T.format_minutes(end, True).alias("end_time"), (end - start).alias("duration_min"), mean.alias("confidence"), "support")
+    return grouped.select("user_id", "match_level", F.row_number().over(Window.partitionBy("user_id").orderBy("_no")).alias("rank"), "cluster_id", T.format_minutes(start).alias("start_time"), T.format_minutes(end, True).alias("end_time"), (end - start).alias("duration_min"), mean.alias("confidence"), hundredths("support").alias("support"))
 
 
 def next_place(requests: DataFrame, patterns: DataFrame, clusters: DataFrame, day: str, hour: int, top: int = 3) -> DataFrame:
@@ -86,6 +91,6 @@ def next_place(requests: DataFrame, patterns: DataFrame, clusters: DataFrame, da
     q = q.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & ((F.col("level") < 4) | (F.col("rank") == 1)))
     where = clusters.select("user_id", F.col("cluster_id").alias("to_cluster_id"), "lat", "lng")
     return q.join(where, ["user_id", "to_cluster_id"], "left").select(
-        "user_id", "from_cluster_id", "rank", F.col("to_cluster_id").alias("next_cluster_id"), F.col("to_place_type").alias("next_place_type"), F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"),
+        "user_id", "from_cluster_id", "rank", F.col("to_cluster_id").alias("next_cluster_id"), F.col("to_place_type").alias("next_place_type"), "lat", "lng",
         F.when(F.col("level") == 4, 0.1).otherwise(F.col("probability")).alias("confidence"), F.floor(F.col("avg_travel_duration_sec") / 60 + 0.5).cast("long").alias("expected_trip_duration_min"), F.when(F.col("level") == 4, "most_frequent").otherwise(F.concat(F.lit("rule_based_level_"), F.col("level").cast("string"))).alias("source"),
     )

@@ -57,7 +57,7 @@ STEPS: dict[str, str] = {
     "fold": f"select user_id, session, stretch, k, raw_id, gps_ts, lat alat, lng alng, gps_ts ats from stretch where k = 1 union all select n.user_id, n.session, n.stretch, n.k, n.raw_id, n.gps_ts, case when {hav('f.alat', 'f.alng', 'n.lat', 'n.lng')} <= 50 then f.alat else n.lat end, case when {hav('f.alat', 'f.alng', 'n.lat', 'n.lng')} <= 50 then f.alng else n.lng end, case when {hav('f.alat', 'f.alng', 'n.lat', 'n.lng')} <= 50 then f.ats else n.gps_ts end from fold f join stretch n on n.user_id = f.user_id and n.session = f.session and n.stretch = f.stretch and n.k = f.k + 1",
     "proc": "select t.*, f.ats stay_start_time, coalesce(t.gps_ts - f.ats, 0) stay_duration, coalesce(t.gps_ts - f.ats, 0) >= 120 is_stay_point from stretch0 t left join fold f on t.user_id = f.user_id and t.raw_id = f.raw_id",
     "spts": f"select *, cast(round(lat * 10000) as bigint) cell_lat, cast(round(lng * 10000) as bigint) cell_lng from proc where is_stay_point and not is_anomaly and {VALID.format('lat', 'lng')}",
-    "cell": "select user_id, cell_lat, cell_lng, round(sum(lat) / count(*), 7) lat, round(sum(lng) / count(*), 7) lng, count(*) cnt, min(gps_ts) first_seen, max(gps_ts) last_seen from spts group by all",
+    "cell": "select user_id, cell_lat, cell_lng, (2 * sum(round(lat * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lat, (2 * sum(round(lng * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lng, count(*) cnt, min(gps_ts) first_seen, max(gps_ts) last_seen from spts group by all",
     "gate": "select * from cell where user_id in (select user_id from cell group by 1 having sum(cnt) >= 8 and count(*) >= 8)",
     "pair": f"select a.user_id, a.cell_lat x, a.cell_lng y, b.cell_lat x2, b.cell_lng y2, b.cnt from gate a join gate b on a.user_id = b.user_id and abs(a.cell_lat - b.cell_lat) < 12 where {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371008.8)} <= 50",
     "core": "select g.user_id, cell_lat x, cell_lng y, row_number() over (partition by g.user_id order by first_seen, cell_lat, cell_lng) o from gate g join (select user_id, x, y from pair group by all having sum(cnt) >= 8) c on g.user_id = c.user_id and cell_lat = x and cell_lng = y",
@@ -73,14 +73,14 @@ STEPS: dict[str, str] = {
     "isl": "select *, visit_end - visit_start duration_sec, lag(cluster_id) over (partition by user_id order by i) prev_cluster_id, lead(cluster_id) over (partition by user_id order by i) next_cluster_id from isl1",
     "mrg0": "select *, case when lag(cluster_id) over w = cluster_id and visit_start - lag(visit_end) over w between 0 and 300 then 0 else 1 end nw from isl where duration_sec >= 300 window w as (partition by user_id order by visit_start)",
     "mrg": "select *, sum(nw) over (partition by user_id order by visit_start) m from mrg0",
-    "vis0": "select user_id, m, max(cluster_id) cluster_id, min(visit_start) visit_start, max(visit_end) visit_end, sum(point_count) point_count, arg_min(prev_cluster_id, visit_start) prev_cluster_id, arg_max(next_cluster_id, visit_start) next_cluster_id, count(*) > 1 is_merged from mrg group by user_id, m",
+    "vis0": "select user_id, m, max(cluster_id) cluster_id, min(visit_start) visit_start, max(visit_end) visit_end, sum(point_count)::bigint point_count, arg_min(prev_cluster_id, visit_start) prev_cluster_id, arg_max(next_cluster_id, visit_start) next_cluster_id, count(*) > 1 is_merged from mrg group by user_id, m",
     "vis": f"select user_id, cluster_id, visit_start, visit_end, point_count, prev_cluster_id, next_cluster_id, is_merged, visit_end - visit_start duration_sec, {hour('visit_start')} arrival_hour, {hour('visit_end')} departure_hour, {dow('visit_start')} day_of_week, {day('visit_start')} % 7 in (2, 3) is_weekend, {tod(hour('visit_start'), (6, 12, 17, 21))} time_of_day, {date(day('visit_start'))} date from vis0",
     "anchor": "select user_id, cluster_id, lat alat, lng alng from lab where cluster_id <> '-1' qualify row_number() over (partition by user_id, cluster_id order by cnt desc, first_seen, cell_lat, cell_lng) = 1",
     "near": f"select l.*, {hav('alat', 'alng', 'lat', 'lng')} <= 120 near from lab l join anchor using (user_id, cluster_id)",
-    "cen0": "select user_id, cluster_id, sum(cnt) total_points, min(first_seen) first_seen, max(last_seen) last_seen, coalesce(sum(cnt) filter (near), 0) >= greatest(floor(sum(cnt) * 0.5), 1) use_core, sum(lat * cnt) filter (near) / sum(cnt) filter (near) clat, sum(lng * cnt) filter (near) / sum(cnt) filter (near) clng, sum(lat * cnt) / sum(cnt) alat, sum(lng * cnt) / sum(cnt) alng from near group by user_id, cluster_id",
-    "cen": "select user_id, cluster_id, round(case when use_core then clat else alat end, 7) lat, round(case when use_core then clng else alng end, 7) lng, case when use_core then 'weighted_mean_core_120m' else 'weighted_mean_all' end center_method, total_points, first_seen, last_seen from cen0",
+    "cen0": "select user_id, cluster_id, sum(cnt)::bigint total_points, min(first_seen) first_seen, max(last_seen) last_seen, coalesce(sum(cnt) filter (near), 0) >= greatest(floor(sum(cnt) * 0.5), 1) use_core, (2 * sum(round(lat * 1e7)::bigint * cnt) filter (near) + sum(cnt) filter (near)) // (2 * sum(cnt) filter (near)) / 1e7 clat, (2 * sum(round(lng * 1e7)::bigint * cnt) filter (near) + sum(cnt) filter (near)) // (2 * sum(cnt) filter (near)) / 1e7 clng, (2 * sum(round(lat * 1e7)::bigint * cnt) + sum(cnt)) // (2 * sum(cnt)) / 1e7 alat, (2 * sum(round(lng * 1e7)::bigint * cnt) + sum(cnt)) // (2 * sum(cnt)) / 1e7 alng from near group by user_id, cluster_id",
+    "cen": "select user_id, cluster_id, case when use_core then clat else alat end lat, case when use_core then clng else alng end lng, case when use_core then 'weighted_mean_core_120m' else 'weighted_mean_all' end center_method, total_points, first_seen, last_seen from cen0",
     "rad": f"select c.user_id, c.cluster_id, round(max({hav('c.lat', 'c.lng', 'l.lat', 'l.lng')}), 2) radius_meters from cen c join lab l using (user_id, cluster_id) group by all",
-    "vst": "select user_id, cluster_id, count(*) visit_count, round(avg(duration_sec), 2) avg_duration_sec, sum(duration_sec) total_duration_sec, round(count(*) filter (arrival_hour >= 22 or arrival_hour < 6) / count(*), 3) night_visit_ratio, round(count(*) filter (arrival_hour between 9 and 18) / count(*), 3) day_visit_ratio, round(count(*) filter (not is_weekend) / count(*), 3) weekday_ratio, round(avg(arrival_hour), 2) avg_arrival_hour, round(avg(departure_hour), 2) avg_departure_hour from vis group by all",
+    "vst": "select user_id, cluster_id, count(*) visit_count, round(avg(duration_sec), 2) avg_duration_sec, sum(duration_sec)::bigint total_duration_sec, round(count(*) filter (arrival_hour >= 22 or arrival_hour < 6) / count(*), 3) night_visit_ratio, round(count(*) filter (arrival_hour between 9 and 18) / count(*), 3) day_visit_ratio, round(count(*) filter (not is_weekend) / count(*), 3) weekday_ratio, round(avg(arrival_hour), 2) avg_arrival_hour, round(avg(departure_hour), 2) avg_departure_hour from vis group by all",
     "clu0": "select c.*, radius_meters, coalesce(visit_count, 0) visit_count, coalesce(total_duration_sec, 0) total_duration_sec, coalesce(avg_duration_sec, 0) avg_duration_sec, coalesce(night_visit_ratio, 0) night_visit_ratio, coalesce(day_visit_ratio, 0) day_visit_ratio, coalesce(weekday_ratio, 0) weekday_ratio, coalesce(avg_arrival_hour, 0) avg_arrival_hour, coalesce(avg_departure_hour, 0) avg_departure_hour from cen c join rad using (user_id, cluster_id) left join vst using (user_id, cluster_id)",
     "clu1": "select *, case when night_visit_ratio >= 0.45 and visit_count >= 2 then 'HOME' when day_visit_ratio >= 0.45 and weekday_ratio >= 0.6 and avg_duration_sec >= 10800 then 'OFFICE' when avg_duration_sec between 1800 and 7200 and visit_count >= 2 then 'GYM' else 'OTHER' end place_type from clu0",
     "clu": "select *, case place_type when 'HOME' then 0.95 when 'OFFICE' then 0.9 when 'GYM' then 0.65 else 0.5 end place_type_confidence from clu1",
@@ -94,7 +94,7 @@ STEPS: dict[str, str] = {
     "trips": f"select c.user_id, {date('dd')} date, from_cluster_id, to_cluster_id, c.trip_start, c.trip_end, duration_sec, filter_reason, filter_reason is not null is_filtered, 'cluster_visits' source, distance_meters, distance_km, avg_speed_kmph, max_speed_kmph, travel_mode, point_count, valid_segment_count, gps_jump_count, data_quality, {hour('c.trip_start')} departure_hour, {dow('c.trip_start')} day_of_week, {tod(hour('c.trip_start'), (6, 12, 18, 22))} time_of_day from cdays c join tmet using (user_id, trip_start, trip_end) where c.trip_start < (dd + 1) * 86400 - 19800 and c.trip_end >= dd * 86400 - 19800",
     "route": "select user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day, count(*) transition_count, round(avg(departure_hour), 2) avg_departure_hour, cast(floor(avg(duration_sec) + 0.5) as bigint) avg_travel_duration_sec, round(sum(distance_meters) filter (data_quality in ('GOOD', 'LOW_POINTS')) / nullif(count(*) filter (data_quality in ('GOOD', 'LOW_POINTS')), 0), 2) avg_distance_meters, round(avg(avg_speed_kmph), 2) avg_speed_kmph, round(max(max_speed_kmph), 2) max_speed_kmph, count(*) filter (data_quality in ('GOOD', 'LOW_POINTS')) reliable_trip_count, count(*) filter (data_quality not in ('GOOD', 'LOW_POINTS')) unreliable_trip_count, min(trip_start) first_seen, max(trip_end) last_seen from trips group by all",
     "mode": "select user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day, travel_mode most_common_travel_mode from trips group by user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day, travel_mode qualify row_number() over (partition by user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day order by count(*) desc, min(trip_start), travel_mode desc) = 1",
-    "pat": "select r.*, most_common_travel_mode, sum(transition_count) over (partition by r.user_id, from_cluster_id, day_of_week, time_of_day) total_transitions_from_cluster, round(transition_count / sum(transition_count) over (partition by r.user_id, from_cluster_id, day_of_week, time_of_day), 4) probability, f.place_type from_place_type, t.place_type to_place_type from route r join mode using (user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day) left join clu f on f.user_id = r.user_id and f.cluster_id = from_cluster_id left join clu t on t.user_id = r.user_id and t.cluster_id = to_cluster_id",
+    "pat": "select r.*, most_common_travel_mode, (sum(transition_count) over (partition by r.user_id, from_cluster_id, day_of_week, time_of_day))::bigint total_transitions_from_cluster, round(transition_count / sum(transition_count) over (partition by r.user_id, from_cluster_id, day_of_week, time_of_day), 4) probability, f.place_type from_place_type, t.place_type to_place_type from route r join mode using (user_id, from_cluster_id, to_cluster_id, day_of_week, time_of_day) left join clu f on f.user_id = r.user_id and f.cluster_id = from_cluster_id left join clu t on t.user_id = r.user_id and t.cluster_id = to_cluster_id",
     "hist0": "select *, bool_or(day_of_week = 'Tuesday') over (partition by user_id) a from vis",
     "hist": "select * exclude (a), case when a then 'same_day_of_week' else 'all_days_fallback' end match_level, greatest(1.0, least(duration_sec / 1800, 6.0)) ds from hist0 where day_of_week = 'Tuesday' or not a",
     "rng0": f"select *, {minute('visit_start')} ma, {minute('visit_end')} mb from hist",
@@ -105,7 +105,7 @@ STEPS: dict[str, str] = {
     "slot": "select user_id, match_level, cluster_id, visit_start, ds, unnest(range(s // 30, least(greatest(e - 1, 0) // 30, 47) + 1)) slot from rng",
     "ssc": "select user_id, match_level, slot, cluster_id, sum(ds) score, min(visit_start) f from slot group by all",
     "stop": "select *, sum(score) over (partition by user_id, slot) total from ssc qualify row_number() over (partition by user_id, slot order by round(score, 9) desc, f, cluster_id) = 1",
-    "srun0": "select *, round(score / total, 3) conf, round(score, 2) sup, case when lag(cluster_id) over w = cluster_id and lag(slot) over w = slot - 1 then 0 else 1 end nw from stop window w as (partition by user_id order by slot)",
+    "srun0": "select *, round(score / total, 3) conf, floor(score * 100 + 0.5 + 1e-7) / 100 sup, case when lag(cluster_id) over w = cluster_id and lag(slot) over w = slot - 1 then 0 else 1 end nw from stop window w as (partition by user_id order by slot)",
     "srun": "select *, sum(nw) over (partition by user_id order by slot) no from srun0",
 }
 

@@ -13,6 +13,7 @@ from tracewell.functions import timefn as T
 from tracewell.operators import clusters, patterns, points, predict, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
+from tracewell.sources.tables import at_rest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,7 +22,7 @@ _kept: dict[tuple[str, str, str], DataFrame] = {}
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A step of the pipeline that several queries read, persisted for the session."""
+    """A table of the pipeline that several queries read, written once for each session and input."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _kept:
         get = lambda n: stage(spark, sf_dir, n)
@@ -37,7 +38,7 @@ def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             "trips": lambda: trips.trip_segments(get("visits"), get("processed")),
             "patterns": lambda: patterns.patterns(get("trips"), get("clusters")),
         }[name]()
-        _kept[key] = made.persist()
+        _kept[key] = at_rest(made, name)
     return _kept[key]
 
 
@@ -129,17 +130,17 @@ def pr2_visit_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.ranges(predict.history(stage(spark, sf_dir, "visits"), "Tuesday")).select("user_id", "cluster_id", "visit_start", "start_minute", "end_minute", F.round("duration_score", 6).alias("duration_score"))
 
 
-@register("pr3_place_at_time", O.chain("sc2", "select user_id, match_level, row_number() over w rank, cluster_id, round(score / round(sum(score) over (partition by user_id), 2), 3) confidence, round(score, 2) support from sc2 window w as (partition by user_id order by round(score, 9) desc, f, cluster_id) qualify row_number() over w <= 3"))
+@register("pr3_place_at_time", O.chain("sc2", "select user_id, match_level, row_number() over w rank, cluster_id, round(score / (floor(sum(score) over (partition by user_id) * 100 + 0.5 + 1e-7) / 100), 3) confidence, floor(score * 100 + 0.5 + 1e-7) / 100 support from sc2 window w as (partition by user_id order by round(score, 9) desc, f, cluster_id) qualify row_number() over w <= 3"))
 def pr3_place_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.place_at(stage(spark, sf_dir, "visits"), "Tuesday", 600)
 
 
-@register("pr4_day_schedule", O.chain("srun", "select user_id, match_level, row_number() over (partition by user_id order by no) rank, max(cluster_id) cluster_id, lpad((min(slot) * 30 // 60)::varchar, 2, '0') || ':' || lpad((min(slot) * 30 % 60)::varchar, 2, '0') start_time, lpad(((max(slot) + 1) * 30 // 60)::varchar, 2, '0') || ':' || lpad(((max(slot) + 1) * 30 % 60)::varchar, 2, '0') end_time, (max(slot) + 1 - min(slot)) * 30 duration_min, list_reduce(list(conf order by slot), lambda a, x: round((a + x) / 2, 3)) confidence, round(sum(sup), 2) support from srun group by user_id, match_level, no"))
+@register("pr4_day_schedule", O.chain("srun", "select user_id, match_level, row_number() over (partition by user_id order by no) rank, max(cluster_id) cluster_id, lpad((min(slot) * 30 // 60)::varchar, 2, '0') || ':' || lpad((min(slot) * 30 % 60)::varchar, 2, '0') start_time, lpad(((max(slot) + 1) * 30 // 60)::varchar, 2, '0') || ':' || lpad(((max(slot) + 1) * 30 % 60)::varchar, 2, '0') end_time, (max(slot) + 1 - min(slot)) * 30 duration_min, list_reduce(list(conf order by slot), lambda a, x: round((a + x) / 2, 3)) confidence, floor(sum(sup) * 100 + 0.5 + 1e-7) / 100 support from srun group by user_id, match_level, no"))
 def pr4_day_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict.day_schedule(stage(spark, sf_dir, "visits"), "Tuesday")
 
 
-PR5 = "with_p as (select c.user_id, c.cluster_id from_here, p.*, p.from_cluster_id = c.cluster_id here from clu c join pat p on p.user_id = c.user_id), lv as (select *, case when here and day_of_week = 'Tuesday' and time_of_day = 'morning' then 1 when here and time_of_day = 'morning' then 2 when here then 3 else 4 end level from with_p), bs as (select * from lv qualify level = min(level) over (partition by user_id, from_here)), rk as (select *, row_number() over (partition by user_id, from_here order by case when level = 4 then transition_count else probability end desc, first_seen, to_cluster_id, day_of_week, time_of_day, from_cluster_id) rank from bs) select r.user_id, from_here from_cluster_id, rank, to_cluster_id next_cluster_id, to_place_type next_place_type, round(lat, 6) lat, round(lng, 6) lng, case when level = 4 then 0.1 else probability end confidence, cast(floor(avg_travel_duration_sec / 60 + 0.5) as bigint) expected_trip_duration_min, case when level = 4 then 'most_frequent' else 'rule_based_level_' || level end source from rk r left join clu c on c.user_id = r.user_id and c.cluster_id = to_cluster_id where rank <= 3 and (level < 4 or rank = 1)"
+PR5 = "with_p as (select c.user_id, c.cluster_id from_here, p.*, p.from_cluster_id = c.cluster_id here from clu c join pat p on p.user_id = c.user_id), lv as (select *, case when here and day_of_week = 'Tuesday' and time_of_day = 'morning' then 1 when here and time_of_day = 'morning' then 2 when here then 3 else 4 end level from with_p), bs as (select * from lv qualify level = min(level) over (partition by user_id, from_here)), rk as (select *, row_number() over (partition by user_id, from_here order by case when level = 4 then transition_count else probability end desc, first_seen, to_cluster_id, day_of_week, time_of_day, from_cluster_id) rank from bs) select r.user_id, from_here from_cluster_id, rank, to_cluster_id next_cluster_id, to_place_type next_place_type, lat, lng, case when level = 4 then 0.1 else probability end confidence, cast(floor(avg_travel_duration_sec / 60 + 0.5) as bigint) expected_trip_duration_min, case when level = 4 then 'most_frequent' else 'rule_based_level_' || level end source from rk r left join clu c on c.user_id = r.user_id and c.cluster_id = to_cluster_id where rank <= 3 and (level < 4 or rank = 1)"
 
 
 @register("pr5_next_place", O.chain("pat", "").rstrip() + ",\n" + PR5.replace("p.*", "p.* exclude (user_id)"))
@@ -248,3 +249,31 @@ def wn5_share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wn7_seen_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(w) > 1).alias("seen_before"), F.row_number().over(w).alias("nth"))
+
+
+@register("ml6_next_place_model")
+def ml6_next_place_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.operators import models
+
+    samples = patterns.next_place_samples(*(stage(spark, sf_dir, n) for n in ("trips", "visits", "clusters")))
+    model, _ = models.fit_next_place(samples, trees=20, depth=6)
+    return models.predict_next(model, samples, ["user_id", "date", "trip_start"])
+
+
+@register("cl6_point_dbscan")
+def cl6_point_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.point_clusters(stage(spark, sf_dir, "processed"))
+
+
+@register("sm5_session_visits", O.chain("kept", "select user_id, cluster_id, min(gps_ts) visit_start, max(gps_ts) visit_end, count(*) point_count from (select *, sum(nw) over (partition by user_id, cluster_id order by gps_ts, raw_id) i from (select *, case when gps_ts - lag(gps_ts) over (partition by user_id, cluster_id order by gps_ts, raw_id) < 1800 then 0 else 1 end nw from kept)) group by user_id, cluster_id, i"))
+def sm5_session_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.streaming.pings import session_visits
+
+    return session_visits(stage(spark, sf_dir, "clustered").where("cluster_id is not null and cluster_id <> '-1'"))
+
+
+@register("gn3_generated_pings")
+def gn3_generated_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.sources import generate
+
+    return generate.pings(generate.users(spark, 6), 19_723, 2, every_s=300)

@@ -229,6 +229,17 @@ def test_streaming_stays_equal_batch(spark, tmp_path):
     assert len(got) == 40 and got.is_stay_point.sum() > 20
 
 
+def text(df):
+    """Rows as sorted tuples of text, columns by name, numbers at five decimals, nulls empty."""
+
+    def one(v):
+        if pd.isna(v):
+            return ""
+        return f"{float(v):.5f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+
+    return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False))
+
+
 @pytest.mark.parametrize("name", ["pp7_processed", "cl8_user_clusters", "tr3_trip_segments", "pa3_patterns", "pr3_place_at_time", "pr4_day_schedule", "pr5_next_place", "io8_upsert"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
@@ -236,7 +247,6 @@ def test_queries_match_sql(spark, name):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = plan_queries.QUERIES[name](spark, SF).toPandas(), con.execute(plan_queries.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
-    text = lambda df: sorted(tuple(f"{v:.5f}" if isinstance(v, float) and v == v else "" if v is None or v != v else f"{float(v):.5f}" if isinstance(v, (int, np.integer)) and not isinstance(v, bool) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert text(got) == text(want)
 
 

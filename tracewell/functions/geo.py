@@ -50,8 +50,9 @@ def move_point(lat: Column, lng: Column, bearing_deg: Column, distance_m: Column
 
 
 def grid_key(lat: Column, lng: Column, digits: int = 4) -> Column:
-    """Text key of a cell, as lat_lng rounded to `digits`."""
-    return F.concat_ws("_", F.round(lat, digits).cast("string"), F.round(lng, digits).cast("string"))
+    """Text key of a cell, as lat_lng rounded to `digits`; the same cells as whole numbers of 10**-digits degrees."""
+    scale = float(10**digits)
+    return F.concat_ws("_", *((F.round(c * scale) / scale).cast("string") for c in (lat, lng)))
 
 
 def geohash(lat: Column, lng: Column, precision: int) -> Column:

@@ -134,6 +134,15 @@ def centres(labelled: DataFrame) -> DataFrame:
     return made.join(radius, ["user_id", "cluster_id"])
 
 
+def point_features(clustered: DataFrame) -> DataFrame:
+    """(user_id, cluster_id, lat, lng, points, radius_meters) of single pings: their mean, and the farthest of them."""
+    kept = clustered.where("cluster_id is not null and cluster_id <> '-1'").select("user_id", "cluster_id", "lat", "lng")
+    sums = kept.groupBy("user_id", "cluster_id").agg(*(F.sum(F.round(F.col(c) * 1e7).cast("long")).alias(f"_{c}") for c in ("lat", "lng")), F.count("*").alias("points"))
+    mean = sums.select("user_id", "cluster_id", mean_degrees("_lat", "points").alias("m_lat"), mean_degrees("_lng", "points").alias("m_lng"), "points")
+    far = kept.join(mean, ["user_id", "cluster_id"]).groupBy("user_id", "cluster_id", "m_lat", "m_lng", "points")
+    return far.agg(F.max(haversine_m(F.col("m_lat"), F.col("m_lng"), F.col("lat"), F.col("lng"))).alias("radius_meters")).withColumnsRenamed({"m_lat": "lat", "m_lng": "lng"})
+
+
 def visit_stats(visits: DataFrame) -> DataFrame:
     """Counts, durations, ratios at 3 decimals and mean hours of each cluster's visits."""
     share = lambda c: F.round(F.sum(F.when(c, 1).otherwise(0)) / F.count("*"), 3)

@@ -13,7 +13,7 @@ from tracewell.functions import timefn as T
 from tracewell.operators import clusters, patterns, points, predict, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
-from tracewell.sources.tables import at_rest
+from tracewell.sources.tables import at_rest, ingest, last_logins, recent, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -195,8 +195,6 @@ def io5_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("io8_upsert", "select coalesce(n.o_custkey, o.o_custkey) o_custkey, coalesce(n.total, o.total) total, o.o_custkey is not null existed from (select o_custkey, round(sum(o_totalprice), 2) total from orders where o_orderdate < timestamp '1996-01-01' group by 1) o full join (select o_custkey, round(sum(o_totalprice), 2) total from orders where o_orderdate >= timestamp '1996-01-01' group by 1) n on o.o_custkey = n.o_custkey")
 def io8_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tracewell.sources.tables import upsert
-
     orders = table(spark, sf_dir, "orders")
     total = lambda c: orders.where(c).groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
     cut = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
@@ -277,3 +275,56 @@ def gn3_generated_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.sources import generate
 
     return generate.pings(generate.users(spark, 6), 19_723, 2, every_s=300)
+
+
+@register("cl12_point_features", O.chain("kept", f"select c.user_id, c.cluster_id, c.lat, c.lng, points, round(max({O.hav('c.lat', 'c.lng', 'k.lat', 'k.lng')}), 1) radius_meters from (select user_id, cluster_id, (2 * sum(round(lat * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lat, (2 * sum(round(lng * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lng, count(*) points from kept group by all) c join kept k using (user_id, cluster_id) group by all"))
+def cl12_point_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.point_features(stage(spark, sf_dir, "clustered")).withColumn("radius_meters", F.round("radius_meters", 1))
+
+
+@register("pr6_cluster_feed", O.chain("clu", "select user_id, row_number() over (partition by user_id order by visit_count desc, total_points desc, cluster_id) rank, cluster_id, place_type, lat, lng from clu"))
+def pr6_cluster_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.desc("visit_count"), F.desc("total_points"), "cluster_id")
+    return stage(spark, sf_dir, "clusters").select("user_id", F.row_number().over(w).alias("rank"), "cluster_id", "place_type", "lat", "lng")
+
+
+@register("jn3_visit_pairs", O.chain("cand", "select user_id, from_cluster_id, to_cluster_id, trip_start, trip_end, duration_sec from cand"))
+def jn3_visit_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips.candidates(stage(spark, sf_dir, "visits")).select("user_id", "from_cluster_id", "to_cluster_id", "trip_start", "trip_end", "duration_sec")
+
+
+@register("pf7_visits_of_a_day", O.chain("vis", "select user_id, cluster_id, visit_start, visit_end from vis where visit_start < 19725 * 86400 - 19800 and visit_end >= 19724 * 86400 - 19800"))
+def pf7_visits_of_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = 19_724 * 86_400 - T.OFFSET
+    return stage(spark, sf_dir, "visits").where((F.col("visit_start") < start + 86_400) & (F.col("visit_end") >= start)).select("user_id", "cluster_id", "visit_start", "visit_end")
+
+
+@register("io17_ingest", O.chain("gps", f"select raw_id, user_id, {O.dow('gps_ts')} day_of_week, {O.day('gps_ts')} % 7 in (2, 3) is_weekend, {O.tod(O.hour('gps_ts'), (0, 12, 17, 21))} time_of_day from gps where {O.VALID.format('lat', 'lng')}"))
+def io17_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest(stage(spark, sf_dir, "gps")).select("raw_id", "user_id", "day_of_week", "is_weekend", "time_of_day")
+
+
+@register("io18_recent_points", O.chain("gps", "select raw_id, gps_ts, lat, lng from gps where user_id = 'U7' order by gps_ts desc, raw_id desc limit 20"))
+def io18_recent_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recent(stage(spark, sf_dir, "gps"), 20, user_id="U7").select("raw_id", "gps_ts", "lat", "lng")
+
+
+@register("io19_last_logins", "select user_id, event_type device_id, max(ts) last_login, min(ts) created_at from events group by all")
+def io19_last_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return last_logins(table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("device_id"), F.col("ts").alias("login_ts")))
+
+
+@register("sf8_grid_key", O.chain("gps", "select raw_id, (round(lat * 10000) / 10000)::varchar || '_' || (round(lng * 10000) / 10000)::varchar grid_key from gps"))
+def sf8_grid_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "gps").select("raw_id", G.grid_key(F.col("lat"), F.col("lng")).alias("grid_key"))
+
+
+@register("sf7_geohash")
+def sf7_geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "gps").select("raw_id", G.geohash(F.col("lat"), F.col("lng"), 7).alias("geohash"))
+
+
+@register("sf11_time_text", "select o_orderkey, case when h <= 23 and m <= 59 then h * 60 + m end minute_of_day from (select o_orderkey, cast(o_orderkey % 27 as int) h, cast(o_orderkey % 65 as int) m from orders)")
+def sf11_time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat((F.col("o_orderkey") % 27).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 65).cast("string"), 2, "0"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_minutes(text).alias("minute_of_day"))

@@ -67,11 +67,11 @@ def strength(children: DataFrame) -> float:
 
     One row of sums comes to the driver. With too few groups to tell, the strongest prior.
     """
-    p = F.col("parent_good") / F.col("parent_n")
+    p, share = F.try_divide("parent_good", "parent_n"), F.try_divide("n", "parent_n")
     sums = children.where("n > 0 and parent_n > 0").agg(
-        F.sum(F.col("n") * (F.col("good") / F.col("n") - p) ** 2).alias("spread"),
-        F.sum(p * (1 - p) * (1 - F.col("n") / F.col("parent_n"))).alias("within"),
-        F.sum(F.col("n") * p * (1 - p) * (1 - F.col("n") / F.col("parent_n"))).alias("between"),
+        F.sum(F.col("n") * (F.try_divide("good", "n") - p) ** 2).alias("spread"),
+        F.sum(p * (1 - p) * (1 - share)).alias("within"),
+        F.sum(F.col("n") * p * (1 - p) * (1 - share)).alias("between"),
     ).first()
     room = (sums["between"] or 0.0) - (sums["within"] or 0.0)
     rho = ((sums["spread"] or 0.0) - (sums["within"] or 0.0)) / room if room > 1e-9 else LEAST_RHO

@@ -87,18 +87,41 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
+    before = state_of(pairs)
     for _ in range(max_rounds):
+        if not before[0]:
+            break
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = materialise(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        now = state_of(pairs)
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def state_of(pairs: DataFrame) -> tuple:
+    """Count and checksum of edges, to see whether a round changed them."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+
+
+def forest_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, component): each node's root over links (a, b), where every b has one parent a, less than b.
+
+    Pointer jumping: each round doubles the distance that a node looks up, by one join.
+    Roots themselves aren't listed.
+    """
+    known = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots")
+    for _ in range(max_rounds):
+        up = known.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+        moved = materialise(known.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")), "roots")
+        known = moved.select("node", "component")
+        if moved.where("moved").isEmpty():
+            return known
+    raise RuntimeError(f"roots did not settle in {max_rounds} rounds")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import connected_components, materialise, prepare, slices, utf8
+from tracewell.llm.common import connected_components, forest_roots, materialise, prepare, slices, utf8
 
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 HASHES = BANDS * ROWS
@@ -320,13 +320,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = materialise(compared(stars, reps, percent), "near")
     best = near.where("likely").groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("first"))).alias("m"))
     links = verified(materialise(best.select((-F.col("m.first")).alias("a"), "b"), "pairs"), plain, shingle, percent)
-    parts = connected_components(links).withColumnRenamed("node", "id")
+    parts = forest_roots(links).withColumnRenamed("node", "id")
     families = connected_components(near.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
     labelled = materialise(families.join(parts, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "families")
     open_ones = labelled.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", "size")
     more = links_between(materialise(labelled.join(open_ones, "family"), "open"), reps, plain, shingle, percent)
-    final = connected_components(links.unionByName(more))
-    classes = reps.select("digest", F.col("id").alias("node")).join(final, "node", "left").select("digest", F.coalesce("component", "node").alias("found"))
+    top = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"r{x}"))
+    between = more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = connected_components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
+    classes = reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part")).join(joined, "part", "left").select("digest", F.coalesce("whole", "part").alias("found"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
     out = sketch.select("id", "n", "digest").join(classes, "digest", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -10,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewell.llm import ann, audio, bpe, html_text, neardup, packing, quality, secret_scan, toxicity, url_filter
@@ -169,6 +170,24 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, k, percent):
     assert sorted(left.doc_id) == sorted({i for i, c in enumerate(want) if i == c}) and list(left.columns) == ["doc_id", "text", "score", "id", "key"]
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_near_duplicates_under_an_unrelated_pivot(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "bucket_rows", lambda reps: reps.select((F.col("id") * 0).alias("key"), "id"))  # all share one bucket, whose pivot is like none of them
+    rng = random.Random(9)
+    vocabulary = ["w%d" % i for i in range(300)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(90))]
+    for copies in (2, 3, 1, 2, 12, 1, 2):
+        base = [rng.choice(vocabulary) for _ in range(120)]
+        for _ in range(copies):
+            words = list(base)
+            words[rng.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    texts[1:] = rng.sample(texts[1:], len(texts) - 1)
+    got = neardup.near_duplicates(frame(spark, texts)).toPandas().sort_values("doc_id")
+    assert list(got.component_id) == brute_components(texts, 5, 80)[0]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 

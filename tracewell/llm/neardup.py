@@ -6,12 +6,14 @@ pair's signatures are compared batch by batch; it is dropped as soon as the post
 probability that its similarity reaches the threshold falls below MISS. Pairs that
 survive all batches are verified on their full sets.
 
-Two rounds keep hot buckets linear. First each document is compared with the least id
-of each of its buckets, and the likeliest of these pairs is verified; what is linked
-becomes one component. Pairs that are similar at all, linked or not, make families.
-Then members of one family in different components are compared, in blocks of bounded
-size that give no more links than they have members. So every candidate pair of a
-family is compared, already joined, or implausible.
+First each document is compared with the least id of each of its buckets, and the
+likeliest of these pairs is verified; what is linked becomes one component. Pairs that
+are similar at all, linked or not, make families, so a hot bucket of one family costs no
+more than its members. Members of a bucket that are of different families are compared
+by their signatures in blocks of bounded size, and plausible pairs join their families.
+Then members of one family in different components are compared, in blocks that give no
+more links than they have members. So every pair that shares a band is compared,
+already joined, or implausible.
 """
 
 from __future__ import annotations
@@ -250,6 +252,66 @@ def root(parent: dict[int, int], x: int) -> int:
     return x
 
 
+def bucket_families(shared: DataFrame, families: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """(id, family): families (id, family), joined wherever a pair of a bucket is plausible; shared has (key, id) of all buckets but their pivots.
+
+    In a bucket the members of the commonest family needn't be compared with each other,
+    only the others with all. The others' blocks come first and meet every block; the
+    blocks of the commonest family meet those of the others only. Small buckets are dealt
+    into bins by hash. A task gives fewer joins of families than it has members.
+    """
+    need = least_matches(percent / 100)
+    own = F.coalesce("family", "id")
+    held = materialise(shared.join(families, "id", "left").select("key", "id", own.alias("family")), "buckets")
+    counts = held.groupBy("key", "family").agg(F.count("*").alias("n"))
+    buckets = counts.groupBy("key").agg(F.max(F.struct("n", "family")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("families")).where("families > 1")
+    buckets = materialise(buckets.select("key", F.col("most.family").alias("main"), "size", (F.col("size") - F.col("most.n")).alias("others")), "mixed")
+    total = buckets.agg(F.sum("size")).first()[0]
+    if not total:
+        return families
+    bins = max(1, -(-total // BLOCK))
+    full = held.join(buckets, "key").join(reps.select("id", "n", "signature"), "id").withColumn("other", F.col("family") != F.col("main"))
+    first, last = (F.ceil(c / BLOCK).cast("int") for c in (F.col("others"), F.col("size") - F.col("others")))
+    small = full.where(F.col("size") <= BLOCK).select(F.pmod(F.xxhash64("key"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(-1).alias("own"), "key", "family", "id", "other", "n", "signature")
+    place = F.when(F.col("other"), F.pmod(F.xxhash64("id"), first)).otherwise(first + F.pmod(F.xxhash64("id"), last)).cast("int")
+    met = F.when(F.col("other"), first + last).otherwise(first) - 1
+    large = full.where(F.col("size") > BLOCK).withColumn("own", place).withColumn("block", F.explode(F.sequence(F.lit(0), met)))
+    large = large.select(F.col("key").alias("g"), F.least("own", "block").alias("i"), F.greatest("own", "block").alias("j"), "own", "key", "family", "id", "other", "n", "signature")
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        own, key, family, other, n = (table.column(c).to_numpy() for c in ("own", "key", "family", "other", "n"))
+        sign = matrix(table.column("signature"))
+        parent: dict[int, int] = {}
+        out = []
+        for left, right in pairings(own, key, i, j):
+            for x in left:
+                y = right if i != j else right[right > x]
+                y = y[(other[y] | other[x]) & (family[y] != family[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+                if len(y):
+                    y = y[(sign[y, :BATCH] == sign[x, :BATCH]).sum(axis=1) >= need[BATCH]]
+                if len(y):
+                    y = y[plausible(np.broadcast_to(sign[x], (len(y), HASHES)), sign[y], need)]
+                for v in y:
+                    p, q = root(parent, family[v]), root(parent, family[x])
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((min(p, q), max(p, q)))
+        return pa.table({"a": pa.array([r[0] for r in out], pa.int64()), "b": pa.array([r[1] for r in out], pa.int64())})
+
+    joins = materialise(small.unionByName(large).groupBy("g", "i", "j").applyInArrow(run, "a long, b long"), "joins")
+    whole = materialise(connected_components(joins), "joined")
+    known = families.unionByName(whole.select(F.col("node").alias("id"), F.col("node").alias("family"))).distinct()
+    return known.join(whole.select(F.col("node").alias("family"), "component"), "family", "left").select("id", F.coalesce("component", "family").alias("family"))
+
+
+def pairings(own: np.ndarray, key: np.ndarray, i: int, j: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of blocks i and j, for each key apart."""
+    order = np.argsort(key, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        yield rows[own[rows] == i], rows[own[rows] == j]
+
+
 def links_between(members: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Verified links (a, b) between components of one family, from members (family, size, id, component).
 
@@ -316,12 +378,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = materialise(whole.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "signature"), "id").alias("x")).select("digest", "id", "x.n", "x.signature"), "representatives")
     rows = bucket_rows(reps)
     keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-    stars = rows.join(keys, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    shared = materialise(rows.join(keys, "key").where("id <> pivot"), "shared")
+    stars = shared.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     near = materialise(compared(stars, reps, percent), "near")
     best = near.where("likely").groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("first"))).alias("m"))
     links = verified(materialise(best.select((-F.col("m.first")).alias("a"), "b"), "pairs"), plain, shingle, percent)
     parts = forest_roots(links).withColumnRenamed("node", "id")
     families = connected_components(near.select("a", "b")).select(F.col("node").alias("id"), F.col("component").alias("family"))
+    families = bucket_families(shared.where("size > 2").select("key", "id"), families, reps, percent)
     labelled = materialise(families.join(parts, "id", "left").select("family", "id", F.coalesce("component", "id").alias("component")), "families")
     open_ones = labelled.groupBy("family").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("family", "size")
     more = links_between(materialise(labelled.join(open_ones, "family"), "open"), reps, plain, shingle, percent)

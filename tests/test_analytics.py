@@ -118,6 +118,26 @@ def test_dbscan():
                 assert got[i] == got[j]
 
 
+@pytest.mark.parametrize("lat", [28.0, -61.0])
+def test_clusters_by_joins_equal_one_group(spark, monkeypatch, lat):
+    monkeypatch.setattr(clusters, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    rows = []
+    for user in "ab":
+        spots = [(lat + y, 77 + x) for y, x in rng.normal(0, 1, (150, 2)) * 0.0002] + [(lat + y, 77 + x) for y, x in rng.random((250, 2)) * 0.012]
+        rows += [(user, k, -k, float(y), float(x), int(rng.integers(1, 4)), int(rng.integers(0, 90))) for k, (y, x) in enumerate(spots)]
+    frame = spark.createDataFrame(rows, "user_id string, cell_lat long, cell_lng long, lat double, lng double, count long, first_seen long")
+    made = clusters.with_clusters(frame, 60, 6)
+    assert "InPandas" not in made._jdf.queryExecution().toString()
+    got = {(r["user_id"], r["cell_lat"]): r["cluster_id"] for r in made.collect()}
+    assert len(got) == len(rows)
+    for user in "ab":
+        own = sorted((r for r in rows if r[0] == user), key=lambda r: (r[6], r[1], r[2]))
+        want = clusters.dbscan_labels(*(np.array([r[c] for r in own]) for c in (3, 4, 5)), 60, 6)
+        assert len(set(want)) > 3
+        assert [got[user, r[1]] for r in own] == ["-1" if k < 0 else f"C{k}" for k in want]
+
+
 def island_frame(spark, runs):
     rows, k = [], 0
     for cluster, start, end in runs:

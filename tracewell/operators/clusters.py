@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions.geo import DBSCAN_EARTH_M, haversine_m, valid_lat_lng
+from tracewell.operators.components import connected_components
+from tracewell.sources.tables import at_rest
 
 EPS_M, MIN_WEIGHT, LEAST_POINTS, LEAST_CELLS = 50.0, 8, 8, 8
 CORE_RADIUS_M, CORE_SHARE = 120.0, 0.5
+#: Points of a block of a full square.
+BLOCK = 256
 
 
 def mean_degrees(total: str, n: str) -> Column:
@@ -81,20 +86,73 @@ def dbscan_labels(lat: np.ndarray, lng: np.ndarray, weight: np.ndarray, eps_m: f
     return label
 
 
-def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float = MIN_WEIGHT) -> DataFrame:
-    """Adds cluster_id C0, C1, .. or -1 to cells.
+def _wide(row: Column, side: float) -> Column:
+    """Degrees of longitude of a row's squares: `side` degrees of latitude where the row is widest."""
+    return side / F.greatest(F.cos(F.radians(F.greatest(row * side, -(row + 1) * side))), F.lit(1e-4))
 
-    A grouped map by user over a few columns of cells: what one person's stays cover is
-    bounded by places, not by pings.
-    """
 
-    def label(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["first_seen", "cell_lat", "cell_lng"], kind="stable")
-        found = dbscan_labels(g["lat"].to_numpy(), g["lng"].to_numpy(), g["count"].to_numpy(), eps_m, min_weight)
-        return g[["user_id", "cell_lat", "cell_lng"]].assign(cluster_id=["-1" if k < 0 else f"C{k}" for k in found])
+def _around(lat: Column, west: Column, east: Column, row: Column, rows: tuple[int, int], eps_m: float, side: float) -> Column:
+    """Array of (row, col) of the squares that may hold a point within eps_m of the points at lat from west to east."""
+    share = F.sin(F.lit(eps_m / DBSCAN_EARTH_M)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+    far = F.when(share < 1, F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.001).otherwise(180.0)
+    cols = lambda r: F.sequence(F.floor((west - far) / _wide(r, side)), F.floor((east + far) / _wide(r, side)))
+    return F.flatten(F.transform(F.sequence(row + rows[0], row + rows[1]), lambda r: F.transform(cols(r), lambda c: F.struct(r.alias("row"), c.alias("col")))))
+
+
+def _full_links(spots: DataFrame, eps_m: float, side: float) -> DataFrame:
+    """(a, b): units of full squares with points within eps_m of each other; points are compared in blocks of about BLOCK."""
+    spots.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    full = spots.where("full")
+    box = full.groupBy("user_id", "row", "col", "unit").agg(F.count("*").alias("n"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.max(F.abs("lat")).alias("high"))
+    box = at_rest(box.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "squares")
+    to = box.select("unit", "user_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(_around(F.col("high"), F.col("west"), F.col("east"), F.col("row"), (0, 2), eps_m, side)).alias("s"))
+    to = to.select(F.col("unit").alias("a"), "user_id", "r0", "c0", "s.row", "s.col")
+    pairs = to.join(box.select("user_id", "row", "col", F.col("unit").alias("b")), ["user_id", "row", "col"]).where("row > r0 or col > c0").select("a", "b")
+    part = full.join(box.select("unit", "blocks"), "unit").withColumn("part", F.pmod(F.xxhash64("id"), "blocks"))
+    part = at_rest(part.groupBy("unit", "part").agg(F.collect_list("lat").alias("lat"), F.collect_list("lng").alias("lng")), "blocks")
+    side_of = lambda x: part.select(F.col("unit").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lng").alias(f"lng_{x}"))
+    rows = pairs.join(side_of("a"), "a").join(side_of("b"), "b").select("a", "b", "lat_a", "lng_a", "lat_b", "lng_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for k in range(batch.num_rows):
+                y, x, v, u = (np.radians(batch.column(c)[k].values.to_numpy()) for c in range(2, 6))
+                a = np.sin((v - y[:, None]) / 2) ** 2 + np.cos(y)[:, None] * np.cos(v) * np.sin((u - x[:, None]) / 2) ** 2
+                keep.append(bool((2 * DBSCAN_EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= eps_m).any()))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    part = cell_rows.select("user_id", "cell_lat", "cell_lng", "lat", "lng", "count", "first_seen")
-    labels = part.groupBy("user_id").applyInPandas(label, "user_id string, cell_lat long, cell_lng long, cluster_id string")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float = MIN_WEIGHT) -> DataFrame:
+    """Adds cluster_id C0, C1, .. or -1 to cells, as dbscan_labels() gives them, by joins.
+
+    Rows are put into squares in which all are within eps_m of each other. Where a
+    square's weights reach min_weight it is full: all its rows are core and of one
+    cluster. Other squares have fewer than min_weight rows, so the pairs of these with
+    what is near grow with the rows. No user's rows are gathered.
+    """
+    side = float(np.degrees(eps_m / DBSCAN_EARTH_M)) * 0.7
+    row = F.floor(F.col("lat") / side)
+    rows = cell_rows.select("user_id", "cell_lat", "cell_lng", "lat", "lng", "count", "first_seen").withColumn("row", row).withColumn("col", F.floor(F.col("lng") / _wide(F.col("row"), side)))
+    rows = at_rest(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
+    squares = rows.groupBy("user_id", "row", "col").agg((F.sum("count") >= min_weight).alias("full"), F.min("id").alias("least"))
+    spots = at_rest(rows.join(squares, ["user_id", "row", "col"]).withColumn("unit", F.when(F.col("full"), F.col("least")).otherwise(F.col("id"))).drop("least"), "spots")
+    ask = spots.where("not full").select("id", "user_id", F.col("lat").alias("y"), F.col("lng").alias("x"), F.explode(_around(F.col("lat"), F.col("lng"), F.col("lng"), F.col("row"), (-2, 2), eps_m, side)).alias("s"))
+    met = ask.select("id", "user_id", "y", "x", "s.row", "s.col").join(spots.select("user_id", "row", "col", "lat", "lng", "count", "full", F.col("unit").alias("unit"), F.col("id").alias("near")), ["user_id", "row", "col"])
+    near = at_rest(met.where(haversine_m(F.col("y"), F.col("x"), F.col("lat"), F.col("lng"), DBSCAN_EARTH_M) <= eps_m).select("id", "near", "unit", "full", "count"), "near")
+    core = at_rest(near.groupBy("id").agg(F.sum("count").alias("w")).where(F.col("w") >= min_weight).select("id"), "core")
+    to_core = near.join(core.select(F.col("id").alias("near"), F.lit(True).alias("hit")), "near", "left").where("full or hit").select("id", "unit").distinct()
+    to_core = at_rest(to_core, "to_core")
+    links = to_core.join(core, "id", "left_semi").select(F.col("id").alias("a"), F.col("unit").alias("b")).unionByName(_full_links(spots, eps_m, side))
+    parts = at_rest(connected_components(links).withColumnsRenamed({"node": "unit", "component": "part"}), "parts")
+    cores = spots.where("full").unionByName(spots.join(core, "id", "left_semi")).join(parts, "unit", "left").withColumn("part", F.coalesce("part", "unit"))
+    first = cores.groupBy("user_id", "part").agg(F.min(F.struct("first_seen", "cell_lat", "cell_lng")).alias("first"))
+    number = at_rest(first.select("part", (F.row_number().over(Window.partitionBy("user_id").orderBy("first")) - 1).alias("number")), "number")
+    inside = cores.join(number, "part").select("id", "number")
+    border = to_core.join(core, "id", "left_anti").join(parts, "unit", "left").withColumn("part", F.coalesce("part", "unit")).join(number, "part").groupBy("id").agg(F.min("number").alias("number"))
+    labels = spots.join(inside.unionByName(border), "id", "left").select("user_id", "cell_lat", "cell_lng", F.coalesce(F.concat(F.lit("C"), F.col("number").cast("string")), F.lit("-1")).alias("cluster_id"))
     return cell_rows.join(labels, ["user_id", "cell_lat", "cell_lng"])
 
 

@@ -270,6 +270,31 @@ def test_queries_match_sql(spark, name):
     assert text(got) == text(want)
 
 
+def test_model_queries_do_the_whole_job(spark, monkeypatch):
+    from tracewell.operators import models
+
+    sf, asked = SF.replace("0.001", "0.01"), []
+    for name in ("fit_next_place", "fit_trip_duration"):
+        fit = getattr(models, name)
+        assert fit.__defaults__ == (100, 12)
+
+        def small(samples, fit=fit, **given):
+            asked.append(given)
+            return fit(samples, trees=3, depth=3)
+
+        monkeypatch.setattr(models, name, small)
+    got = plan_queries.QUERIES["ml6_next_place_model"](spark, sf).toPandas()
+    assert asked == [{}, {}] and len(got)
+    assert {"next_place_type", "lat", "lng", "expected_trip_duration_min"} <= set(got.columns) and got.expected_trip_duration_min.gt(0).all()
+    known = plan_queries.stage(spark, sf, "clusters").toPandas()
+    assert set(zip(got.user_id, got.next_cluster_id, strict=True)) <= set(zip(known.user_id, known.cluster_id, strict=True))
+    assert got["rank"].between(1, 3).all() and got.confidence.ge(0.01).all()
+    timed = plan_queries.QUERIES["ml5_trip_duration_model"](spark, sf)
+    assert timed.count() == plan_queries.QUERIES["ml2_trip_duration_samples"](spark, sf).count() and timed.where("predicted_sec is null").isEmpty()
+    seconds = plan_queries.QUERIES["gn3_generated_pings"](spark, sf).where("user_id = 'U001'").orderBy("gps_ts").limit(3).toPandas().gps_ts
+    assert list(np.diff(seconds)) == [3, 3]
+
+
 def test_probabilities_add_up(spark):
     p = plan_queries.stage(spark, SF, "patterns").groupBy("user_id", "from_cluster_id", "day_of_week", "time_of_day").agg(F.sum("probability").alias("p"))
     assert p.where(F.abs(F.col("p") - 1) > 0.01).count() == 0

@@ -65,3 +65,27 @@ def predict_next(model: PipelineModel, samples: DataFrame, key: list[str], top:
     each = scored.select(*key, F.posexplode(vector_to_array("probability")).alias("k", "confidence")).where((F.col("k") < len(names)) & (F.col("confidence") >= least))
     w = Window.partitionBy(*key).orderBy(F.desc("confidence"), "k")
     return each.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(*key, "rank", F.element_at(F.array(*map(F.lit, names)), F.col("k") + 1).alias("next_cluster_id"), F.round("confidence", 4).alias("confidence"))
+
+
+def trip_duration_model(samples: DataFrame) -> PipelineModel | None:
+    """The fitted model, or none for fewer than LEAST_ROWS samples."""
+    return fit_trip_duration(samples)[0] if samples.count() >= LEAST_ROWS else None
+
+
+def predict_duration(model: PipelineModel | None, trips: DataFrame) -> DataFrame:
+    """trips with predicted_sec, null without a model."""
+    if model is None:
+        return trips.withColumn("predicted_sec", F.lit(None).cast("double"))
+    scored = model.transform(_prepared(trips, TRIP_TEXT, TRIP_NUMBERS))
+    return scored.select(*trips.columns, F.col("prediction").alias("predicted_sec"))
+
+
+def with_place_and_duration(predicted: DataFrame, model: PipelineModel | None, clusters: DataFrame, metres: float = 5000.0, mode: str = "DRIVE") -> DataFrame:
+    """Predictions (.., from_cluster_id, day_of_week, departure_hour) whose place the user has, with its type, position and the trip's minutes by the second model.
+
+    Ranks are those of all places, so one may be absent.
+    """
+    place = clusters.select("user_id", F.col("cluster_id").alias("next_cluster_id"), F.coalesce("place_type", F.lit("UNKNOWN")).alias("next_place_type"), "lat", "lng")
+    trips = predicted.join(place, ["user_id", "next_cluster_id"]).withColumns({"to_cluster_id": F.col("next_cluster_id"), "distance_meters": F.lit(metres), "travel_mode": F.lit(mode)})
+    timed = predict_duration(model, trips).withColumn("expected_trip_duration_min", F.round(F.col("predicted_sec") / 60, 1))
+    return timed.drop("to_cluster_id", "distance_meters", "travel_mode", "predicted_sec")

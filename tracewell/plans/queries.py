@@ -254,8 +254,18 @@ def ml6_next_place_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.operators import models
 
     samples = patterns.next_place_samples(*(stage(spark, sf_dir, n) for n in ("trips", "visits", "clusters")))
-    model, _ = models.fit_next_place(samples, trees=20, depth=6)
-    return models.predict_next(model, samples, ["user_id", "date", "trip_start"])
+    model, _ = models.fit_next_place(samples)
+    duration = models.trip_duration_model(patterns.trip_duration_samples(stage(spark, sf_dir, "trips")))
+    predicted = models.predict_next(model, samples, ["user_id", "date", "trip_start", "from_cluster_id", "day_of_week", "departure_hour"])
+    return models.with_place_and_duration(predicted, duration, stage(spark, sf_dir, "clusters"))
+
+
+@register("ml5_trip_duration_model")
+def ml5_trip_duration_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracewell.operators import models
+
+    samples = patterns.trip_duration_samples(stage(spark, sf_dir, "trips"))
+    return models.predict_duration(models.trip_duration_model(samples), samples).select("user_id", "date", "trip_start", "duration_sec", F.round("predicted_sec", 2).alias("predicted_sec"))
 
 
 @register("cl6_point_dbscan")
@@ -274,7 +284,7 @@ def sm5_session_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gn3_generated_pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.sources import generate
 
-    return generate.pings(generate.users(spark, 6), 19_723, 2, every_s=300)
+    return generate.pings(generate.users(spark, 6), 19_723, 2, every_s=3)
 
 
 @register("cl12_point_features", O.chain("kept", f"select c.user_id, c.cluster_id, c.lat, c.lng, points, round(max({O.hav('c.lat', 'c.lng', 'k.lat', 'k.lng')}), 1) radius_meters from (select user_id, cluster_id, (2 * sum(round(lat * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lat, (2 * sum(round(lng * 1e7)::bigint) + count(*)) // (2 * count(*)) / 1e7 lng, count(*) points from kept group by all) c join kept k using (user_id, cluster_id) group by all"))

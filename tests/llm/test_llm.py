@@ -37,6 +37,23 @@ def test_bpe_matches_library(spark):
     assert bpe.encode_documents(frame(spark, ["a b"]), WORD_BPE).first()["ids"] == lib.encode("a b", add_special_tokens=False).ids
 
 
+def test_bpe_of_every_code_point():
+    """Four contexts; planes without assigned characters are sampled."""
+    lib, coder = Tokenizer.from_file(WORD_BPE), bpe.bpe(WORD_BPE)
+    points = [chr(i) for i in [*range(1, 0xD800), *range(0xE000, 0x32400), *range(0x32400, 0xE0000, 997), *range(0xE0000, 0xE0200), *range(0xE0200, 0x110000, 997)]]
+    for k in range(0, len(points), 20_000):
+        texts = [f"a{x}b {x} É{x}1 <{x}{x}" for x in points[k : k + 20_000]]
+        assert not [t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True) if coder.encode(t) != e.ids]
+
+
+def test_bpe_of_random_texts():
+    lib, coder, rng = Tokenizer.from_file(WORD_BPE), bpe.bpe(WORD_BPE), random.Random(4)
+    pools = [string.printable, "àÉßçñøΣςσЖжא ", "日本語あ한글 ", "\u0301\u0308\u200d\u0345 ", "😀👍🏽½²٣ ", *([chr(rng.randrange(1, 0xD800)) for _ in range(400)] for _ in range(3))]
+    texts = ["".join(rng.choice(rng.choice(pools)) for _ in range(rng.randint(1, 40))) for _ in range(10_000)]
+    for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert coder.encode(t) == e.ids and coder.described(t)[2] == lib.decode(e.ids, skip_special_tokens=False)
+
+
 def test_bpe_cuts_are_never_inside_a_token():
     coder = bpe.bpe(WORD_BPE)
     words = ["qzxjv", "hello", "zzzqqqxxx", "straße"]

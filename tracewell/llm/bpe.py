@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
@@ -17,6 +16,7 @@ from typing import Any
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
 from tracewell.llm.common import prepare, texts
@@ -79,6 +79,8 @@ class ForcedBoundaryBPE:
         self.pieces = regex.compile(next(s["pattern"]["Regex"] for s in steps if s["type"] == "Split")).findall
         self.split_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")").split if self.special else None
         self.blank = regex.compile(f"[{SPACE}]+").split
+        library = Tokenizer.from_file(path)
+        self.normal, self.cut_up = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.inside = BPE(self.vocab, merges, cache_capacity=0)
         self.ending = BPE(self.vocab, merges, cache_capacity=0, end_of_word_suffix=self.end) if self.end else self.inside
@@ -93,22 +95,29 @@ class ForcedBoundaryBPE:
         return [piece[i:j] for i, j in zip([0, *at], [*at, len(piece)], strict=True)]
 
     def piece(self, piece: str) -> list[int]:
-        """Ids of one piece: its fragments' ids one after the other; only the last fragment has the word's end."""
-        *inner, last = self.cuts(piece if piece.isascii() and piece.isalnum() else "".join([self.chars[b] for b in piece.encode("utf-8", "replace")]))
+        """Ids of one piece in the vocabulary's characters: its fragments' ids one after the other; only the last fragment has the word's end."""
+        *inner, last = self.cuts(piece)
         ids = [t.id for part in inner for t in self.inside.tokenize(part)]
         ids += [t.id for t in self.ending.tokenize(last)]
         return ids
 
     def word(self, word: str) -> list[int]:
-        """Ids of a stretch of text without white space."""
+        """Ids of a stretch of text without white space.
+
+        What is ASCII is lower-cased and cut here; in other words the library's own
+        normaliser and word pattern decide, whose Unicode version may differ from Python's.
+        """
         if word.isascii():
             lowered = word.lower()
             if lowered.isalpha():
                 return self.pieces_known(lowered)
+            pieces = self.pieces(lowered)
+            if not word.isprintable():
+                pieces = ["".join([self.chars[b] for b in p.encode()]) for p in pieces]
         else:
-            lowered = unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
+            pieces = [p for p, _ in self.cut_up(self.normal(word))]
         ids: list[int] = []
-        for piece in self.pieces(lowered):
+        for piece in pieces:
             ids += self.pieces_known(piece)
         return ids
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.sources.tables import at_rest
+from tracewell.sources.tables import at_rest, passing_tables
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -16,25 +16,27 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     a hub's neighbours stay separate rows, and its join can be split by AQE. Null
     ends and self-loops are ignored; repeated edges count once; no edges give no rows.
     """
-    pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
-    pairs = at_rest(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = state_of(pairs)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        pairs = at_rest(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        now = state_of(pairs)
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with passing_tables(edges.sparkSession):
+        pairs = edges.select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")).where("u is not null and v is not null and u <> v")
+        pairs = at_rest(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = state_of(pairs)
+        for _ in range(max_rounds):
+            if not before[0]:
+                break
+            both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+            pairs = at_rest(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+            now = state_of(pairs)
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        return at_rest(found, "components", outside=True)
 
 
 def state_of(pairs: DataFrame) -> tuple:

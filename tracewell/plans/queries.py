@@ -18,14 +18,24 @@ from tracewell.sources.tables import at_rest, ingest, last_logins, recent, upser
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple, DataFrame] = {}
+
+
+def version(spark: SparkSession, sf_dir: str) -> int:
+    """A number that changes when a file of the table events does: of its files' names, times and lengths, without reading them."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/events.parquet")
+    return files.agg(F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(20,0)"))).first()[0]
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the pipeline that several queries read, written once for each session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """A table of the pipeline that several queries read, written once for each session and state of the input's files."""
+    return _stage(spark, sf_dir, version(spark, sf_dir), name)
+
+
+def _stage(spark: SparkSession, sf_dir: str, state: int, name: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, state, name)
     if key not in _kept:
-        get = lambda n: stage(spark, sf_dir, n)
+        get = lambda n: _stage(spark, sf_dir, state, n)
         made = {
             "gps": lambda: movement(spark, sf_dir),
             "processed": lambda: points.process(get("gps")),

@@ -4,25 +4,62 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder set there where it is unset."""
+    """This application's folder below spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return f"{root.rstrip('/')}/tracewell-{spark.sparkContext.applicationId}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
 
+def clear_tables(spark: SparkSession) -> None:
+    """Delete every table that this application wrote with at_rest(); results that read them must be consumed before."""
+    remove_folder(spark, shared_folder(spark))
 
-def at_rest(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: later steps plan from the files, not from what made them."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that at_rest() writes inside are deleted at the end, except those written with outside."""
+    path = f"{shared_folder(spark)}/passing-{uuid.uuid4().hex}"
+    token = _folders.set((*_folders.get(), path))
+    try:
+        yield
+    finally:
+        _folders.reset(token)
+        remove_folder(spark, path)
+
+
+def at_rest(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: later steps plan from the files, not from what made them.
+
+    With outside the table outlives the innermost passing_tables().
+    """
+    spark = df.sparkSession
+    folders = (shared_folder(spark), *_folders.get())
+    path = f"{folders[-2] if outside and len(folders) > 1 else folders[-1]}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def at_rest(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     spark = df.sparkSession
     folders = (shared_folder(spark), *_folders.get())
     path = f"{folders[-2] if outside and len(folders) > 1 else folders[-1]}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

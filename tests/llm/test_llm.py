@@ -1,6 +1,7 @@
 """Text operators against libraries, brute force and small cases: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracewell.llm import ann, audio, bpe, html_text, neardup, packing, quality, secret_scan, toxicity, url_filter
-from tracewell.llm.common import connected_components
+from tracewell.llm.common import connected_components, materialise, passing_tables
+from tracewell.llm.labelled import labelled_sample
 from tracewell.llm.queries import BYTE_BPE, WORD_BPE
 
 ODD = [None, "", "  ", "a", "it's 12 ½ <|endoftext|> Σίσυφος ΟΔΟΣ\n\n x", "ÀÉ \x1c y\u0085z", "日本語 😀👍🏽", "x" * 5000, "one two three four five six seven"]
@@ -104,19 +106,61 @@ def test_audio(spark):
     assert rows.feature[3] == rows.feature[len(ODD)] and rows.feature[0] == rows.feature[1]
     tone = (128 + 100 * np.sin(2 * np.pi * 440 * np.arange(8000) / 8000)).astype(np.uint8)
     assert np.abs(np.fft.rfft(audio.resample(tone)[:6000])).argmax() == 440
-    patches = audio.feature_tensors(frame(spark, ["z" * 9000])).toArrow()
-    assert audio.as_tensor_array(patches.column("log_mel")).to_numpy_ndarray().shape == (patches.num_rows, audio.FRAMES, audio.MELS)
-    assert patches.column("start_ms").to_pylist() == sorted(patches.column("start_ms").to_pylist())
+    assert audio.media_digests(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         audio.from_wav(b"nothing")
 
 
+def naive_log_mel(payload):
+    """Resampling, windows and filterbank written out sum by sum."""
+    x, half = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128, audio.TAPS // 2
+    y = []
+    for m in range(-(-len(x) // audio.DOWN) * audio.UP):
+        at, total, norm = m * audio.DOWN / audio.UP, 0.0, 0.0
+        for k in range(int(at) - half + 1, int(at) + half + 1):
+            h = np.sinc(0.75 * (k - at)) * (0.5 + 0.5 * np.cos(np.pi * min(1, max(-1, (k - at) / half))))
+            norm += h
+            total += h * (x[k] if 0 <= k < len(x) else 0)
+        y.append(total / norm)
+    frames, out = max(1, -(-(len(y) - audio.WINDOW) // audio.HOP) + 1), []
+    y += [0.0] * ((frames - 1) * audio.HOP + audio.WINDOW - len(y))
+    n, rate = audio.WINDOW, audio.RATE * audio.UP / audio.DOWN
+    wave = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    edges = [700 * (10 ** (2595 * np.log10(1 + rate / 1400) * k / (audio.MELS + 1) / 2595) - 1) for k in range(audio.MELS + 2)]
+    for f in range(frames):
+        window = [y[f * audio.HOP + k] * (0.5 - 0.5 * np.cos(2 * np.pi * k / (n - 1))) for k in range(n)]
+        power, row = np.abs(wave @ np.array(window)) ** 2, []
+        for a, b, c in zip(edges, edges[1:], edges[2:], strict=False):
+            row.append(np.log(1e-6 + sum(p * max(0, min((f - a) / (b - a), (c - f) / (c - b))) for p, f in zip(power, np.linspace(0, rate / 2, n // 2 + 1), strict=True))))
+        out.append(row)
+    return np.array(out)
+
+
+def test_audio_features_are_stored(spark):
+    texts = ["z" * 9000, "The quick brown fox. " * 40, None, "ä"]
+    stored = audio.feature_table(audio.media_table(frame(spark, texts))).toPandas().set_index("id")
+    for i, t in enumerate(texts):
+        payload = audio.padded((t or "").encode())
+        want, batch = naive_log_mel(payload), audio.stored_features(stored.features[i])
+        assert batch.schema == audio.TENSORS and batch.column(0).type.shape == [audio.FRAMES, audio.MELS]
+        got = batch.column(0).to_numpy_ndarray().reshape(-1, audio.MELS)
+        assert len(want) == stored.frames[i] and np.abs(got[: len(want)] - want).max() < 0.03 and np.allclose(got[len(want) :], np.log(1e-6), atol=0.02)
+        starts, ends = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        step = 1000 * audio.HOP * audio.DOWN / (audio.RATE * audio.UP)
+        assert starts == [int(k * audio.FRAMES * step) for k in range(batch.num_rows)] and all(a < b for a, b in zip(starts, ends, strict=True))
+        spans = [(s["start"], s["end"]) for s in stored.segments[i]]
+        assert batch.column(3).to_pylist() == [any(a < (k + 1) * audio.FRAMES and k * audio.FRAMES < b for a, b in spans) for k in range(batch.num_rows)]
+
+
 def test_hysteresis():
     mel = np.full((12, audio.MELS), 0.0, np.float32)
     mel[2:5] += 0.1  # above the low threshold only
     mel[7:10] += 0.1
     mel[8] += 2
-    assert audio.segments(mel - 0.2 * (np.arange(12) % 12 == 6)[:, None]) == [(7, 10)] or any(a <= 8 < b for a, b in audio.segments(mel))
+    assert audio.segments(mel) == [(0, 12)]  # silence is less than LOW_DB below the median, so one run, with one frame above HIGH_DB
+    mel[5:7] -= 1
+    mel[10:] -= 1
+    assert audio.segments(mel) == [(7, 10)]  # the run from 0 to 5 never rises above HIGH_DB
 
 
 def test_secrets(spark):
@@ -131,11 +175,104 @@ def test_secrets(spark):
     assert rows.base_sha256[2] == hashlib.sha256(",".join(spans).encode()).hexdigest()
     assert (rows.n_assign[3], rows.n_assign[6], rows.spans[0], rows.spans[5]) == (0, 0, "", "")
     assert rows.spans[4] == f"random:6:{6 + len(key)}" and rows.n_random[7] == 1
-    clean = secret_scan.redact(frame(spark, texts)).toPandas()
+    clean = secret_scan.redact(frame(spark, texts)).toPandas().sort_values("doc_id", ignore_index=True)
     assert clean.text[4] == "value [SECRET] end" and clean.text[0] is None and list(clean.columns) == ["doc_id", "text", "score", "id", "key"]
     assert secret_scan.secret_digests(frame(spark, [])).count() == 0
 
 
+def naive_battery(texts, share=0.01):
+    """All random spans of all texts, by plain counting: the three tests of every stretch, then the weighted step-up."""
+    tested = []
+    for i, text in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
+            body = m[0].rstrip("=")
+            if len(body) < 16 or "=" in body or len(m[0]) - len(body) > 2 or set(body) <= set(string.digits):
+                continue
+            alphabet = next((a for a in secret_scan.ALPHABETS.values() if set(body) <= set(a)), None)
+            p = 1.0
+            if alphabet:
+                n, k = len(body), len(alphabet)
+                chi = sum((body.count(c) - n / k) ** 2 / (n / k) for c in alphabet)
+                if chi <= k - 1 + 3.5 * (2 * k - 2) ** 0.5:
+                    shift = n * (max(k * 0.065, 2.2) - 1)
+                    z = [(k - 1 + shift - chi) / (2 * (k - 1 + 2 * shift)) ** 0.5]
+                    kind = (lambda c: c in "aeiouAEIOU") if len(alphabet) == 26 else (lambda c: 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3)
+                    turns, q = sum(kind(a) != kind(b) for a, b in zip(body, body[1:], strict=False)), 0.62 if len(alphabet) == 26 else 0.22
+                    z.append((turns - (n - 1) * q) / ((n - 1) * q * (1 - q)) ** 0.5 * (-1 if len(alphabet) == 26 else 1))
+                    place = [alphabet.index(c) - np.mean([alphabet.index(d) for d in body]) for c in body]
+                    z.append((0.4 - abs(sum(a * b for a, b in zip(place, place[1:], strict=False)) / max(1e-9, sum(a * a for a in place)))) * n**0.5)
+                    p = 0.5 * math.erfc(sum(z) / 6**0.5 / 2**0.5)
+            c = max(0, min(12, int(4 * math.log2(len(m[0]) / 16))))
+            tested.append((i, m.start(), m.end(), int(-math.log10(max(1e-300, p)) * 50), 2 ** (c / 4)))
+    mean = sum(t[4] for t in tested) / max(1, len(tested))
+    log = {t: t[3] / 50 + math.log10(t[4] / mean) for t in tested if t[3]}
+    passing = [v for v in log.values() if 10**-v <= share * sum(w >= v for w in log.values()) / len(tested)]
+    return sorted(t[:3] for t, v in log.items() if passing and v >= min(passing) - 1e-9)
+
+
+def test_random_strings_match_naive_battery(spark):
+    rng = random.Random(8)
+    alphabets = [string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters, "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.digits]
+    words = ["internationalisation", "getElementsByTagName", "antidisestablishment", "com/example/project/main", "snake_case_name_of_it", "AAAAAAAAAAAAAAAAAAAA", "1234567890123456"]
+    texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(40)] + [None, ""]
+    for alphabet in alphabets:
+        texts += [f"see {''.join(rng.choice(alphabet) for _ in range(n))}{rng.choice(['', '', '='])} end" for n in (15, 16, 19, 24, 32, 48, 64)]
+    got = [(r["doc_id"], s["start"], s["end"]) for r in secret_scan.find_secrets(frame(spark, texts)).collect() for s in r["spans"] if s["kind"] == 3]
+    base = {i: secret_scan.base_spans(t or "") for i, t in enumerate(texts)}
+    want = [t for t in naive_battery(texts) if not any(a <= t[1] and t[2] <= b for a, _, b in base[t[0]])]
+    assert sorted(got) == want and len(want) > 10
+    found = {texts[i][a:b].rstrip("=") for i, a, b in got}
+    assert any(f.isalpha() for f in found) and not found & set(words)
+
+
+def scan_by_hand(text):
+    """The base patterns by walking through the text."""
+    out, value = [], set(string.ascii_letters + string.digits + "+/_.=-")
+    at = 0
+    while at < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[at : at + len(w)].isascii() and text[at : at + len(w)].lower() == w), None)
+        if word:
+            k = at + len(word)
+            k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+            while text[k : k + 1] == " ":
+                k += 1
+            if text[k : k + 1] in (":", "="):
+                k += 1
+                while text[k : k + 1] == " ":
+                    k += 1
+                k += text[k : k + 1] in ('"', "'") and text[k : k + 1] != ""
+                end = k
+                while end < len(text) and text[end] in value:
+                    end += 1
+                if end > k:
+                    if end - k >= 8:
+                        out.append((at, 0, end))
+                    at = end
+                    continue
+        at += 1
+    for kind, begin, letters, least in ((1, "AKIA", set(string.ascii_uppercase + string.digits), 16), (2, "", set("0123456789abcdef"), 32)):
+        at = 0
+        while at < len(text):
+            end = at + len(begin)
+            if text.startswith(begin, at) and end < len(text) and text[end] in letters:
+                while end < len(text) and text[end] in letters:
+                    end += 1
+                if end - at >= least:
+                    out.append((at, kind, end))
+                at = end
+            else:
+                at += 1
+    return sorted(out)
+
+
+def test_base_spans_by_hand():
+    rng = random.Random(2)
+    parts = ["password", "Passwd", "SECRET", "token", "api_key", "apikey", "API-KEY", "ſecret", "=", ":", " ", "  ", "'", '"', "é", "AKIA", "ABCD1234EFGH", "abcdef0123456789", "deadbeef" * 4, "x.y/z+==", "short", "longer_value-1", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))
+        assert secret_scan.base_spans(text) == scan_by_hand(text), text
+
+
 def test_url_rules_and_reputation(spark):
     urls = [None, "nothing", "http://Example.ORG/es/1?x", "https://a.example.org/en/12#t", "http://x.org", "http://b.com/fr/", "http://b.com/de/x", "ftp://c.net/a", *["http://bad.com/de/1"] * 30, "http://bad.com/en/", *["http://good.com/fr/1"] * 30, "http://good.com/en/"]
     rows = url_filter.judge_urls(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")).toPandas().set_index("page_id")
@@ -205,6 +342,15 @@ def test_near_duplicates_under_an_unrelated_pivot(spark, monkeypatch, block):
     assert list(got.component_id) == brute_components(texts, 5, 80)[0]
 
 
+def test_near_duplicates_of_repeated_rows(spark):
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(5, long), (5, long), (5, "other text that is alone here"), (3, long + " x"), (None, long), (None, "nobody else has this one"), (9, None), (9, None)], "doc_id long, text string").withColumn("row", F.lit(1))
+    left = neardup.drop_near_duplicates(docs).toPandas()
+    assert sorted(zip(left.doc_id.fillna(-1), left.text.fillna(""), strict=True)) == sorted([(3, long + " x"), (5, "other text that is alone here"), (-1, "nobody else has this one"), (9, ""), (9, "")]) and list(left.columns) == ["doc_id", "text", "row"]
+    found = neardup.near_duplicates(docs).toPandas()
+    assert len(found) == 8 and found[found.doc_id.isna()].kept.all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
 
@@ -276,7 +422,7 @@ def test_quality_and_toxicity_held_out(spark):
     assert kept == docs.count() and quality.keep_quality(docs, net).count() == int(got.predicted.sum())
     empty = frame(spark, [])
     assert quality.score_quality(empty, net).count() == toxicity.score_toxicity(empty, chain).count() == 0
-    assert toxicity.fit_toxicity(empty, labels).marks == {} and quality.fit_quality(empty, labels.limit(0)) is not None
+    assert len(toxicity.fit_toxicity(empty, labels).columns) == 0 and quality.fit_quality(empty, labels.limit(0)) is not None
 
 
 def test_scores_do_not_depend_on_neighbours():
@@ -288,6 +434,45 @@ def test_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone, atol=1e-5)
 
 
+def naive_score(net, text):
+    """The network window by window and chunk by chunk."""
+    data = list(text) + [0] * (quality.WIDTH - len(text))
+    outs = []
+    for k in range(len(data) - quality.WIDTH + 1):
+        x = np.concatenate([net.w["embed"][b] for b in data[k : k + quality.WIDTH]])
+        outs.append([sum(x * net.w["filters"][:, f]) + net.w["bias"][f] for f in range(quality.FILTERS)])
+    half = quality.CHUNK // 2
+    firsts = range(0, len(outs), half)
+    chunks = [np.max([outs[j] for a in ((k, k + half) if k + half < len(outs) else (k - half, k) if k else (k,)) for j in range(a, min(len(outs), a + half))], axis=0) for k in firsts]
+    chunks = np.maximum(0, chunks)
+    pooled = np.concatenate([chunks.mean(axis=0), chunks.max(axis=0), chunks.min(axis=0)])
+    return 1 / (1 + math.exp(-(np.tanh(pooled @ net.w["mix"] + net.w["mix_bias"]) @ net.w["out"] + net.w["out_bias"][0])))
+
+
+def test_network_by_hand():
+    net = quality.ByteNet(4)
+    rng = random.Random(3)
+    for n in (0, 1, 7, 8, 9, 263, 264, 600, 1300):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        assert abs(net.scores(np.frombuffer(text, np.uint8), np.array([0, n]))[0] - naive_score(net, text)) < 1e-4
+
+
+def test_chain_by_hand():
+    rows = [(("fine words here " * 3) + ("grumble " if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    chain = toxicity.fit_chain(rows)
+    many = ["", "a grumble", "fine words", "GRUMBLE grumbles é", "日本語日本語"]
+    weight = dict(zip(chain.columns.tolist(), chain.weights, strict=True))
+    for text, got in zip(many, chain.probabilities(many), strict=True):
+        places = set()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            places |= {zlib.crc32(g.encode()) % toxicity.PLACES for g in [w + "$", *("^" + w[: n + 1] for n in range(min(7, len(w)))), *(w[i : i + n] for n in (3, 4) for i in range(1, len(w) - n + 1))]}
+        z, p = chain.constants + sum(weight[k] for k in places if k in weight), []
+        for k in range(len(toxicity.CHAIN)):
+            p.append(1 / (1 + math.exp(-(z[k] + sum(chain.earlier[k, j] * p[j] for j in range(k))))))
+        assert np.allclose(got, p)
+    assert list(chain.probabilities(many)[:, -1] > 0.5) == [False, True, False, True, False]
+
+
 def test_network_gradients():
     net = quality.ByteNet(2)
     texts = [b"ab cd ef gh " * 9, b"&&& zz " * 30]
@@ -295,7 +480,7 @@ def test_network_gradients():
     data = np.frombuffer(b"".join(texts), np.uint8)
     loss = lambda: -np.mean(y * np.log(net.scores(data, at)) + (1 - y) * np.log(1 - net.scores(data, at)))
     g = net.gradients(data, at, y)
-    for name, where in (("out", (3,)), ("mix", (5, 2)), ("first", (4, 6)), ("second", (60, 1))):
+    for name, where in (("out", (3,)), ("mix", (5, 2)), ("mix", (60, 2)), ("filters", (4, 6)), ("filters", (40, 1)), ("embed", (97, 2))):
         kept = net.w[name][where]
         net.w[name][where] = kept + 1e-3
         up = loss()
@@ -318,6 +503,70 @@ def test_html(spark):
     assert html_text.extract_text(pages, html_text.fit_labeller(pages.limit(0))).count() == 4
 
 
+def test_repeated_rows_and_null_ids(spark):
+    docs, labels = labelled(spark)
+    odd = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (None, None)], "doc_id long, text string")
+    net, chain = quality.fit_quality(docs, labels), toxicity.fit_toxicity(docs, labels)
+    for made in (quality.score_quality(odd, net), secret_scan.secret_digests(odd), toxicity.score_toxicity(odd, chain), packing.pack(odd, BYTE_BPE).where("start = 0"), audio.media_digests(odd), bpe.round_trip_digests(odd, WORD_BPE)):
+        assert sorted(r["doc_id"] or 0 for r in made.collect()) == [0, 0, 1, 1]
+    pages = spark.createDataFrame([(None, "u", "<p>x"), (3, None, "<p>y"), (3, None, "<p>y")], "page_id long, url string, html string")
+    assert html_text.extract_text(pages, html_text.Labeller()).count() == 3
+    vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (None, [1.0, 1.0], 1)], "vec_id long, embedding array<double>, score int")
+    assert {r["vec_id"] for r in ann.nearest(vectors).collect()} == {1}
+
+
+def test_samples_are_bounded_and_alike(spark):
+    docs, labels = labelled(spark)
+    few = labelled_sample(docs, labels, "toxic", {1: 7, 0: 11})
+    assert [sum(y for _, y in few), len(few)] == [7, 18] and few == labelled_sample(docs.repartition(5), labels.repartition(3), "toxic", {1: 7, 0: 11})
+    assert sum(len(t) for t, _ in labelled_sample(docs, labels, "toxic", {1: 7, 0: 11}, 1500)) <= 1500
+
+
+def test_tables_at_rest(spark):
+    with passing_tables(spark):
+        a = materialise(spark.range(3).toDF("x"), "a")
+        b = materialise(a, "b", outside=True)
+    assert b.count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.parquet(a.inputFiles()[0]).count()
+
+
+def test_head_without_end():
+    html = "<html><head><title>T</title><article><p>Main text</p><noscript>kept</noscript><p>a <math><mi>x</mi></math> b <object>o</object></p></article></html>"
+    assert [b[0] for b in html_text.blocks_of(html)] == ["Main text", "kept", "a x b o"]
+    assert html_text.blocks_of("<head>loose words<p>and more")[0][0] == "loose words"
+
+
+def test_labels_of_long_pages(spark):
+    """Thousands of blocks, and pages read together, give what each page gives alone, step by step."""
+    net, maker = html_text.Labeller(), html_text.PageMaker(5)
+    pages = [html_text.blocks_of(maker.page()) for _ in range(20)] + [html_text.blocks_of("".join(f"<p>block {k}" for k in range(4000)))]
+    together = net.keeps(pages)
+    for page, got in zip(pages, together, strict=True):
+        x = html_text.vectors([page])
+        outs = []
+        for way, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            h, c, kept = np.zeros(html_text.HIDDEN), np.zeros(html_text.HIDDEN), {}
+            for t in order:
+                i, f, o, n = np.split(x[t] @ net.w[f"x{way}"] + net.w[f"c{way}"] + h @ net.w[f"h{way}"], 4)
+                i, f, o = (1 / (1 + np.exp(-v)) for v in (i, f, o))
+                c = f * c + i * np.tanh(n)
+                h = o * np.tanh(c)
+                kept[t] = h
+            outs.append([kept[t] for t in range(len(x))])
+        z = np.array([np.concatenate(p) @ net.w["out"] + net.w["bias"][0] for p in zip(*outs, strict=True)])
+        sure = np.abs(z) > 1e-4
+        assert (got[sure] == (z >= 0)[sure]).all()
+
+
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0, name
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

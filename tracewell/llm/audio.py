@@ -1,7 +1,8 @@
 """Media columns: texts stored as 8-bit PCM audio, and features read from the stored bytes.
 
 Samples are resampled by a polyphase filter, cut into overlapping windows for a
-log-mel filterbank, and segmented by energy with hysteresis. Features are kept as
+log-mel filterbank, and segmented by energy with hysteresis. The media are written as one
+table; another is made of the stored bytes and holds each document's features as Arrow
 fixed-shape tensors (FRAMES x MELS) with the time span that each one covers.
 """
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import prepare, utf8
+from tracewell.llm.common import BATCH_BYTES, materialise, prepare, slices, utf8
 
 RATE, UP, DOWN = 8000, 3, 4
 WINDOW, HOP, MELS, FRAMES = 256, 128, 20, 32
@@ -119,74 +120,95 @@ def tensors(mel: np.ndarray) -> np.ndarray:
     return np.concatenate([mel, np.full((n * FRAMES - len(mel), MELS), np.log(np.float32(1e-6)), np.float32)]).reshape(n, FRAMES, MELS)
 
 
-def summary(mel: np.ndarray) -> str:
-    """The features in a line: frames, segments, mean level of the bands, and a checksum of all values at a hundredth."""
-    found = segments(mel)
-    level = np.round(mel.mean(axis=0, dtype=np.float64), 1) + 0.0
-    whole = zlib.crc32(np.round(mel * 100).astype("<i2").tobytes())
-    return f"frames={len(mel)};segments={len(found)};loud={sum(b - a for a, b in found)};mel={','.join(f'{v:.1f}' for v in level)};crc={whole:08x}"
+#: A document's features: one row for each tensor, stored as an Arrow record batch. loud tells whether an energy segment overlaps the span.
+TENSORS = pa.schema([("log_mel", pa.fixed_shape_tensor(pa.float16(), [FRAMES, MELS])), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("loud", pa.bool_())])
+MS = 1000 * DOWN / (RATE * UP)
 
 
-def payloads(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, bytes]]:
-    """(text, media, payload read back) of each row of a batch (id, text)."""
-    data, at = utf8(batch.column(1))
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        text = data[a:b].tobytes()
-        media = to_wav(padded(text))
-        yield text, media, from_wav(media)[0]
+def packed_features(mel: np.ndarray, spans: list[tuple[int, int]]) -> bytes:
+    """The record batch of TENSORS of a document's frames, serialised."""
+    values = tensors(mel).astype(np.float16)
+    first = np.arange(len(values)) * FRAMES
+    last = np.minimum(first + FRAMES, len(mel))
+    edge = np.zeros(len(mel) + 1, np.int64)
+    for a, b in spans:
+        edge[a] += 1
+        edge[b] -= 1
+    loud = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(values.reshape(-1)), FRAMES * MELS)
+    columns = [pa.ExtensionArray.from_storage(TENSORS.field(0).type, flat), pa.array((first * HOP * MS).astype(np.int64)), pa.array((((last - 1) * HOP + WINDOW) * MS).astype(np.int64)), pa.array(loud[last] > loud[first])]
+    return pa.RecordBatch.from_arrays(columns, schema=TENSORS).serialize().to_pybytes()
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: lengths and checksums of its payload and media, and its features in a line.
+def stored_features(data: bytes) -> pa.RecordBatch:
+    """The record batch of TENSORS that packed_features() serialised."""
+    return pa.ipc.read_record_batch(pa.py_buffer(data), TENSORS)
+
+
+def summary(frames: int, spans: list[tuple[int, int]], batch: pa.RecordBatch) -> str:
+    """Stored features in a line: frames, segments, mean level of the bands, and a checksum of all values at a hundredth."""
+    mel = batch.column(0).to_numpy_ndarray().reshape(-1, MELS)[:frames].astype(np.float32)
+    level = np.round(mel.mean(axis=0, dtype=np.float64), 1) + 0.0
+    whole = zlib.crc32(np.round(mel * 100).astype("<i2").tobytes())
+    return f"frames={frames};segments={len(spans)};loud={sum(b - a for a, b in spans)};mel={','.join(f'{v:.1f}' for v in level)};crc={whole:08x}"
+
 
-    Null and empty texts are 64 bytes of 0; equal texts give equal values; an empty
-    table gives no rows; other columns are ignored.
+def media_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes long, media binary) of every document, written to the shared folder.
+
+    The media is a WAV file of the text's bytes, filled with bytes 0 up to a positive
+    multiple of 64. Null and empty texts are 64 bytes of 0; repeated rows give repeated
+    rows, null ids stay null; an empty table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
-    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), summary(log_mel(resample(np.frombuffer(back, np.uint8))))) for text, media, back in payloads(batch)]
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+            for part in slices(batch, "text", BATCH_BYTES // 4):
+                data, at = utf8(part.column(1))
+                media = [to_wav(padded(data[a:b].tobytes())) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(media, pa.binary())], names=["id", "n_bytes", "media"])
 
     df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    return materialise(df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n_bytes long, media binary"), "media")
 
 
-def feature_tensors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, patch int, start_ms long, end_ms long, loud boolean, log_mel array<float>): a row for each tensor of each document.
+def feature_table(media: DataFrame) -> DataFrame:
+    """(id, n_bytes, payload_bytes long, payload_sha256 string, tail_crc32, media_bytes long, media_sha256 string, frames int, segments array<struct<start,end>>, features binary) of the stored media, written to the shared folder.
 
-    log_mel has FRAMES * MELS values, frame by frame; as_tensor_array() makes the Arrow
-    tensor type of it. loud tells whether an energy segment overlaps the span. Null and
-    empty texts give the one tensor of 64 samples.
+    All of it is computed from the stored bytes. segments are spans of frames; features
+    is a record batch of TENSORS, see stored_features().
     """
-    prepare(docs.sparkSession)
-    ms = 1000 * DOWN / (RATE * UP)
+    prepare(media.sparkSession)
+    kind = media.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames int, segments array<struct<start:int,end:int>>, features binary"
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.binary()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "frames", "segments", "features"]
+
+    def described(stored: bytes) -> tuple:
+        back, _ = from_wav(stored)
+        mel = log_mel(resample(np.frombuffer(back, np.uint8)))
+        spans = segments(mel)
+        return len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), len(mel), [{"start": a, "end": b} for a, b in spans], packed_features(mel, spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, (_, _, back) in enumerate(payloads(batch)):
-                mel = log_mel(resample(np.frombuffer(back, np.uint8)))
-                patches, spans = tensors(mel), segments(mel)
-                for k in range(0, len(patches), BLOCK // FRAMES):
-                    some = patches[k : k + BLOCK // FRAMES]
-                    first = np.arange(k, k + len(some)) * FRAMES
-                    last = np.minimum(first + FRAMES, len(mel))
-                    loud = [any(a < e and s < b for a, b in spans) for s, e in zip(first, last, strict=True)]
-                    values = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * (FRAMES * MELS)), pa.array(some.reshape(-1)))
-                    ids = batch.column(0).take(pa.array(np.full(len(some), row)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(k, k + len(some), dtype=np.int32)), pa.array((first * HOP * ms).astype(np.int64)), pa.array((((last - 1) * HOP + WINDOW) * ms).astype(np.int64)), pa.array(loud, pa.bool_()), values], names=["id", "patch", "start_ms", "end_ms", "loud", "log_mel"])
+            for part in slices(batch, "media", BATCH_BYTES // 4):
+                rows = [described(m) for m in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["id", "n_bytes", *names])
+
+    return materialise(media.select("id", "n_bytes", "media").mapInArrow(run, schema), "features")
 
-    df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, patch int, start_ms long, end_ms long, loud boolean, log_mel array<float>").withColumnRenamed("id", id_col)
 
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: lengths and checksums of its payload and media, and its stored features in a line; see media_table()."""
+    stored = feature_table(media_table(docs, id_col, text_col))
+    names = [c for c in stored.columns if c not in ("frames", "segments", "features")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = [summary(n, [(s["start"], s["end"]) for s in spans], stored_features(data)) for n, spans, data in zip(*(batch.column(c).to_pylist() for c in ("frames", "segments", "features")), strict=True)]
+            yield batch.select(names).append_column("feature", pa.array(line, pa.string()))
 
-def as_tensor_array(column: pa.Array) -> pa.Array:
-    """log_mel of feature_tensors, as read from its Parquet files, as Arrow's fixed-shape tensors."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    flat = pa.FixedSizeListArray.from_arrays(column.flatten(), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.float32(), [FRAMES, MELS]), flat)
+    schema = ", ".join(f"`{c}` {stored.schema[c].dataType.simpleString()}" for c in names)
+    return stored.mapInArrow(run, f"{schema}, feature string").withColumnRenamed("id", id_col)

@@ -9,9 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
-from typing import Any
 
 import pyarrow as pa
 import regex
@@ -19,12 +18,10 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from tracewell.llm.common import prepare, texts
+from tracewell.llm.common import Remembered, prepare, texts
 
 #: Characters with the Unicode property White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: Words, and as many stretches of letters, of one generation of a worker's memory; it keeps two.
-REMEMBERED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -34,29 +31,6 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
-class Remembered:
-    """A function of a string with a bounded memory of two generations; strings of over 64 characters aren't kept."""
-
-    def __init__(self, function: Callable[[str], Any]):
-        self.function, self.young, self.old = function, {}, {}
-
-    def __call__(self, key: str):
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is None:
-                found = self.function(key)
-            if len(key) <= 64:
-                if len(self.young) >= REMEMBERED:
-                    self.old, self.young = self.young, {}
-                self.young[key] = found
-        return found
-
-    def all(self, keys: list[str]) -> list:
-        recent = self.young.get
-        return [recent(k) or self(k) for k in keys]
-
-
 class ForcedBoundaryBPE:
     """A byte-level BPE vocabulary with word ends, as in a tokenizers JSON file.
 

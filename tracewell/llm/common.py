@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators.components import connected_components as connected_components
+from tracewell.sources.tables import at_rest as materialise
+from tracewell.sources.tables import passing_tables
 
 #: Bytes of one Arrow batch sent to a Python worker, and of the slice of it that
 #: a vectorised kernel works on at once. Both bound a worker's memory.
 BATCH_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+#: Strings of one generation of a worker's memory; it keeps two.
+REMEMBERED = 150_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -37,23 +40,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for written tables: spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: the lineage ends at files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,11 +71,47 @@ def forest_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Pointer jumping: each round doubles the distance that a node looks up, by one join.
     Roots themselves aren't listed.
     """
-    known = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots")
-    for _ in range(max_rounds):
-        up = known.select(F.col("node").alias("component"), F.col("component").alias("higher"))
-        moved = materialise(known.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")), "roots")
-        known = moved.select("node", "component")
-        if moved.where("moved").isEmpty():
-            return known
+    with passing_tables(links.sparkSession):
+        known = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots")
+        for _ in range(max_rounds):
+            up = known.select(F.col("node").alias("component"), F.col("component").alias("higher"))
+            moved = materialise(known.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), F.col("higher").isNotNull().alias("moved")), "roots")
+            known = moved.select("node", "component")
+            if moved.where("moved").isEmpty():
+                return materialise(known, "roots", outside=True)
     raise RuntimeError(f"roots did not settle in {max_rounds} rounds")
+
+
+def first_by_hash(df: DataFrame, column: str, most: int) -> DataFrame:
+    """The `most` first rows of df by the hash of a column: a sample that is bounded at any size and alike whatever the partitions."""
+    return df.orderBy(F.xxhash64(column), column).limit(most)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+class Remembered:
+    """A function of a string with a bounded memory of two generations; strings of over 64 characters aren't kept."""
+
+    def __init__(self, function: Callable[[str], Any]):
+        self.function, self.young, self.old = function, {}, {}
+
+    def __call__(self, key: str):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.function(key)
+            if len(key) <= 64:
+                if len(self.young) >= REMEMBERED:
+                    self.old, self.young = self.young, {}
+                self.young[key] = found
+        return found
+
+    def all(self, keys: list[str]) -> list:
+        recent = self.young.get
+        return [recent(k) or self(k) for k in keys]

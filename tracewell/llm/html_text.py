@@ -19,15 +19,15 @@ from html.parser import HTMLParser
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tracewell.llm.common import prepare, texts
+from tracewell.llm.common import first_by_hash, prepare, texts
 from tracewell.llm.neardup import word_hashes
 
-#: Elements whose content is no text of a page, elements without content, and elements that don't end a block.
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea button".split())
+#: Elements whose content is no text of a page, elements that may stand in a head, elements without content, and elements that don't end a block.
+SILENT = frozenset("script style template head title svg select textarea button".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym annotation audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mroot mrow ms msqrt msub msubsup msup mtext object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split())
 #: Elements, and words of class and id attributes, that say what they hold; used to label the sample of given pages.
 SAYS_MAIN = frozenset("article main".split())
 SAYS_OTHER = frozenset("nav footer header aside form menu ad ads advert advertisement banner sidebar cookie notice promo comment comments".split())
@@ -36,8 +36,8 @@ PATH, BAG, NUMBERS, HIDDEN, SEED = 96, 32, 7, 24, 3
 WIDE = PATH + BAG + NUMBERS
 #: Pages that are generated, given pages that are sampled at most, steps and pages of a step.
 MADE, SAMPLE, STEPS, PAGES, RATE = 900, 200, 320, 24, 0.008
-#: Blocks of pages that are labelled together.
-TOGETHER = 6000
+#: Blocks of pages that are labelled together, and of a given page that is fitted on at most.
+TOGETHER, FITTED = 6000, 500
 
 
 class Blocks(HTMLParser):
@@ -57,7 +57,15 @@ class Blocks(HTMLParser):
             self.blocks.append((text, [t for _, tokens in self.stack for t in tokens] + [f"leaf:{self.stack[-1][0]}" if self.stack else "leaf:"], min(1.0, self.linked / len(text))))
         self.parts, self.linked, self.link = [], 0, 0
 
+    def end_head(self) -> None:
+        """A head ends where something stands in it that can't, closed or not."""
+        if self.stack and self.stack[-1][0] == "head":
+            self.stack.pop()
+            self.silent -= 1
+
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self.end_head()
         if tag in SILENT:
             if tag not in ("head", "title") or not self.silent:
                 self.flush() if tag not in ("button", "select", "svg", "math") else None
@@ -108,6 +116,8 @@ class Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.silent:
             self.parts.append(data)
             if self.link:
@@ -145,7 +155,10 @@ def vectors(pages: list[list[tuple[str, list[str], float]]]) -> np.ndarray:
         return x
     coded = [t.encode("utf-8", "replace") for t, _, _ in blocks]
     at = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
-    words, owner = word_hashes(np.frombuffer(b"".join(coded), np.uint8), at)
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
+    digits = digits[at[1:]] - digits[at[:-1]]
+    words, owner = word_hashes(data, at)
     bag = np.bincount(owner * BAG + (words % np.uint64(BAG)).astype(np.int64), minlength=len(blocks) * BAG).reshape(-1, BAG)
     x[:, PATH : PATH + BAG] = np.sqrt(bag / np.maximum(1, bag.sum(axis=1, keepdims=True)))
     count = np.bincount(owner, minlength=len(blocks))
@@ -155,7 +168,7 @@ def vectors(pages: list[list[tuple[str, list[str], float]]]) -> np.ndarray:
             for t in tokens:
                 i, sign = place(t)
                 x[row, i] += sign
-            x[row, PATH + BAG :] = np.log1p(len(text)) / 5, np.log1p(count[row]) / 3, linked, k / len(page), 1 / (1 + k), text[-1] in ".!?:", sum(c.isdigit() for c in text[:200]) / min(len(text), 200)
+            x[row, PATH + BAG :] = np.log1p(len(text)) / 5, np.log1p(count[row]) / 3, linked, k / len(page), 1 / (1 + k), text[-1] in ".!?:", digits[row] / len(text)
             row += 1
     np.clip(x[:, :PATH], -2, 2, out=x[:, :PATH])
     return x
@@ -369,16 +382,20 @@ def told(blocks: list[tuple[str, list[str], float]]) -> np.ndarray | None:
     return main if main.any() else None
 
 
-def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """A labeller fitted on MADE generated pages and about `sample` given ones at most, picked by the hash of their id."""
-    n, grain = pages.count(), 1 << 20
-    rows = pages.where(F.pmod(F.xxhash64(pages[id_col]), F.lit(grain)) < min(grain, int(grain * sample / max(1, n)) + 1)).where(pages[html_col].isNotNull()).select(pages[id_col].alias("id"), pages[html_col].alias("html")).orderBy("id").toArrow()
+def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE, most_blocks: int = FITTED) -> Labeller:
+    """A labeller fitted on MADE generated pages and `sample` given ones at most, the first by the hash of their id.
+
+    Of these, pages of over `most_blocks` blocks, and pages whose elements don't say what
+    they hold, aren't fitted on. Null and repeated ids and null pages do no harm.
+    """
+    given = pages.where(pages[html_col].isNotNull()).select(pages[id_col].alias("id"), pages[html_col].alias("html"))
+    rows = first_by_hash(given, "id", sample).toArrow()
     maker = PageMaker()
     made = [maker.labelled() for _ in range(MADE)]
     for html in rows.column("html").to_pylist():
         blocks = blocks_of(html)
         labels = told(blocks)
-        if labels is not None and len(blocks) <= 500:
+        if labels is not None and len(blocks) <= most_blocks:
             made.append((blocks, labels))
     made = [(b, y) for b, y in made if b]
     return Labeller().fit([vectors([b]) for b, _ in made], [y for _, y in made])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: Steps of the hash by which rows are sampled.
-GRAIN = 1 << 20
+#: Characters of whole texts that a sample brings to the driver at most.
+MOST_CHARACTERS = 64_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -14,23 +17,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int]) -> list[tuple[str, int]]:
-    """(text, label) of about bounds[y] rows at most of each label y, in the order of their hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict[int, int], characters: int = MOST_CHARACTERS) -> list[tuple[str, int]]:
+    """(text, label) of bounds[y] rows at most of each label y, in the order of their hash.
 
     Held-out rows are left out, null labels and ids too; of several labels of one
-    document the least counts, null texts are empty. The rows of a label are picked by
-    the hash of their id, so the same rows are picked whatever the partitions. The bound
-    is on the expected count; the ids picked are few enough to be broadcast, and only
-    their whole texts come to the driver.
+    document the least counts, of several texts the least, null texts are empty. The
+    first ids by hash are taken, so the same rows are picked whatever the partitions and
+    however many there are; then whole texts in that order while they add up to
+    `characters` at most. Only these come to the driver.
     """
     known = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for y, most in bounds.items():
-        if counts.get(y):
-            share = F.when(F.col("y") == y, min(GRAIN, int(GRAIN * most / counts[y]))).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(GRAIN))
-    picked = known.where(place < share).select("doc_id", "y")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", key=lambda c: (c * 2654435761) % (1 << 31), kind="stable")
-    return [(t, int(y)) for t, y in zip(rows["text"], rows["y"], strict=True)]
+    order = F.xxhash64("doc_id")
+    picked = reduce(DataFrame.unionAll, [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most) for y, most in sorted(bounds.items())])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    place = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the few rows of the sample
+    found = texts.withColumn("h", F.xxhash64("doc_id", "y")).withColumn("size", F.sum(F.length("text")).over(place)).where(F.col("size") <= characters).orderBy("h", "doc_id").select("text", "y").toArrow()
+    return list(zip(found.column("text").to_pylist(), found.column("y").to_pylist(), strict=True))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import connected_components, forest_roots, materialise, prepare, slices, utf8
+from tracewell.llm.common import connected_components, forest_roots, free_name, materialise, passing_tables, prepare, slices, utf8
 
 BANDS, ROWS, BATCH, MISS = 32, 5, 32, 1e-6
 HASHES = BANDS * ROWS
@@ -371,11 +371,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are integers; other columns are ignored. A pair at the threshold is missed with a
     probability of about MISS for each batch, and that its bands never meet.
     """
-    prepare(docs.sparkSession)
-    plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    sketch = materialise(sketches(plain, shingle), "sketches")
-    whole = sketch.where("digest is not null and id is not null")
-    reps = materialise(whole.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "signature"), "id").alias("x")).select("digest", "id", "x.n", "x.signature"), "representatives")
+    with passing_tables(prepare(docs.sparkSession)):
+        plain = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+        sketch = materialise(sketches(plain, shingle), "sketches")
+        whole = sketch.where("digest is not null and id is not null")
+        reps = materialise(whole.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "signature"), "id").alias("x")).select("digest", "id", "x.n", "x.signature"), "representatives")
+        classes = components_of(reps, plain, shingle, percent)
+        component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
+        out = sketch.select("id", "n", "digest").join(classes, "digest", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        out = out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        return materialise(out, "near_duplicates", outside=True)
+
+
+def components_of(reps: DataFrame, plain: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(digest, found) of the representatives (digest, id, n, signature), found being the least id that links reach; plain holds their texts."""
     rows = bucket_rows(reps)
     keys = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
     shared = materialise(rows.join(keys, "key").where("id <> pivot"), "shared")
@@ -392,15 +401,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = lambda x: parts.select(F.col("id").alias(x), F.col("component").alias(f"r{x}"))
     between = more.join(top("a"), "a", "left").join(top("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     joined = connected_components(between).select(F.col("node").alias("part"), F.col("component").alias("whole"))
-    classes = reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part")).join(joined, "part", "left").select("digest", F.coalesce("whole", "part").alias("found"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("found", "id"))
-    out = sketch.select("id", "n", "digest").join(classes, "digest", "left").select("id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    own = reps.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
+    return own.join(joined, "part", "left").select("digest", F.coalesce("whole", "part").alias("found"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that near_duplicates() keeps: the least id of each component."""
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = materialise(found.where("not kept").select(F.col(id_col).alias("id")).distinct(), "ids")
+    """The rows of docs, with all their columns, of which near_duplicates() keeps one for each component: that of the least id.
+
+    Rows are judged each for itself: of repeated rows one stays, and where an id occurs
+    with several texts each is compared. Rows with null ids take part and stay only where
+    no other row of their component has an id. Null, empty and blank texts stay, an empty
+    table stays empty.
+    """
+    row = free_name(docs, "row")
+    numbered = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered, row, text_col, shingle, percent)
+    several = found.join(found.where("not kept").select("component_id").distinct(), "component_id").select(row, "component_id")
+    several = materialise(several.join(numbered.select(row, F.struct(F.col(id_col).isNull(), F.col(id_col), F.col(row).alias("row")).alias("place")), row), "several")
+    first = several.groupBy("component_id").agg(F.min("place").alias("first"))
+    gone = materialise(several.join(first, "component_id").where(F.col(row) != F.col("first.row")).select(row), "ids")
     few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["id"], "left_anti")
+    return numbered.join(F.broadcast(gone) if few else gone, row, "left_anti").select(docs.columns)

@@ -27,6 +27,8 @@ from tracewell.llm.common import materialise, prepare, texts
 
 DIMENSIONS, BITS, HASHED, SEED = 4, 8, 1024, 11
 ROOM, END = 2048, 1
+#: Bytes of tokens of a range of the curve, where there are more ranges than shuffle partitions.
+RANGE_BYTES = 64 << 20
 PROJECTION = np.random.default_rng(SEED).normal(size=(HASHED, DIMENSIONS)).astype(np.float32)
 
 
@@ -168,7 +170,8 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     token alone. Every token lies in exactly one piece. Sequences have `room` tokens;
     those at the end of a range have powers of two. Equal texts lie next to each other,
     spread over ranges by a hash of their ids where there are many. Repeated rows are
-    packed as often as they occur; an empty table gives no rows; other columns are ignored.
+    packed as often as they occur, null ids too; an empty table gives no rows; other
+    columns are ignored.
     """
     spark = prepare(docs.sparkSession)
     known = materialise(tokenized(docs, path, id_col, text_col, end), "tokens")
@@ -190,8 +193,10 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         if cut.fill:
             yield table(list(cut.close()))
 
-    # the rank by hash spreads equal keys over ranges; ranges follow the session's number of shuffle partitions
+    # the rank by hash spreads equal keys over ranges, whose number grows with the tokens
+    total = known.agg(F.sum(F.length("ids"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
     order = ["key", "spread", "id"]
-    ranged = known.withColumn("spread", F.xxhash64("id")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = known.withColumn("spread", F.xxhash64("id")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     packed = ranged.select("id", "ids").mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
     return packed.withColumnRenamed("id", id_col)

@@ -1,11 +1,10 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
-A document's bytes are cut into blocks of 8. Learned filters slide over pairs of
-neighbouring blocks, one block at a time, and see each byte's learned embedding and,
-for every lag, how many of the block's bytes repeat the byte that far back. Their
-outputs are max-pooled within chunks of CHUNK blocks that overlap by half and cover
-the whole document; the chunks' vectors are combined by their mean and maximum, and a
-small layer makes one probability of them.
+Learned filters over the learned embeddings of WIDTH neighbouring bytes slide over every
+byte of a document. Their outputs are max-pooled within chunks of CHUNK windows that
+overlap by half and cover the whole document; the chunks' vectors are combined by their
+mean, maximum and minimum, and a small layer makes one probability of them. A chunk of
+few different windows has low maxima, so the network sees repetition too.
 """
 
 from __future__ import annotations
@@ -19,35 +18,21 @@ from pyspark.sql import DataFrame
 from tracewell.llm.common import prepare, slices, utf8
 from tracewell.llm.labelled import held_out, labelled_sample
 
-BLOCK, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 128, 6, 24, 12
-LAGS = tuple(range(2, 25))
+WIDTH, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 512, 6, 24, 12
 #: Rows of each label that are fitted on at most, and how.
-SAMPLE, EPOCHS, BATCH, STEP, DECAY, SEED = 1500, 8, 24, 0.01, 1e-4, 7
-
-
-def blocks_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(blocks, starts): each document's bytes from a new block on, two blocks at least, byte 0 after its end."""
-    n = np.maximum(2, -(-np.diff(at) // BLOCK))
-    starts = np.concatenate([[0], np.cumsum(n)])
-    out = np.zeros(starts[-1] * BLOCK, np.uint8)
-    for k in range(len(n)):
-        a, b = at[k], at[k + 1]
-        out[starts[k] * BLOCK : starts[k] * BLOCK + b - a] = data[a:b]
-    return out.reshape(-1, BLOCK), starts
-
-
-def repeats(blocks: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """(blocks, LAGS): cube of the share of a block's bytes that equal the byte so far back in the document."""
-    flat = blocks.reshape(-1)
-    out = np.zeros((len(blocks), len(LAGS)), np.float32)
-    cube = ((np.arange(BLOCK + 1) / BLOCK) ** 3).astype(np.float32)
-    for k, lag in enumerate(LAGS):
-        same = np.zeros(len(flat), np.uint8)
-        np.logical_and(flat[lag:] == flat[:-lag], flat[lag:] != 0, out=same[lag:].view(bool))
-        out[:, k] = cube[same.reshape(-1, BLOCK).sum(axis=1, dtype=np.uint8)]
-    firsts = (starts[:-1, None] + np.arange(max(LAGS) // BLOCK)).ravel()  # a document's first blocks look back into the one before it
-    out[firsts[firsts < len(out)]] = 0
-    return out
+SAMPLE, EPOCHS, BATCH, STEP, DECAY, SEED = 1500, 8, 24, 0.01, 1e-3, 7
+
+
+def laid_out(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, windows): each document's bytes with byte 0 after its end up to WIDTH bytes at least; its first place and its number of windows."""
+    size = np.maximum(WIDTH, np.diff(at))
+    starts = np.concatenate([[0], np.cumsum(size)])
+    if (size == np.diff(at)).all():
+        return data[at[0] : at[-1]], starts, size - WIDTH + 1
+    out = np.zeros(starts[-1], np.uint8)
+    for k in range(len(size)):
+        out[starts[k] : starts[k] + at[k + 1] - at[k]] = data[at[k] : at[k + 1]]
+    return out, starts, size - WIDTH + 1
 
 
 class ByteNet:
@@ -55,22 +40,24 @@ class ByteNet:
 
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        wide = BLOCK * EMBEDDING + len(LAGS)
         init = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
-        self.w = {"embed": init(256, EMBEDDING, scale=0.5), "first": init(wide, FILTERS, scale=0.15), "second": init(wide, FILTERS, scale=0.15), "bias": np.zeros(FILTERS, np.float32), "mix": init(2 * FILTERS, HIDDEN, scale=0.2), "mix_bias": np.zeros(HIDDEN, np.float32), "out": init(HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32)}
-
-    def filtered(self, blocks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(inputs of each block, filter outputs of each window); windows over two documents are -inf."""
-        x = np.concatenate([self.w["embed"][blocks].reshape(len(blocks), -1), repeats(blocks, starts)], axis=1)
-        z = np.full((len(blocks), FILTERS), -np.inf, np.float32)
-        z[:-1] = x[:-1] @ self.w["first"] + x[1:] @ self.w["second"] + self.w["bias"]
-        z[starts[1:] - 1] = -np.inf
-        return x, z
+        self.w = {"embed": init(256, EMBEDDING, scale=0.5), "filters": init(WIDTH * EMBEDDING, FILTERS, scale=0.2), "bias": np.zeros(FILTERS, np.float32), "mix": init(3 * FILTERS, HIDDEN, scale=0.2), "mix_bias": np.zeros(HIDDEN, np.float32), "out": init(HIDDEN, scale=0.3), "out_bias": np.zeros(1, np.float32)}
+
+    def filtered(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """(bytes, FILTERS) outputs of the window that begins at each byte; windows over a document's end are -inf."""
+        x = self.w["embed"][data].reshape(-1)
+        z = np.empty((len(data), FILTERS), np.float32)
+        for first in range(WIDTH):  # every WIDTH-th window from here on is one row of a plain matrix
+            n = (len(data) - first) // WIDTH
+            np.add(x[first * EMBEDDING : (first + n * WIDTH) * EMBEDDING].reshape(n, WIDTH * EMBEDDING) @ self.w["filters"], self.w["bias"], out=z[first : first + n * WIDTH : WIDTH])
+        over = (starts[1:, None] - np.arange(1, WIDTH)).ravel()
+        z[over] = -np.inf
+        return z
 
     @staticmethod
-    def halves(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first block of each half chunk, document of each half chunk)."""
-        n = -(-(np.diff(starts) - 1) // (CHUNK // 2))  # windows, not blocks, fill the halves
+    def halves(starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first window of each half chunk, document of each half chunk)."""
+        n = -(-windows // (CHUNK // 2))
         owner = np.repeat(np.arange(len(n)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return starts[owner] + step * (CHUNK // 2), owner
@@ -85,22 +72,21 @@ class ByteNet:
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each document of a slice."""
-        blocks, starts = blocks_of(data, at)
-        first, owner = self.halves(starts)
-        _, z = self.filtered(blocks, starts)
-        half = np.maximum.reduceat(z, first, axis=0)
+        data, starts, windows = laid_out(data, at)
+        first, owner = self.halves(starts, windows)
+        half = np.maximum.reduceat(self.filtered(data, starts), first, axis=0)
         chunk = np.maximum(0, np.maximum(half, half[self.chunks(owner)]))
         edge = np.searchsorted(owner, np.arange(len(at) - 1))
         n = np.diff(np.append(edge, len(owner)))[:, None]
-        pooled = np.concatenate([np.add.reduceat(chunk, edge, axis=0) / n, np.maximum.reduceat(chunk, edge, axis=0)], axis=1)
+        pooled = np.concatenate([np.add.reduceat(chunk, edge, axis=0) / n, np.maximum.reduceat(chunk, edge, axis=0), np.minimum.reduceat(chunk, edge, axis=0)], axis=1)
         return 1 / (1 + np.exp(-(np.tanh(pooled @ self.w["mix"] + self.w["mix_bias"]) @ self.w["out"] + self.w["out_bias"]).astype(np.float64)))
 
     def gradients(self, data: np.ndarray, at: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean log loss over one batch of documents."""
-        blocks, starts = blocks_of(data, at)
-        first, owner = self.halves(starts)
-        x, z = self.filtered(blocks, starts)
-        end = np.append(first[1:], len(blocks))
+        data, starts, windows = laid_out(data, at)
+        first, owner = self.halves(starts, windows)
+        z = self.filtered(data, starts)
+        end = np.append(first[1:], len(data))
         best = np.stack([a + z[a:b].argmax(axis=0) for a, b in zip(first, end, strict=True)])
         half = np.take_along_axis(z, best, axis=0)
         other = self.chunks(owner)
@@ -110,8 +96,8 @@ class ByteNet:
         docs = len(at) - 1
         edge = np.searchsorted(owner, np.arange(docs))
         n = np.diff(np.append(edge, len(owner)))
-        top = np.stack([a + chunk[a : a + k].argmax(axis=0) for a, k in zip(edge, n, strict=True)])
-        pooled = np.concatenate([np.add.reduceat(chunk, edge, axis=0) / n[:, None], np.take_along_axis(chunk, top, axis=0)], axis=1)
+        top, low = (np.stack([a + pick(chunk[a : a + k]) for a, k in zip(edge, n, strict=True)]) for pick in (lambda c: c.argmax(axis=0), lambda c: c.argmin(axis=0)))
+        pooled = np.concatenate([np.add.reduceat(chunk, edge, axis=0) / n[:, None], np.take_along_axis(chunk, top, axis=0), np.take_along_axis(chunk, low, axis=0)], axis=1)
         hidden = np.tanh(pooled @ self.w["mix"] + self.w["mix_bias"])
         p = 1 / (1 + np.exp(-(hidden @ self.w["out"] + self.w["out_bias"])))
         d = ((p - y) / docs).astype(np.float32)
@@ -120,20 +106,18 @@ class ByteNet:
         g |= {"mix": pooled.T @ d, "mix_bias": d.sum(axis=0)}
         d = d @ self.w["mix"].T
         back = (d[:, :FILTERS] / n[:, None])[owner]
-        np.add.at(back, (top, np.arange(FILTERS)), d[:, FILTERS:])
+        for place, part in ((top, d[:, FILTERS : 2 * FILTERS]), (low, d[:, 2 * FILTERS :])):
+            np.add.at(back, (place, np.arange(FILTERS)), part)
         back *= chunk > 0
         g["bias"] = back.sum(axis=0)
-        row, filt = best.ravel(), np.tile(np.arange(FILTERS), len(best))
         used = np.flatnonzero(back.ravel())
-        row, filt, back = row[used], filt[used], back.ravel()[used]
-        dz = np.zeros((len(blocks), FILTERS), np.float32)
-        np.add.at(dz, (row, filt), back)
-        rows = np.unique(row)
-        g["first"], g["second"] = x[rows].T @ dz[rows], x[rows + 1].T @ dz[rows]
-        wide = BLOCK * EMBEDDING
+        rows, place = np.unique(best.ravel()[used], return_inverse=True)
+        dz = np.zeros((len(rows), FILTERS), np.float32)
+        np.add.at(dz, (place, np.tile(np.arange(FILTERS), len(best))[used]), back.ravel()[used])
+        seen = data[rows[:, None] + np.arange(WIDTH)]
+        g["filters"] = self.w["embed"][seen].reshape(len(rows), -1).T @ dz
         embed = np.zeros((256, EMBEDDING), np.float32)
-        for shift, name in ((0, "first"), (1, "second")):
-            np.add.at(embed, blocks[rows + shift].ravel(), (dz[rows] @ self.w[name][:wide].T).reshape(-1, EMBEDDING))
+        np.add.at(embed, seen.ravel(), (dz @ self.w["filters"].T).reshape(-1, EMBEDDING))
         return g | {"embed": embed}
 
     def fit(self, rows: list[tuple[str, int]]) -> ByteNet:
@@ -157,7 +141,7 @@ class ByteNet:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet:
-    """A network fitted on whole texts of about `sample` rows of each label at most, held-out rows left out.
+    """A network fitted on whole texts of `sample` rows of each label at most, held-out rows left out.
 
     Without rows of both labels it is left as initialised, and scores say little.
     """
@@ -173,8 +157,9 @@ def column_scores(net: ByteNet, batch: pa.RecordBatch, text_col: str) -> np.ndar
 def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out boolean, score double, predicted int) of every document, from its whole text alone.
 
-    Null and empty texts are scored as two blocks of byte 0. Repeated rows give repeated
-    rows, an empty table none; other columns are ignored.
+    Null and empty texts are scored as one window of byte 0. Repeated rows give repeated
+    rows, null ids stay null and aren't held out, an empty table gives no rows; other
+    columns are ignored.
     """
     prepare(docs.sparkSession)
 
@@ -188,7 +173,11 @@ def score_quality(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_co
 
 
 def keep_quality(docs: DataFrame, net: ByteNet, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that net scores 0.5 or more."""
+    """The rows of docs, with all their columns, that net scores 0.5 or more.
+
+    Null and empty texts are scored as one window of byte 0. Each of repeated rows is
+    judged alike; an empty table stays empty.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,14 @@
 """Secrets in texts: fixed patterns, and strings that a battery of randomness tests picks out.
 
-Every stretch of letters and digits that could be a key is tested. Its encoding is
-inferred from its characters; three statistics say how random it looks within that
-alphabet: the chi-squared distance from uniform use, the runs of character classes,
-and the lag-1 correlation. Each is turned into a probability under the model of an
-ordinary name or word of the same length, so a short string needs to look far more
-random than a long one. The combined probabilities of all strings of all documents
-go through a weighted Benjamini-Hochberg step, longer strings having more weight.
+Every stretch of letters, or letters and digits, of LEAST_TESTED characters or more is
+tested. Its encoding is inferred from its characters; three statistics say how random it
+looks within that alphabet: the chi-squared distance from uniform use, the runs of
+character classes (of vowels and consonants, where all are letters of one case), and the
+lag-1 correlation. Each is turned into a probability under the model of an ordinary name
+or word of the same length, so a short string needs to look far more random than a long
+one. The probabilities of all strings of all documents go through a weighted
+Benjamini-Hochberg step; longer strings have more weight, and weights have mean 1 over
+the corpus. Stretches of digits alone are not tested: ordinary numbers look as random.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from tracewell.llm.common import materialise, prepare, texts
+from tracewell.llm.common import free_name, materialise, prepare, texts
 
 #: The base patterns, with the least length of what is reported.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,24 +34,26 @@ LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates of the tests, and the alphabets they may be written in, the narrowest first.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}(?:={0,2})(?![A-Za-z0-9+/_=-])")
-DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ALPHABETS = {"hex": DIGITS + "abcdef", "hex upper": DIGITS + "ABCDEF", "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base36 upper": DIGITS + UPPER, "base62": DIGITS + LOWER + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
+LEAST_TESTED = 16
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST_TESTED},}}(?:={{0,2}})(?![A-Za-z0-9+/_=-])")
+DIGITS, LOWER, UPPER, VOWELS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiouAEIOU"
+ALPHABETS = {"hex": DIGITS + "abcdef", "hex upper": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER, "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base36 upper": DIGITS + UPPER, "letters": LOWER + UPPER, "base62": DIGITS + LOWER + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 
-#: Model of an ordinary string: chance that two characters agree (at least so many times the uniform chance), share of neighbours of different class, lag-1 correlation.
-ORDINARY_AGREE, AGREE_TIMES, ORDINARY_SWITCH, ORDINARY_CORRELATION = 0.065, 2.2, 0.22, 0.4
+#: Model of an ordinary string: chance that two characters agree (at least so many times the uniform chance), share of neighbours of different class, share of a vowel beside a consonant, lag-1 correlation.
+ORDINARY_AGREE, AGREE_TIMES, ORDINARY_SWITCH, ORDINARY_TURN, ORDINARY_CORRELATION = 0.065, 2.2, 0.22, 0.62, 0.4
 #: Correlation assumed between the three tests when they are combined.
 BETWEEN_TESTS = 0.5
 #: A string is no longer plausible as random when its chi-squared statistic is so many deviations above the uniform mean.
 TOO_UNEVEN = 3.5
 #: Expected share of ordinary strings among those reported; steps of -log10(p) kept; largest score kept.
 FALSE_SHARE, STEPS, TOP = 0.01, 50, 2000
-#: Length whose weight is 1.
-EVEN_LENGTH = 32
+#: Classes of length, four for each doubling from LEAST_TESTED on; a class's weight before it is normalised grows with its length.
+CLASSES = 13
 
-#: Each character's place in each alphabet, or -1; and its class (digit, lower, upper, other).
+#: Each character's place in each alphabet, or -1; its class (digit, lower, upper, other); whether it is a vowel.
 PLACE = {name: np.array([letters.find(chr(c)) for c in range(128)]) for name, letters in ALPHABETS.items()}
 CLASS = np.array([0 if chr(c) in DIGITS else 1 if chr(c) in LOWER else 2 if chr(c) in UPPER else 3 for c in range(128)])
+VOWEL = np.array([chr(c) in VOWELS for c in range(128)]).astype(int)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -62,11 +68,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def encoding(token: str) -> str | None:
-    """The narrowest alphabet that holds token, padding aside; none for one without digits or without letters."""
-    body = token.rstrip("=")
-    if body.isdigit() or not any(c in DIGITS for c in body):
+    """The narrowest alphabet that holds token, padding aside; none for digits alone."""
+    held = set(token.rstrip("="))
+    if held <= set(DIGITS):
         return None
-    return next((name for name, letters in ALPHABETS.items() if set(body) <= set(letters)), None)
+    return next((name for name, letters in ALPHABETS.items() if held <= set(letters)), None)
 
 
 def normal_tail(z: float) -> float:
@@ -75,84 +81,103 @@ def normal_tail(z: float) -> float:
 
 
 def randomness(token: str) -> float:
-    """-log10 of the weighted chance that an ordinary string of this length looks as random; 0 if it doesn't look random."""
+    """-log10 of the chance that an ordinary string of this length looks as random; 0 if it doesn't look random."""
     name = encoding(token)
     if name is None:
         return 0.0
     codes = np.frombuffer(token.rstrip("=").encode(), np.uint8)
-    places, classes, n, k = PLACE[name][codes], CLASS[codes], len(codes), len(ALPHABETS[name])
+    places, n, k = PLACE[name][codes], len(codes), len(ALPHABETS[name])
     counts = np.bincount(places, minlength=k)
     chi = float(((counts - n / k) ** 2).sum() * k / n)
     if chi > k - 1 + TOO_UNEVEN * math.sqrt(2 * (k - 1)):
         return 0.0
     shift = n * (max(k * ORDINARY_AGREE, AGREE_TIMES) - 1)
     z_uniform = (k - 1 + shift - chi) / math.sqrt(2 * (k - 1 + 2 * shift))
+    one_case = name in ("lower", "upper")
+    classes, share, way = (VOWEL[codes], ORDINARY_TURN, -1) if one_case else (CLASS[codes], ORDINARY_SWITCH, 1)
     switches = int((classes[1:] != classes[:-1]).sum())
-    z_runs = (switches - (n - 1) * ORDINARY_SWITCH) / math.sqrt((n - 1) * ORDINARY_SWITCH * (1 - ORDINARY_SWITCH))
+    z_runs = way * (switches - (n - 1) * share) / math.sqrt((n - 1) * share * (1 - share))
     x = places - places.mean()
     r = float((x[1:] * x[:-1]).sum() / max(1e-9, (x * x).sum()))
     z_serial = (ORDINARY_CORRELATION - abs(r)) * math.sqrt(n)
     z = (z_uniform + z_runs + z_serial) / math.sqrt(3 + 6 * BETWEEN_TESTS)
-    weight = min(4.0, max(0.25, n / EVEN_LENGTH))
-    return -math.log10(max(1e-300, min(1.0, normal_tail(z) / weight)))
+    return -math.log10(max(1e-300, normal_tail(z)))
 
 
-def tested_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, score) of every tested string; score is randomness() in steps, rounded down."""
-    return [(m.start(), m.end(), min(TOP, int(randomness(m[0]) * STEPS))) for m in CANDIDATE.finditer(text)]
+def length_class(n: int) -> int:
+    """0 to CLASSES - 1."""
+    return max(0, min(CLASSES - 1, int(4 * math.log2(max(n, 1) / LEAST_TESTED))))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base array<struct<start,kind,end>>, tested array<struct<start,end,score>>) of every document, offsets in code points.
+def tested_spans(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, score, class) of every tested string; score is randomness() in steps, rounded down."""
+    return [(m.start(), m.end(), min(TOP, int(randomness(m[0]) * STEPS)), length_class(m.end() - m.start())) for m in CANDIDATE.finditer(text)]
+
+
+SPANS = "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,score:int,class:int>>"
+
+
+def scan(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
+    """(docs with a column more, its name): struct of base and tested spans of every text, offsets in code points.
 
     Null and empty texts give empty arrays; every input row gives one row.
     """
     prepare(docs.sparkSession)
-    span, test = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.int32())]))
+    name = free_name(docs, "secrets")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    test = pa.list_(pa.struct([(c, pa.int32()) for c in ("start", "end", "score", "class")]))
+    kind = pa.struct([("base", span), ("tested", test)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, tested = [], []
-            for text in texts(batch):
-                base.append([{"start": a, "kind": k, "end": b} for a, k, b in base_spans(text)])
-                tested.append([{"start": a, "end": b, "score": s} for a, b, s in tested_spans(text)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, span), pa.array(tested, test)], names=["id", "base", "tested"])
+            rows = [{"base": [{"start": a, "kind": k, "end": b} for a, k, b in base_spans(text)], "tested": [{"start": a, "end": b, "score": s, "class": c} for a, b, s, c in tested_spans(text)]} for text in texts(batch, text_col)]
+            yield batch.append_column(name, pa.array(rows, kind))
 
-    df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    kind = df.schema["id"].dataType.simpleString()
-    return df.mapInArrow(run, f"id {kind}, base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,score:int>>")
+    schema = StructType([*docs.schema.fields, StructField(name, StructType.fromDDL(SPANS))])
+    return docs.mapInArrow(run, schema), name
 
 
-def cutoff(scanned: DataFrame, false_share: float = FALSE_SHARE) -> int:
-    """Least score to report: Benjamini-Hochberg over every tested string of the corpus.
+def cutoffs(scanned: DataFrame, column: str, false_share: float = FALSE_SHARE) -> list[int]:
+    """Least score to report of each class of length: weighted Benjamini-Hochberg over every tested string of the corpus.
 
-    Only the counts of the scores come to the driver, TOP + 1 rows at most. Where
-    nothing can be reported the cutoff is above every score.
+    A class's weight is that of its length, over the mean weight of all tested strings.
+    Only the counts of (class, score) come to the driver, CLASSES * (TOP + 1) rows at
+    most. Where nothing can be reported the cutoffs are above every score.
     """
-    counts = {r["score"]: r["n"] for r in scanned.select(F.explode("tested.score").alias("score")).groupBy("score").agg(F.count("*").alias("n")).collect()}
-    total, above, least = sum(counts.values()), 0, TOP + 1
-    for score in sorted(counts, reverse=True):
-        above += counts[score]
-        if 10 ** (-score / STEPS) <= false_share * above / total:
-            least = score
-    return max(1, least)
-
-
-def joined(base: list[tuple[int, int, int]], tested: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    each = scanned.select(F.explode(f"{column}.tested").alias("t")).groupBy("t.class", "t.score").agg(F.count("*").alias("n")).collect()
+    total = sum(r["n"] for r in each)
+    if not total:
+        return [TOP + 1] * CLASSES
+    raw = [2 ** (c / 4) for c in range(CLASSES)]
+    mean = sum(raw[r["class"]] * r["n"] for r in each) / total
+    weight = [w / mean for w in raw]
+    found = sorted(((r["score"] / STEPS + math.log10(weight[r["class"]]), r["n"]) for r in each if r["score"]), reverse=True)
+    above, level = 0, math.inf
+    for k, (log, n) in enumerate(found):
+        above += n
+        last = k + 1 == len(found) or found[k + 1][0] < log
+        if last and 10**-log <= false_share * above / total:
+            level = log
+    return [TOP + 1 if level == math.inf else max(1, math.ceil((level - math.log10(w)) * STEPS - 1e-6)) for w in weight]
+
+
+def reported(column: str, least: list[int]) -> Column:
     """Base spans and the reported strings that no base span covers, as (start, kind, end) in order."""
-    more = [(a, 3, b) for a, b, s in tested if s >= least and not any(x <= a and b <= y for x, _, y in base)]
-    return sorted([*base, *more])
+    base, level = F.col(f"{column}.base"), F.array(*map(F.lit, least))
+    good = lambda t: (t["score"] >= F.element_at(level, t["class"] + 1)) & ~F.exists(base, lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))
+    more = F.transform(F.filter(f"{column}.tested", good), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    return F.sort_array(F.concat(base, more))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """(id, spans array<struct<start,kind,end>>, n_base int): all secrets of every document; kind indexes KINDS.
 
-    Documents without secrets, and null or empty texts, have no spans. An empty table gives no rows.
+    Documents without secrets, and null or empty texts, have no spans. Repeated rows give
+    repeated rows, null ids stay null, an empty table gives no rows.
     """
-    scanned = materialise(scan(docs, id_col, text_col), "secrets")
-    least = cutoff(scanned, false_share)
-    more = F.transform(F.filter("tested", lambda t: (t["score"] >= least) & ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"]))), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return scanned.select(F.col("id").alias(id_col), F.sort_array(F.concat("base", more)).alias("spans"), F.size("base").alias("n_base"))
+    scanned, name = scan(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    kept = materialise(scanned.drop("text"), "secrets")
+    return kept.select(F.col("id").alias(id_col), reported(name, cutoffs(kept, name, false_share)).alias("spans"), F.size(f"{name}.base").alias("n_base"))
 
 
 def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,26 +192,27 @@ def secret_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", false_share: float = FALSE_SHARE) -> DataFrame:
     """docs with every secret in text_col replaced by [SECRET]; overlapping spans are replaced together.
 
-    All columns and rows stay, null texts stay null; n_chars, where there is such a
-    column, is the new text's length.
+    All columns and rows stay, repeated ones too, null texts stay null; n_chars, where
+    there is such a column, is the new text's length. The table is scanned once and kept
+    with its spans in the shared folder.
     """
-    least = cutoff(scan(docs, id_col, text_col), false_share)
+    scanned, name = scan(docs, text_col)
+    kept = materialise(scanned, "secrets")
+    marked = kept.withColumn(name, reported(name, cutoffs(kept, name, false_share)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            out = []
-            for text in batch.column(at).to_pylist():
-                if text:
-                    parts, end = [], 0
-                    for a, _, b in joined(base_spans(text), tested_spans(text), least):
-                        if a >= end:
-                            parts += [text[end:a], "[SECRET]"]
-                        end = max(end, b)
-                    text = "".join([*parts, text[end:]])
-                out.append(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
-
-    clean = docs.mapInArrow(run, docs.schema)
+            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.num_columns - 1)
+            out = batch.column(at).to_pylist()
+            for k in np.flatnonzero(pc.list_value_length(spans).to_numpy(zero_copy_only=False)):
+                text, parts, end = out[k], [], 0
+                for span in spans[k].as_py():
+                    if span["start"] >= end:
+                        parts += [text[end : span["start"]], "[SECRET]"]
+                    end = max(end, span["end"])
+                out[k] = "".join([*parts, text[end:]])
+            clean = batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
+            yield clean.select(range(batch.num_columns - 1))
+
+    clean = marked.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.length(clean[text_col]).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
-

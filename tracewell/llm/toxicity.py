@@ -1,174 +1,198 @@
-"""Toxicity: a chain of linear classifiers, one for each category, in a fixed order.
+"""Toxicity: a chain of linear classifiers over hashed n-grams, one for each category, in a fixed order.
 
-Categories of a toxic document: "named" (a whole word that marks toxicity), "derived"
-(a word that only begins like marked ones), "repeated" (several marks), and "toxic"
-itself. The first three are read off the labelled documents' own marks; the last is
-the given label. Each model sees the document's marks and the probabilities of all
-categories before it; while fitting, these probabilities are out-of-fold, so no model
-learns to trust a predecessor that has seen the same row.
+A document's features are its distinct words, beginnings of words and character n-grams
+inside words, of every script and length, hashed. Each category's model is a logistic
+regression with an L1 penalty over these features, scaled by their naive-Bayes log odds,
+and over the probabilities of all categories before it; while fitting, these are
+out-of-fold, so no model learns to trust a predecessor that has seen the same row.
 
-Marks are words, and beginnings of words, that occur in labelled toxic documents far
-more often than chance allows.
+The labels know one flag. The categories before "toxic" are kinds of toxicity: clusters
+of the labelled toxic documents by the features that mark them.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tracewell.llm.common import prepare, texts
+from tracewell.llm.common import Remembered, prepare, texts
 from tracewell.llm.labelled import labelled_sample
 
-CHAIN = ("named", "derived", "repeated", "toxic")
+CHAIN = ("kind1", "kind2", "kind3", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
-#: Lengths of the beginnings that may be marks; a mark needs so many toxic documents, this share of its documents toxic, and odds against chance.
-LEAST_LETTERS, MOST_LETTERS, LEAST_DOCUMENTS, LEAST_SHARE, CHANCE = 4, 8, 4, 0.97, 1e-6
-#: Marks kept at most; toxic documents that a beginning must add, or have; different words that it must begin; columns of Chain.features().
-MARKS, ADDS, COMMON, WORDS, FEATURES = 1000, 2, 20, 4, 7
-#: Rows of each label that are fitted on at most; folds; strength of the penalty; marks that make "repeated".
-TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS, PENALTY, MANY = 1200, 8000, 5, 1.0, 3
+#: Places of hashed features; longest beginning of a word; lengths of n-grams inside a word.
+PLACES, BEGINNING, GRAMS = 1 << 18, 7, (3, 4)
+#: A feature takes part in a fit where it has so many documents and its shrunken log odds of toxicity are so high; documents by which odds are shrunk.
+LEAST_DOCUMENTS, LEAST_ODDS, SHRINK = 3, 0.7, 5
+#: Rows of each label that are fitted on at most; folds; L1 penalty; weight of a row of the category; steps of a fit.
+TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS, PENALTY, WEIGHT, STEPS = 1200, 3600, 3, 6e-4, 2.0, 100
+#: Dimensions in which kinds are clustered, and rounds of it.
+SKETCH, ROUNDS = 64, 12
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+def places(word: str) -> set[int]:
+    """Places of a word's features: itself, its beginnings, and the n-grams inside it."""
+    found = [word + "$", *["^" + word[:n] for n in range(1, min(len(word), BEGINNING) + 1)], *[word[i : i + n] for n in GRAMS for i in range(1, len(word) - n + 1)]]
+    return {zlib.crc32(g.encode("utf-8", "replace")) % PLACES for g in found}
 
 
-def stems(words: set[str]) -> set[str]:
-    """The words of LEAST_LETTERS letters or more, and their beginnings, the latter with a hyphen."""
-    out = {w for w in words if len(w) >= LEAST_LETTERS}
-    return out | {w[:n] + "-" for w in out for n in range(LEAST_LETTERS, min(MOST_LETTERS, len(w)) + 1)}
+def words_of(text: str) -> set[str]:
+    return set(WORD.findall(text.lower()))
 
 
-def find_marks(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Marks with their weights, the smoothed log odds of a document with the mark against one without.
-
-    A whole word is a mark where chance can't explain its documents; a beginning must
-    begin several words, and be common or add toxic documents that no mark before it holds.
-    """
-    toxic = [set(words_of(t)) for t, y in rows if y]
-    seen = Counter(s for words in toxic for s in stems(words))
-    seen = {s: n for s, n in seen.items() if n >= LEAST_DOCUMENTS}
-    starts = {s[:LEAST_LETTERS] for s in seen}
-    base = (len(toxic) + 1) / (len(rows) + 2)
-    clean: Counter[str] = Counter()
-    for text, y in rows:
-        if not y:
-            clean.update(s for s in stems({w for w in words_of(text) if w[:LEAST_LETTERS] in starts}) if s in seen)
-    likely = lambda n, c: n * np.log(base) + c * np.log(2 * np.e * (n + c))
-    good = {s for s, n in seen.items() if n >= LEAST_SHARE * (n + clean[s]) and likely(n, clean[s]) < np.log(CHANCE)}
-    holders: dict[str, set[int]] = {s: set() for s in good}
-    for i, words in enumerate(toxic):
-        for s in stems({w for w in words if w[:LEAST_LETTERS] in starts}) & good:
-            holders[s].add(i)
-    words_with = Counter(s for w in set().union(*toxic) if w[:LEAST_LETTERS] in starts for s in stems({w}) if s.endswith("-"))
-    order = sorted((s for s in good if not s.endswith("-") or words_with[s] >= WORDS), key=lambda s: (s.endswith("-"), -len(holders[s]), -len(s), s))
-    marks: dict[str, float] = {}
-    covered: set[int] = set()
-    for s in order:
-        common = len(holders[s]) >= COMMON and clean[s] * 100 <= len(holders[s])
-        if len(marks) < MARKS and (not s.endswith("-") or common or len(holders[s] - covered) >= ADDS):
-            marks[s] = float(np.log((len(holders[s]) + 0.5) / (clean[s] + 0.5)) - np.log(base / (1 - base)))
-            covered |= holders[s]
-    return marks
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 @dataclass
 class Chain:
-    """Marks with their weights, and for each category in the order of CHAIN the weights of its linear model."""
-
-    marks: dict[str, float]
-    weights: list[np.ndarray] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.starts = {m[:LEAST_LETTERS] for m in self.marks}
-
-    def counts(self, text: str) -> tuple[Counter[str], int]:
-        """(occurrences of each mark, words) of a whole text; a word counts for one mark, its longest."""
-        words, starts, marks = words_of(text), self.starts, self.marks
-        found: Counter[str] = Counter()
-        for w in [w for w in words if w[:LEAST_LETTERS] in starts]:
-            mark = w if w in marks else next((s for n in range(min(MOST_LETTERS, len(w)), LEAST_LETTERS - 1, -1) if (s := w[:n] + "-") in marks), None)
-            if mark:
-                found[mark] += 1
-        return found, len(words)
-
-    def features(self, many: list[str]) -> np.ndarray:
-        """A row for each text: greatest and summed weight of its marks, its whole-word marks, other marks, all of them, all for a hundred words, and a constant."""
-        x = np.zeros((len(many), FEATURES))
-        x[:, -1] = 1
-        for i, text in enumerate(many):
-            found, n = self.counts(text)
-            if found:
-                weights = [self.marks[m] for m in found]
-                whole, every = sum(k for m, k in found.items() if not m.endswith("-")), sum(found.values())
-                x[i, :-1] = max(weights), np.log1p(sum(weights)), np.log1p(whole), np.log1p(every - whole), np.log1p(every), np.log1p(100 * every / n)
-        return x
+    """Features with a weight in some category, their weights (features, categories), weights of earlier categories' probabilities, and constants."""
 
-    def probabilities(self, many: list[str]) -> np.ndarray:
-        """(texts, categories): each category's probability, given those before it."""
-        x = self.features(many)
-        p = np.zeros((len(many), 0))
-        for w in self.weights:
-            p = np.column_stack([p, sigmoid(np.column_stack([p, x]) @ w)])
-        return p
+    columns: np.ndarray
+    weights: np.ndarray
+    earlier: np.ndarray
+    constants: np.ndarray
 
+    @cached_property
+    def known(self) -> Remembered:
+        number = {p: n for n, p in enumerate(self.columns.tolist())}
+        return Remembered(lambda word: tuple([number[p] for p in places(word) if p in number]))
 
-def sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
+    def probabilities(self, many: list[str]) -> np.ndarray:
+        """(texts, categories): each category's probability, given those before it, from whole texts."""
+        z = np.tile(self.constants, (len(many), 1))
+        known = self.known
+        for i, text in enumerate(many):
+            held: set[int] = set()
+            for word in words_of(text):
+                held.update(known(word))
+            if held:
+                z[i] += self.weights[sorted(held)].sum(axis=0)
+        p = np.zeros_like(z)
+        for k in range(z.shape[1]):
+            p[:, k] = sigmoid(z[:, k] + p[:, :k] @ self.earlier[k, :k])
+        return p
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Penalised logistic regression by Newton's method; the constant, the last column, isn't penalised."""
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], PENALTY)
-    penalty[-1] = 1e-3
-    for _ in range(25):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
-            break
-    return w
 
+def hashed(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the distinct features of every text."""
+    known, rows, held = Remembered(places), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for i, text in enumerate(many):
+        own = set().union(*[known(w) for w in words_of(text)])
+        rows.append(np.full(len(own), i, np.int32))
+        held.append(np.sort(np.fromiter(own, np.int32, len(own))))
+    return np.concatenate(rows), np.concatenate(held)
+
+
+def odds(row: np.ndarray, place: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """Each place's shrunken log odds of y among the used rows; 0 where they are too low or the place too rare."""
+    inside = used[row]
+    good = np.bincount(place[inside], weights=y[row[inside]], minlength=PLACES)
+    seen = np.bincount(place[inside], minlength=PLACES)
+    total = y[used].sum()
+    log = np.log((good + 0.5) / (total + 1)) - np.log((seen - good + 0.5) / (used.sum() - total + 1))
+    log *= seen / (seen + SHRINK)
+    return np.where((seen >= LEAST_DOCUMENTS) & (log >= LEAST_ODDS), log, 0.0)
+
+
+def fit_linear(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """(weight of every place, of every column of before, constant), fitted on the used rows by accelerated proximal gradient steps."""
+    scale = odds(row, place, y, used) / 3
+    active = np.flatnonzero(scale)
+    number = np.full(PLACES, -1)
+    number[active] = np.arange(len(active))
+    inside = used[row] & (number[place] >= 0)
+    n, dense = len(y), before.shape[1] + 1
+    r = np.concatenate([row[inside], np.tile(np.arange(n), dense)])
+    c = np.concatenate([number[place[inside]], np.repeat(len(active) + np.arange(dense), n)])
+    v = np.concatenate([scale[place[inside]], *(before[:, k] * used for k in range(dense - 1)), used.astype(float)])
+    size = len(active) + dense
+    share = np.where(y > 0, WEIGHT, 1.0) * used / max(1, used.sum())
+    penalty = np.where(np.arange(size) < len(active), PENALTY, 0.0)
+    out = lambda w: np.bincount(r, weights=v * w[c], minlength=n)
+    back = lambda x: np.bincount(c, weights=v * x[r], minlength=size)
+    x = np.ones(size)
+    for _ in range(8):
+        x = back(share * out(x))
+        top = float(np.linalg.norm(x)) or 1.0
+        x /= top
+    step, w, u, t = 3.5 / top, np.zeros(size), np.zeros(size), 1.0
+    for _ in range(STEPS):
+        new = u - step * back(share * (sigmoid(out(u)) - y))
+        new = np.sign(new) * np.maximum(0, np.abs(new) - step * penalty)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        u, w, t = new + (t - 1) / later * (new - w), new, later
+    whole = np.zeros(PLACES)
+    whole[active] = w[: len(active)] * scale[active]
+    return whole, w[len(active) : -1], float(w[-1])
+
+
+def kinds_of(row: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cluster 0, 1, .. of each row with y, the largest first, by spherical k-means of its marking features; -1 for others."""
+    weight = odds(row, place, y, np.ones(len(y), bool))
+    sign = np.where(place * 40_503 >> 9 & 1, 1.0, -1.0)
+    x = np.bincount(row.astype(np.int64) * SKETCH + place % SKETCH, weights=weight[place] * sign, minlength=len(y) * SKETCH).reshape(-1, SKETCH)
+    x = x[y > 0]
+    x /= np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    kinds = len(CHAIN) - 1
+    centre = x[:1]
+    while len(centre) < min(kinds, len(x)):
+        centre = np.vstack([centre, x[(x @ centre.T).max(axis=1).argmin()]])
+    own = np.zeros(len(x), int)
+    for _ in range(ROUNDS):
+        own = (x @ centre.T).argmax(axis=1)
+        centre = np.stack([x[own == k].sum(axis=0) if (own == k).any() else centre[k] for k in range(len(centre))])
+        centre = centre / np.maximum(1e-9, np.sqrt((centre * centre).sum(axis=1, keepdims=True)))
+    order = np.argsort(-np.bincount(own, minlength=kinds), kind="stable")
+    out = np.full(len(y), -1)
+    out[y > 0] = np.argsort(order)[own]
+    return out
 
-def fit_chain(rows: list[tuple[str, int]]) -> Chain:
-    """A chain fitted on (text, toxic) rows. Without toxic rows no document is toxic to it.
 
-    The features that the models learn from are made with marks found in the other half
-    of the rows, so that a mark's chance finds don't look certain.
-    """
-    y = np.array([t for _, t in rows], dtype=float)
-    x = np.zeros((len(rows), FEATURES))
-    for half in (0, 1):
-        x[half::2] = Chain(find_marks(rows[1 - half :: 2])).features([t for t, _ in rows[half::2]])
-    whole, other = np.expm1(x[:, 2]), np.expm1(x[:, 3])
-    targets = {"named": y * (whole > 0), "derived": y * (other > 0), "repeated": y * (whole + other >= MANY), "toxic": y}
-    chain, fold, before = Chain(find_marks(rows)), np.arange(len(rows)) // 2 % FOLDS, np.zeros((len(rows), 0))
-    for name in CHAIN:
-        full, own = np.column_stack([before, x]), np.zeros(len(rows))
-        for k in range(FOLDS):
-            own[fold == k] = sigmoid(full[fold == k] @ logistic(full[fold != k], targets[name][fold != k]))
-        chain.weights.append(logistic(full, targets[name]))
+def fit_chain(rows: list[tuple[str, int]]) -> Chain:
+    """A chain fitted on (text, toxic) rows. Without toxic rows no document is toxic to it."""
+    y = np.array([t for _, t in rows], float)
+    if not y.any():
+        return Chain(np.zeros(0, np.int32), np.zeros((0, len(CHAIN))), np.zeros((len(CHAIN),) * 2), np.full(len(CHAIN), -5.0))
+    row, place = hashed([t for t, _ in rows])
+    kind = kinds_of(row, place, y)
+    fold, every = np.arange(len(y)) % FOLDS, np.ones(len(y), bool)
+    before, weights = np.zeros((len(y), 0)), []
+    earlier, constants = np.zeros((len(CHAIN),) * 2), np.zeros(len(CHAIN))
+    for k in range(len(CHAIN)):
+        target = y if k == len(CHAIN) - 1 else (kind == k).astype(float)
+        own = np.zeros(len(y))
+        for part in range(FOLDS):
+            w, e, c = fit_linear(row, place, before, target, fold != part)
+            own[fold == part] = sigmoid(np.bincount(row, weights=w[place], minlength=len(y)) + before @ e + c)[fold == part]
+        w, earlier[k, :k], constants[k] = fit_linear(row, place, before, target, every)
+        weights.append(w)
         before = np.column_stack([before, own])
-    return chain
+    full = np.stack(weights, axis=1)
+    columns = np.flatnonzero(np.abs(full).max(axis=1) > 0)
+    return Chain(columns.astype(np.int32), full[columns], earlier, constants)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, other: int = OTHER_SAMPLE) -> Chain:
-    """A chain fitted on about `toxic` and `other` rows of the two labels at most, whole texts, held-out rows left out."""
-    rows = labelled_sample(docs, labels, "toxic", {1: toxic, 0: other})
-    return fit_chain(rows) if rows else Chain({}, [np.append(np.zeros(FEATURES - 1 + k), -5.0) for k in range(len(CHAIN))])
+    """A chain fitted on `toxic` and `other` rows of the two labels at most, whole texts, held-out rows left out."""
+    return fit_chain(labelled_sample(docs, labels, "toxic", {1: toxic, 0: other}))
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """(id, p_named, p_derived, p_repeated, p_toxic double, toxic int) of every document, from its whole text.
+    """(id, p_kind1, p_kind2, p_kind3, p_toxic double, toxic int) of every document, from its whole text.
 
-    Null and empty texts have no marks and aren't toxic. Repeated rows give repeated
-    rows, an empty table none; other columns are ignored.
+    Null and empty texts have no features and aren't toxic. Repeated rows give repeated
+    rows, null ids stay null, an empty table gives no rows; other columns are ignored.
     """
     prepare(docs.sparkSession)
     names = ["id", *(f"p_{c}" for c in CHAIN), "toxic"]
@@ -183,7 +207,11 @@ def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_c
 
 
 def drop_toxic(docs: DataFrame, chain: Chain, text_col: str = "text", cut: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose probability of "toxic" is below cut."""
+    """The rows of docs, with all their columns, whose probability of "toxic" is below cut.
+
+    Rows with null or empty texts stay. Each of repeated rows is judged alike; an empty
+    table stays empty.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

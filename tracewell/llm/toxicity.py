@@ -32,9 +32,9 @@ PLACES, BEGINNING, GRAMS = 1 << 18, 7, (3, 4)
 #: A feature takes part in a fit where it has so many documents and its shrunken log odds of toxicity are so high; documents by which odds are shrunk.
 LEAST_DOCUMENTS, LEAST_ODDS, SHRINK = 3, 0.7, 5
 #: Rows of each label that are fitted on at most; folds; L1 penalty; weight of a row of the category; steps of a fit.
-TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS, PENALTY, WEIGHT, STEPS = 1200, 3600, 3, 6e-4, 2.0, 100
-#: Dimensions in which kinds are clustered, and rounds of it.
-SKETCH, ROUNDS = 64, 12
+TOXIC_SAMPLE, OTHER_SAMPLE, FOLDS, PENALTY, WEIGHT, STEPS = 1000, 3000, 3, 6e-4, 2.0, 100
+#: Dimensions in which kinds are clustered, and rounds of it; entries of the rows' features that are worked on at once.
+SKETCH, ROUNDS, ENTRIES = 64, 12, 1 << 20
 
 
 def places(word: str) -> set[int]:
@@ -86,35 +86,52 @@ class Chain:
 
 def hashed(many: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, place) of the distinct features of every text."""
-    known, rows, held = Remembered(places), [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    known = Remembered(lambda word: np.array(sorted(places(word)), np.int32))
+    rows, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
     for i, text in enumerate(many):
-        own = set().union(*[known(w) for w in words_of(text)])
-        rows.append(np.full(len(own), i, np.int32))
-        held.append(np.sort(np.fromiter(own, np.int32, len(own))))
+        found = [known(w) for w in words_of(text)]
+        if found:
+            held.append(np.unique(np.concatenate(found)))
+            rows.append(np.full(len(held[-1]), i, np.int32))
     return np.concatenate(rows), np.concatenate(held)
 
 
+def spans(n: int) -> list[slice]:
+    """n entries in slices, which bound what is made of them at once."""
+    return [slice(k, k + ENTRIES) for k in range(0, n, ENTRIES)]
+
+
 def odds(row: np.ndarray, place: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Each place's shrunken log odds of y among the used rows; 0 where they are too low or the place too rare."""
-    inside = used[row]
-    good = np.bincount(place[inside], weights=y[row[inside]], minlength=PLACES)
-    seen = np.bincount(place[inside], minlength=PLACES)
+    good, seen = np.zeros(PLACES), np.zeros(PLACES)
+    for s in spans(len(row)):
+        good += np.bincount(place[s], weights=(y * used)[row[s]], minlength=PLACES)
+        seen += np.bincount(place[s], weights=used[row[s]], minlength=PLACES)
     total = y[used].sum()
     log = np.log((good + 0.5) / (total + 1)) - np.log((seen - good + 0.5) / (used.sum() - total + 1))
     log *= seen / (seen + SHRINK)
     return np.where((seen >= LEAST_DOCUMENTS) & (log >= LEAST_ODDS), log, 0.0)
 
 
+def linear(row: np.ndarray, place: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Sum of the weights of each row's places."""
+    out = np.zeros(n)
+    for s in spans(len(row)):
+        out += np.bincount(row[s], weights=weight[place[s]], minlength=n)
+    return out
+
+
 def fit_linear(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """(weight of every place, of every column of before, constant), fitted on the used rows by accelerated proximal gradient steps."""
     scale = odds(row, place, y, used) / 3
     active = np.flatnonzero(scale)
-    number = np.full(PLACES, -1)
+    number = np.full(PLACES, -1, np.int32)
     number[active] = np.arange(len(active))
-    inside = used[row] & (number[place] >= 0)
+    entries = [np.flatnonzero(used[row[s]] & (number[place[s]] >= 0)) + s.start for s in spans(len(row))]
+    inside = np.concatenate([np.zeros(0, np.int64), *entries])
     n, dense = len(y), before.shape[1] + 1
-    r = np.concatenate([row[inside], np.tile(np.arange(n), dense)])
-    c = np.concatenate([number[place[inside]], np.repeat(len(active) + np.arange(dense), n)])
+    r = np.concatenate([row[inside], np.tile(np.arange(n, dtype=np.int32), dense)])
+    c = np.concatenate([number[place[inside]], np.repeat(np.arange(len(active), len(active) + dense, dtype=np.int32), n)])
     v = np.concatenate([scale[place[inside]], *(before[:, k] * used for k in range(dense - 1)), used.astype(float)])
     size = len(active) + dense
     share = np.where(y > 0, WEIGHT, 1.0) * used / max(1, used.sum())
@@ -140,9 +157,10 @@ def fit_linear(row: np.ndarray, place: np.ndarray, before: np.ndarray, y: np.nda
 def kinds_of(row: np.ndarray, place: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The cluster 0, 1, .. of each row with y, the largest first, by spherical k-means of its marking features; -1 for others."""
     weight = odds(row, place, y, np.ones(len(y), bool))
+    toxic = y[row] > 0
+    row, place = row[toxic], place[toxic]
     sign = np.where(place * 40_503 >> 9 & 1, 1.0, -1.0)
-    x = np.bincount(row.astype(np.int64) * SKETCH + place % SKETCH, weights=weight[place] * sign, minlength=len(y) * SKETCH).reshape(-1, SKETCH)
-    x = x[y > 0]
+    x = np.bincount(row * SKETCH + place % SKETCH, weights=weight[place] * sign, minlength=len(y) * SKETCH).reshape(-1, SKETCH)[y > 0]
     x /= np.maximum(1e-9, np.sqrt((x * x).sum(axis=1, keepdims=True)))
     kinds = len(CHAIN) - 1
     centre = x[:1]
@@ -174,7 +192,7 @@ def fit_chain(rows: list[tuple[str, int]]) -> Chain:
         own = np.zeros(len(y))
         for part in range(FOLDS):
             w, e, c = fit_linear(row, place, before, target, fold != part)
-            own[fold == part] = sigmoid(np.bincount(row, weights=w[place], minlength=len(y)) + before @ e + c)[fold == part]
+            own[fold == part] = sigmoid(linear(row, place, w, len(y)) + before @ e + c)[fold == part]
         w, earlier[k, :k], constants[k] = fit_linear(row, place, before, target, every)
         weights.append(w)
         before = np.column_stack([before, own])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tracewell.functions import geo, timefn
-from tracewell.operators import clusters, patterns, points, predict, trips, visits
+from tracewell.operators import clusters, feeds, models, patterns, points, predict, runs, trips, visits
 from tracewell.plans import queries as plan_queries
 from tracewell.sources import generate, tables
 from tracewell.streaming import pings
@@ -229,6 +229,107 @@ def test_upsert_and_files(spark, tmp_path):
     assert tuple(tables.read_csv(spark, str(tmp_path / "c"), "k long, v string, w string").first()) == (1, 'say "hi", all', None)
 
 
+def test_append_rebuild_json_and_partials(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "user_id string, x long")
+    tables.append(rows, str(tmp_path / "t"))
+    tables.append(rows.limit(0), str(tmp_path / "t"))
+    tables.append(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 6
+    for _ in range(2):  # the same rebuild twice leaves the same table, and b alone
+        tables.rebuild_users(rows, str(tmp_path / "u")) if not (tmp_path / "u").exists() else tables.rebuild_users(rows.where("user_id = 'a' and x = 2"), str(tmp_path / "u"))
+    assert sorted((r["user_id"], r["x"]) for r in spark.read.parquet(str(tmp_path / "u")).collect()) == [("a", 2), ("b", 3)]
+    tables.write_json(rows, str(tmp_path / "j"))
+    assert sorted((r["user_id"], r["x"]) for r in spark.read.json(str(tmp_path / "j")).collect()) == [("a", 1), ("a", 2), ("b", 3)]
+    part = lambda n, first: ("u", 1, 2, n * 1.5, n * 2.5, n, first, first + 9)
+    parts = spark.createDataFrame([part(2, 50), part(3, 40)], "user_id string, cell_lat long, cell_lng long, lat_sum double, lng_sum double, count long, first_seen long, last_seen long")
+    assert tuple(tables.merge_partials(parts).first()) == ("u", 1, 2, 7.5, 12.5, 5, 40, 59)
+
+
+def test_run_table(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    runs.record(spark, path, "r1", "u", "running", 10)
+    runs.record(spark, path, "r1", "u", "completed", 10, 20)
+    runs.record(spark, path, "r2", "u", "running", 30)
+    runs.record(spark, path, "r2", "u", "failed", 30, 31, "no room")
+    runs.record(spark, path, "r3", "v", "running", 5)
+    now = runs.current(spark.read.parquet(path))
+    assert sorted((r["run_id"], r["status"], r["error"]) for r in now.collect()) == [("r1", "completed", None), ("r2", "failed", "no room"), ("r3", "running", None)]
+    assert sorted(map(tuple, runs.latest(now).collect())) == [("u", "r1", 10), ("v", "r3", 5)]
+    with pytest.raises(ValueError):
+        runs.record(spark, path, "r4", "v", "lost", 1)
+
+
+def test_model_first(spark):
+    columns = "user_id string, from_cluster_id string, rank int, next_cluster_id string, confidence double, expected_trip_duration_min double"
+    model = spark.createDataFrame([("u", "A", 1, "B", 0.7, 12.4), ("u", "A", 2, "C", 0.2, 3.0), ("v", "A", 1, "B", 0.69, 9.0)], columns)
+    rules = spark.createDataFrame([(u, "A", 1, "D", 0.4, 7, "rule_based_level_1") for u in "uvw"], columns.replace("min double", "min long") + ", source string")
+    got = feeds.model_first(rules, model).collect()
+    assert sorted((r["user_id"], r["rank"], r["next_cluster_id"], r["source"]) for r in got) == [("u", 1, "B", "ml_model"), ("u", 2, "C", "ml_model"), ("v", 1, "D", "rule_based_level_1"), ("w", 1, "D", "rule_based_level_1")]
+
+
+def test_models_are_saved_and_read(spark, tmp_path):
+    rows = [("u", "2024-01-01", i, "A", "BC"[i % 2], 1000.0 * (i % 5), "DRIVE", "Monday", i % 24, 60 * (i % 5)) for i in range(60)]
+    samples = spark.createDataFrame(rows, "user_id string, date string, trip_start long, from_cluster_id string, to_cluster_id string, distance_meters double, travel_mode string, day_of_week string, departure_hour int, duration_sec long")
+    model, error, _ = models.fit_trip_duration(samples, trees=3, depth=3)
+    assert error >= 0 and models.load_model(str(tmp_path / "none")) is None
+    for _ in range(2):
+        models.save_model(model, str(tmp_path / "m"))
+    again = models.predict_duration(models.load_model(str(tmp_path / "m")), samples)
+    assert text(again.toPandas()) == text(models.predict_duration(model, samples).toPandas())
+
+
+def test_streams_drop_repeats_and_close_visits(spark, tmp_path):
+    rows = [(i, "U", 1_704_060_000 + 60 * i + (7_200 if i >= 10 else 0), 28.0, 77.0, 0.0, 0.0, 8.0) for i in range(20)] + [(99, "U", 1_704_080_000, 28.0, 77.0, 0.0, 0.0, 8.0)]
+    src = str(tmp_path / "in")
+    for part in (rows[:12], rows[5:20], rows[20:]):
+        ping_frame(spark, part).coalesce(1).write.mode("append").parquet(src)
+    read = lambda: spark.readStream.schema(GPS).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def run(df, name):
+        df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination(120)
+        return spark.table(name)
+
+    assert sorted(r["raw_id"] for r in run(pings.distinct_pings(read()), "once").collect()) == [*range(20), 99]
+    clustered = pings.distinct_pings(read()).drop("ts").withColumn("cluster_id", F.lit("C0"))
+    visits_seen = run(pings.session_visits(spark.readStream.schema(GPS).option("maxFilesPerTrigger", 1).parquet(src).withColumn("cluster_id", F.lit("C0"))), "visits_seen")
+    assert clustered.isStreaming and {(r["visit_start"], r["visit_end"]) for r in visits_seen.collect()} >= {(1_704_060_000, 1_704_060_540)}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    class Cluster:
+        class sparkContext:
+            master, applicationId = "spark://host:7077", "app"
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.shared_folder(Cluster)
+
+
+def test_entry_without_a_library(monkeypatch):
+    import importlib
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("tracewell.llm")] + ["corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "tiktoken", None)
+    entry = importlib.reload(__spark_entry__)
+    assert "pipeline" not in entry.queries() and "pa3_patterns" in entry.queries()
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
+
+
+def test_stage_follows_its_input(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.limit(50).write.parquet(str(tmp_path / "events.parquet"))
+    before = plan_queries.stage(spark, str(tmp_path), "gps").count()
+    events.limit(80).write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert (before, plan_queries.stage(spark, str(tmp_path), "gps").count()) == (50, 80)
+
+
 def test_generated_pings_and_journey(spark):
     g = generate.pings(generate.users(spark, 2), 19_723, 1, every_s=600)
     assert g.count() == 2 * (510 + 500 + 70 + 280) // 10 and g.exceptAll(generate.pings(generate.users(spark, 2), 19_723, 1, every_s=600)).count() == 0

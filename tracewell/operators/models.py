@@ -58,6 +58,21 @@ def fit_trip_duration(samples: DataFrame, trees: int = 100, depth: int = 12) ->
     return model, score("mae"), score("r2")
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    """Write a fitted model, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel | None:
+    """The model at path, or none where there is none."""
+    try:
+        return PipelineModel.load(path)
+    except Exception as error:
+        if "exist" in str(error).lower():
+            return None
+        raise
+
+
 def predict_next(model: PipelineModel, samples: DataFrame, key: list[str], top: int = 3, least: float = 0.01) -> DataFrame:
     """(key.., rank, next_cluster_id, confidence): the likeliest places of every sample, those below `least` left out."""
     names = next(s for s in model.stages if isinstance(s, StringIndexerModel) and s.isSet("outputCol") and s.getOutputCol() == "label").labels

@@ -23,6 +23,14 @@ def candidates(visits: DataFrame) -> DataFrame:
     return q.withColumns({"skip_reason": skip, "filter_reason": soft})
 
 
+def skip_report(candidates: DataFrame, day: int) -> DataFrame:
+    """(reason, n) of candidates that a report on one local day leaves out; those that begin after or end before it are outside_day_window."""
+    start = day * 86_400 - T.OFFSET
+    outside = (F.col("trip_start") >= start + 86_400) | (F.col("trip_end") < start)
+    reason = F.coalesce("skip_reason", "filter_reason", F.when(outside, "outside_day_window"))
+    return candidates.withColumn("reason", reason).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def dated(trips: DataFrame, once: bool = False) -> DataFrame:
     """A row for each date under which a trip is kept: that of the next visit, and that of this one where the window touches its day.
 

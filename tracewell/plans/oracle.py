@@ -112,6 +112,17 @@ STEPS: dict[str, str] = {
 RECURSIVE = {"fold", "reach"}
 
 
+#: Steps of the unweighted search over single positions, after those of the stay pings.
+POSITIONS = f"""
+p6 as materialized (select user_id, lat, lng, count(*) cnt, min(gps_ts) first_seen from spts group by all),
+pair6 as materialized (select a.user_id, a.lat x, a.lng y, b.lat x2, b.lng y2, b.cnt from p6 a join p6 b on a.user_id = b.user_id and abs(a.lat - b.lat) < 0.002 where {hav('a.lat', 'a.lng', 'b.lat', 'b.lng', 6371008.8)} <= 80),
+core6 as materialized (select p.user_id, lat x, lng y, row_number() over (partition by p.user_id order by first_seen, round(lat * 1e9)::bigint, round(lng * 1e9)::bigint) o from p6 p join (select user_id, x, y from pair6 group by all having sum(cnt) >= 5) c on p.user_id = c.user_id and lat = x and lng = y),
+reach6 as (select user_id, x, y, o from core6 union select p.user_id, p.x2, p.y2, r.o from reach6 r join pair6 p on p.user_id = r.user_id and p.x = r.x and p.y = r.y join core6 c on c.user_id = p.user_id and c.x = p.x2 and c.y = p.y2),
+root6 as materialized (select user_id, x, y, min(o) o from reach6 group by all),
+num6 as materialized (select user_id, x, y, dense_rank() over (partition by user_id order by o) - 1 no from root6),
+lab6 as materialized (select g.user_id, g.cnt, coalesce('C' || n.no, 'C' || b.no, '-1') cluster_id from p6 g left join num6 n on n.user_id = g.user_id and n.x = g.lat and n.y = g.lng left join (select p.user_id, p.x, p.y, min(m.no) no from pair6 p join num6 m on m.user_id = p.user_id and m.x = p.x2 and m.y = p.y2 group by all) b on b.user_id = g.user_id and b.x = g.lat and b.y = g.lng)"""
+
+
 def chain(last: str, query: str) -> str:
     """The steps up to `last`, then query."""
     names = list(STEPS)

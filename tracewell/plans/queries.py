@@ -10,10 +10,10 @@ from pyspark.sql.window import Window
 
 from tracewell.functions import geo as G
 from tracewell.functions import timefn as T
-from tracewell.operators import clusters, patterns, points, predict, trips, visits
+from tracewell.operators import clusters, feeds, patterns, points, predict, runs, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
-from tracewell.sources.tables import at_rest, ingest, last_logins, recent, upsert
+from tracewell.sources.tables import at_rest, ingest, last_logins, merge_partials, pending, recent, result_counts, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,10 +197,11 @@ def so3_latest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event"), F.lit(1).cast("long").alias("n"))
 
 
-@register("io5_unprocessed", O.chain("act", "select g.raw_id, g.user_id from gps g where not exists (select 1 from act a where a.raw_id = g.raw_id and not a.is_anomaly)"))
+@register("io5_unprocessed", O.chain("gps", "select raw_id, user_id from gps where gps_ts >= 1704412800"))
 def io5_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = stage(spark, sf_dir, "processed").where("not is_anomaly").select("raw_id")
-    return stage(spark, sf_dir, "gps").select("raw_id", "user_id").join(done, "raw_id", "left_anti")
+    """Against a processed table that ends at a time."""
+    done = stage(spark, sf_dir, "processed").where("gps_ts < 1704412800")
+    return pending(stage(spark, sf_dir, "gps"), done).select("raw_id", "user_id")
 
 
 @register("io8_upsert", "select coalesce(n.o_custkey, o.o_custkey) o_custkey, coalesce(n.total, o.total) total, o.o_custkey is not null existed from (select o_custkey, round(sum(o_totalprice), 2) total from orders where o_orderdate < timestamp '1996-01-01' group by 1) o full join (select o_custkey, round(sum(o_totalprice), 2) total from orders where o_orderdate >= timestamp '1996-01-01' group by 1) n on o.o_custkey = n.o_custkey")
@@ -235,9 +236,14 @@ def jn8_visits_with_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "visits").join(named, ["user_id", "cluster_id"], "left").select("user_id", "visit_start", "cluster_id", F.coalesce(F.nullif("place_type", F.lit("")), "cluster_id").alias("shown"))
 
 
-@register("jn11_users_with_visits", O.chain("vis", "select distinct user_id from gps where user_id in (select user_id from vis)"))
-def jn11_users_with_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(spark, sf_dir, "gps").select("user_id").distinct().join(stage(spark, sf_dir, "visits").select("user_id"), "user_id", "left_semi")
+@register("jn11_clusters_of_visits", O.chain("clu", "select user_id, cluster_id, total_points from clu c where exists (select 1 from vis v where v.user_id = c.user_id and v.cluster_id = c.cluster_id and v.is_weekend)"))
+def jn11_clusters_of_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.clusters_of_visits(stage(spark, sf_dir, "clusters"), stage(spark, sf_dir, "visits").where("is_weekend")).select("user_id", "cluster_id", "total_points")
+
+
+@register("io6_users", O.chain("gps", "select distinct user_id from gps"))
+def io6_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "gps").select("user_id").distinct()
 
 
 @register("jn13_centre_and_densest_cell", O.chain("rad", f"select cen.user_id, cen.cluster_id, round({O.hav('cen.lat', 'cen.lng', 'alat', 'alng')}, 2) off_m from cen join anchor using (user_id, cluster_id)"))
@@ -278,7 +284,7 @@ def ml5_trip_duration_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict_duration(models.trip_duration_model(samples), samples).select("user_id", "date", "trip_start", "duration_sec", F.round("predicted_sec", 2).alias("predicted_sec"))
 
 
-@register("cl6_point_dbscan")
+@register("cl6_point_dbscan", O.chain("spts", f",{O.POSITIONS}\nselect user_id, cluster_id, sum(cnt)::bigint points from lab6 group by all"))
 def cl6_point_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.point_clusters(stage(spark, sf_dir, "processed"))
 
@@ -339,7 +345,10 @@ def sf8_grid_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "gps").select("raw_id", G.grid_key(F.col("lat"), F.col("lng")).alias("grid_key"))
 
 
-@register("sf7_geohash")
+GEOHASH = "select raw_id, list_aggregate(list_transform(range(7), lambda k: substr('0123456789bcdefghjkmnpqrstuvwxyz', 1 + cast(list_sum(list_transform(range(5), lambda j: (case when (5 * k + j) % 2 = 0 then (x >> (17 - (5 * k + j) // 2)) & 1 else (y >> (16 - (5 * k + j) // 2)) & 1 end) << (4 - j))) as int), 1)), 'string_agg', '') geohash from (select raw_id, cast(floor((lng + 180) / 360 * 262144) as bigint) x, cast(floor((lat + 90) / 180 * 131072) as bigint) y from gps)"
+
+
+@register("sf7_geohash", O.chain("gps", GEOHASH))
 def sf7_geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage(spark, sf_dir, "gps").select("raw_id", G.geohash(F.col("lat"), F.col("lng"), 7).alias("geohash"))
 
@@ -348,3 +357,83 @@ def sf7_geohash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sf11_time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat((F.col("o_orderkey") % 27).cast("string"), F.lit(":"), F.lpad((F.col("o_orderkey") % 65).cast("string"), 2, "0"))
     return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_minutes(text).alias("minute_of_day"))
+
+
+@register("pf8_location", O.chain("clu", "select user_id, cluster_id, round(lat, 7) lat, round(lng, 7) lng from clu"))
+def pf8_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster stores its position in one of three ways."""
+    at, null = F.col("total_points") % 3, F.lit(None)
+    q = stage(spark, sf_dir, "clusters").select("user_id", "cluster_id", F.when(at == 0, F.struct("lat", "lng")).alias("center"), F.when(at == 1, F.col("lat")).alias("a"), F.when(at == 1, F.col("lng")).otherwise(null).alias("o"), F.when(at == 2, F.array("lng", "lat")).alias("p"))
+    q = q.withColumn("l", feeds.location(F.col("center"), F.col("a"), F.col("o"), F.col("p")))
+    return q.select("user_id", "cluster_id", F.round("l.lat", 7).alias("lat"), F.round("l.lng", 7).alias("lng"))
+
+
+@register("pf9_display_name", O.chain("clu", "select user_id, cluster_id, case when total_points % 3 = 2 then 'Place ' || cluster_id when total_points % 2 = 0 then place_type else cluster_id end shown from clu"))
+def pf9_display_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("total_points") % 3 == 2, F.concat(F.lit("Place "), F.col("cluster_id"))).when(F.col("total_points") % 3 == 1, "")
+    kind = F.when(F.col("total_points") % 2 == 0, F.col("place_type")).otherwise("")
+    return stage(spark, sf_dir, "clusters").select("user_id", "cluster_id", feeds.display_name(name, kind, F.col("cluster_id")).alias("shown"))
+
+
+@register("pf11_aliases", "select o_orderkey, case when o_orderkey % 3 = 0 then 'key ' || o_orderkey when o_orderstatus = 'O' then o_orderpriority else 'unknown' end shown from orders")
+def pf11_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("key "), F.col("o_orderkey").cast("string"))).when(F.col("o_orderkey") % 3 == 1, "")
+    return table(spark, sf_dir, "orders").select("o_orderkey", feeds.first_non_empty(own, F.when(F.col("o_orderstatus") == "O", F.col("o_orderpriority")), F.lit("unknown")).alias("shown"))
+
+
+@register("sf10_infer_activity", O.chain("gps", "select raw_id, case when speed = 0 then 'STAY' when speed <= 7 then 'WALK' when speed > 7 then 'DRIVE' else 'UNKNOWN' end activity from gps"))
+def sf10_infer_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(spark, sf_dir, "gps").select("raw_id", feeds.infer_activity(F.col("speed")).alias("activity"))
+
+
+@register("sf21_marker_spread", O.chain("clu", "select user_id, cluster_id, round(lat + case when n > 1 then cos(i / n * 2 * pi()) * (8 + (i // 8) * 6) / 111320 else 0 end, 8) marker_lat, round(lng + case when n > 1 then sin(i / n * 2 * pi()) * (8 + (i // 8) * 6) / (111320 * cos(radians(lat))) else 0 end, 8) marker_lng from (select *, count(*) over (partition by lat, lng) n, row_number() over (partition by lat, lng order by user_id, cluster_id) - 1 i from (select user_id, cluster_id, round(lat, 2) lat, round(lng, 2) lng from clu))"))
+def sf21_marker_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """On positions of two decimals, so that many clusters share one."""
+    coarse = stage(spark, sf_dir, "clusters").select("user_id", "cluster_id", F.round("lat", 2).alias("lat"), F.round("lng", 2).alias("lng"))
+    return feeds.spread_markers(coarse, ["user_id", "cluster_id"]).select("user_id", "cluster_id", F.round("marker_lat", 8).alias("marker_lat"), F.round("marker_lng", 8).alias("marker_lng"))
+
+
+@register("cl11_visit_centres", O.chain("clu", "select v.user_id, v.visit_start, v.cluster_id, c.lat, c.lng from vis v left join clu c on c.user_id = v.user_id and c.cluster_id = v.cluster_id"))
+def cl11_visit_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.with_centres(stage(spark, sf_dir, "visits"), stage(spark, sf_dir, "clusters")).select("user_id", "visit_start", "cluster_id", "lat", "lng")
+
+
+RUNS = "select o_custkey::varchar user_id, o_orderkey::varchar run_id, epoch(o_orderdate)::bigint started_at, case o_orderstatus when 'F' then 'completed' when 'O' then 'running' else 'failed' end status from orders"
+
+
+@register("cl14_latest_run", f"select user_id, run_id, started_at from ({RUNS}) where status <> 'failed' qualify row_number() over (partition by user_id order by started_at desc, run_id desc) = 1")
+def cl14_latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs of their customers."""
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed")
+    start = F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast(o_orderdate as timestamp_ntz))")
+    return runs.latest(table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("user_id"), F.col("o_orderkey").cast("string").alias("run_id"), start.alias("started_at"), status.alias("status")))
+
+
+@register("tr5_result_counts", O.chain("cand", "select user_id, count(*) filter (skip_reason is null and trip_start >= 1704240000) created, count(*) filter (skip_reason is null and trip_start < 1704240000) updated, count(*) filter (skip_reason is not null) skipped from cand group by rollup (user_id)"))
+def tr5_result_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over an old table that ends at a time."""
+    made = trips.candidates(stage(spark, sf_dir, "visits"))
+    return result_counts(made, made.where("trip_start < 1704240000"), ["user_id", "trip_start", "from_cluster_id"])
+
+
+@register("tr6_skip_report_of_a_day", O.chain("cand", "select reason, count(*) n from (select coalesce(skip_reason, filter_reason, case when trip_start >= 19725 * 86400 - 19800 or trip_end < 19724 * 86400 - 19800 then 'outside_day_window' end) reason from cand) where reason is not null group by 1"))
+def tr6_skip_report_of_a_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips.skip_report(trips.candidates(stage(spark, sf_dir, "visits")), 19_724)
+
+
+@register("io9_merged_partials", O.chain("spts", "select user_id, cell_lat, cell_lng, round(sum(lat), 6) lat_sum, round(sum(lng), 6) lng_sum, count(*) points, min(gps_ts) first_seen, max(gps_ts) last_seen from spts group by all"))
+def io9_merged_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of two runs over halves of the pings, added up."""
+    done = stage(spark, sf_dir, "processed")
+    merged = merge_partials(clusters.cells(done.where("raw_id % 2 = 0")).unionByName(clusters.cells(done.where("raw_id % 2 = 1"))))
+    return merged.select("user_id", "cell_lat", "cell_lng", F.round("lat_sum", 6).alias("lat_sum"), F.round("lng_sum", 6).alias("lng_sum"), F.col("count").alias("points"), "first_seen", "last_seen")
+
+
+@register("pr6_visit_feed", O.chain("clu", "select v.user_id, v.cluster_id, coalesce(nullif(c.place_type, ''), v.cluster_id) cluster_name, lat, lng, v.duration_sec, v.point_count, v.day_of_week, v.time_of_day, v.date, v.visit_start, v.visit_end, place_type_confidence, total_points total_cluster_points, visit_count from vis v join clu c on c.user_id = v.user_id and c.cluster_id = v.cluster_id"))
+def pr6_visit_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.visit_feed(stage(spark, sf_dir, "visits"), stage(spark, sf_dir, "clusters"))
+
+
+@register("pr6_prediction_feed", ORACLES["pr3_place_at_time"].replace("select user_id, match_level, row_number() over w rank", "select p.user_id, p.rank, p.cluster_id, coalesce(nullif(place_type, ''), p.cluster_id) cluster_name, confidence, lat, lng from (select user_id, match_level, row_number() over w rank") + ") p join clu c on c.user_id = p.user_id and c.cluster_id = p.cluster_id")
+def pr6_prediction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feeds.prediction_feed(predict.place_at(stage(spark, sf_dir, "visits"), "Tuesday", 600), stage(spark, sf_dir, "clusters"))

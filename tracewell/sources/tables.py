@@ -75,6 +75,24 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | Non
     return a.join(b, key, "full").select(*key, *((kept if c in keep else value)(c).alias(c) for c in new.columns if c not in key))
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add the rows of df to the table at path. Spark commits a write as a whole, so a failed one adds nothing; readers drop repeats by key."""
+    df.write.mode("append").parquet(path)
+
+
+def pending(raw: DataFrame, processed: DataFrame) -> DataFrame:
+    """The raw pings that aren't in the processed table yet, by raw_id."""
+    return raw.join(processed.select("raw_id"), "raw_id", "left_anti")
+
+
+def result_counts(candidates: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
+    """(user_id, created, updated, skipped) of writing candidates over old: skipped have a skip_reason; the row of null user_id adds up all users."""
+    known = old.select(*key).distinct().withColumn("known", F.lit(True))
+    q = candidates.join(known, key, "left").withColumn("keep", F.col("skip_reason").isNull())
+    counts = (F.count_if(F.col("keep") & F.col("known").isNull()).alias("created"), F.count_if(F.col("keep") & F.col("known").isNotNull()).alias("updated"), F.count_if(~F.col("keep")).alias("skipped"))
+    return q.rollup("user_id").agg(*counts)
+
+
 def merge_partials(parts: DataFrame) -> DataFrame:
     """Cells added up from partial cells of several runs: sums and counts added, first and last times widened."""
     return parts.groupBy("user_id", "cell_lat", "cell_lng").agg(F.sum("lat_sum").alias("lat_sum"), F.sum("lng_sum").alias("lng_sum"), F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))

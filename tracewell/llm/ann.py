@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewell.llm.common import materialise, prepare
+from tracewell.llm.common import first_by_hash, materialise, prepare
 
 CODEBOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that codebooks are fitted on at most, rounds of k-means for each, and rounds of joint refinement.
@@ -121,10 +121,8 @@ def stacked(column: pa.Array) -> np.ndarray:
 
 
 def fit_quantiser(vectors: DataFrame, sample: int = SAMPLE) -> AdditiveQuantiser:
-    """A quantiser fitted on about `sample` of the vectors (id, v) at most, picked by the hash of their id; at least WORDS rows are used where there are so many."""
-    n = vectors.count()
-    grain = 1 << 20
-    picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(grain)) < min(grain, int(grain * sample / max(1, n)) + 1)).orderBy("id").select("v").toArrow()
+    """A quantiser fitted on `sample` of the vectors (id, v) at most, the first by the hash of their id; the bound holds at any size."""
+    picked = first_by_hash(vectors, "id", sample).orderBy("id").select("v").toArrow()
     return AdditiveQuantiser.fit(stacked(picked.column("v")).astype(np.float64))
 
 
@@ -196,7 +194,8 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
 
     Vectors that are null, empty, zero, or hold null or non-finite components take no
     part, nor do those whose length isn't the commonest (the longest of equally common
-    ones), nor null ids. A query's own row is never its neighbour. Of rows with one id
+    ones; their inner product with others isn't defined, so as queries they get no rows),
+    nor null ids. A query's own row is never its neighbour. Of rows with one id
     each counts. An empty table gives no rows; other columns are ignored.
     """
     spark = prepare(table.sparkSession)

@@ -96,6 +96,33 @@ def test_trips_and_stays_match_a_sequential_model(spark):
         assert [(r.trip_id is not None and r.trip_id == r.trip_id, bool(r.is_stay_point), None if pd.isna(r.stay_start_time) else int(r.stay_start_time), int(r.stay_duration)) for r in g.itertuples()] == want
 
 
+def days_without_gap(days, seed=5):
+    """Pings of one device every minute without a gap: it rests for days, drifts, drives, and loses its fix now and then."""
+    rng = random.Random(seed)
+    ts, lat, lng, speed, rows = 1_704_060_000, 28.5, 77.2, 0.0, []
+    for i in range(days * 1440):
+        hour = i // 60
+        if hour % 40 == 7:
+            speed = rng.choice([0.5, 6.0, 30.0]) if rng.random() < 0.2 else speed
+        else:
+            speed = 0.4
+        drift = 4 if hour % 100 > 70 else 0.3
+        lat, lng = lat + rng.gauss(0, 1) * 1e-6 * (drift + speed * 30), lng + rng.gauss(0, 1) * 1e-6 * (drift + speed * 30)
+        lost = hour % 300 > 250 and rng.random() < 0.01
+        rows.append((i + 1, "U", ts + 60 * i, lat, lng, speed, 0.0, 150.0 if lost else 8.0))
+    return rows
+
+
+def test_a_session_of_many_days_equals_a_sequential_model(spark):
+    rows = days_without_gap(20)
+    got = points.process(ping_frame(spark, rows)).toPandas().sort_values("raw_id")
+    want = sequential([(r.gps_ts, r.lat, r.lng, rows[r.raw_id - 1][5], r.activity_type, r.is_anomaly) for r in got.itertuples()])
+    assert [(isinstance(r.trip_id, str), bool(r.is_stay_point), None if pd.isna(r.stay_start_time) else int(r.stay_start_time), int(r.stay_duration)) for r in got.itertuples()] == want
+    numbers = [int(x.rsplit("T", 1)[1]) for x in got["trip_id"].dropna()]
+    assert numbers == sorted(numbers) and set(numbers) == set(range(1, max(numbers) + 1)) and len(set(numbers)) > 5
+    assert got["stay_duration"].max() > 86_400
+
+
 def test_stay_fold_re_anchors():
     ts = np.array([0, 119, 120, 150])
     lat = np.array([0.0, math.degrees(49 / geo.EARTH_M), math.degrees(49 / geo.EARTH_M), math.degrees(51 / geo.EARTH_M)])

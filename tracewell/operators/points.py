@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions.geo import haversine_m, heading_diff, speed_kmph, valid_lat_lng
+from tracewell.sources.tables import at_rest
 
 
 @dataclass(frozen=True)
@@ -123,20 +124,43 @@ def with_trips(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
 
     A trip starts at speed over trip_start_kmph with a known activity, and ends at the
     first ping of an unbroken run below trip_stop_kmph that has lasted trip_stop_s. All
-    by windows over a session's regular pings: the state is that of the last event.
+    by windows over the regular pings of a session's day: the state is that of the last
+    event. What a day takes over from the days before (the begin of a slow run, the last
+    event, the number of trips) comes from tables of one row for each session and day.
     """
-    order = Window.partitionBy("user_id", "session", "is_anomaly").orderBy("gps_ts", "raw_id")
+    keys = ["user_id", "session", "is_anomaly", "_alone", "_day"]
+    order = Window.partitionBy(*keys).orderBy("gps_ts", "raw_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    days = Window.partitionBy(*keys[:-1]).orderBy("_day")
+    earlier, place = days.rowsBetween(Window.unboundedPreceding, -1), F.struct("gps_ts", "raw_id")
     speed = F.coalesce("speed", F.lit(0.0))
     slow = speed < rules.trip_stop_kmph
-    q = p.withColumn("_run", F.sum(F.when(slow, 0).otherwise(1)).over(upto))
-    run = Window.partitionBy("user_id", "session", "is_anomaly", "_run").orderBy("gps_ts", "raw_id").rowsBetween(Window.unboundedPreceding, 0)
+
+    # _alone keeps anomalies out of the regular pings' windows, each for itself
+    q = _dated(p).withColumn("_alone", F.when(F.col("is_anomaly"), F.coalesce("raw_id", F.lit(0))).otherwise(0))
+    q = q.withColumn("_run", F.sum(F.when(slow, 0).otherwise(1)).over(upto))
+    run = Window.partitionBy(*keys, "_run").orderBy("gps_ts", "raw_id").rowsBetween(Window.unboundedPreceding, 0)
     q = q.withColumn("_since", F.min(F.when(slow, F.col("gps_ts"))).over(run))
-    event = F.when((speed > rules.trip_start_kmph) & (F.col("activity_type") != "UNKNOWN"), "S").when(slow & (F.col("gps_ts") - F.col("_since") >= rules.trip_stop_s), "E")
+    ends = q.groupBy(*keys).agg((F.max("_run") > 0).cast("int").alias("_broken"), F.max_by("_since", place).alias("_tail"))
+    ends = ends.withColumn("_runs", F.sum("_broken").over(days))
+    own = Window.partitionBy(*keys[:-1], "_runs").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.withColumn("_open", F.min("_tail").over(own))
+    q = q.join(ends.select(*keys, F.lag("_open").over(days).alias("_before")), keys)
+    since = F.when(F.col("_run") == 0, F.coalesce("_before", "_since")).otherwise(F.col("_since"))
+
+    event = F.when((speed > rules.trip_start_kmph) & (F.col("activity_type") != "UNKNOWN"), "S").when(slow & (F.col("gps_ts") - since >= rules.trip_stop_s), "E")
     q = q.withColumn("_event", event).withColumn("_state", F.last("_event", ignorenulls=True).over(upto))
-    starts = (F.col("_state") == "S") & (F.coalesce(F.lag("_state").over(order), F.lit("E")) != "S")
-    q = q.withColumn("_starts", starts.cast("int")).withColumn("trip_no", F.when((F.col("_state") == "S") & ~F.col("is_anomaly"), F.sum("_starts").over(upto)))
-    return q.drop("_run", "_since", "_event", "_state", "_starts")
+    starts = (F.col("_event") == "S") & (F.coalesce(F.lag("_state").over(order), F.lit("E")) != "S")
+    q = q.withColumn("_starts", F.coalesce(starts.cast("int"), F.lit(0))).drop("_run", "_since", "_before")
+    seen = F.when(F.col("_event").isNotNull(), F.struct("gps_ts", "raw_id", "_event"))
+    sums = q.groupBy(*keys).agg(F.min(seen).alias("_first"), F.max(seen).alias("_last"), F.sum("_starts").alias("_n"))
+    sums = sums.withColumn("_was", F.last("_last._event", ignorenulls=True).over(earlier))
+    sums = sums.withColumn("_same", F.when((F.col("_was") == "S") & (F.col("_first._event") == "S"), 1).otherwise(0))
+    sums = sums.withColumn("_trips", F.coalesce(F.sum(F.col("_n") - F.col("_same")).over(earlier), F.lit(0)))
+    q = q.join(sums.select(*keys, "_was", "_same", "_trips"), keys)
+    number = F.col("_trips") + F.sum("_starts").over(upto) - F.when(F.col("_state").isNotNull(), F.col("_same")).otherwise(0)
+    q = q.withColumn("trip_no", F.when((F.coalesce("_state", "_was") == "S") & ~F.col("is_anomaly"), number))
+    return q.drop("_alone", "_day", "_event", "_state", "_starts", "_was", "_same", "_trips")
 
 
 def stay_fold(ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, radius_m: float) -> np.ndarray:
@@ -164,34 +188,120 @@ def stay_fold(ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, radius_m: float)
     return out
 
 
+Anchor = tuple[int, float, float]
+CHUNK = ["user_id", "begin", "_day"]
+HANDED = "in_ts double, in_lat double, in_lng double"
+TRIED = f"user_id string, begin long, _day long, {HANDED}, whole boolean, out_ts double, out_lat double, out_lng double, south double, north double, west double, east double"
+
+
+def _handed(g: pd.DataFrame) -> Anchor | None:
+    ts, lat, lng = g["in_ts"].iloc[0], g["in_lat"].iloc[0], g["in_lng"].iloc[0]
+    return None if pd.isna(ts) else (int(ts), float(lat), float(lng))
+
+
+def _folded(g: pd.DataFrame, radius_m: float, anchor: Anchor | None) -> tuple[np.ndarray, Anchor]:
+    """(stay begins of the ordered pings of a stretch, the last anchor); the stretch goes on from `anchor`, if given."""
+    ts, lat, lng = (g[c].to_numpy() for c in ("gps_ts", "lat", "lng"))
+    if anchor:
+        ts, lat, lng = np.append(np.int64(anchor[0]), ts), np.append(anchor[1], lat), np.append(anchor[2], lng)
+    begin = stay_fold(ts, lat, lng, radius_m)
+    last = int(np.searchsorted(ts, begin[-1]))  # regular pings of a session have rising times
+    return begin[1:] if anchor else begin, (int(ts[last]), float(lat[last]), float(lng[last]))
+
+
+def _covers(row: dict, anchor: Anchor, radius_m: float) -> bool:
+    """Whether the box around a day's pings lies within the radius of an anchor, so that the anchor outlasts the day."""
+    lat, lng = np.radians([row["south"], row["north"]]), np.radians([row["west"], row["east"]])
+    at = np.radians(anchor[1:])
+    a = np.sin((lat[:, None] - at[0]) / 2) ** 2 + np.cos(at[0]) * np.cos(lat[:, None]) * np.sin((lng[None, :] - at[1]) / 2) ** 2
+    return bool((2 * 6371000.0 * np.arctan2(np.sqrt(a), np.sqrt(1 - a))).max() <= 0.99 * radius_m)
+
+
+def handed_anchors(part: DataFrame, rules: PointRules = RULES) -> DataFrame | None:
+    """(user_id, begin, _day, in_ts, in_lat, in_lng): the anchor that a session's day takes over from the day before; none where no session has two days.
+
+    Each day is folded as if it took nothing over. Then each session's days, one row
+    each, are walked in order: a day that an unknown activity or anomaly breaks hands on
+    the same anchor whatever it got, and one that lies within the radius hands on what it
+    got. The other days are folded again with the anchor that reached them, all at once,
+    until no day gets an anchor that it wasn't folded with. Folds from different anchors
+    mostly meet at the first move, so few rounds are needed; each settles a day at least.
+    """
+    several = part.groupBy("user_id", "begin").agg((F.min("_day") < F.max("_day")).alias("x")).where("x").drop("x")
+    rows = at_rest(part.where("_left = 0 or _stretch = 0").join(several, ["user_id", "begin"], "left_semi"), "handed")
+    if rows.isEmpty():
+        return None
+
+    def fold(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["gps_ts", "raw_id"], kind="stable")
+        anchor, tail, whole = _handed(g), g[g["_left"] == 0], bool(((g["_left"] == 0) & (g["_stretch"] == 0)).any())
+        out = _folded(tail, rules.stay_radius_m, anchor if whole else None)[1] if len(tail) else (None, None, None)
+        kept = g.iloc[0][[*CHUNK, "in_ts", "in_lat", "in_lng"]].tolist()
+        row = [*kept, whole, *out, g["lat"].min(), g["lat"].max(), g["lng"].min(), g["lng"].max()]
+        return pd.DataFrame([row], columns=[c.split()[0] for c in TRIED.split(", ")])
+
+    def tried(days: DataFrame) -> DataFrame:
+        return rows.join(days, CHUNK).groupBy(*CHUNK).applyInPandas(fold, TRIED)
+
+    def walk(g: pd.DataFrame) -> pd.DataFrame:
+        outcome = {(r["_day"], *((r["in_ts"], r["in_lat"], r["in_lng"]) if pd.notna(r["in_ts"]) else ())): r for r in g.to_dict("records")}
+        got, before, out = None, None, []
+        for day in sorted(set(g["_day"])):
+            alone = outcome[day,]
+            anchor = got if before == day - 1 else None
+            found = outcome.get((day, *anchor)) if anchor and alone["whole"] else alone
+            through = found is None and _covers(alone, anchor, rules.stay_radius_m)
+            out.append((*g[["user_id", "begin"]].iloc[0], day, *(anchor or (None, None, None)), found is None and not through))
+            last = alone if found is None else found
+            got = anchor if through else (last["out_ts"], last["out_lat"], last["out_lng"]) if pd.notna(last["out_ts"]) else None
+            before = day
+        return pd.DataFrame(out, columns=[*CHUNK, "in_ts", "in_lat", "in_lng", "missing"])
+
+    none = [F.lit(None).cast("double").alias(c) for c in ("in_ts", "in_lat", "in_lng")]
+    known = at_rest(tried(rows.select(*CHUNK).distinct().select(*CHUNK, *none)), "tried")
+    while True:
+        walked = at_rest(known.groupBy("user_id", "begin").applyInPandas(walk, f"user_id string, begin long, _day long, {HANDED}, missing boolean"), "walked")
+        todo = walked.where("missing").drop("missing")
+        if todo.isEmpty():
+            return walked.where("in_ts is not null").drop("missing")
+        known = at_rest(known.unionByName(tried(todo)), "tried")
+
+
 def with_stays(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
     """Adds is_stay_point, stay_start_time and stay_duration.
 
     The anchor is greedy, so each stretch without anomaly, unknown activity or reset is
-    folded in order by a grouped map; stretches of a session are told apart by a running
-    count, and only their pings' key columns travel through Python.
+    folded in order by a grouped map, day by day; a day's first stretch goes on from the
+    anchor that handed_anchors() finds for it. Only the pings' key columns travel through
+    Python.
     """
     known = ~F.col("is_anomaly") & (F.col("activity_type") != "UNKNOWN")
-    order = Window.partitionBy("user_id", "session").orderBy("gps_ts", "raw_id").rowsBetween(Window.unboundedPreceding, 0)
-    q = p.withColumn("_known", known).withColumn("_stretch", F.sum(F.when(known, 0).otherwise(1)).over(order))
+    chunk = Window.partitionBy("user_id", "session.raw_id", "_day")
+    upto = chunk.orderBy("gps_ts", "raw_id").rowsBetween(Window.unboundedPreceding, 0)
+    q = _dated(p).withColumn("_unknown", F.when(known, 0).otherwise(1))
+    q = q.withColumn("_stretch", F.sum("_unknown").over(upto)).withColumn("_left", F.sum("_unknown").over(chunk) - F.col("_stretch"))
+    part = q.where("_unknown = 0").select("user_id", F.col("session.raw_id").alias("begin"), "_day", "_stretch", "_left", "raw_id", "gps_ts", "lat", "lng")
+    handed = handed_anchors(part, rules)
+    if handed is None:
+        part = part.withColumns({c: F.lit(None).cast("double") for c in ("in_ts", "in_lat", "in_lng")})
+    else:
+        part = part.join(handed, CHUNK, "left")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["gps_ts", "raw_id"], kind="stable")
-        ts = g["gps_ts"].to_numpy()
-        begin = stay_fold(ts, g["lat"].to_numpy(), g["lng"].to_numpy(), rules.stay_radius_m)
-        return pd.DataFrame({"user_id": g["user_id"], "raw_id": g["raw_id"], "stay_start_time": begin, "stay_duration": ts - begin})
+        begin = _folded(g, rules.stay_radius_m, None if g["_stretch"].iloc[0] else _handed(g))[0]
+        return pd.DataFrame({"user_id": g["user_id"], "raw_id": g["raw_id"], "stay_start_time": begin, "stay_duration": g["gps_ts"].to_numpy() - begin})
 
-    part = q.where("_known").select("user_id", "session", "_stretch", "raw_id", "gps_ts", "lat", "lng")
-    folded = part.groupBy("user_id", "session", "_stretch").applyInPandas(fold, "user_id string, raw_id long, stay_start_time long, stay_duration long")
-    out = q.drop("_stretch", "_known").join(folded, ["user_id", "raw_id"], "left")
+    folded = part.groupBy(*CHUNK, "_stretch").applyInPandas(fold, "user_id string, raw_id long, stay_start_time long, stay_duration long")
+    out = p.join(folded, ["user_id", "raw_id"], "left")
     duration = F.coalesce("stay_duration", F.lit(0)).cast("long")
     return out.withColumn("stay_duration", duration).withColumn("is_stay_point", F.col("stay_duration") >= rules.stay_min_s)
 
 
 def process(points: DataFrame, rules: PointRules = RULES) -> DataFrame:
     """Processed points: every raw ping with its features, flags and ids. Repeated raw ids are taken once."""
-    p = with_trips(with_sessions(with_activity(with_anomaly(with_features(points.dropDuplicates(["user_id", "raw_id"])), rules), rules), rules), rules)
-    p = with_stays(p, rules)
+    p = at_rest(with_sessions(with_activity(with_anomaly(with_features(points.dropDuplicates(["user_id", "raw_id"])), rules), rules), rules), "sessions")
+    p = with_stays(at_rest(with_trips(p, rules), "trips"), rules)
     trip = F.when(F.col("trip_no").isNotNull(), F.concat_ws("_", "user_id", F.col("session.gps_ts").cast("string"), F.concat(F.lit("T"), F.col("trip_no").cast("string"))))
     return p.select(
         "raw_id", "user_id", "gps_ts", "lat", "lng", "activity_type", "activity_confidence", trip.alias("trip_id"), "is_stay_point", "stay_start_time", "stay_duration",

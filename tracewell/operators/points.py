@@ -8,10 +8,12 @@ sessions, which a gap of a minute ends.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -271,9 +273,9 @@ def with_stays(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
     """Adds is_stay_point, stay_start_time and stay_duration.
 
     The anchor is greedy, so each stretch without anomaly, unknown activity or reset is
-    folded in order by a grouped map, day by day; a day's first stretch goes on from the
-    anchor that handed_anchors() finds for it. Only the pings' key columns travel through
-    Python.
+    folded in order, day by day; a day's first stretch goes on from the anchor that
+    handed_anchors() finds for it. Only the pings' key columns travel through Python, in
+    batches of sorted partitions.
     """
     known = ~F.col("is_anomaly") & (F.col("activity_type") != "UNKNOWN")
     chunk = Window.partitionBy("user_id", "session.raw_id", "_day")
@@ -287,12 +289,23 @@ def with_stays(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
     else:
         part = part.join(handed, CHUNK, "left")
 
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["gps_ts", "raw_id"], kind="stable")
-        begin = _folded(g, rules.stay_radius_m, None if g["_stretch"].iloc[0] else _handed(g))[0]
-        return pd.DataFrame({"user_id": g["user_id"], "raw_id": g["raw_id"], "stay_start_time": begin, "stay_duration": g["gps_ts"].to_numpy() - begin})
-
-    folded = part.groupBy(*CHUNK, "_stretch").applyInPandas(fold, "user_id string, raw_id long, stay_start_time long, stay_duration long")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, anchor = None, None
+        for batch in batches:
+            g = batch.to_pandas()
+            keys = g[[*CHUNK, "_stretch"]]
+            edges = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())  # the first row is one
+            begin = np.empty(len(g), np.int64)
+            for a, b in zip(edges, [*edges[1:], len(g)], strict=True):
+                stretch, key = g.iloc[a:b], tuple(keys.iloc[a])
+                if key != before:
+                    anchor = None if key[-1] else _handed(stretch)
+                begin[a:b], anchor = _folded(stretch, rules.stay_radius_m, anchor)
+                before = key
+            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("raw_id"), pa.array(begin), pa.array(g["gps_ts"].to_numpy() - begin)], names=["user_id", "raw_id", "stay_start_time", "stay_duration"])
+
+    ordered = part.repartition(*CHUNK).sortWithinPartitions(*CHUNK, "_stretch", "gps_ts", "raw_id")
+    folded = ordered.mapInArrow(fold, "user_id string, raw_id long, stay_start_time long, stay_duration long")
     out = p.join(folded, ["user_id", "raw_id"], "left")
     duration = F.coalesce("stay_duration", F.lit(0)).cast("long")
     return out.withColumn("stay_duration", duration).withColumn("is_stay_point", F.col("stay_duration") >= rules.stay_min_s)

@@ -9,6 +9,7 @@ of two, so nothing is padded.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ DIMENSIONS, BITS, HASHED, SEED = 4, 8, 1024, 11
 ROOM, END = 2048, 1
 #: Bytes of tokens of a range of the curve, where there are more ranges than shuffle partitions.
 RANGE_BYTES = 64 << 20
+#: Tokens of a stored part of a document.
+PART = 2048
 PROJECTION = np.random.default_rng(SEED).normal(size=(HASHED, DIMENSIONS)).astype(np.float32)
 
 
@@ -114,7 +117,7 @@ def document_point(ids: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end: int) -> DataFrame:
-    """(id, key long, n long, ids binary): each document's tokens, the end token last, and its place on the curve."""
+    """(id, key long, n long, start long, same long, ids binary): each document's tokens, the end token last, in parts of PART, and its place on the curve; n counts all its tokens, start those before the part, same is a hash of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
@@ -122,10 +125,14 @@ def tokenized(docs: DataFrame, path: str, id_col: str, text_col: str, end: int)
         for batch in batches:
             ids = [np.concatenate([code.encode(t), last]) for t in texts(batch)]
             keys = hilbert_keys(np.array([document_point(i) for i in ids]).reshape(-1, DIMENSIONS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([len(i) for i in ids], pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())], names=["id", "key", "n", "ids"])
+            owner, start = (np.array(x, np.int64) for x in zip(*((k, a) for k, i in enumerate(ids) for a in range(0, len(i), PART)), strict=True)) if ids else (np.zeros(0, np.int64),) * 2
+            n = np.array([len(i) for i in ids], np.int64)
+            same = np.array([int.from_bytes(hashlib.blake2b(i.tobytes(), digest_size=8).digest(), "little", signed=True) for i in ids], np.int64)
+            parts = pa.array([ids[k][a : a + PART].tobytes() for k, a in zip(owner, start, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys[owner]), pa.array(n[owner]), pa.array(start), pa.array(same[owner]), parts], names=["id", "key", "n", "start", "same", "ids"])
 
     df = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, key long, n long, ids binary")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, key long, n long, start long, same long, ids binary")
 
 
 class Sequences:
@@ -133,13 +140,18 @@ class Sequences:
 
     def __init__(self, room: int, first: int):
         self.room, self.next, self.fill = room, first, 0
-        self.open: list[tuple[object, int, np.ndarray, int]] = []
+        self.open: list[tuple[object, int, np.ndarray, int, int]] = []
 
-    def add(self, doc_id: object, ids: np.ndarray) -> Iterator[tuple]:
+    def add(self, doc_id: object, ids: np.ndarray, before: int, whole: int, same: int) -> Iterator[tuple]:
+        """Takes a part of a document of `whole` tokens, of which `before` lie ahead of the part; parts of one text that follow each other are joined."""
         start = 0
         while start < len(ids):
             part = ids[start : start + self.room - self.fill]
-            self.open.append((doc_id, start, part, len(ids)))
+            last = self.open[-1] if self.open else None
+            if last and last[0] == doc_id and last[4] == same and last[1] + len(last[2]) == before + start:
+                self.open[-1] = (doc_id, last[1], np.concatenate([last[2], part]), whole, same)
+            else:
+                self.open.append((doc_id, before + start, part, whole, same))
             start += len(part)
             self.fill += len(part)
             if self.fill == self.room:
@@ -148,12 +160,12 @@ class Sequences:
     def finish(self, size: int) -> Iterator[tuple]:
         """The first `size` open tokens as one sequence."""
         offset, rest = 0, []
-        for doc_id, start, part, n in self.open:
+        for doc_id, start, part, n, same in self.open:
             own, more = part[: size - offset], part[size - offset :]
             if len(own):
                 yield doc_id, start, len(own), zlib.crc32(own.astype("<u4").tobytes()), n, self.next, offset
             if len(more):
-                rest.append((doc_id, start + len(own), more, n))
+                rest.append((doc_id, start + len(own), more, n, same))
             offset += len(own)
         self.open, self.fill, self.next = rest, self.fill - size, self.next + 1
 
@@ -188,15 +200,16 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         id_type = None
         for batch in batches:
             id_type = batch.column(0).type
-            rows = [piece for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for piece in cut.add(doc_id, np.frombuffer(ids, stored))]
+            rows = [piece for doc_id, ids, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True) for piece in cut.add(doc_id, np.frombuffer(ids, stored), *place)]
             yield table(rows)
         if cut.fill:
             yield table(list(cut.close()))
 
-    # the rank by hash spreads equal keys over ranges, whose number grows with the tokens
+    # the rank by hash spreads equal keys over ranges, whose number grows with the tokens;
+    # ranges are balanced by rows, which have PART tokens at most
     total = known.agg(F.sum(F.length("ids"))).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // RANGE_BYTES))
-    order = ["key", "spread", "id"]
+    order = ["key", "spread", "id", "same", "start"]
     ranged = known.withColumn("spread", F.xxhash64("id")).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    packed = ranged.select("id", "ids").mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
+    packed = ranged.select("id", "ids", "start", "n", "same").mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names[1:]))
     return packed.withColumnRenamed("id", id_col)

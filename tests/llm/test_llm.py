@@ -389,6 +389,48 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()[0]["vec_id"] == 1
 
 
+def test_inverted_lists(spark):
+    """Vectors in distant clusters: few lists are looked into, and every query still gets all its neighbours."""
+    rng = np.random.default_rng(3)
+    n, k = 4096, 20
+    centres = rng.normal(size=(12, 24)) * 3
+    x = centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 24)) * 0.3
+    x[:1400] = x[0]  # a third of all rows are one vector
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    quantiser, lists = ann.AdditiveQuantiser.fit(x[::4], 4, 64), ann.InvertedLists.fit(x, n)
+    assert len(lists.centres) == 8
+    index = ann.build_index(table, quantiser, lists)
+    held = {r["id"]: r["list"] for r in index.select("id", "list").collect()}
+    assert [held[i] for i in range(n)] == lists.of(x).tolist()
+    lists.probes = ann.probes_for(index, lists, k)
+    assert 1 <= lists.probes < 8
+
+    score = x @ x[::64].T
+    own = np.arange(0, n, 64)
+    score[own, np.arange(len(own))] = -np.inf
+    got = ann.search(index, index.where("id % 64 = 0").select("id", "v"), quantiser, lists, k).toPandas()
+    assert (got.groupby("query_id").size() == k).all() and set(got.query_id) == set(own)
+    hits = sum((g.score.to_numpy() >= np.sort(score[:, q // 64])[-k] - 1e-9).sum() for q, g in got.groupby("query_id"))
+    assert hits >= 0.95 * k * len(own)
+
+    # how many lists are needed, by a plain count over the same rows
+    tried = sorted(r["id"] for r in ann.first_by_hash(index, "id", 16).collect())
+    places = []
+    for i in tried:
+        s = x @ x[i]
+        s[i] = -np.inf
+        order = lists.order(x[i : i + 1])[0].tolist()
+        places += [order.index(held[j]) for j in np.lexsort((np.arange(n), -s))[:k]]
+    assert ann.probes_for(index, lists, k, tried=16, found=0.9) == sorted(places)[int(np.ceil(0.9 * len(places))) - 1] + 1
+
+    # lists with fewer rows than k: more of them are looked into
+    few = table.where("id >= 1400").limit(30)
+    lists = ann.InvertedLists(np.stack([x[i] for i in range(1400, 1430)]), probes=1)
+    index = ann.build_index(few, quantiser, lists)
+    got = ann.search(index, index.select("id", "v"), quantiser, lists, k).toPandas()
+    assert (got.groupby("query_id").size() == k).all() and got.query_id.nunique() == 30
+
+
 def labelled(spark, n=360):
     rng = random.Random(5)
     words = ["lorem", "ipsum", "dolor", "amet", "sit", "elit", "sed", "tempor", "magna", "quis"]

@@ -5,6 +5,10 @@ over all dimensions, found by beam search over the residuals. Each code stores t
 norms of its vector and of its approximation. A query's inner products with all
 codewords form a lookup table; a code's score is the sum of its entries, scaled by the
 stored norms. The best SHORTLIST of each block by that score are ranked exactly.
+
+Codes lie in inverted lists by their vector's nearest centre. A query looks into the
+lists whose centres have the largest inner products with it; how many that are is found
+on the data: as many as hold FOUND of the true neighbours of TRIED rows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,42 @@ CODEBOOKS, WORDS, BEAM = 16, 256, 4
 SAMPLE, ROUNDS, REFINEMENTS, SEED = 6000, 8, 2, 5
 #: Codes of a block, queries that meet a block at once, codes that are ranked exactly for each query and block.
 BLOCK, QUERIES, SHORTLIST = 16_384, 8_192, 400
+#: Inverted lists at most (one for each LIST_ROOT square roots' worth of rows), rows that
+#: the number of lists to look into is found on, and the share of their neighbours in these.
+LISTS, LIST_ROOT, TRIED, FOUND = 1024, 8, 128, 0.96
+
+
+def k_means(x: np.ndarray, words: int, rng: np.random.Generator) -> np.ndarray:
+    """(words, dimensions) centres after ROUNDS rounds; a centre without vectors is moved to one."""
+    centre = x[rng.choice(len(x), words, replace=len(x) < words)]
+    for _ in range(ROUNDS):
+        near = (x @ centre.T - (centre**2).sum(axis=1) / 2).argmax(axis=1)
+        count = np.bincount(near, minlength=words)
+        total = np.zeros_like(centre)
+        np.add.at(total, near, x)
+        centre = np.where(count[:, None] > 0, total / np.maximum(1, count)[:, None], x[rng.integers(0, len(x), words)])
+    return centre
+
+
+class InvertedLists:
+    """Centres of the lists, and how many of them a query looks into."""
+
+    def __init__(self, centres: np.ndarray, probes: int = 1):
+        self.centres, self.probes = centres.astype(np.float32), probes
+
+    @staticmethod
+    def fit(x: np.ndarray, rows: int) -> InvertedLists:
+        """Centres fitted on a sample x of a table of `rows` vectors."""
+        number = int(max(1, min(LISTS, rows**0.5 / LIST_ROOT)))
+        return InvertedLists(k_means(x.astype(np.float32), number, np.random.default_rng(SEED)))
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector: its nearest centre's."""
+        return (x.astype(np.float32) @ self.centres.T - (self.centres**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
+
+    def order(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, lists): all lists, that with the largest inner product first."""
+        return np.argsort(-(queries.astype(np.float32) @ self.centres.T), axis=1, kind="stable").astype(np.int32)
 
 
 class AdditiveQuantiser:
@@ -49,13 +89,7 @@ class AdditiveQuantiser:
         rng = np.random.default_rng(SEED)
         rest, books = x.astype(np.float32).copy(), []
         for _ in range(codebooks):
-            centre = rest[rng.choice(len(rest), words, replace=len(rest) < words)]
-            for _ in range(ROUNDS):
-                near = (rest @ centre.T - (centre**2).sum(axis=1) / 2).argmax(axis=1)
-                count = np.bincount(near, minlength=words)
-                total = np.zeros_like(centre)
-                np.add.at(total, near, rest)
-                centre = np.where(count[:, None] > 0, total / np.maximum(1, count)[:, None], rest[rng.integers(0, len(rest), words)])
+            centre = k_means(rest, words, rng)
             rest -= centre[(rest @ centre.T - (centre**2).sum(axis=1) / 2).argmax(axis=1)]
             books.append(centre)
         made = AdditiveQuantiser(np.stack(books))
@@ -120,39 +154,91 @@ def stacked(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def fit_quantiser(vectors: DataFrame, sample: int = SAMPLE) -> AdditiveQuantiser:
-    """A quantiser fitted on `sample` of the vectors (id, v) at most, the first by the hash of their id; the bound holds at any size."""
+def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """`sample` of the vectors (id, v) at most, the first by the hash of their id; the bound holds at any size."""
     picked = first_by_hash(vectors, "id", sample).orderBy("id").select("v").toArrow()
-    return AdditiveQuantiser.fit(stacked(picked.column("v")).astype(np.float64))
+    return stacked(picked.column("v")).astype(np.float64)
 
 
-def build_index(vectors: DataFrame, quantiser: AdditiveQuantiser) -> DataFrame:
-    """(id, v, code binary, norm, approximate_norm) of every vector (id, v), written to the shared folder."""
+def build_index(vectors: DataFrame, quantiser: AdditiveQuantiser, lists: InvertedLists) -> DataFrame:
+    """(id, v, code binary, norm, approximate_norm, list) of every vector (id, v), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = stacked(batch.column(1)).astype(np.float64)
             codes = quantiser.encode(x)
             norms = [np.sqrt((y.astype(np.float64) ** 2).sum(axis=1)) for y in (x, quantiser.decode(codes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms)], names=["id", "v", "code", "norm", "approximate_norm"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms), pa.array(lists.of(x))], names=["id", "v", "code", "norm", "approximate_norm", "list"])
+
+    return materialise(vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, approximate_norm double, list int"), "codes")
 
-    return materialise(vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, approximate_norm double"), "codes")
 
+def probes_for(index: DataFrame, lists: InvertedLists, k: int, tried: int = TRIED, found: float = FOUND) -> int:
+    """How many lists a query must look into so that they hold `found` of the true k nearest of `tried` rows.
+
+    The rows are the first by the hash of their id. Their neighbours are found by one
+    exact scan of the whole index, in which each task keeps the k best for each row.
+    """
+    picked = first_by_hash(index.select("id", "v"), "id", tried).orderBy("id").toArrow()
+    own, q = picked.column("id").to_numpy(), stacked(picked.column("v")).astype(np.float64)
+    order = lists.order(q)
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1], dtype=np.int32)[None, :], axis=1)
 
-def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, k: int, shortlist: int = SHORTLIST) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.zeros(0, kind) for kind in (np.int32, np.float64, np.int64, np.int32)]
+        floor = np.full(len(q), -np.inf)
+        for batch in batches:
+            ids, score = batch.column(0).to_numpy(), q @ stacked(batch.column(1)).astype(np.float64).T
+            score[own[:, None] == ids[None, :]] = -np.inf
+            if len(ids) > k:
+                floor = np.maximum(floor, np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k])
+            row, col = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+            new = row.astype(np.int32), score[row, col], ids[col], place[row, batch.column(2).to_numpy()[col]]
+            best = [np.concatenate(pair) for pair in zip(best, new, strict=True)]
+            by = np.lexsort((best[2], -best[1], best[0]))
+            best = [column[by] for column in best]
+            nth = np.arange(len(by)) - np.searchsorted(best[0], best[0])
+            best = [column[nth < k] for column in best]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, best)), names=["row", "score", "id", "place"])
+
+    scanned = index.select("id", "v", "list").mapInArrow(run, "row int, score double, id long, place int")
+    nearest_first = Window.partitionBy("row").orderBy(F.desc("score"), "id")
+    places = scanned.withColumn("nth", F.row_number().over(nearest_first)).where(F.col("nth") <= k).select("place").toArrow().column("place").to_numpy()
+    return int(np.sort(places)[int(np.ceil(found * len(places))) - 1]) + 1 if len(places) else 1
+
+
+def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, lists: InvertedLists, k: int, shortlist: int = SHORTLIST) -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each query (id, v), itself left out, ties to the smaller id.
 
-    Codes are dealt into blocks and queries into groups of bounded size by hashes of
-    their ids; each group meets each block in one task, which scores all codes by lookup
-    tables and ranks `shortlist` of them (more where the block is smaller) exactly in
-    double precision. Every query meets every code; what is joined is k rows for each
-    query and block.
+    Each query goes to the first lists.probes lists in its order, and to as many more as
+    hold k others together, so it never gets fewer rows than there are. A list's codes are dealt
+    into blocks, and the queries that look into it into groups, of bounded size by hashes
+    of their ids; each group meets each block of its list in one task, which scores the
+    block's codes by lookup tables and ranks `shortlist` of them (more where the block is
+    smaller) exactly in double precision. What is joined is k rows for each query and block.
     """
-    n, m = index.count(), queries.count()
-    blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-m // QUERIES))
-    deal = lambda column, parts: F.pmod(F.xxhash64(column), F.lit(parts)).cast("int")
-    left = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"), deal("id", groups).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
-    right = index.withColumns({"b": deal("id", blocks), "g": F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))})
+    held = index.groupBy("list").agg(F.count("*").alias("n"))
+    size = np.zeros(len(lists.centres), np.int64)
+    for row in held.collect():  # LISTS rows at most
+        size[row["list"]] = row["n"]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = lists.order(stacked(batch.column(1)))
+            short = (size[order].cumsum(axis=1) <= k).sum(axis=1)  # lists that hold k rows or fewer, the query's own among them
+            chosen = [row[: max(lists.probes, n + 1)] for row, n in zip(order, short, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
+
+    probing = materialise(queries.select("id", "v").mapInArrow(probe, "query_id long, q array<double>, lists array<int>"), "probes")
+    parts = lambda column, size: F.ceil(F.col(column) / size).cast("int")
+    deal = lambda column, number: F.pmod(F.xxhash64(column), F.col(number)).cast("int")
+    every = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
+    asked = probing.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m"))
+    # a row for each list, of which there are LISTS at most
+    dealt = F.broadcast(held.join(asked, "list").select("list", parts("n", BLOCK).alias("blocks"), parts("m", QUERIES).alias("groups")))
+    left = probing.select("query_id", "q", F.explode("lists").alias("list")).join(dealt, "list").select("query_id", "q", "list", deal("query_id", "groups").alias("g"), every("blocks").alias("b"))
+    right = index.join(dealt, "list").withColumns({"b": deal("id", "blocks"), "g": every("groups")}).drop("blocks", "groups")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list[np.ndarray]] = {"query_id": [], "id": [], "score": []}
@@ -184,7 +270,7 @@ def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, k
         join = lambda name, kind: np.concatenate(out[name]).astype(kind) if out[name] else np.zeros(0, kind)
         return pa.table({"query_id": join("query_id", np.int64), "id": join("id", np.int64), "score": join("score", np.float64)})
 
-    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(run, "query_id long, id long, score double")
+    found = left.groupBy("list", "g", "b").cogroup(right.groupBy("list", "g", "b")).applyInArrow(run, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.select("query_id", F.row_number().over(best).alias("rank"), "id", "score").where(F.col("rank") <= k)
 
@@ -206,7 +292,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
         found = spark.createDataFrame([], empty)
     else:
         rows = rows.where(F.size("v") == common["d"])
-        quantiser = fit_quantiser(rows)
-        index = build_index(rows, quantiser)
-        found = search(index, index.where(F.col("id") % every == 0).select("id", "v"), quantiser, k)
+        sample = sampled(rows)
+        quantiser, lists = AdditiveQuantiser.fit(sample), InvertedLists.fit(sample, common["n"])
+        index = build_index(rows, quantiser, lists)
+        lists.probes = probes_for(index, lists, k)
+        found = search(index, index.where(F.col("id") % every == 0).select("id", "v"), quantiser, lists, k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

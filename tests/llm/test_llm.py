@@ -284,6 +284,25 @@ def test_url_rules_and_reputation(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_suffixes_and_domains(spark):
+    """Of suffixes with one and two labels, ports, users and numeric addresses."""
+    expected = {
+        "a.b.example.com": ("com", "example.com"),
+        "www.shop.com.sg": ("com.sg", "shop.com.sg"),
+        "x.y.health.gov.au": ("gov.au", "health.gov.au"),
+        "me@mail.firm.co.id:8080": ("co.id", "firm.co.id"),
+        "www.co.uk": ("co.uk", "www.co.uk"),
+        "co.uk": ("co.uk", "co.uk"),
+        "a.city.de": ("de", "city.de"),
+        "a.co.museum": ("museum", "co.museum"),
+        "10.0.0.1:80": ("1", "10.0.0.1"),
+        "localhost": ("localhost", "localhost"),
+    }
+    host = F.col("host")
+    rows = spark.createDataFrame([(h,) for h in expected], "host string").select("host", url_filter.suffix_of(host).alias("s"), url_filter.domain_of(host).alias("d"))
+    assert {r["host"]: (r["s"], r["d"]) for r in rows.collect()} == expected
+
+
 def brute_components(texts, k, percent):
     sets = []
     for t in texts:

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: (host, path prefix, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+#: Labels under which names are registered below a country's two letters.
+REGISTERING = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "govt", "go", "gv", "ltd", "me", "mil", "ne", "net", "nhs", "nic", "nom", "or", "org", "plc", "sch")
+#: A public suffix of two labels: one of these and a country.
+TWO_LABEL_SUFFIX = f"^({'|'.join(REGISTERING)})[.][a-z][a-z]$"
 #: Normal quantile of the posterior bound, and the share that the bound is held against.
 Z, CUT = 1.645, 0.5
 #: Range of the within-group correlation that sets the strength of a prior.
@@ -41,16 +43,16 @@ def name_of(host: Column) -> Column:
 
 
 def suffix_of(host: Column) -> Column:
-    """The public suffix: the last label, or the last two where these are a listed suffix."""
+    """The public suffix: the last label, or the last two where a country registers names below the one before it."""
     two = F.substring_index(name_of(host), ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(two, ".", -1))
+    return F.when(two.rlike(TWO_LABEL_SUFFIX), two).otherwise(F.substring_index(two, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
     """The registered domain: the suffix and one label more; a numeric address is its own domain."""
     name = name_of(host)
     two = F.substring_index(name, ".", -2)
-    return F.when(name.rlike("^[0-9.]+$"), name).when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(name, ".", -3)).otherwise(two)
+    return F.when(name.rlike("^[0-9.]+$"), name).when(two.rlike(TWO_LABEL_SUFFIX), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -139,7 +141,6 @@ def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 def oracle_sql(rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, cut: float = CUT) -> str:
     """DuckDB SQL for judge_urls() over the table pages."""
-    two = ", ".join(f"'{s}'" for s in TWO_LABEL_SUFFIXES)
     ordered = sorted(rules, key=lambda r: -len(r[0] + r[1]))
     case = lambda value: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{value(h, p, v)}'" for h, p, v in ordered) + " end"
     last = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
@@ -150,7 +151,7 @@ def oracle_sql(rules: Sequence[tuple[str, str, str]] = RULES, z: float = Z, cut:
 with u as (select page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}') host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') path from pages),
 f as (select *, {case(lambda h, p, v: h + p)} rule, {case(lambda h, p, v: v)} fixed from u),
 h0 as (select host, count(fixed)::double n, count(*) filter (fixed = 'allow')::double good, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name from f where host <> '' group by host),
-h as (select host, n, good, case when regexp_matches(name, '^[0-9.]+$') then name when {last(2)} in ({two}) then {last(3)} else {last(2)} end dom, case when {last(2)} in ({two}) then {last(2)} else {last(1)} end suf from h0),
+h as (select host, n, good, case when regexp_matches(name, '^[0-9.]+$') then name when regexp_matches({last(2)}, '{TWO_LABEL_SUFFIX}') then {last(3)} else {last(2)} end dom, case when regexp_matches({last(2)}, '{TWO_LABEL_SUFFIX}') then {last(2)} else {last(1)} end suf from h0),
 d as (select dom, suf, sum(n) nd, sum(good) gd from h group by dom, suf),
 s as (select suf, sum(nd) ns, sum(gd) gs from d group by suf),
 t as (select coalesce(sum(ns), 0) na, coalesce(sum(gs), 0) ga from s),

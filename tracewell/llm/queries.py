@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import ann, audio, bpe, html_text, neardup, packing, quality, secret_scan, toxicity, url_filter
+from tracewell.llm import alignment, ann, audio, bpe, divergence, html_text, jaccard_join, neardup, packing, quality, secret_scan, toxicity, url_filter
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +61,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+def op12_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op4_additive_quantisation, op5_classifier_chain, op6_bayesian_minhash, op7_audio_media, op8_hilbert_packing, op9_recurrent_labeller, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_byte_convolution, op2_secret_battery, op3_url_reputation, op4_additive_quantisation, op5_classifier_chain, op6_bayesian_minhash, op7_audio_media, op8_hilbert_packing, op9_recurrent_labeller, op10_bpe_round_trip, op11_token_alignment, op12_grouped_prefix_join, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_reputation": url_filter.oracle_sql()}
+    return {"op3_url_reputation": url_filter.oracle_sql(), "op13_source_divergence": divergence.ORACLE}

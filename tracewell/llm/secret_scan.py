@@ -1,7 +1,10 @@
 """Secrets in texts: fixed patterns, and strings that a battery of randomness tests picks out.
 
-Every stretch of letters, or letters and digits, of LEAST_TESTED characters or more is
-tested. Its encoding is inferred from its characters; three statistics say how random it
+Every longest stretch of letters, digits, `+`, `/`, `_` and `-` of LEAST_TESTED characters
+or more is tested, whatever stands before and after it; one or two `=` behind it belong
+to it where nothing of a stretch and no third `=` follows. No encoding has both `+` or `/`
+and `_` or `-`: of a stretch with both kinds each part between `+` and `/` of that length
+is tested for itself. A string's encoding is inferred from its characters; three statistics say how random it
 looks within that alphabet: the chi-squared distance from uniform use, the runs of
 character classes (of vowels and consonants, where all are letters of one case), and the
 lag-1 correlation. Each is turned into a probability under the model of an ordinary name
@@ -35,7 +38,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Candidates of the tests, and the alphabets they may be written in, the narrowest first.
 LEAST_TESTED = 16
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST_TESTED},}}(?:={{0,2}})(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{{{LEAST_TESTED},}})(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
+PART = re.compile(rf"[^+/]{{{LEAST_TESTED},}}")
 DIGITS, LOWER, UPPER, VOWELS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "aeiouAEIOU"
 ALPHABETS = {"hex": DIGITS + "abcdef", "hex upper": DIGITS + "ABCDEF", "lower": LOWER, "upper": UPPER, "base32": UPPER + "234567", "base36": DIGITS + LOWER, "base36 upper": DIGITS + UPPER, "letters": LOWER + UPPER, "base62": DIGITS + LOWER + UPPER, "base64": UPPER + LOWER + DIGITS + "+/", "base64url": UPPER + LOWER + DIGITS + "-_"}
 
@@ -109,9 +113,21 @@ def length_class(n: int) -> int:
     return max(0, min(CLASSES - 1, int(4 * math.log2(max(n, 1) / LEAST_TESTED))))
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of every string that is tested."""
+    for m in CANDIDATE.finditer(text):
+        body = m[1]
+        if ("-" in body or "_" in body) and ("/" in body or "+" in body):
+            for part in PART.finditer(body):
+                last = part.end() == len(body)
+                yield m.start() + part.start(), m.end() if last else m.start() + part.end()
+        else:
+            yield m.span()
+
+
 def tested_spans(text: str) -> list[tuple[int, int, int, int]]:
     """(start, end, score, class) of every tested string; score is randomness() in steps, rounded down."""
-    return [(m.start(), m.end(), min(TOP, int(randomness(m[0]) * STEPS)), length_class(m.end() - m.start())) for m in CANDIDATE.finditer(text)]
+    return [(a, b, min(TOP, int(randomness(text[a:b]) * STEPS)), length_class(b - a)) for a, b in candidates(text)]
 
 
 SPANS = "base array<struct<start:int,kind:int,end:int>>, tested array<struct<start:int,end:int,score:int,class:int>>"

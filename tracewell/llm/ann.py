@@ -161,7 +161,7 @@ def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, quantiser: AdditiveQuantiser, lists: InvertedLists) -> DataFrame:
-    """(id, v, code binary, norm, approximate_norm, list) of every vector (id, v), written to the shared folder."""
+    """(id, v, code binary, norm, approximate_norm, list, row) of every vector (id, v), written to the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +170,8 @@ def build_index(vectors: DataFrame, quantiser: AdditiveQuantiser, lists: Inverte
             norms = [np.sqrt((y.astype(np.float64) ** 2).sum(axis=1)) for y in (x, quantiser.decode(codes))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms), pa.array(lists.of(x))], names=["id", "v", "code", "norm", "approximate_norm", "list"])
 
-    return materialise(vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, approximate_norm double, list int"), "codes")
+    coded = vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, approximate_norm double, list int")
+    return materialise(coded.withColumn("row", F.monotonically_increasing_id()), "codes")
 
 
 def probes_for(index: DataFrame, lists: InvertedLists, k: int, tried: int = TRIED, found: float = FOUND) -> int:
@@ -209,7 +210,7 @@ def probes_for(index: DataFrame, lists: InvertedLists, k: int, tried: int = TRIE
 
 
 def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, lists: InvertedLists, k: int, shortlist: int = SHORTLIST) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest found of each query (id, v), itself left out, ties to the smaller id.
+    """(query_id, rank, id, score): the k nearest found of each query (row, id, v), rows of its id left out, ties to the smaller id.
 
     Each query goes to the first lists.probes lists in its order, and to as many more as
     hold k others together, so it never gets fewer rows than there are. A list's codes are dealt
@@ -225,30 +226,30 @@ def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, l
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = lists.order(stacked(batch.column(1)))
+            order = lists.order(stacked(batch.column(2)))
             short = (size[order].cumsum(axis=1) <= k).sum(axis=1)  # lists that hold k rows or fewer, the query's own among them
             chosen = [row[: max(lists.probes, n + 1)] for row, n in zip(order, short, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(chosen, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], names=["query_row", "query_id", "q", "lists"])
 
-    probing = materialise(queries.select("id", "v").mapInArrow(probe, "query_id long, q array<double>, lists array<int>"), "probes")
+    probing = materialise(queries.select("row", "id", "v").mapInArrow(probe, "query_row long, query_id long, q array<double>, lists array<int>"), "probes")
     parts = lambda column, size: F.ceil(F.col(column) / size).cast("int")
     deal = lambda column, number: F.pmod(F.xxhash64(column), F.col(number)).cast("int")
     every = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
     asked = probing.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m"))
     # a row for each list, of which there are LISTS at most
     dealt = F.broadcast(held.join(asked, "list").select("list", parts("n", BLOCK).alias("blocks"), parts("m", QUERIES).alias("groups")))
-    left = probing.select("query_id", "q", F.explode("lists").alias("list")).join(dealt, "list").select("query_id", "q", "list", deal("query_id", "groups").alias("g"), every("blocks").alias("b"))
-    right = index.join(dealt, "list").withColumns({"b": deal("id", "blocks"), "g": every("groups")}).drop("blocks", "groups")
+    left = probing.select("query_row", "query_id", "q", F.explode("lists").alias("list")).join(dealt, "list").select("query_row", "query_id", "q", "list", deal("query_row", "groups").alias("g"), every("blocks").alias("b"))
+    right = index.join(dealt, "list").withColumns({"b": deal("row", "blocks"), "g": every("groups")}).drop("row", "blocks", "groups")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list[np.ndarray]] = {"query_id": [], "id": [], "score": []}
+        out: dict[str, list[np.ndarray]] = {"query_row": [], "query_id": [], "id": [], "score": []}
         if left.num_rows and right.num_rows:
             ids = right.column("id").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], stacked(right.column("v")).astype(np.float64)[order]
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             scale = (right.column("norm").to_numpy() / np.maximum(1e-12, right.column("approximate_norm").to_numpy()))[order].astype(np.float32)
-            query_ids, q = left.column("query_id").to_numpy(), stacked(left.column("q")).astype(np.float64)
+            query_rows, query_ids, q = left.column("query_row").to_numpy(), left.column("query_id").to_numpy(), stacked(left.column("q")).astype(np.float64)
             keep = min(len(ids), shortlist + 1)
             for a in range(0, len(q), 256):
                 table = quantiser.tables(q[a : a + 256])
@@ -264,14 +265,15 @@ def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, l
                     near = near[ids[near] != query_ids[a + row]]
                     exact = (x[near] * q[a + row]).sum(axis=1)
                     top = np.lexsort((ids[near], -exact))[:k]
+                    out["query_row"].append(np.full(len(top), query_rows[a + row]))
                     out["query_id"].append(np.full(len(top), query_ids[a + row]))
                     out["id"].append(ids[near[top]])
                     out["score"].append(exact[top])
         join = lambda name, kind: np.concatenate(out[name]).astype(kind) if out[name] else np.zeros(0, kind)
-        return pa.table({"query_id": join("query_id", np.int64), "id": join("id", np.int64), "score": join("score", np.float64)})
+        return pa.table({"query_row": join("query_row", np.int64), "query_id": join("query_id", np.int64), "id": join("id", np.int64), "score": join("score", np.float64)})
 
-    found = left.groupBy("list", "g", "b").cogroup(right.groupBy("list", "g", "b")).applyInArrow(run, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    found = left.groupBy("list", "g", "b").cogroup(right.groupBy("list", "g", "b")).applyInArrow(run, "query_row long, query_id long, id long, score double")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     return found.select("query_id", F.row_number().over(best).alias("rank"), "id", "score").where(F.col("rank") <= k)
 
 
@@ -281,8 +283,9 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
     Vectors that are null, empty, zero, or hold null or non-finite components take no
     part, nor do those whose length isn't the commonest (the longest of equally common
     ones; their inner product with others isn't defined, so as queries they get no rows),
-    nor null ids. A query's own row is never its neighbour. Of rows with one id
-    each counts. An empty table gives no rows; other columns are ignored.
+    nor null ids. Rows of a query's own id are never its neighbours. Where an id
+    occurs more than once each of its rows is a query, with k rows of its own, and each is
+    a candidate. An empty table gives no rows; other columns are ignored.
     """
     spark = prepare(table.sparkSession)
     rows = table.select(table[id_col].cast("long").alias("id"), table[vector_col].cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -296,5 +299,5 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_i
         quantiser, lists = AdditiveQuantiser.fit(sample), InvertedLists.fit(sample, common["n"])
         index = build_index(rows, quantiser, lists)
         lists.probes = probes_for(index, lists, k)
-        found = search(index, index.where(F.col("id") % every == 0).select("id", "v"), quantiser, lists, k)
+        found = search(index, index.where(F.col("id") % every == 0), quantiser, lists, k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -13,12 +13,15 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.llm.common import first_by_hash, prepare, texts
 from tracewell.llm.neardup import word_hashes
@@ -28,6 +31,9 @@ SILENT = frozenset("script style template head title svg select textarea button"
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym annotation audio b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mroot mrow ms msqrt msub msubsup msup mtext object q rp rt ruby s samp semantics small span strike strong sub sup time tt u var video wbr".split())
+#: Silent elements that a start tag of the second set ends, closed or not.
+BROKEN_OUT = frozenset("button select svg".split())
+BLOCK_LEVEL = frozenset("address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table ul".split())
 #: Elements, and words of class and id attributes, that say what they hold; used to label the sample of given pages.
 SAYS_MAIN = frozenset("article main".split())
 SAYS_OTHER = frozenset("nav footer header aside form menu ad ads advert advertisement banner sidebar cookie notice promo comment comments".split())
@@ -36,45 +42,95 @@ PATH, BAG, NUMBERS, HIDDEN, SEED = 96, 32, 7, 24, 3
 WIDE = PATH + BAG + NUMBERS
 #: Pages that are generated, given pages that are sampled at most, steps and pages of a step.
 MADE, SAMPLE, STEPS, PAGES, RATE = 900, 200, 320, 24, 0.008
-#: Blocks of pages that are labelled together, and of a given page that is fitted on at most.
-TOGETHER, FITTED = 6000, 500
+#: Blocks of pages that are labelled together, and of a given page that is fitted on at most; characters of a given page, and of all, that come to the driver at most.
+TOGETHER, FITTED, LONGEST, MOST_CHARACTERS = 6000, 500, 1_000_000, 64_000_000
+
+
+#: (text, path vector, share of it in links, whether its elements say that it is main text).
+Block = tuple[str, np.ndarray, float, bool]
+
+_places: dict[str, tuple[int, float]] = {}
+
+
+def place(token: str) -> tuple[int, float]:
+    """Where a path token counts, and its sign."""
+    found = _places.get(token)
+    if found is None:
+        h = zlib.crc32(token.encode("utf-8", "replace"))
+        found = (h % PATH, 1.0 if h & (1 << 20) else -1.0)
+        if len(_places) < 20_000:
+            _places[token] = found
+    return found
 
 
 class Blocks(HTMLParser):
-    """The text blocks of a page: (text, path tokens, share of it in links). Entities are decoded, white space made single."""
+    """The text blocks of a page. Entities are decoded, white space made single.
+
+    The hashed path and what the open elements say are kept up to date as elements open
+    and close, so a block costs the same at any depth.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, list[str]]] = []
+        self.path = np.zeros(PATH, np.float32)
+        self.open: Counter[str] = Counter()
+        self.main = self.other = 0
         self.silent, self.link = 0, 0
         self.parts: list[str] = []
         self.linked = 0
-        self.blocks: list[tuple[str, list[str], float]] = []
+        self.blocks: list[Block] = []
+
+    def turn(self, tokens: list[str], way: int) -> None:
+        for t in tokens:
+            i, sign = place(t)
+            self.path[i] += way * sign
+            name = t.lstrip(".")
+            self.main += way * (name in SAYS_MAIN)
+            self.other += way * (name in SAYS_OTHER)
+
+    def push(self, tag: str, tokens: list[str]) -> None:
+        self.stack.append((tag, tokens))
+        self.open[tag] += 1
+        self.silent += tag in SILENT
+        self.turn(tokens, 1)
+
+    def pop(self) -> str:
+        tag, tokens = self.stack.pop()
+        self.open[tag] -= 1
+        self.silent -= tag in SILENT
+        self.turn(tokens, -1)
+        return tag
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append((text, [t for _, tokens in self.stack for t in tokens] + [f"leaf:{self.stack[-1][0]}" if self.stack else "leaf:"], min(1.0, self.linked / len(text))))
+            path = self.path.copy()
+            i, sign = place(f"leaf:{self.stack[-1][0]}" if self.stack else "leaf:")
+            path[i] += sign
+            self.blocks.append((text, path, min(1.0, self.linked / len(text)), bool(self.main and not self.other)))
         self.parts, self.linked, self.link = [], 0, 0
 
     def end_head(self) -> None:
         """A head ends where something stands in it that can't, closed or not."""
         if self.stack and self.stack[-1][0] == "head":
-            self.stack.pop()
-            self.silent -= 1
+            self.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag not in IN_HEAD:
             self.end_head()
+        if tag in BLOCK_LEVEL:
+            while self.stack and self.stack[-1][0] in BROKEN_OUT:
+                self.pop()
         if tag in SILENT:
             if tag not in ("head", "title") or not self.silent:
                 self.flush() if tag not in ("button", "select", "svg", "math") else None
-            self.silent += 1
-            self.stack.append((tag, []))
+            self.push(tag, [])
             return
         if self.silent:
             if tag == "body":  # an unclosed head
-                self.stack, self.silent = [], 0
+                while self.stack:
+                    self.pop()
             else:
                 return
         if tag in INLINE:
@@ -87,14 +143,14 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+            self.pop()
         elif tag not in ("p",) and self.stack and self.stack[-1][0] == "p":
-            self.stack.pop()
+            self.pop()
         names = [tag]
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 names += [f".{w.lower()}" for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", value)]
-        self.stack.append((tag, names))
+        self.push(tag, names)
 
     def handle_startendtag(self, tag, attrs):
         if tag in INLINE or tag in VOID:
@@ -105,15 +161,12 @@ class Blocks(HTMLParser):
             if tag == "a":
                 self.link = 0
             return
-        if not any(name == tag for name, _ in self.stack):
+        if not self.open[tag]:
             return
         if not self.silent:
             self.flush()
-        while self.stack:
-            name, _ = self.stack.pop()
-            self.silent -= name in SILENT
-            if name == tag:
-                break
+        while self.stack and self.pop() != tag:
+            pass
 
     def handle_data(self, data):
         if data.strip():
@@ -124,7 +177,7 @@ class Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[str, list[str], float]]:
+def blocks_of(html: str) -> list[Block]:
     """Blocks of a page in its order; an empty page has none."""
     reader = Blocks()
     reader.feed(html)
@@ -133,27 +186,13 @@ def blocks_of(html: str) -> list[tuple[str, list[str], float]]:
     return reader.blocks
 
 
-_places: dict[str, tuple[int, float]] = {}
-
-
-def place(token: str) -> tuple[int, float]:
-    """Where a path token counts, and its sign."""
-    found = _places.get(token)
-    if found is None:
-        h = zlib.crc32(token.encode("utf-8", "replace"))
-        found = (h % PATH, 1.0 if h & (1 << 20) else -1.0)
-        if len(_places) < 20_000:
-            _places[token] = found
-    return found
-
-
-def vectors(pages: list[list[tuple[str, list[str], float]]]) -> np.ndarray:
+def vectors(pages: list[list[Block]]) -> np.ndarray:
     """(blocks, WIDE) inputs of the blocks of all pages, one after the other."""
     blocks = [b for page in pages for b in page]
     x = np.zeros((len(blocks), WIDE), np.float32)
     if not blocks:
         return x
-    coded = [t.encode("utf-8", "replace") for t, _, _ in blocks]
+    coded = [b[0].encode("utf-8", "replace") for b in blocks]
     at = np.concatenate([[0], np.cumsum([len(c) for c in coded])])
     data = np.frombuffer(b"".join(coded), np.uint8)
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])
@@ -164,10 +203,8 @@ def vectors(pages: list[list[tuple[str, list[str], float]]]) -> np.ndarray:
     count = np.bincount(owner, minlength=len(blocks))
     row = 0
     for page in pages:
-        for k, (text, tokens, linked) in enumerate(page):
-            for t in tokens:
-                i, sign = place(t)
-                x[row, i] += sign
+        for k, (text, path, linked, _) in enumerate(page):
+            x[row, :PATH] = path
             x[row, PATH + BAG :] = np.log1p(len(text)) / 5, np.log1p(count[row]) / 3, linked, k / len(page), 1 / (1 + k), text[-1] in ".!?:", digits[row] / len(text)
             row += 1
     np.clip(x[:, :PATH], -2, 2, out=x[:, :PATH])
@@ -259,7 +296,7 @@ class Labeller:
                 w -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-7)
         return self
 
-    def keeps(self, pages: list[list[tuple[str, list[str], float]]]) -> list[np.ndarray]:
+    def keeps(self, pages: list[list[Block]]) -> list[np.ndarray]:
         """For each page which of its blocks are main text; pages of like length are read together."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i]), key=lambda i: len(pages[i]))
@@ -372,13 +409,12 @@ class PageMaker:
 
     def labelled(self) -> tuple[list, np.ndarray]:
         blocks = blocks_of(self.page())
-        return [(t.replace(self.MAIN, ""), p, s) for t, p, s in blocks if t.replace(self.MAIN, "")], np.array([self.MAIN in t for t, _, _ in blocks if t.replace(self.MAIN, "")], np.float32)
+        return [(t.replace(self.MAIN, ""), *rest) for t, *rest in blocks if t.replace(self.MAIN, "")], np.array([self.MAIN in t for t, *_ in blocks if t.replace(self.MAIN, "")], np.float32)
 
 
-def told(blocks: list[tuple[str, list[str], float]]) -> np.ndarray | None:
+def told(blocks: list[Block]) -> np.ndarray | None:
     """Labels of a page whose elements say what they hold; None where nothing says what the main text is."""
-    names = [{t.lstrip(".") for t in tokens if not t.startswith("leaf:")} for _, tokens, _ in blocks]
-    main = np.array([bool(n & SAYS_MAIN) and not n & SAYS_OTHER for n in names], np.float32)
+    main = np.array([says for *_, says in blocks], np.float32)
     return main if main.any() else None
 
 
@@ -386,10 +422,13 @@ def fit_labeller(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """A labeller fitted on MADE generated pages and `sample` given ones at most, the first by the hash of their id.
 
     Of these, pages of over `most_blocks` blocks, and pages whose elements don't say what
-    they hold, aren't fitted on. Null and repeated ids and null pages do no harm.
+    they hold, aren't fitted on, nor pages of over LONGEST characters, nor what is beyond
+    MOST_CHARACTERS in that order. Null and repeated ids and null pages do no harm.
     """
     given = pages.where(pages[html_col].isNotNull()).select(pages[id_col].alias("id"), pages[html_col].alias("html"))
-    rows = first_by_hash(given, "id", sample).toArrow()
+    few = first_by_hash(given.where(F.length("html") <= LONGEST), "id", sample)
+    place = Window.orderBy(F.xxhash64("id"), "id", "html").rowsBetween(Window.unboundedPreceding, 0)  # over the few rows of the sample
+    rows = few.withColumn("size", F.sum(F.length("html")).over(place)).where(F.col("size") <= MOST_CHARACTERS).toArrow()
     maker = PageMaker()
     made = [maker.labelled() for _ in range(MADE)]
     for html in rows.column("html").to_pylist():

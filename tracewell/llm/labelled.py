@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Characters of whole texts that a sample brings to the driver at most.
-MOST_CHARACTERS = 64_000_000
+#: Characters of whole texts that a sample brings to the driver at most, and of one text that is learned from.
+MOST_CHARACTERS, LONGEST = 64_000_000, 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -24,12 +24,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bounds: dict
     document the least counts, of several texts the least, null texts are empty. The
     first ids by hash are taken, so the same rows are picked whatever the partitions and
     however many there are; then whole texts in that order while they add up to
-    `characters` at most. Only these come to the driver.
+    `characters` at most, leaving out those of over LONGEST. Only these come to the driver.
     """
     known = labels.where(labels["doc_id"].isNotNull() & labels[label].isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("y")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     picked = reduce(DataFrame.unionAll, [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(most) for y, most in sorted(bounds.items())])
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).where(F.length("text") <= LONGEST)
     place = Window.orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the few rows of the sample
     found = texts.withColumn("h", F.xxhash64("doc_id", "y")).withColumn("size", F.sum(F.length("text")).over(place)).where(F.col("size") <= characters).orderBy("h", "doc_id").select("text", "y").toArrow()
     return list(zip(found.column("text").to_pylist(), found.column("y").to_pylist(), strict=True))

@@ -19,6 +19,8 @@ from tracewell.llm.common import prepare, slices, utf8
 from tracewell.llm.labelled import held_out, labelled_sample
 
 WIDTH, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 512, 6, 24, 12
+#: Bytes whose filter outputs are held at once.
+SPAN = 1 << 18
 #: Rows of each label that are fitted on at most, and how.
 SAMPLE, EPOCHS, BATCH, STEP, DECAY, SEED = 1500, 8, 24, 0.01, 1e-3, 7
 
@@ -51,9 +53,23 @@ class ByteNet:
             n = (len(data) - first) // WIDTH
             np.add(x[first * EMBEDDING : (first + n * WIDTH) * EMBEDDING].reshape(n, WIDTH * EMBEDDING) @ self.w["filters"], self.w["bias"], out=z[first : first + n * WIDTH : WIDTH])
         over = (starts[1:, None] - np.arange(1, WIDTH)).ravel()
-        z[over] = -np.inf
+        z[over[over < len(z)]] = -np.inf
         return z
 
+    def half_maxima(self, data: np.ndarray, starts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(half chunks, FILTERS) maxima over each half chunk's windows, those of about SPAN bytes at a time."""
+        out = np.empty((len(first), FILTERS), np.float32)
+        end = np.append(first[1:], len(data))
+        a = 0
+        while a < len(first):
+            b = max(a + 1, int(np.searchsorted(first, first[a] + SPAN)))
+            low, high = first[a], end[b - 1]
+            inside = starts[(starts > low) & (starts < high + WIDTH)] - low
+            z = self.filtered(data[low : high + WIDTH - 1], np.concatenate([[0], inside]))
+            out[a:b] = np.maximum.reduceat(z[: high - low], first[a:b] - low, axis=0)
+            a = b
+        return out
+
     @staticmethod
     def halves(starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first window of each half chunk, document of each half chunk)."""
@@ -74,7 +90,7 @@ class ByteNet:
         """Probability of label 1 for each document of a slice."""
         data, starts, windows = laid_out(data, at)
         first, owner = self.halves(starts, windows)
-        half = np.maximum.reduceat(self.filtered(data, starts), first, axis=0)
+        half = self.half_maxima(data, starts, first)
         chunk = np.maximum(0, np.maximum(half, half[self.chunks(owner)]))
         edge = np.searchsorted(owner, np.arange(len(at) - 1))
         n = np.diff(np.append(edge, len(owner)))[:, None]

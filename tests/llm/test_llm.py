@@ -180,13 +180,39 @@ def test_secrets(spark):
     assert secret_scan.secret_digests(frame(spark, [])).count() == 0
 
 
+def stretches_by_hand(text):
+    """(start, end, body) of what the contract says is tested: longest stretches, with one or two `=` behind them; of mixed ones the parts between + and /."""
+    inside, at = set(string.ascii_letters + string.digits + "+/_-"), 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in inside:
+            end += 1
+        if end == at:
+            at += 1
+            continue
+        pad = 0
+        while text[end + pad : end + pad + 1] == "=":
+            pad += 1
+        if pad > 2 or (pad and text[end + pad : end + pad + 1] in inside and end + pad < len(text)):
+            pad = 0
+        body = text[at:end]
+        if set(body) & set("+/") and set(body) & set("-_"):
+            first = at
+            for k in range(at, end + 1):
+                if k == end or text[k] in "+/":
+                    yield first, k + (pad if k == end else 0), text[first:k]
+                    first = k + 1
+        else:
+            yield at, end + pad, body
+        at = end
+
+
 def naive_battery(texts, share=0.01):
     """All random spans of all texts, by plain counting: the three tests of every stretch, then the weighted step-up."""
     tested = []
     for i, text in enumerate(texts):
-        for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text or ""):
-            body = m[0].rstrip("=")
-            if len(body) < 16 or "=" in body or len(m[0]) - len(body) > 2 or set(body) <= set(string.digits):
+        for start, end, body in stretches_by_hand(text or ""):
+            if len(body) < 16 or set(body) <= set(string.digits):
                 continue
             alphabet = next((a for a in secret_scan.ALPHABETS.values() if set(body) <= set(a)), None)
             p = 1.0
@@ -202,8 +228,8 @@ def naive_battery(texts, share=0.01):
                     place = [alphabet.index(c) - np.mean([alphabet.index(d) for d in body]) for c in body]
                     z.append((0.4 - abs(sum(a * b for a, b in zip(place, place[1:], strict=False)) / max(1e-9, sum(a * a for a in place)))) * n**0.5)
                     p = 0.5 * math.erfc(sum(z) / 6**0.5 / 2**0.5)
-            c = max(0, min(12, int(4 * math.log2(len(m[0]) / 16))))
-            tested.append((i, m.start(), m.end(), int(-math.log10(max(1e-300, p)) * 50), 2 ** (c / 4)))
+            c = max(0, min(12, int(4 * math.log2((end - start) / 16))))
+            tested.append((i, start, end, int(-math.log10(max(1e-300, p)) * 50), 2 ** (c / 4)))
     mean = sum(t[4] for t in tested) / max(1, len(tested))
     log = {t: t[3] / 50 + math.log10(t[4] / mean) for t in tested if t[3]}
     passing = [v for v in log.values() if 10**-v <= share * sum(w >= v for w in log.values()) / len(tested)]
@@ -217,7 +243,12 @@ def test_random_strings_match_naive_battery(spark):
     texts = [" ".join(rng.choice(words) for _ in range(6)) for _ in range(40)] + [None, ""]
     for alphabet in alphabets:
         texts += [f"see {''.join(rng.choice(alphabet) for _ in range(n))}{rng.choice(['', '', '='])} end" for n in (15, 16, 19, 24, 32, 48, 64)]
+    key = lambda n=40: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    around = ["", " ", "=", "==", "===", ":", '"', "'", "&", "?sig=", "KEY=", "x=", "a/b-c/", "%", "$", "é", "(", "<", "\n", ".", ",", "@", "#", "~", "|"]
+    texts += [f"u {a}{key()}{b} v" for a in around for b in around[:9]]
+    texts += [f"{a}{key(24)}+{key(5)}-{key(24)}{a}" for a in around]
     got = [(r["doc_id"], s["start"], s["end"]) for r in secret_scan.find_secrets(frame(spark, texts)).collect() for s in r["spans"] if s["kind"] == 3]
+    assert sum(any(i == g[0] for g in got) for i, t in enumerate(texts) if t and t.startswith("u ")) == 9 * len(around)
     base = {i: secret_scan.base_spans(t or "") for i, t in enumerate(texts)}
     want = [t for t in naive_battery(texts) if not any(a <= t[1] and t[2] <= b for a, _, b in base[t[0]])]
     assert sorted(got) == want and len(want) > 10
@@ -427,7 +458,7 @@ def test_inverted_lists(spark):
     score = x @ x[::64].T
     own = np.arange(0, n, 64)
     score[own, np.arange(len(own))] = -np.inf
-    got = ann.search(index, index.where("id % 64 = 0").select("id", "v"), quantiser, lists, k).toPandas()
+    got = ann.search(index, index.where("id % 64 = 0"), quantiser, lists, k).toPandas()
     assert (got.groupby("query_id").size() == k).all() and set(got.query_id) == set(own)
     hits = sum((g.score.to_numpy() >= np.sort(score[:, q // 64])[-k] - 1e-9).sum() for q, g in got.groupby("query_id"))
     assert hits >= 0.95 * k * len(own)
@@ -446,7 +477,7 @@ def test_inverted_lists(spark):
     few = table.where("id >= 1400").limit(30)
     lists = ann.InvertedLists(np.stack([x[i] for i in range(1400, 1430)]), probes=1)
     index = ann.build_index(few, quantiser, lists)
-    got = ann.search(index, index.select("id", "v"), quantiser, lists, k).toPandas()
+    got = ann.search(index, index, quantiser, lists, k).toPandas()
     assert (got.groupby("query_id").size() == k).all() and got.query_id.nunique() == 30
 
 

@@ -5,11 +5,11 @@ Two sets of the threshold share a shingle of both prefixes (the first n - ceil(t
 Shingles that only one prefix holds are left out; documents of equal size and equal
 remaining prefix are one group, and groups with a common prefix shingle meet in its bucket.
 
-1. Equal sets are one node. In each bucket every group is compared with the least one;
-   the likeliest pair of each group, and each group's members with its least member, are
-   verified on full sets. What is linked becomes a component.
-2. In buckets that still hold several components, group pairs of compatible size, prefix
-   places and prefix bits join their components to families. What isn't joined can't link.
+1. Equal sets are one node. Of the least nodes of its first shingles' buckets each node is
+   verified with the likeliest, on full sets. What is linked becomes a component.
+2. Nodes are collapsed to groups. In buckets that still hold several components, group
+   pairs of compatible size, prefix places and prefix bits join their components to
+   families. What isn't joined can't link.
 3. In families of several components the groups are expanded, and members of different
    components are verified on full sets, by blocks of bounded size.
 
@@ -24,14 +24,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import connected_components, materialise, passing_tables, prepare, slices, utf8
 from tracewell.llm.neardup import restrict, shingle_sets
 
 #: Counters of the corpus's shingles, a power of two: each task's array of them, and what comes to the driver, is of this size.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
+#: Places of a prefix whose buckets give a node its first partner.
+FIRST = 16
 #: Bits of a prefix; groups of a bucket, and shingles of a family's members, that one block holds; pairs compared at once.
 BITS, GROUPS, SHINGLES, PAIRS = 256, 4096, 1 << 20, 1 << 18
 
@@ -93,14 +95,16 @@ def prefixes(plain: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def prefix_rows(nodes: DataFrame) -> DataFrame:
-    """(token, node): a row for each shingle of each node's prefix."""
+    """(token, node, place): a row for each shingle of each node's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            yield pa.RecordBatch.from_arrays([pa.array(data[at[0] : at[-1]].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(at) // 8))], names=["token", "node"])
+            size = np.diff(at) // 8
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(data[at[0] : at[-1]].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(place.astype(np.int32))], names=["token", "node", "place"])
 
-    return nodes.where("prefix is not null").select("node", "prefix").mapInArrow(run, "token long, node long")
+    return nodes.where("prefix is not null").select("node", "prefix").mapInArrow(run, "token long, node long, place int")
 
 
 def described(kept: DataFrame) -> DataFrame:
@@ -136,21 +140,11 @@ def may_link(n: tuple, k: tuple, bits: tuple, percent: int, bound: np.ndarray) -
     return out
 
 
-def star_pairs(buckets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of each group b the likeliest of the least groups a of its buckets (key, place, gid, k)."""
-    pivots = buckets.groupBy("key").agg(F.min(F.struct("gid", "place", "k")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    both = buckets.join(pivots, "key").where("gid <> p.gid")
-    bound = F.least(F.col("k") - F.col("place"), F.col("p.k") - F.col("p.place"))
-    pairs = both.groupBy(F.col("p.gid").alias("a"), F.col("gid").alias("b")).agg(F.max(bound).alias("bound"), F.count("*").alias("common"))
-    one, two = (groups.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("k").alias(f"k{x}"), F.col("bits").alias(f"bits{x}")) for x in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, k = (tuple(batch.column(f"{c}{x}").to_numpy() for x in "ab") for c in "nk")
-            good = may_link(n, k, tuple(bit_rows(batch.column(f"bits{x}")) for x in "ab"), percent, batch.column("bound").to_numpy())
-            yield batch.select(["a", "b", "common"]).filter(pa.array(good))
-
-    near = pairs.join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, common long")
+def first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): of each node b that pivot a of its buckets (token, node, place, pivot) which it meets most often and which is of like size."""
+    pairs = shared.where((F.col("place") < FIRST) & (F.col("node") != F.col("pivot"))).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("common"))
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+    near = pairs.join(two, "b").join(one, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     best = near.groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("first"))).alias("m"))
     return best.select((-F.col("m.first")).alias("a"), "b")
 
@@ -322,11 +316,6 @@ def member_links(members: DataFrame, percent: int) -> DataFrame:
     return materialise(dealt(members, SHINGLES).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
 
 
-def size_class(n: Column, percent: int) -> Column:
-    """Sets that can be linked are of one class or of neighbouring ones."""
-    return F.floor(F.log(n) / F.lit(float(np.log(100 / percent) + 1e-6)))
-
-
 def with_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
     """nodes and their component in parts (node, component), themselves where they have none."""
     return nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -342,28 +331,23 @@ def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
 
 def linked_components(nodes: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, component) of the nodes (node, id, digest, n, prefix) that are linked with others, component being any node of theirs."""
-    rows = materialise(prefix_rows(nodes), "prefix_rows")
-    shared = rows.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token")
-    kept = rows.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-    kept = materialise(described(kept.join(nodes.select("node", "n"), "node").select("node", "n", "tokens")), "kept")
-    groups = kept.groupBy("same").agg(F.min("node").alias("gid"), F.count("*").alias("size"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"))
-    groups = materialise(groups.withColumn("k", F.size("tokens").cast("long")), "groups")
-    members = materialise(kept.select("node", "same").join(groups.select("same", "gid", "n", "k"), "same").drop("same"), "members")
-    level = size_class(F.col("n"), percent)
-    entries = groups.select("gid", "n", "k", "bits", F.posexplode("tokens").alias("place", "token"))
-    entries = entries.withColumn("key", F.explode(F.array(F.xxhash64("token", level), F.xxhash64("token", level + 1)))).drop("token")
-    buckets = entries.select("key", "gid", "k", F.col("place").cast("long").alias("place"))
-    need = F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent} - ({percent} * n + 99) div 100 + 1")
-    within = members.where("node <> gid").where(F.col("k") >= F.greatest(F.lit(1), need))
-    pairs = star_pairs(buckets, groups, percent).unionByName(within.select(F.col("gid").alias("a"), F.col("node").alias("b")))
-    pairs = materialise(pairs, "pairs")
+    bucket = Window.partitionBy("token")
+    shared = prefix_rows(nodes).withColumns({"size": F.count("*").over(bucket), "pivot": F.min("node").over(bucket)})
+    shared = materialise(shared.where("size > 1").drop("size"), "shared")
+    pairs = materialise(first_pairs(shared, nodes, percent), "pairs")
     links = verified(pairs, sets_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), plain, k), percent)
     parts = materialise(connected_components(links), "parts")
-    own = with_component(members.select("node", "gid"), parts)
-    units = materialise(own.select("gid", F.col("component").alias("part")).distinct(), "units")
-    units = entries.join(units, "gid").select("key", "part", F.xxhash64("gid", "part").alias("row"), F.lit(1).cast("long").alias("weight"), F.col("place").cast("long").alias("place"), "k", "n", "bits")
+    kept = shared.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+    kept = with_component(described(kept.join(nodes.select("node", "n"), "node").select("node", "n", "tokens")), parts)
+    kept = materialise(kept, "kept")
+    # a group's members of one component are one unit; all that is compared is alike within a group
+    units = kept.groupBy("same", F.col("component").alias("part")).agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bits")))
+    units = units.select("part", "n", "bits", F.size("tokens").cast("long").alias("k"), F.xxhash64("same", "part").alias("row"), F.posexplode("tokens").alias("place", "key"))
+    key = Window.partitionBy("key")
+    units = units.withColumns({"low": F.min("part").over(key), "high": F.max("part").over(key)}).where("low <> high")
+    units = materialise(units.select("key", "part", "row", F.lit(1).cast("long").alias("weight"), F.col("place").cast("long").alias("place"), "k", "n", "bits"), "units")
     families = connected_components(family_joins(units, percent)).select(F.col("node").alias("part"), F.col("component").alias("key"))
-    some = with_component(members.select("node", "n"), parts).withColumnRenamed("component", "part").join(families, "part")
+    some = kept.select("node", "n", F.col("component").alias("part")).join(families, "part")
     some = materialise(some.select("key", "part", F.col("node").alias("row"), F.col("n").alias("weight")), "open")
     sets = sets_of(nodes, some.select(F.col("row").alias("node")), plain, k).withColumnRenamed("node", "row")
     return joined(parts, member_links(some.join(sets, "row").select("key", "part", "row", "weight", "found"), percent))

@@ -1,8 +1,11 @@
-"""Geography as Column expressions; all stay inside whole-stage code generation."""
+"""Geography as Column expressions, inside whole-stage code generation but for the decoding of polylines, which works on Arrow arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EARTH_M = 6371000.0
@@ -71,24 +74,64 @@ def geohash(lat: Column, lng: Column, precision: int) -> Column:
     return F.concat(*out)
 
 
+def polyline_points(texts: pa.Array) -> pa.Array:
+    """decode_polyline() of an Arrow array: all characters of all texts at once, each a fixed number of times."""
+    texts = texts.cast(pa.large_binary())
+    coded = pc.fill_null(texts, b"")
+    at = np.frombuffer(coded.buffers()[1], np.int64)[coded.offset : coded.offset + len(coded) + 1]
+    data = coded.buffers()[2]
+    group = (np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, np.uint8)).astype(np.int64) - 63
+    at = at - at[0]
+    last = np.zeros(len(group), bool)
+    last[group < 32] = True
+    cut = last.copy()
+    cut[at[1:][np.diff(at) > 0] - 1] = True  # a number doesn't go over a text's end
+    end = np.flatnonzero(cut)
+    begin = np.concatenate([[0], end[:-1] + 1])[: len(end)]
+    place = np.arange(len(group)) - np.repeat(begin, end - begin + 1)
+    value = np.add.reduceat((group & 31) << (5 * np.minimum(place, 12)), begin) if len(begin) else np.zeros(0, np.int64)
+    whole, owner = last[end], np.searchsorted(at, begin, "right") - 1
+    value, owner = value[whole], owner[whole]
+    delta = np.where(value & 1, ~(value >> 1), value >> 1)
+    n = np.bincount(owner, minlength=len(texts))
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    paired = nth < np.repeat(n // 2 * 2, n)
+    points = n // 2
+    edge = np.concatenate([[0], np.cumsum(points)])
+    parts = []
+    for k in (0, 1):
+        total = np.concatenate([[0], np.cumsum(delta[paired & (nth % 2 == k)])])
+        parts.append(pa.array((total[1:] - np.repeat(total[edge[:-1]], points)) / 1e5))
+    rows = pa.StructArray.from_arrays(parts, ["lat", "lng"])
+    mask = pa.array(texts.is_null().to_numpy(zero_copy_only=False)) if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), rows, mask=mask)
+
+
 def decode_polyline(text: Column) -> Column:
     """array<struct<lat,lng>> of an encoded polyline: 5-bit groups, zigzag deltas of 1e-5 degrees.
 
-    One fold over the characters; an unfinished number at the end is left out.
+    In time linear in the text's length. An unfinished number at the end and a latitude
+    without its longitude are left out; null gives null, an empty text no points.
+    """
+    return F.arrow_udf(polyline_points, "array<struct<lat:double,lng:double>>")(text)
+
+
+def polyline_number(delta: Column) -> Column:
+    """The characters of one delta of a polyline, a whole number of 1e-5 degrees."""
+    value = F.when(delta < 0, -2 * delta - 1).otherwise(2 * delta).cast("long")
+    group = lambda k: F.shiftright(value, 5 * k)
+    char = lambda k: F.when(group(k + 1) > 0, F.char(group(k).bitwiseAND(F.lit(31)) + 95)).otherwise(F.char(group(k) + 63))
+    return F.concat(char(0), *(F.when(group(k) > 0, char(k)).otherwise("") for k in range(1, 7)))
+
+
+def encode_polylines(points: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by.., polyline string): the points (lat, lng) of each group in their order, as an encoded polyline.
+
+    A group's text is put together in one row, so groups are lines of a bounded size, as a trip's.
     """
-    zero = F.lit(0).cast("long")
-    numbers = F.array().cast("array<bigint>")
-    start = F.struct(zero.alias("value"), F.lit(0).alias("shift"), numbers.alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        chunk = F.ascii(c) - 63
-        value = s["value"] + chunk.bitwiseAND(F.lit(31)).cast("long") * F.pow(F.lit(2.0), s["shift"]).cast("long")
-        delta = F.when(value % 2 == 1, -(F.shiftright(value, 1)) - 1).otherwise(F.shiftright(value, 1))
-        more = chunk >= 32
-        return F.struct(F.when(more, value).otherwise(zero).alias("value"), F.when(more, s["shift"] + 5).otherwise(0).alias("shift"), F.when(more, s["out"]).otherwise(F.concat(s["out"], F.array(delta))).alias("out"))
-
-    deltas = F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), start, step)["out"]
-    total = lambda first, upto: F.aggregate(F.filter(F.sequence(F.lit(first), upto, F.lit(2)), lambda i: i <= upto), zero, lambda a, i: a + F.get(deltas, i))
-    pairs = F.floor(F.size(deltas) / 2).cast("int")
-    points = F.transform(F.sequence(F.lit(0), pairs - 1), lambda i: F.struct((total(0, 2 * i) / 1e5).alias("lat"), (total(1, 2 * i + 1) / 1e5).alias("lng")))
-    return F.when(pairs > 0, points).otherwise(F.array().cast("array<struct<lat:double,lng:double>>"))
+    w = Window.partitionBy(*by).orderBy(*order)
+    scaled = {f"_{c}": F.floor(F.col(c) * 1e5 + 0.5).cast("long") for c in ("lat", "lng")}
+    step = lambda c: polyline_number(F.col(f"_{c}") - F.coalesce(F.lag(f"_{c}").over(w), F.lit(0)))
+    coded = points.withColumns(scaled).withColumns({"_text": F.concat(step("lat"), step("lng")), "_place": F.row_number().over(w)})
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_place", "_text"))), lambda s: s["_text"]), "")
+    return coded.groupBy(*by).agg(text.alias("polyline"))

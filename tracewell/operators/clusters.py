@@ -86,16 +86,16 @@ def dbscan_labels(lat: np.ndarray, lng: np.ndarray, weight: np.ndarray, eps_m: f
     return label
 
 
-def _wide(row: Column, side: float) -> Column:
+def square_width(row: Column, side: float) -> Column:
     """Degrees of longitude of a row's squares: `side` degrees of latitude where the row is widest."""
     return side / F.greatest(F.cos(F.radians(F.greatest(row * side, -(row + 1) * side))), F.lit(1e-4))
 
 
-def _around(lat: Column, west: Column, east: Column, row: Column, rows: tuple[int, int], eps_m: float, side: float) -> Column:
+def squares_around(lat: Column, west: Column, east: Column, row: Column, rows: tuple[int, int], eps_m: float, side: float) -> Column:
     """Array of (row, col) of the squares that may hold a point within eps_m of the points at lat from west to east."""
     share = F.sin(F.lit(eps_m / DBSCAN_EARTH_M)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
     far = F.when(share < 1, F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.001).otherwise(180.0)
-    cols = lambda r: F.sequence(F.floor((west - far) / _wide(r, side)), F.floor((east + far) / _wide(r, side)))
+    cols = lambda r: F.sequence(F.floor((west - far) / square_width(r, side)), F.floor((east + far) / square_width(r, side)))
     return F.flatten(F.transform(F.sequence(row + rows[0], row + rows[1]), lambda r: F.transform(cols(r), lambda c: F.struct(r.alias("row"), c.alias("col")))))
 
 
@@ -105,7 +105,7 @@ def _full_links(spots: DataFrame, eps_m: float, side: float) -> DataFrame:
     full = spots.where("full")
     box = full.groupBy("user_id", "row", "col", "unit").agg(F.count("*").alias("n"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.max(F.abs("lat")).alias("high"))
     box = at_rest(box.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")), "squares")
-    to = box.select("unit", "user_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(_around(F.col("high"), F.col("west"), F.col("east"), F.col("row"), (0, 2), eps_m, side)).alias("s"))
+    to = box.select("unit", "user_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(squares_around(F.col("high"), F.col("west"), F.col("east"), F.col("row"), (0, 2), eps_m, side)).alias("s"))
     to = to.select(F.col("unit").alias("a"), "user_id", "r0", "c0", "s.row", "s.col")
     pairs = to.join(box.select("user_id", "row", "col", F.col("unit").alias("b")), ["user_id", "row", "col"]).where("row > r0 or col > c0").select("a", "b")
     part = full.join(box.select("unit", "blocks"), "unit").withColumn("part", F.pmod(F.xxhash64("id"), "blocks"))
@@ -135,11 +135,11 @@ def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float
     """
     side = float(np.degrees(eps_m / DBSCAN_EARTH_M)) * 0.7
     row = F.floor(F.col("lat") / side)
-    rows = cell_rows.select("user_id", "cell_lat", "cell_lng", "lat", "lng", "count", "first_seen").withColumn("row", row).withColumn("col", F.floor(F.col("lng") / _wide(F.col("row"), side)))
+    rows = cell_rows.select("user_id", "cell_lat", "cell_lng", "lat", "lng", "count", "first_seen").withColumn("row", row).withColumn("col", F.floor(F.col("lng") / square_width(F.col("row"), side)))
     rows = at_rest(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
     squares = rows.groupBy("user_id", "row", "col").agg((F.sum("count") >= min_weight).alias("full"), F.min("id").alias("least"))
     spots = at_rest(rows.join(squares, ["user_id", "row", "col"]).withColumn("unit", F.when(F.col("full"), F.col("least")).otherwise(F.col("id"))).drop("least"), "spots")
-    ask = spots.where("not full").select("id", "user_id", F.col("lat").alias("y"), F.col("lng").alias("x"), F.explode(_around(F.col("lat"), F.col("lng"), F.col("lng"), F.col("row"), (-2, 2), eps_m, side)).alias("s"))
+    ask = spots.where("not full").select("id", "user_id", F.col("lat").alias("y"), F.col("lng").alias("x"), F.explode(squares_around(F.col("lat"), F.col("lng"), F.col("lng"), F.col("row"), (-2, 2), eps_m, side)).alias("s"))
     met = ask.select("id", "user_id", "y", "x", "s.row", "s.col").join(spots.select("user_id", "row", "col", "lat", "lng", "count", "full", F.col("unit").alias("unit"), F.col("id").alias("near")), ["user_id", "row", "col"])
     near = at_rest(met.where(haversine_m(F.col("y"), F.col("x"), F.col("lat"), F.col("lng"), DBSCAN_EARTH_M) <= eps_m).select("id", "near", "unit", "full", "count"), "near")
     core = at_rest(near.groupBy("id").agg(F.sum("count").alias("w")).where(F.col("w") >= min_weight).select("id"), "core")

@@ -75,8 +75,12 @@ def with_begin(df: DataFrame, begins: Column, name: str) -> DataFrame:
 
 
 def with_features(points: DataFrame) -> DataFrame:
-    """Adds time_gap, distance, calculated speed, speed and heading change; 0 for a user's first ping."""
-    p = with_previous(points)
+    """Adds prev, time_gap, distance, calculated speed, speed and heading change; 0 for a user's first ping."""
+    return features(with_previous(points))
+
+
+def features(p: DataFrame) -> DataFrame:
+    """with_features() of pings that have their `prev`."""
     first = F.col("prev").isNull()
     p = p.withColumn("time_gap", F.when(first, 0).otherwise(F.col("gps_ts") - F.col("prev.gps_ts")).cast("long"))
     p = p.withColumn("distance", F.when(first, 0.0).otherwise(haversine_m(F.col("prev.lat"), F.col("prev.lng"), F.col("lat"), F.col("lng"))))
@@ -311,13 +315,24 @@ def with_stays(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
     return out.withColumn("stay_duration", duration).withColumn("is_stay_point", F.col("stay_duration") >= rules.stay_min_s)
 
 
-def process(points: DataFrame, rules: PointRules = RULES) -> DataFrame:
-    """Processed points: every raw ping with its features, flags and ids. Repeated raw ids are taken once."""
-    p = at_rest(with_sessions(with_activity(with_anomaly(with_features(points.dropDuplicates(["user_id", "raw_id"])), rules), rules), rules), "sessions")
-    p = with_stays(at_rest(with_trips(p, rules), "trips"), rules)
+def processed_columns(p: DataFrame) -> DataFrame:
+    """The columns of a processed point, rounded, of pings with their features, flags, session and trip number."""
     trip = F.when(F.col("trip_no").isNotNull(), F.concat_ws("_", "user_id", F.col("session.gps_ts").cast("string"), F.concat(F.lit("T"), F.col("trip_no").cast("string"))))
     return p.select(
         "raw_id", "user_id", "gps_ts", "lat", "lng", "activity_type", "activity_confidence", trip.alias("trip_id"), "is_stay_point", "stay_start_time", "stay_duration",
         F.round("distance", 2).alias("distance_from_prev"), "time_gap", F.round("speed_change", 2).alias("speed_change"), F.round("heading_change", 2).alias("heading_change"),
         F.round("calculated_kmph", 2).alias("calculated_speed_kmph"), "is_anomaly", "anomaly_reason", F.lit("v1").alias("processing_version"),
     )
+
+
+def process_sessions(p: DataFrame, rules: PointRules = RULES) -> DataFrame:
+    """Processed points of pings with their `prev` and `session`, by windows: a session is spread over its days."""
+    p = at_rest(with_activity(with_anomaly(features(p), rules), rules), "sessions")
+    return processed_columns(with_stays(at_rest(with_trips(p, rules), "trips"), rules))
+
+
+def process(points: DataFrame, rules: PointRules = RULES) -> DataFrame:
+    """Processed points by windows alone: every raw ping with its features, flags and ids. Repeated raw ids are taken once."""
+    p = with_previous(points.dropDuplicates(["user_id", "raw_id"]))
+    gap = F.when(F.col("prev").isNull(), 0).otherwise(F.col("gps_ts") - F.col("prev.gps_ts"))
+    return process_sessions(with_sessions(p.withColumn("time_gap", gap), rules).drop("time_gap"), rules)

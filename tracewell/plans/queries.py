@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from tracewell.functions import geo as G
 from tracewell.functions import timefn as T
-from tracewell.operators import clusters, feeds, patterns, points, predict, runs, trips, visits
+from tracewell.operators import asof, clusters, feeds, near, patterns, points, predict, runs, track, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
 from tracewell.sources.tables import at_rest, ingest, last_logins, merge_partials, pending, recent, result_counts, upsert
@@ -38,7 +38,7 @@ def _stage(spark: SparkSession, sf_dir: str, state: int, name: str) -> DataFrame
         get = lambda n: _stage(spark, sf_dir, state, n)
         made = {
             "gps": lambda: movement(spark, sf_dir),
-            "processed": lambda: points.process(get("gps")),
+            "processed": lambda: track.process(get("gps")),
             "cells": lambda: clusters.gated(clusters.cells(get("processed"))),
             "labelled": lambda: clusters.with_clusters(get("cells")),
             "clustered": lambda: clusters.clustered_points(get("processed"), get("labelled")),
@@ -437,3 +437,45 @@ def pr6_visit_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("pr6_prediction_feed", ORACLES["pr3_place_at_time"].replace("select user_id, match_level, row_number() over w rank", "select p.user_id, p.rank, p.cluster_id, coalesce(nullif(place_type, ''), p.cluster_id) cluster_name, confidence, lat, lng from (select user_id, match_level, row_number() over w rank") + ") p join clu c on c.user_id = p.user_id and c.cluster_id = p.cluster_id")
 def pr6_prediction_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.prediction_feed(predict.place_at(stage(spark, sf_dir, "visits"), "Tuesday", 600), stage(spark, sf_dir, "clusters"))
+
+
+DRIVES = "(select user_id, gps_ts, max(raw_id) raw_id from proc where activity = 'DRIVE' group by all)"
+
+
+@register("jn4_as_of", O.chain("vis", f"select v.user_id, v.visit_start, b.gps_ts last_drive, b.raw_id last_drive_id, a.gps_ts next_drive, a.raw_id next_drive_id from vis v asof left join {DRIVES} b on v.user_id = b.user_id and v.visit_start >= b.gps_ts asof left join {DRIVES} a on v.user_id = a.user_id and v.visit_end <= a.gps_ts"))
+def jn4_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits with the last driven ping up to their begin and the first from their end on."""
+    drives = stage(spark, sf_dir, "processed").where("activity_type = 'DRIVE'").groupBy("user_id", "gps_ts").agg(F.max("raw_id").alias("raw_id"))
+    ends = stage(spark, sf_dir, "visits").select("user_id", "visit_start", "visit_end")
+    ends = asof.as_of(ends, drives, ["user_id"], "visit_start", "gps_ts", {"gps_ts": "last_drive", "raw_id": "last_drive_id"})
+    return asof.as_of(ends, drives, ["user_id"], "visit_end", "gps_ts", {"gps_ts": "next_drive", "raw_id": "next_drive_id"}, "forward").drop("visit_end")
+
+
+SPOTS = "(select user_id, cluster_id, lat plat, lng plng, place_type from clu)"
+
+
+@register("jn7_nearest_cluster", O.chain("clu", f"select s.raw_id, max(case when d <= 180 then label end) known_place, max(case when d <= 180 then kind end) known_type, max(case when d <= 180 then round(d, 2) end) known_distance from gps s left join (select raw_id, user_id || '/' || cluster_id as label, place_type as kind, d from (select g.raw_id, c.user_id, c.cluster_id, place_type, {O.hav('g.lat', 'g.lng', 'plat', 'plng')} d from gps g join {SPOTS.replace('user_id,', 'user_id, ')} c on abs(g.lat - plat) < 0.0017 and abs(g.lng - plng) < 0.002) where d <= 180 qualify row_number() over (partition by raw_id order by d, user_id || '/' || cluster_id) = 1) n on n.raw_id = s.raw_id group by s.raw_id"))
+def jn7_nearest_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ping with the nearest of all users' clusters: a table of places that grows with the users."""
+    spots = stage(spark, sf_dir, "clusters").select(F.concat_ws("/", "user_id", "cluster_id").alias("label"), "place_type", "lat", "lng")
+    return near.nearest_places(stage(spark, sf_dir, "gps"), spots).select("raw_id", "known_place", "known_type", "known_distance")
+
+
+@register("sf12_polyline", O.chain("gps", "select user_id, day, cast(row_number() over (partition by user_id, day order by gps_ts, raw_id) - 1 as int) place, floor(lat * 1e5 + 0.5) / 1e5 lat, floor(lng * 1e5 + 0.5) / 1e5 lng from (select *, gps_ts // 86400 as day from gps)"))
+def sf12_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's day as a polyline, decoded again point by point."""
+    days = stage(spark, sf_dir, "gps").withColumn("day", F.floor(F.col("gps_ts") / 86_400))
+    lines = G.encode_polylines(days, ["user_id", "day"], ["gps_ts", "raw_id"])
+    return lines.select("user_id", "day", F.posexplode(G.decode_polyline(F.col("polyline"))).alias("place", "p")).select("user_id", "day", "place", "p.lat", "p.lng")
+
+
+@register("pp9_resumed_runs", ORACLES["pp7_processed"])
+def pp9_resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processed points by runs over spans of two days, each resumed from the stored states of the one before."""
+    gps = stage(spark, sf_dir, "gps").withColumn("span", F.floor(F.col("gps_ts") / 172_800))
+    done = states = None
+    for (span,) in gps.select("span").distinct().orderBy("span").collect():  # a run for each span of days
+        made, states = track.resume(gps.where(F.col("span") == span), done, states)
+        made, states = at_rest(made, "made"), at_rest(states, "states")
+        done = made if done is None else done.unionByName(made)
+    return done if done is not None else track.process(gps.drop("span"))

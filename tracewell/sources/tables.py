@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,16 @@ from pyspark.sql import functions as F
 _folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
+def importable(spark: SparkSession) -> SparkSession:
+    """Lets Python workers that start from now on import this package where it isn't installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *known])
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder below spark.checkpoint.dir, which driver and executors share.
 

@@ -11,7 +11,9 @@ remaining prefix are one group, and groups with a common prefix shingle meet in
    pairs of compatible size, prefix places and prefix bits join their components to
    families. What isn't joined can't link.
 3. In families of several components the groups are expanded, and members of different
-   components are verified on full sets, by blocks of bounded size.
+   components are compared by sketches of their whole sets, in blocks of bounded size.
+   Of the pairs that these allow a forest is verified on full sets, round by round, until
+   none is left between different components that wasn't verified.
 
 Links inside a component are never needed again, so no step gives more rows than it
 has members, and every pair is verified, in one component already, or excluded by a bound.
@@ -32,10 +34,14 @@ from tracewell.llm.neardup import restrict, shingle_sets
 
 #: Counters of the corpus's shingles, a power of two: each task's array of them, and what comes to the driver, is of this size.
 COUNTERS = 1 << 18
+#: Nodes up to which a table of them is broadcast (32 bytes each); beyond, the join shuffles.
+BROADCAST_NODES = 500_000
 #: Places of a prefix whose buckets give a node its first partner.
 FIRST = 16
 #: Bits of a prefix; groups of a bucket, and shingles of a family's members, that one block holds; pairs compared at once.
-BITS, GROUPS, SHINGLES, PAIRS = 256, 4096, 1 << 20, 1 << 18
+BITS, GROUPS, SHINGLES, PAIRS = 256, 4096, 1 << 22, 1 << 18
+#: Bits of a sketch for each shingle of a set, at least; rounds after which all pairs that the sketches allow are verified at once.
+SKETCHED, ROUNDS = 8, 3
 
 
 def shingle_counts(plain: DataFrame, k: int) -> np.ndarray:
@@ -149,18 +155,30 @@ def first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("m.first")).alias("a"), "b")
 
 
-def sets_of(nodes: DataFrame, wanted: DataFrame, plain: DataFrame, k: int) -> DataFrame:
-    """(node, found binary): the full sets of the wanted nodes, 8 bytes for each shingle."""
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Bits that a set's shingles set, a power of two of them: in two sketches each bit that one alone sets is a shingle that the other set lacks."""
+    width = 1 << max(6, int(np.ceil(np.log2(max(1, SKETCHED * len(found))))))
+    marks = np.zeros(width, np.uint8)
+    marks[(found >> np.uint64(8)) & np.uint64(width - 1)] = 1
+    return np.packbits(marks, bitorder="little")
+
+
+def sets_of(nodes: DataFrame, wanted: DataFrame, plain: DataFrame, k: int, sketched: bool = False) -> DataFrame:
+    """(node, found binary): the full sets of the wanted nodes, 8 bytes for each shingle, or their sketches."""
     some = materialise(nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "id", "digest"), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [s.tobytes() for s in shingle_sets(*utf8(part.column(1)), k)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "digest", "found"])
+                sets = shingle_sets(*utf8(part.column(1)), k)
+                digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array([(sketch(s) if sketched else s).tobytes() for s in sets], pa.binary())], names=["id", "digest", "found"])
 
+    number = some.count()
+    small = F.broadcast(some) if number <= BROADCAST_NODES else some
     found = restrict(plain, some.select("id").distinct()).mapInArrow(run, "id long, digest binary, found binary")
-    return materialise(found.join(some, ["id", "digest"]).dropDuplicates(["node"]).select("node", "found"), "sets")
+    made = materialise(found.join(small, ["id", "digest"]).select("node", "found"), "sets")
+    return made if made.count() == number else made.dropDuplicates(["node"])  # repeated rows
 
 
 def numbers(column: pa.Array) -> list[np.ndarray]:
@@ -279,41 +297,72 @@ def family_joins(units: DataFrame, percent: int) -> DataFrame:
     return materialise(dealt(units, GROUPS).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "joins")
 
 
-def member_links(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): joins of components by verified links, from members (key, part, row, weight, found) of families; a task gives fewer than it has components.
+def overlap_bounds(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
+    """For each pair of rows the most shingles that both can hold; the wider sketch of a pair is folded to the other's width."""
+    out = np.empty(len(x), np.int64)
+    width = np.array([len(s) for s in sketches])
+    target = np.minimum(width[x], width[y])
+    for w in np.unique(target).tolist():
+        some = np.flatnonzero(target == w)
+        used = np.unique(np.concatenate([x[some], y[some]]))
+        folded = np.stack([np.bitwise_or.reduce(sketches[r].reshape(-1, w), axis=0) for r in used]).view(np.uint64)
+        step = max(1, (1 << 23) // w)
+        for k in range(0, len(some), step):
+            part = some[k : k + step]
+            a, b = folded[np.searchsorted(used, x[part])], folded[np.searchsorted(used, y[part])]
+            out[part] = np.minimum(n[x[part]] - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n[y[part]] - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return out
+
+
+def likely_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b): rows of different components that may be linked, from members (key, part, row, weight, found, failed) of families.
 
-    A pair's sets are folded to bits first: each bit that only one of them sets is an
-    element that the other lacks.
+    found are sketches, failed the rows that a row was verified with in vain. Unless
+    `every` pair is wanted a task gives a forest of its components, the likeliest pairs first.
     """
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        key, own, part, n = (table.column(c).to_numpy() for c in ("key", "own", "part", "weight"))
-        sets, labels = numbers(table.column("found")), Labels(part)
-        width = 1 << int(np.clip(np.log2(32 * np.median(n)), 9, 16))
-        width = min(width, max(512, 1 << int(np.log2((1 << 29) / len(n)))))
-        marks = np.zeros((len(n), width // 64), np.uint64)
-        for r, s in enumerate(sets):
-            bit = (s >> np.uint64(8)) & np.uint64(width - 1)
-            np.bitwise_or.at(marks[r], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        key, own, part, n, row = (table.column(c).to_numpy() for c in ("key", "own", "part", "weight", "row"))
+        data, at = utf8(table.column("found"))
+        sketches = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        failed = {(r, f) for r, fs in zip(row.tolist(), table.column("failed").to_pylist(), strict=True) for f in fs or ()}
+        labels, out = Labels(part), []
         for x, y in meetings(key, own, i, j):
             some = labels.apart(x, y) & sized(n[x], n[y], percent)
             x, y = x[some], y[some]
-            need = least_overlap(n[x], n[y], percent)
-            room = np.empty(len(x), np.int64)
-            for s in range(0, len(x), 1024):
-                p, q = marks[x[s : s + 1024]], marks[y[s : s + 1024]]
-                room[s : s + 1024] = np.minimum(n[x[s : s + 1024]] - np.bitwise_count(p & ~q).sum(axis=1), n[y[s : s + 1024]] - np.bitwise_count(q & ~p).sum(axis=1))
-            likely = np.flatnonzero(room >= need)
-            for r in likely[np.argsort(need[likely] - room[likely], kind="stable")]:
-                a, b = x[r], y[r]
-                if labels.apart(a, b):
-                    both = np.sort(np.concatenate([sets[a], sets[b]]))
-                    if int((both[1:] == both[:-1]).sum()) >= need[r]:
-                        labels.join(a, b)
-        return pairs_table(labels.joins)
-
-    return materialise(dealt(members, SHINGLES).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "links")
+            spare = overlap_bounds(x, y, n, sketches) - least_overlap(n[x], n[y], percent)
+            good = np.flatnonzero(spare >= 0)
+            for r in good[np.argsort(-spare[good], kind="stable")]:
+                pair = int(row[x[r]]), int(row[y[r]])
+                if pair not in failed and (labels.join(x[r], y[r]) or every):
+                    out.append((min(pair), max(pair)))
+        return pairs_table(out)
+
+    return materialise(dealt(members, SHINGLES).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "likely")
+
+
+def joined_by_members(parts: DataFrame, members: DataFrame, nodes: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
+    """parts after joining components by all links between members (key, node, n) of one family."""
+    members = materialise(members.join(sets_of(nodes, members.select("node"), plain, k, sketched=True), "node"), "members")
+    failed = None
+    for number in range(ROUNDS + 1):
+        rows = with_component(members, parts).select("key", F.col("component").alias("part"), F.col("node").alias("row"), F.col("n").alias("weight"), "found")
+        if failed is None:
+            rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
+        else:
+            both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            rows = rows.join(both.groupBy(F.col("a").alias("row")).agg(F.collect_list("b").alias("failed")), "row", "left")
+        pairs = likely_pairs(rows, percent, every=number == ROUNDS)
+        if pairs.isEmpty():
+            return parts
+        links = verified(pairs, sets_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), plain, k), percent)
+        vain = pairs.join(links, ["a", "b"], "left_anti")
+        failed = materialise(vain if failed is None else failed.unionByName(vain), "failed")
+        top = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p{x}"))
+        between = links.join(top("a"), "a", "left").join(top("b"), "b", "left")
+        parts = joined(parts, between.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+    return parts
 
 
 def with_component(nodes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -347,10 +396,8 @@ def linked_components(nodes: DataFrame, plain: DataFrame, k: int, percent: int)
     units = units.withColumns({"low": F.min("part").over(key), "high": F.max("part").over(key)}).where("low <> high")
     units = materialise(units.select("key", "part", "row", F.lit(1).cast("long").alias("weight"), F.col("place").cast("long").alias("place"), "k", "n", "bits"), "units")
     families = connected_components(family_joins(units, percent)).select(F.col("node").alias("part"), F.col("component").alias("key"))
-    some = kept.select("node", "n", F.col("component").alias("part")).join(families, "part")
-    some = materialise(some.select("key", "part", F.col("node").alias("row"), F.col("n").alias("weight")), "open")
-    sets = sets_of(nodes, some.select(F.col("row").alias("node")), plain, k).withColumnRenamed("node", "row")
-    return joined(parts, member_links(some.join(sets, "row").select("key", "part", "row", "weight", "found"), percent))
+    some = kept.select("node", "n", F.col("component").alias("part")).join(families, "part").select("key", "node", "n")
+    return joined_by_members(parts, materialise(some, "open"), nodes, plain, k, percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90) -> DataFrame:

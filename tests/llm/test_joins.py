@@ -82,7 +82,7 @@ def naive_components(rows, k, percent):
 @pytest.mark.parametrize("small", [False, True])
 def test_prefix_join_matches_brute_force(spark, monkeypatch, small):
     if small:  # many blocks and pieces
-        for name, size in (("GROUPS", 40), ("SHINGLES", 3000)):
+        for name, size in (("GROUPS", 40), ("SHINGLES", 3000), ("ROUNDS", 1)):
             monkeypatch.setattr(jaccard_join, name, size)
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(900)]

@@ -27,7 +27,8 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_
     back = direction == "backward"
     bucket = lambda ts: F.coalesce(F.floor(F.col(ts) / bucket_s), F.lit(-(1 << 62)))
     found = F.struct(F.col(right_ts).alias("ts"), *(F.col(c).alias(n) for c, n in take.items()))
-    rights = right.where(F.col(right_ts).isNotNull()).select(*by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), bucket(right_ts).alias("_bucket"), found.alias("_right"))
+    keyed = right.dropna(subset=[*by, right_ts])
+    rights = keyed.select(*by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), bucket(right_ts).alias("_bucket"), found.alias("_right"))
     rights = rights.withColumn("_left", F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType))
     lefts = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), bucket(left_ts).alias("_bucket"), F.lit(None).cast(rights.schema["_right"].dataType).alias("_right"), F.struct(*left.columns).alias("_left"))
     rows = rights.unionByName(lefts)

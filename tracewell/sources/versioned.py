@@ -146,10 +146,11 @@ class VersionedTables:
         stream.close()
 
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes data folders that none of the newest `keep` manifests names, and older manifests; no writer may run meanwhile."""
-        names = [n for n in self._manifests() if self._read(n)]
-        used = {f.split("/")[1] for n in names[:keep] for t in self._read(n)["tables"].values() for fs in t["buckets"].values() for f in fs}
-        for name in names[keep:]:
+        """Deletes data folders that none of the newest `keep` whole manifests names, and all other manifests; no writer may run meanwhile."""
+        names = self._manifests()
+        whole = [n for n in names if self._read(n)][:keep]
+        used = {f.split("/")[1] for n in whole for t in self._read(n)["tables"].values() for fs in t["buckets"].values() for f in fs}
+        for name in set(names) - set(whole):
             self._fs.delete(self._place(f"{self.path}/manifest/{name}"), False)
         folder = self._place(f"{self.path}/data")
         for f in self._fs.listStatus(folder) if self._fs.exists(folder) else []:

@@ -78,19 +78,69 @@ def next_place(requests: DataFrame, patterns: DataFrame, clusters: DataFrame, da
 
     Level 1 looks at the weekday and time of day, 2 at the time of day, 3 at the place
     alone, 4 at the user's most frequent transition with confidence 0.1; the lowest level
-    that has rows answers. Requests that no level answers give no rows. One join with
-    the patterns serves all levels.
+    that has rows answers. Requests that no level answers give no rows. A request meets
+    the patterns of its own place only, and one row of its user for level 4.
     """
     tod = T.time_of_day(F.lit(hour), "ping")
-    level = F.when(F.col("here") & (F.col("day_of_week") == day) & (F.col("time_of_day") == tod), 1).when(F.col("here") & (F.col("time_of_day") == tod), 2).when(F.col("here"), 3).otherwise(4)
-    p = patterns.select("user_id", F.col("from_cluster_id").alias("at"), "to_cluster_id", "to_place_type", "day_of_week", "time_of_day", "probability", "transition_count", "avg_travel_duration_sec", "first_seen")
-    q = requests.select("user_id", "from_cluster_id").join(p, "user_id").withColumn("here", F.col("at") == F.col("from_cluster_id")).withColumn("level", level)
+    p = patterns.select("user_id", "from_cluster_id", "to_cluster_id", "to_place_type", "day_of_week", "time_of_day", "probability", "transition_count", "avg_travel_duration_sec", "first_seen")
+    asked = requests.select("user_id", "from_cluster_id").distinct()
+    level = F.when((F.col("day_of_week") == day) & (F.col("time_of_day") == tod), 1).when(F.col("time_of_day") == tod, 2).otherwise(3)
     key = Window.partitionBy("user_id", "from_cluster_id")
-    q = q.withColumn("best", F.min("level").over(key)).where("level = best")
-    order = key.orderBy(F.desc(F.when(F.col("level") == 4, F.col("transition_count")).otherwise(F.col("probability"))), "first_seen", "to_cluster_id", "day_of_week", "time_of_day", "at")
-    q = q.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & ((F.col("level") < 4) | (F.col("rank") == 1)))
+    here = asked.join(p, ["user_id", "from_cluster_id"]).withColumn("level", level)
+    here = here.withColumn("best", F.min("level").over(key)).where("level = best")
+    here = here.withColumn("rank", F.row_number().over(key.orderBy(F.desc("probability"), "first_seen", "to_cluster_id", "day_of_week", "time_of_day"))).where(F.col("rank") <= top)
+    order = F.struct((-F.col("transition_count")).alias("n"), "first_seen", "to_cluster_id", "day_of_week", "time_of_day", "from_cluster_id")
+    common = p.groupBy("user_id").agg(F.min_by(F.struct("to_cluster_id", "to_place_type", "avg_travel_duration_sec"), order).alias("c"))
+    columns = ["user_id", "from_cluster_id", "rank", "level", "to_cluster_id", "to_place_type", "avg_travel_duration_sec", "probability"]
+    rest = asked.join(here.select("user_id", "from_cluster_id").distinct(), ["user_id", "from_cluster_id"], "left_anti").join(common, "user_id")
+    rest = rest.select("user_id", "from_cluster_id", F.lit(1).alias("rank"), F.lit(4).alias("level"), "c.*", F.lit(0.1).alias("probability"))
     where = clusters.select("user_id", F.col("cluster_id").alias("to_cluster_id"), "lat", "lng")
-    return q.join(where, ["user_id", "to_cluster_id"], "left").select(
+    return here.select(columns).unionByName(rest.select(columns)).join(where, ["user_id", "to_cluster_id"], "left").select(
         "user_id", "from_cluster_id", "rank", F.col("to_cluster_id").alias("next_cluster_id"), F.col("to_place_type").alias("next_place_type"), "lat", "lng",
-        F.when(F.col("level") == 4, 0.1).otherwise(F.col("probability")).alias("confidence"), F.floor(F.col("avg_travel_duration_sec") / 60 + 0.5).cast("long").alias("expected_trip_duration_min"), F.when(F.col("level") == 4, "most_frequent").otherwise(F.concat(F.lit("rule_based_level_"), F.col("level").cast("string"))).alias("source"),
+        F.col("probability").alias("confidence"), F.floor(F.col("avg_travel_duration_sec") / 60 + 0.5).cast("long").alias("expected_trip_duration_min"), F.when(F.col("level") == 4, "most_frequent").otherwise(F.concat(F.lit("rule_based_level_"), F.col("level").cast("string"))).alias("source"),
     )
+
+
+#: Weights of the model, the transition's share and its recency; days in which recency halves; days of visits below which a user is new.
+BLEND, HALF_LIFE_DAYS, COLD_DAYS = (0.6, 0.3, 0.1), 7, 3
+
+
+def global_patterns(patterns: DataFrame) -> DataFrame:
+    """(from_place_type, next_place_type, share) of all users' transitions: the commonest kind of place after each kind, ties to the least name."""
+    n = patterns.where("from_place_type is not null and to_place_type is not null").groupBy("from_place_type", F.col("to_place_type").alias("next_place_type")).agg(F.sum("transition_count").alias("n"))
+    w = Window.partitionBy("from_place_type")
+    ranked = n.withColumns({"share": F.col("n") / F.sum("n").over(w), "k": F.row_number().over(w.orderBy(F.desc("n"), "next_place_type"))})
+    return ranked.where("k = 1").select("from_place_type", "next_place_type", "share")
+
+
+def blended(requests: DataFrame, patterns: DataFrame, visits: DataFrame, model: DataFrame | None = None, top: int = 3) -> DataFrame:
+    """(user_id, from_cluster_id, rank, next_cluster_id, next_place_type, score, source) for requests (user_id, from_cluster_id, from_place_type).
+
+    A place's score is 0.6 times the model's confidence (user_id, from_cluster_id,
+    next_cluster_id, confidence), 0.3 times its share of the transitions from there, and
+    0.1 times its recency, which halves with each HALF_LIFE_DAYS since it was last seen,
+    counted from the user's last visit. What the model or the patterns don't know counts
+    0. Users with visits on fewer than COLD_DAYS days, and requests without a place, get the
+    commonest kind of place of all users (source `global`, score a tenth of its share),
+    or else one row of source `not_enough_history`.
+    """
+    key = ["user_id", "from_cluster_id"]
+    asked = requests.select(*key, "from_place_type").dropDuplicates(key)
+    known = visits.groupBy("user_id").agg(F.count_distinct("date").alias("days"), F.max("visit_end").alias("latest"))
+    warm = asked.join(known.where(F.col("days") >= COLD_DAYS), "user_id")
+    routes = patterns.groupBy(*key, F.col("to_cluster_id").alias("next_cluster_id")).agg(F.max("to_place_type").alias("next_place_type"), F.sum("transition_count").alias("n"), F.max("last_seen").alias("last_seen"))
+    routes = routes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*key)))
+    if model is None:
+        routes = routes.withColumn("confidence", F.lit(0.0))
+    else:
+        routes = routes.join(model.select(*key, "next_cluster_id", "confidence"), [*key, "next_cluster_id"], "full")
+    age = (F.col("latest") - F.col("last_seen")) / (HALF_LIFE_DAYS * 86_400.0)
+    parts = (F.coalesce("confidence", F.lit(0.0)), F.coalesce("share", F.lit(0.0)), F.coalesce(F.pow(F.lit(0.5), age), F.lit(0.0)))
+    scored = warm.join(routes, key).withColumn("score", F.round(sum(w * x for w, x in zip(BLEND, parts, strict=True)), 6))
+    w = Window.partitionBy(*key).orderBy(F.desc("score"), "next_cluster_id")
+    columns = [*key, "rank", "next_cluster_id", "next_place_type", "score", "source"]
+    scored = scored.withColumns({"rank": F.row_number().over(w), "source": F.lit("blend")}).where(F.col("rank") <= top).select(columns)
+    rest = asked.join(scored.select(*key).distinct(), key, "left_anti").join(global_patterns(patterns), "from_place_type", "left")
+    found = F.col("next_place_type").isNotNull()
+    rest = rest.withColumns({"rank": F.lit(1), "next_cluster_id": F.lit(None).cast("string"), "score": F.when(found, F.round(F.col("share") * 0.1, 6)), "source": F.when(found, "global").otherwise("not_enough_history")})
+    return scored.unionByName(rest.select(columns))

@@ -28,3 +28,15 @@ def latest(runs: DataFrame) -> DataFrame:
     """(user_id, run_id, started_at): each user's latest run that is running or completed; of runs begun together that of the greatest id."""
     good = runs.where(F.col("status").isin("running", "completed"))
     return good.groupBy("user_id").agg(F.max(F.struct("started_at", "run_id")).alias("s")).select("user_id", "s.run_id", "s.started_at")
+
+
+def of_latest(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows (user_id, run_id, ..) of each user's latest run, without their run_id; of users without a good run none."""
+    return rows.join(latest(runs).select("user_id", "run_id"), ["user_id", "run_id"], "left_semi").drop("run_id")
+
+
+def rebuilt_clusters(cells: DataFrame, runs: DataFrame, visits: DataFrame) -> DataFrame:
+    """user_clusters() of the labelled cells (run_id, ..) of each user's latest run, as a whole: clusters that only an older run has are gone."""
+    from tracewell.operators.clusters import user_clusters
+
+    return user_clusters(of_latest(cells, runs), visits)

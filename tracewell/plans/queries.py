@@ -265,11 +265,16 @@ def wn7_seen_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(w) > 1).alias("seen_before"), F.row_number().over(w).alias("nth"))
 
 
+ML6 = "user_id string, next_cluster_id string, date string, trip_start long, from_cluster_id string, day_of_week string, departure_hour int, rank int, confidence double, next_place_type string, lat double, lng double, expected_trip_duration_min double"
+
+
 @register("ml6_next_place_model")
 def ml6_next_place_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracewell.operators import models
 
     samples = patterns.next_place_samples(*(stage(spark, sf_dir, n) for n in ("trips", "visits", "clusters")))
+    if samples.count() < models.LEAST_ROWS:
+        return spark.createDataFrame([], ML6)
     model, _ = models.fit_next_place(samples)
     duration = models.trip_duration_model(patterns.trip_duration_samples(stage(spark, sf_dir, "trips")))
     predicted = models.predict_next(model, samples, ["user_id", "date", "trip_start", "from_cluster_id", "day_of_week", "departure_hour"])
@@ -479,3 +484,79 @@ def pp9_resumed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         made, states = at_rest(made, "made"), at_rest(states, "states")
         done = made if done is None else done.unionByName(made)
     return done if done is not None else track.process(gps.drop("span"))
+
+
+@register("pr5_model_first")
+def pr5_model_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Next places from every cluster: the model's where its first is sure enough, else those of the rules."""
+    from tracewell.operators import models
+
+    known = stage(spark, sf_dir, "clusters")
+    rules = predict.next_place(known.select("user_id", F.col("cluster_id").alias("from_cluster_id")), stage(spark, sf_dir, "patterns"), known, "Tuesday", 10)
+    samples = patterns.next_place_samples(*(stage(spark, sf_dir, n) for n in ("trips", "visits", "clusters")))
+    if samples.count() < models.LEAST_ROWS:
+        return feeds.model_first(rules, rules.limit(0))
+    model, _ = models.fit_next_place(samples)
+    duration = models.trip_duration_model(patterns.trip_duration_samples(stage(spark, sf_dir, "trips")))
+    asked = models.predict_next(model, models.requests_of(known, "Tuesday", 10), ["user_id", "from_cluster_id", "day_of_week", "departure_hour"])
+    return feeds.model_first(rules, models.with_place_and_duration(asked, duration, known))
+
+
+PR7 = "days as (select user_id, count(distinct date) d, max(visit_end) latest from vis group by 1), rule as (select user_id, from_cluster_id, to_cluster_id, max(to_place_type) pt, sum(transition_count) n, max(last_seen) last_seen from pat group by all), share as (select *, n / sum(n) over (partition by user_id, from_cluster_id) p from rule), scored as (select c.user_id, c.cluster_id from_cluster_id, to_cluster_id next_cluster_id, pt next_place_type, round(0.3 * p + 0.1 * pow(0.5, (latest - s.last_seen) / 604800.0), 6) score from clu c join days using (user_id) join share s on s.user_id = c.user_id and s.from_cluster_id = c.cluster_id where d >= 3), top as (select user_id, from_cluster_id, cast(row_number() over (partition by user_id, from_cluster_id order by score desc, next_cluster_id) as int) rank, next_cluster_id, next_place_type, score, 'blend' source from scored), gl as (select from_place_type, to_place_type, sum(transition_count) n from pat where from_place_type is not null and to_place_type is not null group by all), g as (select from_place_type, to_place_type, n / sum(n) over (partition by from_place_type) share from gl qualify row_number() over (partition by from_place_type order by n desc, to_place_type) = 1) select * from top where rank <= 3 union all select c.user_id, c.cluster_id, 1, null, to_place_type, round(0.1 * share, 6), case when to_place_type is null then 'not_enough_history' else 'global' end from clu c left join g on from_place_type = place_type where not exists (select 1 from top t where t.user_id = c.user_id and t.from_cluster_id = c.cluster_id)"
+
+
+@register("pr7_blended_rules", O.chain("pat", "").rstrip() + ",\n" + PR7)
+def pr7_blended_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blend without a model: shares, recency, and what all users do."""
+    asked = stage(spark, sf_dir, "clusters").select("user_id", F.col("cluster_id").alias("from_cluster_id"), F.col("place_type").alias("from_place_type"))
+    return predict.blended(asked, stage(spark, sf_dir, "patterns"), stage(spark, sf_dir, "visits"))
+
+
+SPLIT = "marked as (select *, row_number() over (partition by user_id order by trip_start, date, from_cluster_id, to_cluster_id) <= floor(count(*) over (partition by user_id) * 0.8) early from trips)"
+
+
+@register("ml7_pattern_accuracy", O.chain("trips", "").rstrip() + f",\n{SPLIT}, best as (select user_id, from_cluster_id, to_cluster_id, row_number() over (partition by user_id, from_cluster_id order by count(*) desc, to_cluster_id) rank from marked where early group by user_id, from_cluster_id, to_cluster_id), judged as (select m.user_id, rank from marked m left join best b on b.user_id = m.user_id and b.from_cluster_id = m.from_cluster_id and b.to_cluster_id = m.to_cluster_id and rank <= 3 where not early) select user_id, count(*) trips, round(count(*) filter (rank = 1) / count(*), 6) accuracy, round(count(*) filter (rank <= 3) / count(*), 6) top3_accuracy from judged group by rollup (user_id) having count(*) > 0")
+def ml7_pattern_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the commonest places of each user's first trips hold on the trips after."""
+    from tracewell.operators import models
+
+    key = ["user_id", "date", "trip_start", "from_cluster_id"]
+    early, late = models.split_by_time(stage(spark, sf_dir, "trips"))
+    return models.place_metrics(models.common_places(early, late, key), late, key)
+
+
+@register("ml7_duration_errors", O.chain("trips", "").rstrip() + f",\n{SPLIT}, mean as (select user_id, from_cluster_id, to_cluster_id, avg(duration_sec) p from marked where early group by all), own as (select user_id, avg(duration_sec) p from marked where early group by all), off as (select m.user_id, abs(coalesce(r.p, o.p) - duration_sec) o from marked m left join mean r on r.user_id = m.user_id and r.from_cluster_id = m.from_cluster_id and r.to_cluster_id = m.to_cluster_id join own o on o.user_id = m.user_id where not early) select user_id, count(*) trips, round(avg(o), 4) mae, round(sqrt(avg(o * o)), 4) rmse, round(median(o), 4) median_error from off group by rollup (user_id) having count(*) > 0")
+def ml7_duration_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the mean durations of each user's first trips are off on the trips after."""
+    from tracewell.operators import models
+
+    early, late = models.split_by_time(stage(spark, sf_dir, "trips"))
+    return models.duration_metrics(models.mean_durations(early, late))
+
+
+@register("ml7_model_metrics")
+def ml7_model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy by user of the next-place model that was fitted on the first days, on the days after."""
+    from tracewell.operators import models
+
+    key = ["user_id", "date", "trip_start", "from_cluster_id"]
+    early, late = (at_rest(x, "days") for x in models.split_by_days(patterns.next_place_samples(*(stage(spark, sf_dir, n) for n in ("trips", "visits", "clusters")))))
+    if early.count() < models.LEAST_ROWS:
+        return models.place_metrics(models.common_places(early, late, key), late, key)
+    model, _ = models.fit_next_place(early)
+    return models.place_metrics(models.predict_next(model, late, key, least=0.0), late, key)
+
+
+RUN_OF = "case when cast(substr(user_id, 2) as int) % 3 = 0 then 'A' else 'B' end"
+LATEST = {n: O.STEPS[n].replace("from lab", "from lab2").replace("join lab ", "join lab2 ") for n in ("anchor", "near", "cen0", "cen")}
+
+
+@register("cl14_rebuilt_centres", O.chain("lab", "").rstrip() + f",\nlab2 as (select * from lab where {RUN_OF} = 'A' or cnt >= 2),\n" + ",\n".join(f"{n} as materialized ({q})" for n, q in LATEST.items()) + "\nselect user_id, cluster_id, lat, lng, center_method, total_points from cen")
+def cl14_rebuilt_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs of each user's cells, the second without cells of one ping; it failed for every third user."""
+    cells = stage(spark, sf_dir, "labelled")
+    both = cells.withColumn("run_id", F.lit("A")).unionByName(cells.where("count >= 2").withColumn("run_id", F.lit("B")))
+    failed = F.substring("user_id", 2, 10).cast("int") % 3 == 0
+    users = cells.select("user_id").distinct()
+    made = users.select("user_id", F.lit("A").alias("run_id"), F.lit(1).cast("long").alias("started_at"), F.lit("completed").alias("status")).unionByName(users.select("user_id", F.lit("B").alias("run_id"), F.lit(2).cast("long").alias("started_at"), F.when(failed, "failed").otherwise("running").alias("status")))
+    return runs.rebuilt_clusters(both, made, stage(spark, sf_dir, "visits")).select("user_id", "cluster_id", "lat", "lng", "center_method", "total_points")

@@ -202,6 +202,23 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long").distinct(), "links")
 
 
+def allowed(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that may be linked by their sketches."""
+    sketches = sets_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), plain, k, sketched=True).join(nodes.select("node", "n"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
+            found = [data[a:b] for data, at in (utf8(batch.column(c)) for c in ("fa", "fb")) for a, b in zip(at, at[1:], strict=False)]
+            x = np.arange(rows)
+            good = overlap_bounds(x, x + rows, n, found) >= least_overlap(n[:rows], n[rows:], percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    one, two = (sketches.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("found").alias(f"f{x}")) for x in "ab")
+    return materialise(pairs.join(two, "b").join(one, "a").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(run, "a long, b long"), "allowed")
+
+
 def dealt(rows: DataFrame, room: int) -> DataFrame:
     """rows (key, part, row, weight, ...) and (g, i, j, own): two rows of a key but of different parts meet in one group (g, i, j).
 
@@ -277,7 +294,7 @@ def pairs_table(rows: list[tuple[int, int]]) -> pa.Table:
 
 
 def family_joins(units: DataFrame, percent: int) -> DataFrame:
-    """(a, b): joins of components, from units (key, part, row, weight, place, k, n, bits) of buckets; a task gives fewer than it has components."""
+    """(a, b): joins of components, from units (key, part, row, weight, place, k, n, bits, size) of buckets of `size` rows; a task gives fewer than it has components."""
 
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
@@ -294,7 +311,11 @@ def family_joins(units: DataFrame, percent: int) -> DataFrame:
                 x, y = x[some], y[some]
         return pairs_table(labels.joins)
 
-    return materialise(dealt(units, GROUPS).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "joins")
+    bins, none = max(1, -(-units.count() // GROUPS)), F.lit(-1)
+    small = units.where(F.col("size") <= GROUPS).withColumns({"g": F.pmod(F.xxhash64("key"), F.lit(bins)), "i": none, "j": none, "own": none})
+    large = units.where(F.col("size") > GROUPS)
+    rows = small if large.isEmpty() else small.unionByName(dealt(large, GROUPS))
+    return materialise(rows.groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "joins")
 
 
 def overlap_bounds(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketches: list[np.ndarray]) -> np.ndarray:
@@ -317,7 +338,7 @@ def overlap_bounds(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketches: list[n
 def likely_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b): rows of different components that may be linked, from members (key, part, row, weight, found, failed) of families.
 
-    found are sketches, failed the rows that a row was verified with in vain. Unless
+    found are sketches, failed the greater rows that a row was verified with in vain. Unless
     `every` pair is wanted a task gives a forest of its components, the likeliest pairs first.
     """
 
@@ -326,7 +347,7 @@ def likely_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
         key, own, part, n, row = (table.column(c).to_numpy() for c in ("key", "own", "part", "weight", "row"))
         data, at = utf8(table.column("found"))
         sketches = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
-        failed = {(r, f) for r, fs in zip(row.tolist(), table.column("failed").to_pylist(), strict=True) for f in fs or ()}
+        failed = {(r, f) for r, fs in zip(row.tolist(), table.column("failed").to_pylist(), strict=True) for f in fs or ()}  # a < b
         labels, out = Labels(part), []
         for x, y in meetings(key, own, i, j):
             some = labels.apart(x, y) & sized(n[x], n[y], percent)
@@ -334,9 +355,9 @@ def likely_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
             spare = overlap_bounds(x, y, n, sketches) - least_overlap(n[x], n[y], percent)
             good = np.flatnonzero(spare >= 0)
             for r in good[np.argsort(-spare[good], kind="stable")]:
-                pair = int(row[x[r]]), int(row[y[r]])
+                pair = tuple(sorted((int(row[x[r]]), int(row[y[r]]))))
                 if pair not in failed and (labels.join(x[r], y[r]) or every):
-                    out.append((min(pair), max(pair)))
+                    out.append(pair)
         return pairs_table(out)
 
     return materialise(dealt(members, SHINGLES).groupBy("g", "i", "j").applyInArrow(run, "a long, b long").distinct(), "likely")
@@ -351,17 +372,21 @@ def joined_by_members(parts: DataFrame, members: DataFrame, nodes: DataFrame, pl
         if failed is None:
             rows = rows.withColumn("failed", F.lit(None).cast("array<bigint>"))
         else:
-            both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            rows = rows.join(both.groupBy(F.col("a").alias("row")).agg(F.collect_list("b").alias("failed")), "row", "left")
+            rows = rows.join(failed.groupBy(F.col("a").alias("row")).agg(F.collect_list("b").alias("failed")), "row", "left")
         pairs = likely_pairs(rows, percent, every=number == ROUNDS)
         if pairs.isEmpty():
             return parts
         links = verified(pairs, sets_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), plain, k), percent)
-        vain = pairs.join(links, ["a", "b"], "left_anti")
-        failed = materialise(vain if failed is None else failed.unionByName(vain), "failed")
         top = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p{x}"))
         between = links.join(top("a"), "a", "left").join(top("b"), "b", "left")
         parts = joined(parts, between.select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b")))
+        vain = materialise(pairs.join(links, ["a", "b"], "left_anti"), "vain")
+        if vain.isEmpty():  # what was left out hung on pairs that are all linked
+            return parts
+        failed = materialise(vain if failed is None else failed.unionByName(vain), "failed")
+        # a family goes on where a pair of it failed; the others have no pair left
+        again = members.select("key", F.col("node").alias("a")).join(vain, "a").select("key").distinct()
+        members = materialise(members.join(again, "key", "left_semi"), "members")
     return parts
 
 
@@ -383,7 +408,7 @@ def linked_components(nodes: DataFrame, plain: DataFrame, k: int, percent: int)
     bucket = Window.partitionBy("token")
     shared = prefix_rows(nodes).withColumns({"size": F.count("*").over(bucket), "pivot": F.min("node").over(bucket)})
     shared = materialise(shared.where("size > 1").drop("size"), "shared")
-    pairs = materialise(first_pairs(shared, nodes, percent), "pairs")
+    pairs = allowed(materialise(first_pairs(shared, nodes, percent), "pairs"), nodes, plain, k, percent)
     links = verified(pairs, sets_of(nodes, pairs.select(F.explode(F.array("a", "b")).alias("node")), plain, k), percent)
     parts = materialise(connected_components(links), "parts")
     kept = shared.groupBy("node").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
@@ -393,8 +418,8 @@ def linked_components(nodes: DataFrame, plain: DataFrame, k: int, percent: int)
     units = kept.groupBy("same", F.col("component").alias("part")).agg(*(F.first(c).alias(c) for c in ("n", "tokens", "bits")))
     units = units.select("part", "n", "bits", F.size("tokens").cast("long").alias("k"), F.xxhash64("same", "part").alias("row"), F.posexplode("tokens").alias("place", "key"))
     key = Window.partitionBy("key")
-    units = units.withColumns({"low": F.min("part").over(key), "high": F.max("part").over(key)}).where("low <> high")
-    units = materialise(units.select("key", "part", "row", F.lit(1).cast("long").alias("weight"), F.col("place").cast("long").alias("place"), "k", "n", "bits"), "units")
+    units = units.withColumns({"low": F.min("part").over(key), "high": F.max("part").over(key), "size": F.count("*").over(key)}).where("low <> high")
+    units = materialise(units.select("key", "part", "row", F.lit(1).cast("long").alias("weight"), F.col("place").cast("long").alias("place"), "k", "n", "bits", "size"), "units")
     families = connected_components(family_joins(units, percent)).select(F.col("node").alias("part"), F.col("component").alias("key"))
     some = kept.select("node", "n", F.col("component").alias("part")).join(families, "part").select("key", "node", "n")
     return joined_by_members(parts, materialise(some, "open"), nodes, plain, k, percent)

@@ -22,6 +22,7 @@ has members, and every pair is verified, in one component already, or excluded b
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,7 @@ BROADCAST_NODES = 500_000
 #: Places of a prefix whose buckets give a node its first partner.
 FIRST = 16
 #: Bits of a prefix; groups of a bucket, and shingles of a family's members, that one block holds; pairs compared at once.
-BITS, GROUPS, SHINGLES, PAIRS = 256, 4096, 1 << 22, 1 << 18
+BITS, GROUPS, SHINGLES, PAIRS = 128, 4096, 1 << 22, 1 << 18
 #: Bits of a sketch for each shingle of a set, at least; rounds after which all pairs that the sketches allow are verified at once.
 SKETCHED, ROUNDS = 8, 3
 
@@ -155,12 +156,17 @@ def first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return best.select((-F.col("m.first")).alias("a"), "b")
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Bits that a set's shingles set, a power of two of them: in two sketches each bit that one alone sets is a shingle that the other set lacks."""
+def sketch(found: np.ndarray) -> bytes:
+    """Bits that a set's shingles set, a power of two of them, most of them 0 and so compressed: in two sketches each bit that one alone sets is a shingle that the other set lacks."""
     width = 1 << max(6, int(np.ceil(np.log2(max(1, SKETCHED * len(found))))))
     marks = np.zeros(width, np.uint8)
     marks[(found >> np.uint64(8)) & np.uint64(width - 1)] = 1
-    return np.packbits(marks, bitorder="little")
+    return zlib.compress(np.packbits(marks, bitorder="little").tobytes(), 1)
+
+
+def unpacked(column: pa.Array) -> list[np.ndarray]:
+    """The sketches of a column as bytes."""
+    return [np.frombuffer(zlib.decompress(x.as_buffer()), np.uint8) for x in (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)]
 
 
 def sets_of(nodes: DataFrame, wanted: DataFrame, plain: DataFrame, k: int, sketched: bool = False) -> DataFrame:
@@ -172,7 +178,7 @@ def sets_of(nodes: DataFrame, wanted: DataFrame, plain: DataFrame, k: int, sketc
             for part in slices(batch, "text"):
                 sets = shingle_sets(*utf8(part.column(1)), k)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array([(sketch(s) if sketched else s).tobytes() for s in sets], pa.binary())], names=["id", "digest", "found"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest, pa.binary()), pa.array([sketch(s) if sketched else s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "found"])
 
     number = some.count()
     small = F.broadcast(some) if number <= BROADCAST_NODES else some
@@ -210,7 +216,7 @@ def allowed(pairs: DataFrame, nodes: DataFrame, plain: DataFrame, k: int, percen
         for batch in batches:
             rows = batch.num_rows
             n = np.concatenate([batch.column(c).to_numpy() for c in ("na", "nb")])
-            found = [data[a:b] for data, at in (utf8(batch.column(c)) for c in ("fa", "fb")) for a, b in zip(at, at[1:], strict=False)]
+            found = [s for c in ("fa", "fb") for s in unpacked(batch.column(c))]
             x = np.arange(rows)
             good = overlap_bounds(x, x + rows, n, found) >= least_overlap(n[:rows], n[rows:], percent)
             yield batch.select(["a", "b"]).filter(pa.array(good))
@@ -345,8 +351,7 @@ def likely_pairs(members: DataFrame, percent: int, every: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         key, own, part, n, row = (table.column(c).to_numpy() for c in ("key", "own", "part", "weight", "row"))
-        data, at = utf8(table.column("found"))
-        sketches = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        sketches = unpacked(table.column("found"))
         failed = {(r, f) for r, fs in zip(row.tolist(), table.column("failed").to_pylist(), strict=True) for f in fs or ()}  # a < b
         labels, out = Labels(part), []
         for x, y in meetings(key, own, i, j):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from tracewell.functions import timefn as T
 from tracewell.operators import asof, clusters, feeds, near, patterns, points, predict, runs, track, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
-from tracewell.sources.tables import at_rest, ingest, last_logins, merge_partials, pending, recent, result_counts, upsert
+from tracewell.sources.tables import at_rest, ingest, last_logins, merge_partials, pending, read_csv, recent, result_counts, shared_folder, upsert, write_csv, write_json
+from tracewell.sources.versioned import VersionedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -560,3 +562,57 @@ def cl14_rebuilt_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = cells.select("user_id").distinct()
     made = users.select("user_id", F.lit("A").alias("run_id"), F.lit(1).cast("long").alias("started_at"), F.lit("completed").alias("status")).unionByName(users.select("user_id", F.lit("B").alias("run_id"), F.lit(2).cast("long").alias("started_at"), F.when(failed, "failed").otherwise("running").alias("status")))
     return runs.rebuilt_clusters(both, made, stage(spark, sf_dir, "visits")).select("user_id", "cluster_id", "lat", "lng", "center_method", "total_points")
+
+
+MOVED = "100e0 / 6371000.0"
+
+
+@register("sf6_move_point", O.chain("gps", f"select raw_id, round(degrees(a), 7) lat, round(degrees(radians(lng) + atan2(sin(b) * sin({MOVED}) * cos(radians(lat)), cos({MOVED}) - sin(radians(lat)) * sin(a))), 7) lng from (select *, radians(heading) b, asin(sin(radians(lat)) * cos({MOVED}) + cos(radians(lat)) * sin({MOVED}) * cos(radians(heading))) a from gps)"))
+def sf6_move_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each ping a hundred metres on in its heading."""
+    moved = stage(spark, sf_dir, "gps").withColumn("p", G.move_point(F.col("lat"), F.col("lng"), F.col("heading"), F.lit(100.0)))
+    return moved.select("raw_id", F.round("p.lat", 7).alias("lat"), F.round("p.lng", 7).alias("lng"))
+
+
+SECONDS = "duration_sec * case visit_start % 4 when 0 then 1 when 1 then 60 when 2 then 0.1 else 7 end"
+
+
+@register("sf14_formatted_visits", O.chain("vis", f"select user_id, visit_start, case when h % 12 = 0 then 12 else h % 12 end || ':' || lpad((m % 60)::varchar, 2, '0') || case when h < 12 then 'AM' else 'PM' end shown_start, case when s >= 3600 and s % 3600 >= 60 then (s // 3600) || 'h ' || (s % 3600 // 60) || 'm' when s >= 3600 then (s // 3600) || 'h' when s >= 60 then (s // 60) || 'm' else s || 's' end shown_duration, cast(floor(case when share <= 1 then share * 100 else share end + 0.5) as bigint) || '%' shown_share from (select user_id, visit_start, {O.hour('visit_start')} h, {O.minute('visit_start')} m, cast(floor({SECONDS}) as bigint) s, point_count / 64.0::double share from vis)"))
+def sf14_formatted_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Begin, duration (also of seconds and days) and a share of every visit, as shown to people."""
+    ts, way = F.col("visit_start"), F.col("visit_start") % 4
+    seconds = F.floor(F.col("duration_sec") * F.when(way == 0, 1.0).when(way == 1, 60.0).when(way == 2, 0.1).otherwise(7.0))
+    return stage(spark, sf_dir, "visits").select("user_id", "visit_start", T.format_clock(ts).alias("shown_start"), T.format_duration(seconds).alias("shown_duration"), T.format_confidence(F.col("point_count") / 64.0).alias("shown_share"))
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+ORDER_ROWS = "select o_orderkey, o_custkey, round(o_totalprice, 2) total from orders where o_orderdate {} timestamp '1996-01-01'"
+
+
+@register("io10_stored_tables", f"select *, 'user' as made_by from ({ORDER_ROWS.format('>=')}) union all select *, 'user' from ({ORDER_ROWS.format('<')}) where o_custkey not in (select o_custkey from orders where o_orderdate >= timestamp '1996-01-01') union all select coalesce(n.o_orderkey, o.o_orderkey), coalesce(n.o_custkey, o.o_custkey), coalesce(n.total, o.total), 'order' from ({ORDER_ROWS.format('<')}) o full join (select o_orderkey, o_custkey, -round(o_totalprice, 2) total from orders where o_orderkey % 3 = 0) n on n.o_orderkey = o.o_orderkey")
+def io10_stored_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored tables of the early orders: one with the customers of later orders rebuilt, one with every third order put over the old ones."""
+    orders = table(spark, sf_dir, "orders")
+    rows = lambda c: orders.where(c).select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("total"))
+    late = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    store = VersionedTables(spark, own_folder(spark, "store"))
+    store.commit([("user", "append", rows(~late), ["o_custkey"]), ("order", "append", rows(~late), ["o_orderkey"])], "load", 0)
+    third = rows(F.col("o_orderkey") % 3 == 0).withColumn("total", -F.col("total"))
+    changes = [("user", "users", rows(late), ["o_custkey"]), ("order", "upsert", third, ["o_orderkey"])]
+    store.commit(changes, "load", 1)
+    store.commit(changes, "load", 1)  # given again, it changes nothing
+    return store.read("user").withColumn("made_by", F.lit("user")).unionByName(store.read("order").withColumn("made_by", F.lit("order")))
+
+
+@register("io12_text_files", O.chain("clu", "select user_id, cluster_id, place_type || ', \"' || cluster_id || '\"' note, case when total_points % 5 = 0 then null else lat end lat, total_points, f as format from clu, (values ('csv'), ('json')) t(f)"))
+def io12_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters written as CSV and as JSON lines, with quotes, commas and missing values, and read back."""
+    note = F.concat("place_type", F.lit(', "'), "cluster_id", F.lit('"'))
+    rows = stage(spark, sf_dir, "clusters").select("user_id", "cluster_id", note.alias("note"), F.when(F.col("total_points") % 5 != 0, F.col("lat")).alias("lat"), "total_points")
+    schema, csv, json = "user_id string, cluster_id string, note string, lat double, total_points long", own_folder(spark, "csv"), own_folder(spark, "json")
+    write_csv(rows, csv)
+    write_json(rows, json)
+    return read_csv(spark, csv, schema).withColumn("format", F.lit("csv")).unionByName(spark.read.schema(schema).json(json).withColumn("format", F.lit("json")))

@@ -69,7 +69,7 @@ def forest_roots(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): each node's root over links (a, b), where every b has one parent a, less than b.
 
     Pointer jumping: each round doubles the distance that a node looks up, by one join.
-    Roots themselves aren't listed.
+    Roots themselves aren't listed. Repeated links give repeated nodes; no links give no rows.
     """
     with passing_tables(links.sparkSession):
         known = materialise(links.select(F.col("b").alias("node"), F.col("a").alias("component")), "roots")

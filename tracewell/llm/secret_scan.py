@@ -136,7 +136,8 @@ SPANS = "base array<struct<start:int,kind:int,end:int>>, tested array<struct<sta
 def scan(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """(docs with a column more, its name): struct of base and tested spans of every text, offsets in code points.
 
-    Null and empty texts give empty arrays; every input row gives one row.
+    Null and empty texts give empty arrays; every input row gives one row, repeated ones
+    and those without an id too, an empty table none.
     """
     prepare(docs.sparkSession)
     name = free_name(docs, "secrets")
@@ -209,8 +210,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fals
     """docs with every secret in text_col replaced by [SECRET]; overlapping spans are replaced together.
 
     All columns and rows stay, repeated ones too, null texts stay null; n_chars, where
-    there is such a column, is the new text's length. The table is scanned once and kept
-    with its spans in the shared folder.
+    there is such a column, is the new text's length. An empty table stays empty. The
+    table is scanned once and kept with its spans in the shared folder.
     """
     scanned, name = scan(docs, text_col)
     kept = materialise(scanned, "secrets")

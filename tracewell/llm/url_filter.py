@@ -130,6 +130,8 @@ def filter_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """The rows of pages, with all their columns, whose url is allowed.
 
     Rules and reputation are those of judge_urls(); a host's reputation is joined to the rows.
+    Null urls and urls without :// go, each of repeated rows is judged alike, null ids
+    stay where their url does, an empty table stays empty; other columns are carried along.
     """
     rules = options.get("rules", RULES)
     host, path = host_of(pages[url_col]), path_of(pages[url_col])

@@ -177,8 +177,8 @@ def feature_table(media: DataFrame) -> DataFrame:
     """(id, n_bytes, payload_bytes long, payload_sha256 string, tail_crc32, media_bytes long, media_sha256 string, frames int, segments array<struct<start,end>>, features binary) of the stored media, written to the shared folder.
 
     All of it is computed from the stored bytes. segments are spans of frames; features
-    is a record batch of TENSORS, see stored_features(). A null or empty text's media is
-    64 bytes of silence like any other; repeated rows give repeated rows, null ids stay,
+    is a record batch of TENSORS, see stored_features(). A null or empty text is
+    64 bytes 0 in a file like any other; repeated rows give repeated rows, null ids stay,
     no media give no rows.
     """
     prepare(media.sparkSession)

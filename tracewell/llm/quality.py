@@ -18,11 +18,11 @@ from pyspark.sql import DataFrame
 from tracewell.llm.common import prepare, slices, utf8
 from tracewell.llm.labelled import held_out, labelled_sample
 
-WIDTH, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 512, 6, 24, 12
+WIDTH, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 128, 6, 24, 12
 #: Bytes whose filter outputs are held at once.
 SPAN = 1 << 18
 #: Rows of each label that are fitted on at most, and how.
-SAMPLE, EPOCHS, BATCH, STEP, DECAY, SEED = 1500, 8, 24, 0.01, 1e-3, 7
+SAMPLE, EPOCHS, BATCH, STEP, DECAY, SEED = 1500, 12, 24, 0.01, 1e-3, 7
 
 
 def laid_out(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -565,6 +565,44 @@ def test_chain_by_hand():
     assert list(chain.probabilities(many)[:, -1] > 0.5) == [False, True, False, True, False]
 
 
+def test_chain_in_scripts_without_spaces():
+    """A mark of one or two characters inside a run of Han or kana is found whatever stands around it."""
+    rng = random.Random(5)
+    plain = "的一是在人有我他这中大来上国说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小么心多天而能好都然没日于起"
+    run = lambda n: "".join(rng.choice(plain) for _ in range(n))
+    text = lambda mark: "，".join([run(9), run(4) + mark + run(5), run(8)])
+    chain = toxicity.fit_chain([(text("恶狗" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(240)])
+    p = chain.probabilities([text("恶狗") for _ in range(50)] + [text("") for _ in range(50)])[:, -1]
+    assert (p[:50] > 0.5).all() and (p[50:] < 0.5).all()
+    assert len(toxicity.places("恶狗")) == 1 + 2 + 2 + 1 and len(toxicity.places("abcd")) == 1 + 4 + 1
+
+
+def test_fit_linear_reaches_the_optimum(monkeypatch):
+    """The fit's penalised loss goes to that of plain proximal steps over a dense matrix, run to the end; the steps it takes by default stop before."""
+    rng = np.random.default_rng(4)
+    n, kinds = 120, 14
+    y = (rng.random(n) < 0.35).astype(float)
+    x = rng.random((n, kinds)) < np.where(y[:, None] > 0, np.linspace(0.2, 0.7, kinds), 0.2)
+    before, used = rng.random((n, 2)), np.arange(n) % 4 != 0
+    row, place = (a.astype(np.int32) for a in np.nonzero(x))
+    scale = toxicity.odds(row, place, y, used)[:kinds] / 3
+    assert 3 < (scale > 0).sum() < kinds
+    dense = np.column_stack([x * scale, before, np.ones(n)])[used]
+    share, target = np.where(y[used] > 0, toxicity.WEIGHT, 1.0) / used.sum(), y[used]
+    penalty = np.where(np.arange(kinds + 3) < kinds, toxicity.PENALTY, 0.0)
+    loss = lambda w: share @ (np.logaddexp(0, dense @ w) - target * (dense @ w)) + penalty @ np.abs(w)
+    step, w = 4 / np.linalg.eigvalsh(dense.T @ (share[:, None] * dense))[-1], np.zeros(kinds + 3)
+    for _ in range(20_000):
+        w = w - step * (dense.T @ (share * (1 / (1 + np.exp(-dense @ w)) - target)))
+        w = np.sign(w) * np.maximum(0, np.abs(w) - step * penalty)
+    reached = []
+    for steps in (toxicity.STEPS, 10 * toxicity.STEPS):
+        monkeypatch.setattr(toxicity, "STEPS", steps)
+        weight, earlier, constant = toxicity.fit_linear(row, place, before, y, used)
+        reached.append(loss(np.concatenate([np.divide(weight[:kinds], scale, out=np.zeros(kinds), where=scale > 0), earlier, [constant]])))
+    assert loss(w) - 1e-9 <= reached[1] < loss(w) * 1.005 and reached[1] <= reached[0] < 0.9 * loss(np.zeros(kinds + 3))
+
+
 def test_network_gradients():
     net = quality.ByteNet(2)
     texts = [b"ab cd ef gh " * 9, b"&&& zz " * 30]

@@ -282,3 +282,25 @@ def test_polylines(spark):
     begin = time.time()
     deep = geo.polyline_points(__import__("pyarrow").array(["_p~iF~ps|U" * 100_000]))
     assert len(deep[0]) == 100_000 and time.time() - begin < 5
+
+
+def test_broadcasts_go_by_the_size_of_rows(spark):
+    from tracewell.operators import clusters
+    from tracewell.plans import queries
+
+    kept = {name: spark.conf.get(name, None) for name in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        queries.stage(spark, "/root/testdata/sf0.001", "gps")
+        labelled = at_rest(spark.range(400_000).selectExpr("concat('U', id div 40) as user_id", "id % 40 as cell_lat", "id % 7 as cell_lng", "'C0' as cluster_id"), "wide_rows")
+        assert labelled._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 10 << 20  # its files are small, its rows are not
+        stays = spark.range(2000).selectExpr("concat('U', id div 4) as user_id", "id % 40 * 0.0001D as lat", "id % 7 * 0.0001D as lng", "true as is_stay_point", "false as is_anomaly")
+        joined = clusters.clustered_points(stays, labelled)
+        assert len(joined.collect()) == 2000
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+        few = at_rest(stays.limit(10), "few")
+        small = labelled.join(few.select("user_id"), "user_id", "left_semi")
+        assert small.collect() and "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

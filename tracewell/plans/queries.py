@@ -14,7 +14,7 @@ from tracewell.functions import timefn as T
 from tracewell.operators import asof, clusters, feeds, near, patterns, points, predict, runs, track, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
-from tracewell.sources.tables import at_rest, ingest, last_logins, merge_partials, pending, read_csv, recent, result_counts, shared_folder, upsert, write_csv, write_json
+from tracewell.sources.tables import at_rest, ingest, last_logins, measured_broadcasts, merge_partials, pending, read_csv, recent, result_counts, shared_folder, upsert, write_csv, write_json
 from tracewell.sources.versioned import VersionedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,7 +31,7 @@ def version(spark: SparkSession, sf_dir: str) -> int:
 
 def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the pipeline that several queries read, written once for each session and state of the input's files."""
-    return _stage(spark, sf_dir, version(spark, sf_dir), name)
+    return _stage(measured_broadcasts(spark), sf_dir, version(spark, sf_dir), name)
 
 
 def _stage(spark: SparkSession, sf_dir: str, state: int, name: str) -> DataFrame:

@@ -40,6 +40,19 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tracewell-{spark.sparkContext.applicationId}"
 
 
+def measured_broadcasts(spark: SparkSession) -> SparkSession:
+    """Lets joins broadcast a side by the size of its rows, which AQE measures, no longer by the size of the files it comes from.
+
+    A compressed file of 10 MB may hold rows of 200 MB, which the driver would gather. The session's limit stays, for the rows.
+    """
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if not limit.startswith("-"):
+        if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    return spark
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

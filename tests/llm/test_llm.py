@@ -439,6 +439,22 @@ def test_nearest_neighbours(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")).collect()[0]["vec_id"] == 1
 
 
+def test_no_neighbour_is_missed(spark):
+    """Vectors beyond single precision, of far apart norms, and queries unlike the rest: all neighbours are found."""
+    rng = np.random.default_rng(9)
+    g = rng.normal(size=(3000, 16))
+    unlike = g / np.linalg.norm(g, axis=1, keepdims=True)
+    unlike[::20] = np.abs(unlike[::20]) * 5
+    for x in (g * 1e30, g * np.exp(2 * rng.normal(size=(3000, 1))), unlike):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = ann.nearest(rows).toPandas().sort_values(["query_id", "rank"])
+        assert got.query_id.nunique() == 150
+        for q, found in got.groupby("query_id"):
+            s = (x * x[q]).sum(axis=1)
+            s[q] = -np.inf
+            assert found.vec_id.tolist() == np.lexsort((np.arange(3000), -s))[:20].tolist()
+
+
 def test_inverted_lists(spark):
     """Vectors in distant clusters: few lists are looked into, and every query still gets all its neighbours."""
     rng = np.random.default_rng(3)

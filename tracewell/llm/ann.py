@@ -1,14 +1,19 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector is approximated by a sum of codewords, one from each of CODEBOOKS codebooks
-over all dimensions, found by beam search over the residuals. Each code stores the
-norms of its vector and of its approximation. A query's inner products with all
-codewords form a lookup table; a code's score is the sum of its entries, scaled by the
-stored norms. The best SHORTLIST of each block by that score are ranked exactly.
-
-Codes lie in inverted lists by their vector's nearest centre. A query looks into the
-lists whose centres have the largest inner products with it; how many that are is found
-on the data: as many as hold FOUND of the true neighbours of TRIED rows.
+over all dimensions, found by beam search over the residuals. What is coded is the
+vector's direction; each code stores the vector's norm and how far the approximation is
+off. A query's inner products with all codewords form a lookup table; a code's score is
+the sum of its entries times the stored norm. The best SHORTLIST of each block by that
+score are ranked exactly; so are all other rows that, as far as their approximation may
+be off, could still beat the k-th of these.
+
+Codes lie in inverted lists by their vector's nearest centre. A query first looks into
+the lists whose centres have the largest inner products with it; how many that are is
+found on the data: as many as hold FOUND of the true neighbours of TRIED rows. Then it
+looks into each other list whose farthest and longest vectors leave room for a better
+one than the k-th found. So no neighbour is missed, whatever the vectors; codes and
+lists only save work.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ BLOCK, QUERIES, SHORTLIST = 16_384, 8_192, 400
 #: Inverted lists at most (one for each LIST_ROOT square roots' worth of rows), rows that
 #: the number of lists to look into is found on, and the share of their neighbours in these.
 LISTS, LIST_ROOT, TRIED, FOUND = 1024, 8, 128, 0.96
+#: What a bound of single precision may be wrong by, for vectors of length 1.
+SLACK = 2e-5
 
 
 def k_means(x: np.ndarray, words: int, rng: np.random.Generator) -> np.ndarray:
@@ -46,6 +53,16 @@ def k_means(x: np.ndarray, words: int, rng: np.random.Generator) -> np.ndarray:
     return centre
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of length 1, their norms), also where the squares of components are beyond a double."""
+    x = x.astype(np.float64)
+    most = np.abs(x).max(axis=1, initial=0)
+    y = x / np.where(most > 0, most, 1)[:, None]
+    length = np.sqrt((y**2).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return y / np.where(length > 0, length, 1)[:, None], np.minimum(most * length, np.finfo(np.float64).max)
+
+
 class InvertedLists:
     """Centres of the lists, and how many of them a query looks into."""
 
@@ -56,15 +73,15 @@ class InvertedLists:
     def fit(x: np.ndarray, rows: int) -> InvertedLists:
         """Centres fitted on a sample x of a table of `rows` vectors."""
         number = int(max(1, min(LISTS, rows**0.5 / LIST_ROOT)))
-        return InvertedLists(k_means(x.astype(np.float32), number, np.random.default_rng(SEED)))
+        return InvertedLists(k_means(directions(x)[0].astype(np.float32), number, np.random.default_rng(SEED)))
 
     def of(self, x: np.ndarray) -> np.ndarray:
-        """The list of each vector: its nearest centre's."""
-        return (x.astype(np.float32) @ self.centres.T - (self.centres**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
+        """The list of each vector: the centre's that is nearest to its direction."""
+        return (directions(x)[0].astype(np.float32) @ self.centres.T - (self.centres**2).sum(axis=1) / 2).argmax(axis=1).astype(np.int32)
 
     def order(self, queries: np.ndarray) -> np.ndarray:
         """(queries, lists): all lists, that with the largest inner product first."""
-        return np.argsort(-(queries.astype(np.float32) @ self.centres.T), axis=1, kind="stable").astype(np.int32)
+        return np.argsort(-(directions(queries)[0].astype(np.float32) @ self.centres.T), axis=1, kind="stable").astype(np.int32)
 
 
 class AdditiveQuantiser:
@@ -85,8 +102,9 @@ class AdditiveQuantiser:
 
     @staticmethod
     def fit(x: np.ndarray, codebooks: int = CODEBOOKS, words: int = WORDS) -> AdditiveQuantiser:
-        """k-means on the residuals book by book, then all books refitted to the codes by least squares."""
+        """k-means on the directions' residuals book by book, then all books refitted to the codes by least squares."""
         rng = np.random.default_rng(SEED)
+        x = directions(x)[0]
         rest, books = x.astype(np.float32).copy(), []
         for _ in range(codebooks):
             centre = k_means(rest, words, rng)
@@ -161,16 +179,20 @@ def sampled(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, quantiser: AdditiveQuantiser, lists: InvertedLists) -> DataFrame:
-    """(id, v, code binary, norm, approximate_norm, list, row) of every vector (id, v), written to the shared folder."""
+    """(id, v, code binary, norm, off, list, far, row) of every vector (id, v), written to the shared folder.
+
+    off is the distance of the direction from its approximation, far that from the list's centre.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = stacked(batch.column(1)).astype(np.float64)
-            codes = quantiser.encode(x)
-            norms = [np.sqrt((y.astype(np.float64) ** 2).sum(axis=1)) for y in (x, quantiser.decode(codes))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, norms), pa.array(lists.of(x))], names=["id", "v", "code", "norm", "approximate_norm", "list"])
+            unit, norm = directions(x)
+            codes, own = quantiser.encode(unit), lists.of(x)
+            off, far = (np.sqrt(((unit - y) ** 2).sum(axis=1)) for y in (quantiser.decode(codes), lists.centres[own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), *map(pa.array, (norm, off, own, far))], names=["id", "v", "code", "norm", "off", "list", "far"])
 
-    coded = vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, approximate_norm double, list int")
+    coded = vectors.select("id", "v").mapInArrow(run, "id long, v array<double>, code binary, norm double, off double, list int, far double")
     return materialise(coded.withColumn("row", F.monotonically_increasing_id()), "codes")
 
 
@@ -213,33 +235,59 @@ def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, l
     """(query_id, rank, id, score): the k nearest found of each query (row, id, v), rows of its id left out, ties to the smaller id.
 
     Each query goes to the first lists.probes lists in its order, and to as many more as
-    hold k others together, so it never gets fewer rows than there are. A list's codes are dealt
-    into blocks, and the queries that look into it into groups, of bounded size by hashes
-    of their ids; each group meets each block of its list in one task, which scores the
-    block's codes by lookup tables and ranks `shortlist` of them (more where the block is
-    smaller) exactly in double precision. What is joined is k rows for each query and block.
+    hold k others together, so it never gets fewer rows than there are; then to all others
+    that may hold a better one than its k-th.
     """
-    held = index.groupBy("list").agg(F.count("*").alias("n"))
-    size = np.zeros(len(lists.centres), np.int64)
-    for row in held.collect():  # LISTS rows at most
-        size[row["list"]] = row["n"]
+    held = {r["list"]: r for r in index.groupBy("list").agg(F.count("*").alias("n"), F.max("norm").alias("norm"), F.max("far").alias("far")).collect()}  # LISTS rows at most
+    size, longest, far = (np.array([held[i][c] if i in held else 0 for i in range(len(lists.centres))]) for c in ("n", "norm", "far"))
+    schema = "query_row long, query_id long, q array<double>, floor double, lists array<int>"
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             order = lists.order(stacked(batch.column(2)))
             short = (size[order].cumsum(axis=1) <= k).sum(axis=1)  # lists that hold k rows or fewer, the query's own among them
             chosen = [row[: max(lists.probes, n + 1)] for row, n in zip(order, short, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chosen, pa.list_(pa.int32()))], names=["query_row", "query_id", "q", "lists"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, -np.inf)), pa.array(chosen, pa.list_(pa.int32()))], names=names)
 
-    probing = materialise(queries.select("row", "id", "v").mapInArrow(probe, "query_row long, query_id long, q array<double>, lists array<int>"), "probes")
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit, norm = directions(stacked(batch.column(2)))
+            room = np.maximum(unit @ lists.centres.T.astype(np.float64) + far + SLACK, 0)
+            open_ = (room * longest >= (batch.column(3).to_numpy() / norm)[:, None]) & (size > 0)
+            for row, seen in enumerate(batch.column(4).to_pylist()):
+                open_[row, seen] = False
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([np.flatnonzero(row).astype(np.int32) for row in open_], pa.list_(pa.int32()))], names=names)
+
+    nearest_first = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k)
+    asked = materialise(queries.select("row", "id", "v").mapInArrow(first, schema), "probes")
+    found = materialise(ranked(meet(index, asked, quantiser, k, shortlist)).drop("rank"), "found")
+    # a query with fewer than k rows has looked into all lists
+    floor = found.groupBy("query_row").agg(F.min("score").alias("floor"))
+    again = asked.drop("floor").join(floor, "query_row").select(*names).mapInArrow(others, schema).where(F.size("lists") > 0)
+    more = meet(index, materialise(again, "probes"), quantiser, k, shortlist)
+    return ranked(found.unionByName(more)).select("query_id", "rank", "id", "score")
+
+
+def meet(index: DataFrame, asked: DataFrame, quantiser: AdditiveQuantiser, k: int, shortlist: int = SHORTLIST) -> DataFrame:
+    """(query_row, query_id, id, score): for each query (query_row, query_id, q, floor, lists) and block of its lists the k nearest with a score of floor or more.
+
+    A list's codes are dealt into blocks, and the queries that look into it into groups, of
+    bounded size by hashes of their ids; each group meets each block of its list in one
+    task. It scores the block's codes by lookup tables, ranks `shortlist` of them (more
+    where the block is smaller) exactly in double precision, and then all rows that these
+    leave possible. What is joined is k rows for each query and block.
+    """
+    held = index.groupBy("list").agg(F.count("*").alias("n"))
     parts = lambda column, size: F.ceil(F.col(column) / size).cast("int")
     deal = lambda column, number: F.pmod(F.xxhash64(column), F.col(number)).cast("int")
     every = lambda number: F.explode(F.sequence(F.lit(0), F.col(number) - 1))
-    asked = probing.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m"))
+    number = asked.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("m"))
     # a row for each list, of which there are LISTS at most
-    dealt = F.broadcast(held.join(asked, "list").select("list", parts("n", BLOCK).alias("blocks"), parts("m", QUERIES).alias("groups")))
-    left = probing.select("query_row", "query_id", "q", F.explode("lists").alias("list")).join(dealt, "list").select("query_row", "query_id", "q", "list", deal("query_row", "groups").alias("g"), every("blocks").alias("b"))
-    right = index.join(dealt, "list").withColumns({"b": deal("row", "blocks"), "g": every("groups")}).drop("row", "blocks", "groups")
+    dealt = F.broadcast(held.join(number, "list").select("list", parts("n", BLOCK).alias("blocks"), parts("m", QUERIES).alias("groups")))
+    left = asked.select("query_row", "query_id", "q", "floor", F.explode("lists").alias("list")).join(dealt, "list").select("query_row", "query_id", "q", "floor", "list", deal("query_row", "groups").alias("g"), every("blocks").alias("b"))
+    right = index.join(dealt, "list").withColumns({"b": deal("row", "blocks"), "g": every("groups")}).drop("row", "far", "blocks", "groups")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list[np.ndarray]] = {"query_row": [], "query_id": [], "id": [], "score": []}
@@ -248,33 +296,47 @@ def search(index: DataFrame, queries: DataFrame, quantiser: AdditiveQuantiser, l
             order = np.argsort(ids, kind="stable")
             ids, x = ids[order], stacked(right.column("v")).astype(np.float64)[order]
             codes = np.frombuffer(b"".join(right.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-            scale = (right.column("norm").to_numpy() / np.maximum(1e-12, right.column("approximate_norm").to_numpy()))[order].astype(np.float32)
-            query_rows, query_ids, q = left.column("query_row").to_numpy(), left.column("query_id").to_numpy(), stacked(left.column("q")).astype(np.float64)
+            norm, off = right.column("norm").to_numpy()[order], right.column("off").to_numpy()[order].astype(np.float32)
+            longest = norm.max()
+            norm = (norm / longest).astype(np.float32)
+            query_rows, query_ids, floors, every_q = left.column("query_row").to_numpy(), left.column("query_id").to_numpy(), left.column("floor").to_numpy(), stacked(left.column("q")).astype(np.float64)
             keep = min(len(ids), shortlist + 1)
-            for a in range(0, len(q), 256):
-                table = quantiser.tables(q[a : a + 256])
+            for a in range(0, len(every_q), 256):
+                q, own, least = every_q[a : a + 256], query_ids[a : a + 256], floors[a : a + 256].copy()
+                unit, scale = directions(q)
+                with np.errstate(over="ignore"):
+                    scale = np.minimum(scale * longest, np.finfo(np.float64).max)
+                table = quantiser.tables(unit)
                 score = table[0][codes[:, 0]]
                 for book in range(1, len(table)):
                     score += table[book][codes[:, book]]
-                score = (score * scale[:, None]).T
+                upper = ((score + off[:, None]) * norm[:, None]).T
+                score = (score * norm[:, None]).T
                 for row, approximate in enumerate(score):
                     floor = np.partition(approximate, len(ids) - keep)[len(ids) - keep]
                     near = np.flatnonzero(approximate >= floor)
                     if len(near) > 2 * keep:  # many equal scores: all above the floor, then the smallest ids at it
                         near = np.concatenate([near[approximate[near] > floor], near[approximate[near] == floor][:keep]])
-                    near = near[ids[near] != query_ids[a + row]]
-                    exact = (x[near] * q[a + row]).sum(axis=1)
+                    near = near[ids[near] != own[row]]
+                    if len(near) >= k:
+                        exact = (x[near] * q[row]).sum(axis=1)
+                        least[row] = max(least[row], np.partition(exact, len(near) - k)[len(near) - k])
+                possible = upper >= (least / scale - SLACK)[:, None]
+                at = np.flatnonzero(possible.any(axis=0))
+                possible = possible[:, at] & (q @ x[at].T >= (least - 1e-9 * scale)[:, None])
+                for row, better in enumerate(possible):
+                    near = at[better]
+                    near = near[ids[near] != own[row]]
+                    exact = (x[near] * q[row]).sum(axis=1)
                     top = np.lexsort((ids[near], -exact))[:k]
                     out["query_row"].append(np.full(len(top), query_rows[a + row]))
-                    out["query_id"].append(np.full(len(top), query_ids[a + row]))
+                    out["query_id"].append(np.full(len(top), own[row]))
                     out["id"].append(ids[near[top]])
                     out["score"].append(exact[top])
         join = lambda name, kind: np.concatenate(out[name]).astype(kind) if out[name] else np.zeros(0, kind)
         return pa.table({"query_row": join("query_row", np.int64), "query_id": join("query_id", np.int64), "id": join("id", np.int64), "score": join("score", np.float64)})
 
-    found = left.groupBy("list", "g", "b").cogroup(right.groupBy("list", "g", "b")).applyInArrow(run, "query_row long, query_id long, id long, score double")
-    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
-    return found.select("query_id", F.row_number().over(best).alias("rank"), "id", "score").where(F.col("rank") <= k)
+    return left.groupBy("list", "g", "b").cogroup(right.groupBy("list", "g", "b")).applyInArrow(run, "query_row long, query_id long, id long, score double")
 
 
 def nearest(table: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -734,3 +734,18 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.run(spark, sf).toPandas()
     assert set(packed.doc_id) == set(kept.toPandas().doc_id)
     assert isinstance(packed, pd.DataFrame)
+
+
+def test_fits_run_in_a_task(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    rows = labelled_sample(docs, labels, "toxic", {1: 1000, 0: 3000})
+    alike, net = toxicity.fit_chain(rows), quality.ByteNet().fit(labelled_sample(docs, labels, "quality", {0: 1500, 1: 1500}))
+
+    def on_driver(*_):
+        raise AssertionError("fitted on the driver")
+
+    monkeypatch.setattr(toxicity, "hashed", on_driver)
+    monkeypatch.setattr(quality, "laid_out", on_driver)
+    chain, found = toxicity.fit_toxicity(docs, labels), quality.fit_quality(docs, labels)
+    assert (chain.columns == alike.columns).all() and (chain.weights == alike.weights).all() and (chain.constants == alike.constants).all()
+    assert all(np.allclose(found.w[k], net.w[k], atol=1e-4) for k in net.w)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewell.llm.common import prepare, slices, utf8
-from tracewell.llm.labelled import held_out, labelled_sample
+from tracewell.llm.labelled import fitted, held_out, sample_rows
 
 WIDTH, CHUNK, EMBEDDING, FILTERS, HIDDEN = 8, 128, 6, 24, 12
 #: Bytes whose filter outputs are held at once.
@@ -156,13 +156,17 @@ class ByteNet:
         return self
 
 
+def fit_net(rows: list[tuple[str, int]]) -> ByteNet:
+    """A network fitted on (text, label) rows; as initialised without rows of both labels."""
+    return ByteNet().fit(rows) if len({y for _, y in rows}) == 2 else ByteNet()
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteNet:
     """A network fitted on whole texts of `sample` rows of each label at most, held-out rows left out.
 
     Without rows of both labels it is left as initialised, and scores say little.
     """
-    rows = labelled_sample(docs, labels, "quality", {0: sample, 1: sample})
-    return ByteNet().fit(rows) if len({y for _, y in rows}) == 2 else ByteNet()
+    return fitted(sample_rows(docs, labels, "quality", {0: sample, 1: sample}), fit_net)
 
 
 def column_scores(net: ByteNet, batch: pa.RecordBatch, text_col: str) -> np.ndarray:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tracewell.llm.common import Remembered, prepare, texts
-from tracewell.llm.labelled import labelled_sample
+from tracewell.llm.labelled import fitted, sample_rows
 
 CHAIN = ("kind1", "kind2", "kind3", "toxic")
 WORD = re.compile(r"[^\W\d_]+")
@@ -208,7 +208,7 @@ def fit_chain(rows: list[tuple[str, int]]) -> Chain:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC_SAMPLE, other: int = OTHER_SAMPLE) -> Chain:
     """A chain fitted on `toxic` and `other` rows of the two labels at most, whole texts, held-out rows left out."""
-    return fit_chain(labelled_sample(docs, labels, "toxic", {1: toxic, 0: other}))
+    return fitted(sample_rows(docs, labels, "toxic", {1: toxic, 0: other}), fit_chain)
 
 
 def score_toxicity(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:

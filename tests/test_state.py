@@ -304,3 +304,27 @@ def test_broadcasts_go_by_the_size_of_rows(spark):
     finally:
         for name, value in kept.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_broadcasts_of_stage_tables_are_small(spark):
+    from tracewell.operators import clusters
+    from tracewell.sources.tables import measured_broadcasts
+
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    kept = {name: spark.conf.get(name, None) for name in names}
+    try:
+        spark.conf.set(names[0], "10MB")
+        spark.conf.unset(names[1])
+        measured_broadcasts(spark)
+        labelled = at_rest(spark.range(80_000).selectExpr("concat('U', id div 40) as user_id", "id % 40 as cell_lat", "id % 7 as cell_lng", "'C0' as cluster_id"), "some_rows")
+        stays = spark.range(2000).selectExpr("concat('U', id div 4) as user_id", "id % 40 * 0.0001D as lat", "id % 7 * 0.0001D as lng", "true as is_stay_point", "false as is_anomaly")
+        joined = clusters.clustered_points(stays, labelled)
+        assert len(joined.collect()) == 2000
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()  # about 5 MB of rows
+        spark.conf.set(names[0], "256k")
+        spark.conf.unset(names[1])
+        measured_broadcasts(spark)
+        assert spark.conf.get(names[1]) == str(256 << 10)  # a smaller limit of the session stays
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of rows up to which a join of stage tables broadcasts a side; each costs the driver several times as much, and several are under way at once.
+BROADCAST_ROWS = 2 << 20
+
 _folders: ContextVar[tuple[str, ...]] = ContextVar("folders", default=())
 
 
@@ -43,12 +46,13 @@ def shared_folder(spark: SparkSession) -> str:
 def measured_broadcasts(spark: SparkSession) -> SparkSession:
     """Lets joins broadcast a side by the size of its rows, which AQE measures, no longer by the size of the files it comes from.
 
-    A compressed file of 10 MB may hold rows of 200 MB, which the driver would gather. The session's limit stays, for the rows.
+    A compressed file of 10 MB may hold rows of 200 MB, which the driver would gather. The session's limit stays, for the rows, but not beyond BROADCAST_ROWS.
     """
     limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     if not limit.startswith("-"):
         if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
-            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
+            own = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+            spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", str(min(own, BROADCAST_ROWS)))
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     return spark
 

@@ -7,6 +7,8 @@ import random
 import shutil
 import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -53,6 +55,56 @@ def test_folded_sessions_are_those_of_windows(spark, long):
     assert track.process(pings.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rows", [7, 300])
+def test_sessions_over_batches_are_those_of_windows(spark, rows):
+    pings = at_rest(spark.createDataFrame(random_pings(6), PINGS).repartition(3), "pings")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    kept = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(rows))
+        same(at_rest(track.process(pings), "a"), at_rest(points.process(pings), "b"))
+    finally:
+        spark.conf.set(name, kept)
+
+
+def test_sessions_of_a_batch_are_folded_as_single_pings():
+    rng, rows, first = random.Random(7), [], []
+    for s in range(300):
+        ts, lat, mode = 1_700_000_000 + s * 10_000, 28.5 + rng.random(), rng.random()
+        prev = None if s % 7 == 0 else (ts - rng.choice([61, 500]), -s - 1, lat, 77.2, rng.choice([None, 1.0]), rng.choice([None, 350.0]))
+        for k in range(rng.choice([1, 2, 20, 60, 200])):
+            mode = rng.random() if rng.random() < 0.05 else mode
+            ts += rng.choice([0, 1, 20, 30, 30, 30, 60, -3]) if k else 0
+            lat += rng.gauss(0, 1e-5 if mode < 0.5 else 3e-3 if mode > 0.95 else 1e-3)
+            at = lat if rng.random() > 0.02 else rng.choice([95.0, math.nan, lat + 0.5])
+            ping = (ts, s * 1000 + k, at, 77.2, rng.choice([0.2, 0.5]) if mode < 0.5 else rng.choice([None, 0.0, 0.4, 0.9, 5.5, 30.0]), rng.choice([None, 10.0, 350.0]), rng.choice([None, 8.0, 8.0, 8.0, 150.0]))
+            rows.append((ping, prev))
+            first.append(k == 0)
+            prev = ping[:6]
+    made = []
+    for (ping, prev), new in zip(rows, first, strict=True):
+        one = track.Track((*(prev or (None,) * 6), *track.FRESH[6:])) if new else one
+        made.append(one.add(*ping))
+    kinds = [pa.int64(), pa.int64(), *[pa.float64()] * 5]
+    columns = [pa.array(c, k) for side in ([p for p, _ in rows], [q or (None,) * 6 for _, q in rows]) for c, k in zip(zip(*side, strict=True), kinds, strict=False)]
+    names = [*track.PING, *(f"_{n}" for n in ("gps_ts", "raw_id", "lat", "lng", "speed", "heading"))]
+    got = track.whole_sessions(pa.RecordBatch.from_arrays(columns, names=names), np.array(first), track.RULES)
+    assert repr([c.to_pylist() for c in got]) == repr([list(c) for c in zip(*made, strict=True)])  # repr: NaN is NaN
+
+
+def test_what_makes_pings_runs_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [r for r in random_pings(8) if r[2] is not None]
+    track.process(spark.createDataFrame(rows, PINGS).mapInArrow(seen, PINGS)).collect()
+    assert read.value == len(rows)
+
+
 def test_resumed_runs_are_one_pass(spark):
     rows = [r for r in random_pings(2) if r[2] is not None]
     pings = at_rest(spark.createDataFrame(rows, PINGS), "pings")

@@ -8,7 +8,7 @@ sessions, which a gap of a minute ends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +74,29 @@ def with_begin(df: DataFrame, begins: Column, name: str) -> DataFrame:
     return out.withColumn(name, F.coalesce(name, "_carried")).drop("_carried", "_begin", "_day")
 
 
+def with_previous_and_begin(df: DataFrame, breaks: Callable[[Column, Column], Column], name: str, state: tuple[str, ...] = STATE) -> DataFrame:
+    """df with `prev`, as with_previous() gives it, and `name`, as with_begin() does where a row begins that is a user's first or breaks(prev, row).
+
+    One exchange by (user, day) and one sort. Only the rows before a day's first break lack
+    something then: they are joined with a small table of one row for each user and day.
+    state holds gps_ts and raw_id. Rows without a user are left out, as by the two others.
+    """
+    now, place, prev = F.struct(*state), F.struct("gps_ts", "raw_id"), F.col("prev")
+    within = Window.partitionBy("user_id", "_day").orderBy("gps_ts", "raw_id")
+    q = _dated(df.where("user_id is not null")).withColumns({"prev": F.lag(now).over(within), "_final": F.lead(F.lit(1)).over(within).isNull()})
+    own = F.when(prev.isNotNull() & breaks(prev, now), place)
+    q = at_rest(q.withColumn(name, F.last(own, ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))), "days")
+    ends = q.where("prev is null or _final").groupBy("user_id", "_day").agg(F.max(F.when(prev.isNull(), now)).alias("_first"), F.max(F.when(F.col("_final"), now)).alias("_last"), F.max(name).alias("_own"))
+    days = Window.partitionBy("user_id").orderBy("_day")
+    ends = ends.withColumn("_before", F.lag("_last").over(days))
+    opens = F.when(F.col("_before").isNull() | breaks(F.col("_before"), F.col("_first")), F.struct("_first.gps_ts", "_first.raw_id"))
+    ends = ends.withColumn("_opens", opens)
+    carried = F.last(F.coalesce("_own", "_opens"), ignorenulls=True).over(days.rowsBetween(Window.unboundedPreceding, -1))
+    ends = at_rest(ends.select("user_id", "_day", "_before", F.coalesce("_opens", carried).alias("_head")), "ends")
+    heads = q.where(F.col(name).isNull()).join(ends, ["user_id", "_day"]).withColumns({"prev": F.coalesce("prev", "_before"), name: F.col("_head")})
+    return q.where(F.col(name).isNotNull()).unionByName(heads.drop("_before", "_head")).drop("_day", "_final")
+
+
 def with_features(points: DataFrame) -> DataFrame:
     """Adds prev, time_gap, distance, calculated speed, speed and heading change; 0 for a user's first ping."""
     return features(with_previous(points))

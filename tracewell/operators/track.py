@@ -11,12 +11,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.geo import EARTH_M
-from tracewell.operators.points import RULES, PointRules, process_sessions, processed_columns, with_previous, with_sessions
+from tracewell.operators.points import RULES, PointRules, process_sessions, processed_columns, with_previous_and_begin
 from tracewell.sources.tables import at_rest, importable, pending
 
 PING = ("gps_ts", "raw_id", "lat", "lng", "speed", "heading", "accuracy")
@@ -186,8 +188,93 @@ def tracked(pings: DataFrame, states: DataFrame | None, rules: PointRules = RULE
     return ordered.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in schema))
 
 
+def far(lat1: np.ndarray, lng1: np.ndarray, lat2: np.ndarray, lng2: np.ndarray) -> np.ndarray:
+    """metres() of arrays of valid points; Arrow's functions are those of libm, as Python's are, numpy's are not."""
+    sin, cos = (lambda x, f=f: f(pa.array(x)).to_numpy() for f in (pc.sin, pc.cos))
+    a = sin(np.radians(lat2 - lat1) / 2) ** 2 + cos(np.radians(lat1)) * cos(np.radians(lat2)) * sin(np.radians(lng2 - lng1) / 2) ** 2
+    return 2 * EARTH_M * pc.atan2(pa.array(np.sqrt(a)), pa.array(np.sqrt(1 - a))).to_numpy()
+
+
+def trip_numbers(ts: np.ndarray, speed: np.ndarray, known: np.ndarray, first: np.ndarray, r: PointRules) -> tuple[np.ndarray, np.ndarray]:
+    """(number, whether in it) of the running trip after each of some sessions' regular pings, as Track.trip() gives it."""
+    at, before = np.arange(len(ts)), np.zeros(len(ts), bool)
+    begin = np.maximum.accumulate(np.where(first, at, 0))
+    slow = speed < r.trip_stop_kmph
+    before[1:] = slow[:-1]
+    since = ts[np.maximum.accumulate(np.where(slow & (first | ~before), at, 0))]
+    start = (speed > r.trip_start_kmph) & known
+    event = np.where(start, 1, np.where(slow & (ts - since >= r.trip_stop_s), 2, 0))
+    last = np.maximum.accumulate(np.where(event > 0, at, -1))
+    inside = (last >= begin) & (event[last] == 1)
+    before[1:] = inside[:-1]
+    starts = (start & (first | ~before)).astype(np.int64)
+    upto = np.cumsum(starts)
+    return upto - (upto - starts)[begin], inside
+
+
+def anchors(ts: np.ndarray, lat: np.ndarray, lng: np.ndarray, known: np.ndarray, first: np.ndarray, radius_m: float, steps: int = 64) -> np.ndarray:
+    """Time of the stay anchor of each known ping, all unbroken stretches at once; what is longer than `steps` goes on ping by ping."""
+    out, at = np.zeros(len(ts), np.int64), np.flatnonzero(known)
+    before = np.concatenate([[False], known[:-1]])
+    starts = np.flatnonzero(known & (first | ~before))
+    length = np.diff(np.append(np.searchsorted(at, starts), len(at)))
+    order = np.argsort(-length, kind="stable")
+    starts, length = starts[order], length[order]
+    anchor = starts.copy()
+    out[starts] = ts[starts]
+    for k in range(1, min(steps, int(length.max(initial=0)))):
+        n = int(np.searchsorted(-length, -k))
+        now, a = starts[:n] + k, anchor[:n]
+        anchor[:n] = np.where(far(lat[a], lng[a], lat[now], lng[now]) > radius_m, now, a)
+        out[now] = ts[anchor[:n]]
+    for s, n, a in zip(starts[length > steps].tolist(), length[length > steps].tolist(), anchor[length > steps].tolist(), strict=True):
+        for now in range(s + steps, s + n):
+            a = now if metres(float(lat[a]), float(lng[a]), float(lat[now]), float(lng[now])) > radius_m else a
+            out[now] = ts[a]
+    return out
+
+
+def whole_sessions(batch: pa.RecordBatch, first: np.ndarray, r: PointRules) -> list[pa.Array]:
+    """The values of MADE of whole sessions, one after the other, as Track.add() gives them; positions and times are not null."""
+    real = lambda n: batch.column(n).fill_null(0.0).to_numpy()
+    whole = lambda n: batch.column(n).fill_null(0).to_numpy()
+    lost = batch.column("_raw_id").is_null().to_numpy(zero_copy_only=False)  # a user's first
+    ts, lat, lng, now, turn = whole("gps_ts"), real("lat"), real("lng"), real("speed"), real("heading")
+    lat0, lng0 = real("_lat"), real("_lng")
+    ok = lambda y, x: (y >= -90) & (y <= 90) & (x >= -180) & (x <= 180)
+    gap, distance, valid_now = np.where(lost, 0, ts - whole("_gps_ts")), np.zeros(len(ts)), ok(lat, lng)
+    both = np.flatnonzero(valid_now & ok(lat0, lng0) & ~lost)
+    distance[both] = far(lat0[both], lng0[both], lat[both], lng[both])
+    kmph = np.where(gap > 0, distance / np.maximum(gap, 1) * 3.6, 0.0)
+    faster, turned = np.where(lost, 0.0, now - real("_speed")), np.where(lost, 0.0, np.fmod(np.abs(turn - real("_heading")), 360))
+    turned = np.where(turned > 180, 360 - turned, turned)
+    rules = (~valid_now, ts <= 0, real("accuracy") > r.max_accuracy_m, lost, gap <= 0, (gap < r.reset_gap_s) & (distance > r.jump_m), kmph > r.max_kmph)
+    reason = np.select(rules, (0, 1, 2, -1, 3, 4, 5), -1)
+    regular = reason < 0
+    stay = (now <= r.stay_kmph) & (distance <= r.stay_step_m)
+    drive = (now > r.drive_kmph) | (kmph > r.drive_kmph)
+    walk = (now > r.stay_kmph) & (now <= r.walk_kmph) & (distance > r.walk_step_m) & (gap <= r.walk_gap_s)
+    activity = np.select((~regular | (gap > r.reset_gap_s), stay, drive, walk), (0, 1, 2, 3), 0)
+    known = activity > 0
+    trip, inside, at = np.zeros(len(ts), np.int64), np.zeros(len(ts), bool), np.flatnonzero(regular)
+    session = np.cumsum(first)
+    if len(at):
+        begins = np.concatenate([[True], session[at][1:] != session[at][:-1]])
+        trip[at], inside[at] = trip_numbers(ts[at], now[at], known[at], begins, r)
+    anchor = anchors(ts, lat, lng, known, first, r.stay_radius_m)
+    texts = lambda codes, names: pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32(), mask=codes < 0), names).cast(pa.string())
+    return [
+        texts(activity, ["UNKNOWN", "STAY", "DRIVE", "WALK"]), pa.array(ts[first][session - 1]), pa.array(trip, mask=~inside), pa.array(anchor, mask=~known), pa.array(np.where(known, ts - anchor, 0)),
+        *map(pa.array, (distance, gap, faster, turned, kmph)), texts(reason, ["INVALID_LAT_LNG", "INVALID_TIMESTAMP", "LOW_GPS_ACCURACY", "NON_INCREASING_TIMESTAMP", "IMPOSSIBLE_DISTANCE_JUMP", "IMPOSSIBLE_SPEED"]),
+    ]
+
+
 def by_sessions(begun: DataFrame, rules: PointRules = RULES) -> DataFrame:
-    """(user_id, PING, MADE) of pings with their `prev` and `session`: sessions are folded each for itself, from the last point before them."""
+    """(user_id, PING, MADE) of pings with their `prev` and `session`: sessions are folded each for itself, from the last point before them.
+
+    The sessions that lie within a batch are folded all at once; the first and the last of
+    a batch, which may go on in others, and those with missing positions or times go ping by ping.
+    """
     importable(begun.sparkSession)
     fields = [tuple(c.split()) for c in f"{PING_TYPE}, {MADE_TYPE}".split(", ")]
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
@@ -197,17 +284,31 @@ def by_sessions(begun: DataFrame, rules: PointRules = RULES) -> DataFrame:
     ordered = rows.repartition("user_id", "_session").sortWithinPartitions("user_id", "_session", "gps_ts", "raw_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made_of = lambda batch, made: pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2 : 2 + len(PING)], *made], names=["user_id", *PING, *MADE])
         key, track = None, None
         for batch in batches:
-            users, sessions, *rest = (c.to_pylist() for c in batch.columns)
+            if not batch.num_rows:
+                continue
+            codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy() for c in batch.columns[:2]]
+            first = np.concatenate([[True], (codes[0][1:] != codes[0][:-1]) | (codes[1][1:] != codes[1][:-1])])
+            number = np.cumsum(first) - 1
+            null = lambda c, b=batch: b.column(c).is_null().to_numpy(zero_copy_only=False)
+            alone = np.zeros(number[-1] + 1, bool)
+            odd = null("gps_ts") | null("raw_id") | null("lat") | null("lng") | (~null("_raw_id") & (null("_gps_ts") | null("_lat") | null("_lng")))
+            alone[number[odd]] = alone[0] = alone[-1] = True
+            single = alone[number]
+            if not single.all():
+                some = batch.filter(pa.array(~single))
+                yield made_of(some, whole_sessions(some, first[~single], rules))
+            some = batch.filter(pa.array(single))
+            users, sessions, *rest = (c.to_pylist() for c in some.columns)
             pings, prev = zip(*rest[: len(PING)], strict=True), zip(*rest[len(PING) :], strict=True)
             made = []
             for user, session, ping, last in zip(users, sessions, pings, prev, strict=True):
                 if track is None or key != (user, session):
                     key, track = (user, session), Track((*last, *FRESH[6:]), rules)
                 made.append(track.add(*ping))
-            columns = zip(*made, strict=True) if made else [()] * len(MADE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2 : 2 + len(PING)], *(pa.array(c, kinds[types[n]]) for c, n in zip(columns, MADE, strict=True))], names=["user_id", *PING, *MADE])
+            yield made_of(some, [pa.array(c, kinds[types[n]]) for c, n in zip(zip(*made, strict=True), MADE, strict=True)])
 
     return ordered.mapInArrow(run, "user_id string, " + ", ".join(f"{n} {k}" for n, k in fields))
 
@@ -220,16 +321,15 @@ def process(points: DataFrame, rules: PointRules = RULES, long: int = LONG) -> D
     pings, which no gap ends, go through the windows of points.process(), which spread
     one session over its days.
     """
-    begun = with_previous(points.dropDuplicates(["user_id", "raw_id"]))
-    gap = F.when(F.col("prev").isNull(), 0).otherwise(F.col("gps_ts") - F.col("prev.gps_ts"))
-    begun = at_rest(with_sessions(begun.withColumn("time_gap", gap), rules), "begun")
+    after_gap = lambda prev, now: now["gps_ts"] - prev["gps_ts"] > rules.reset_gap_s
+    begun = with_previous_and_begin(points.dropDuplicates(["user_id", "raw_id"]), after_gap, "session")
     key = ["user_id", F.col("session.raw_id").alias("_session")]
     endless = at_rest(begun.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > long).select("user_id", "_session"), "endless")
     if endless.isEmpty():
         return formed(by_sessions(begun, rules), rules)
     marked = begun.withColumn("_session", F.col("session.raw_id"))
     short = formed(by_sessions(marked.join(endless, ["user_id", "_session"], "left_anti"), rules), rules)
-    return short.unionByName(process_sessions(marked.join(endless, ["user_id", "_session"], "left_semi").drop("_session", "time_gap"), rules))
+    return short.unionByName(process_sessions(marked.join(endless, ["user_id", "_session"], "left_semi").drop("_session"), rules))
 
 
 def resume(raw: DataFrame, processed: DataFrame | None, states: DataFrame | None, rules: PointRules = RULES) -> tuple[DataFrame, DataFrame]:

@@ -105,6 +105,14 @@ def test_what_makes_pings_runs_once(spark):
     assert read.value == len(rows)
 
 
+def test_islands_take_few_exchanges(spark):
+    held = at_rest(spark.createDataFrame([(k, f"u{k % 3}", 1_704_000_000 + 500 * k, f"C{k // 50}") for k in range(600)], "raw_id long, user_id string, gps_ts long, cluster_id string"), "held")
+    runs = visits.islands(held)
+    assert len(runs.collect()) == 36
+    plan = runs._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[0].count("Exchange hashpartitioning") <= 4
+
+
 def test_resumed_runs_are_one_pass(spark):
     rows = [r for r in random_pings(2) if r[2] is not None]
     pings = at_rest(spark.createDataFrame(rows, PINGS), "pings")

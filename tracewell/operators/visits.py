@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewell.functions import timefn as T
-from tracewell.operators.points import with_begin, with_previous
+from tracewell.operators.points import with_previous_and_begin
 
 SPLIT_S, LEAST_S, MERGE_S = 1800, 300, 300
 
@@ -17,11 +17,14 @@ def islands(points: DataFrame, split_s: int | None = SPLIT_S) -> DataFrame:
 
     Neighbours' clusters are those of the runs before and after, whatever is dropped later.
     """
-    p = with_previous(points.where("cluster_id is not null and cluster_id <> '-1'"), ("gps_ts", "cluster_id", "raw_id"))
-    new = F.col("prev").isNull() | (F.col("prev.cluster_id") != F.col("cluster_id"))
-    if split_s is not None:
-        new |= F.col("gps_ts") - F.col("prev.gps_ts") > split_s
-    runs = with_begin(p, new, "island").groupBy("user_id", "island").agg(F.max("cluster_id").alias("cluster_id"), F.min("gps_ts").alias("visit_start"), F.max("gps_ts").alias("visit_end"), F.count("*").alias("point_count"))
+    p = points.where("cluster_id is not null and cluster_id <> '-1'").select("user_id", "gps_ts", "raw_id", "cluster_id")
+
+    def new(prev: Column, now: Column) -> Column:
+        moved = prev["cluster_id"] != now["cluster_id"]
+        return moved if split_s is None else moved | (now["gps_ts"] - prev["gps_ts"] > split_s)
+
+    begun = with_previous_and_begin(p, new, "island", ("gps_ts", "raw_id", "cluster_id"))
+    runs = begun.groupBy("user_id", "island").agg(F.max("cluster_id").alias("cluster_id"), F.min("gps_ts").alias("visit_start"), F.max("gps_ts").alias("visit_end"), F.count("*").alias("point_count"))
     w = Window.partitionBy("user_id").orderBy("island")
     return runs.withColumns({"duration_sec": F.col("visit_end") - F.col("visit_start"), "prev_cluster_id": F.lag("cluster_id").over(w), "next_cluster_id": F.lead("cluster_id").over(w)})
 

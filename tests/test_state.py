@@ -388,3 +388,39 @@ def test_broadcasts_of_stage_tables_are_small(spark):
     finally:
         for name, value in kept.items():
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    from tracewell.operators import components
+
+    written = []
+    monkeypatch.setattr(components, "at_rest", lambda df, name, **more: written.append(name) or at_rest(df, name, **more))
+    stars = [(5, 1), (1, 6), (7, 2), (6, 1), (3, 3)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(stars, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 6: 1, 2: 2, 7: 2} and written == ["edges", "components"]
+    chain = [(9, 4), (4, 8), (8, 0), (30, 20), (20, 10)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {0: 0, 4: 0, 8: 0, 9: 0, 10: 10, 20: 10, 30: 10}
+
+
+def test_stage_tables_are_made_without_broadcasts(spark):
+    from tracewell.sources.tables import no_broadcasts
+
+    name = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    kept = {n: spark.conf.get(n, None) for n in (name, "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        few = at_rest(spark.range(10), "few")
+        for limit, inside in (("1MB", False), ("1MB", True)):
+            spark.conf.set(name, limit)
+            joined = few.join(few.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))
+            if inside:
+                with no_broadcasts(spark):
+                    assert len(joined.collect()) == 10
+            else:
+                assert len(joined.collect()) == 10
+            assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) != inside
+            assert spark.conf.get(name) == limit
+    finally:
+        for n, value in kept.items():
+            spark.conf.unset(n) if value is None else spark.conf.set(n, value)

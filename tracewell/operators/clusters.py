@@ -100,7 +100,7 @@ def squares_around(lat: Column, west: Column, east: Column, row: Column, rows: t
 
 
 def _full_links(spots: DataFrame, eps_m: float, side: float) -> DataFrame:
-    """(a, b): units of full squares with points within eps_m of each other; points are compared in blocks of about BLOCK."""
+    """(a, b): units of full squares with points within eps_m of each other, once for each such pair of blocks of about BLOCK points."""
     spots.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     full = spots.where("full")
     box = full.groupBy("user_id", "row", "col", "unit").agg(F.count("*").alias("n"), F.min("lng").alias("west"), F.max("lng").alias("east"), F.max(F.abs("lat")).alias("high"))
@@ -122,7 +122,7 @@ def _full_links(spots: DataFrame, eps_m: float, side: float) -> DataFrame:
                 keep.append(bool((2 * DBSCAN_EARTH_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) <= eps_m).any()))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float = MIN_WEIGHT) -> DataFrame:
@@ -135,7 +135,9 @@ def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float
     """
     side = float(np.degrees(eps_m / DBSCAN_EARTH_M)) * 0.7
     row = F.floor(F.col("lat") / side)
-    rows = cell_rows.select("user_id", "cell_lat", "cell_lng", "lat", "lng", "count", "first_seen").withColumn("row", row).withColumn("col", F.floor(F.col("lng") / square_width(F.col("row"), side)))
+    key = ["user_id", "cell_lat", "cell_lng"]
+    rest = F.struct(F.lit(True).alias("_"), *(c for c in cell_rows.columns if c not in (*key, "lat", "lng", "count", "first_seen"))).alias("rest")
+    rows = cell_rows.select(*key, "lat", "lng", "count", "first_seen", rest).withColumn("row", row).withColumn("col", F.floor(F.col("lng") / square_width(F.col("row"), side)))
     rows = at_rest(rows.withColumn("id", F.monotonically_increasing_id()), "rows")
     squares = rows.groupBy("user_id", "row", "col").agg((F.sum("count") >= min_weight).alias("full"), F.min("id").alias("least"))
     spots = at_rest(rows.join(squares, ["user_id", "row", "col"]).withColumn("unit", F.when(F.col("full"), F.col("least")).otherwise(F.col("id"))).drop("least"), "spots")
@@ -143,17 +145,20 @@ def with_clusters(cell_rows: DataFrame, eps_m: float = EPS_M, min_weight: float
     met = ask.select("id", "user_id", "y", "x", "s.row", "s.col").join(spots.select("user_id", "row", "col", "lat", "lng", "count", "full", F.col("unit").alias("unit"), F.col("id").alias("near")), ["user_id", "row", "col"])
     near = at_rest(met.where(haversine_m(F.col("y"), F.col("x"), F.col("lat"), F.col("lng"), DBSCAN_EARTH_M) <= eps_m).select("id", "near", "unit", "full", "count"), "near")
     core = at_rest(near.groupBy("id").agg(F.sum("count").alias("w")).where(F.col("w") >= min_weight).select("id"), "core")
-    to_core = near.join(core.select(F.col("id").alias("near"), F.lit(True).alias("hit")), "near", "left").where("full or hit").select("id", "unit").distinct()
+    hit = near.join(core.select(F.col("id").alias("near"), F.lit(True).alias("hit")), "near", "left").where("full or hit").select("id", "unit")
+    to_core = hit.join(core.withColumn("core", F.lit(True)), "id", "left").select("id", "unit", F.coalesce("core", F.lit(False)).alias("core")).distinct()
     to_core = at_rest(to_core, "to_core")
-    links = to_core.join(core, "id", "left_semi").select(F.col("id").alias("a"), F.col("unit").alias("b")).unionByName(_full_links(spots, eps_m, side))
-    parts = at_rest(connected_components(links).withColumnsRenamed({"node": "unit", "component": "part"}), "parts")
-    cores = spots.where("full").unionByName(spots.join(core, "id", "left_semi")).join(parts, "unit", "left").withColumn("part", F.coalesce("part", "unit"))
-    first = cores.groupBy("user_id", "part").agg(F.min(F.struct("first_seen", "cell_lat", "cell_lng")).alias("first"))
-    number = at_rest(first.select("part", (F.row_number().over(Window.partitionBy("user_id").orderBy("first")) - 1).alias("number")), "number")
-    inside = cores.join(number, "part").select("id", "number")
-    border = to_core.join(core, "id", "left_anti").join(parts, "unit", "left").withColumn("part", F.coalesce("part", "unit")).join(number, "part").groupBy("id").agg(F.min("number").alias("number"))
-    labels = spots.join(inside.unionByName(border), "id", "left").select("user_id", "cell_lat", "cell_lng", F.coalesce(F.concat(F.lit("C"), F.col("number").cast("string")), F.lit("-1")).alias("cluster_id"))
-    return cell_rows.join(labels, ["user_id", "cell_lat", "cell_lng"])
+    links = to_core.where("core").select(F.col("id").alias("a"), F.col("unit").alias("b")).unionByName(_full_links(spots, eps_m, side))
+    parts = connected_components(links).withColumnsRenamed({"node": "unit", "component": "part"})
+    first = F.struct("first_seen", "cell_lat", "cell_lng").alias("first")
+    cores = spots.where("full").unionByName(spots.join(core, "id", "left_semi")).select("id", "unit", "user_id", first)
+    members = cores.unionByName(to_core.where("not core").select("id", "unit"), allowMissingColumns=True).join(parts, "unit", "left")
+    members = at_rest(members.select("id", F.coalesce("part", "unit").alias("part"), "user_id", "first"), "members")
+    by_part = members.where("first is not null").groupBy("user_id", "part").agg(F.min("first").alias("first"))
+    number = at_rest(by_part.select("part", (F.row_number().over(Window.partitionBy("user_id").orderBy("first")) - 1).alias("number")), "number")
+    lowest = members.select("id", "part").join(number, "part").groupBy("id").agg(F.min("number").alias("number"))
+    names = [f"rest.{c}" if c not in (*key, "lat", "lng", "count", "first_seen") else c for c in cell_rows.columns if c not in key]
+    return spots.join(lowest, "id", "left").select(*key, *names, F.coalesce(F.concat(F.lit("C"), F.col("number").cast("string")), F.lit("-1")).alias("cluster_id"))
 
 
 def point_clusters(processed: DataFrame, eps_m: float = 80.0, min_points: int = 5) -> DataFrame:

@@ -14,7 +14,7 @@ from tracewell.functions import timefn as T
 from tracewell.operators import asof, clusters, feeds, near, patterns, points, predict, runs, track, trips, visits
 from tracewell.plans import oracle as O
 from tracewell.plans.fixture import movement, places
-from tracewell.sources.tables import at_rest, ingest, last_logins, measured_broadcasts, merge_partials, pending, read_csv, recent, result_counts, shared_folder, upsert, write_csv, write_json
+from tracewell.sources.tables import at_rest, ingest, last_logins, measured_broadcasts, merge_partials, no_broadcasts, pending, read_csv, recent, result_counts, shared_folder, upsert, write_csv, write_json
 from tracewell.sources.versioned import VersionedTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,7 +38,7 @@ def _stage(spark: SparkSession, sf_dir: str, state: int, name: str) -> DataFrame
     key = (spark.sparkContext.applicationId, sf_dir, state, name)
     if key not in _kept:
         get = lambda n: _stage(spark, sf_dir, state, n)
-        made = {
+        make = {
             "gps": lambda: movement(spark, sf_dir),
             "processed": lambda: track.process(get("gps")),
             "cells": lambda: clusters.gated(clusters.cells(get("processed"))),
@@ -49,8 +49,9 @@ def _stage(spark: SparkSession, sf_dir: str, state: int, name: str) -> DataFrame
             "clusters": lambda: clusters.user_clusters(get("labelled"), get("visits")),
             "trips": lambda: trips.trip_segments(get("visits"), get("processed")),
             "patterns": lambda: patterns.patterns(get("trips"), get("clusters")),
-        }[name]()
-        _kept[key] = at_rest(made, name)
+        }[name]
+        with no_broadcasts(spark):
+            _kept[key] = at_rest(make(), name)
     return _kept[key]
 
 

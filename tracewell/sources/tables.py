@@ -57,6 +57,18 @@ def measured_broadcasts(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def no_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """Joins that run inside shuffle both sides: each broadcast, however few its rows, costs the driver a page of memory and a thread."""
+    name = "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    limit = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if limit is None else spark.conf.set(name, limit)
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -110,6 +110,35 @@ def test_prefix_join_of_repeated_and_null_ids(spark):
     assert got == sorted([(4, 48, 4), (4, 48, 4), (4, 2, 4), (9, 49, 4), (None, 48, None), (7, 0, 7)], key=str)
 
 
+def test_prefixes_hold_what_few_documents_share(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COUNTERS", 256)  # as crowded as by a large corpus
+    rng = random.Random(7)
+    often, seldom, line = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(4000)], [f"l{i}" for i in range(12)]
+    texts = [[*(rng.choice(often if rng.random() < 0.6 else seldom) for _ in range(150)), *(line if i % 20 == 0 else [])] for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id long, text string").repartition(4)
+    rows = jaccard_join.prefix_rows(jaccard_join.prefixes(docs, 3, 90).withColumnRenamed("id", "node")).select("token", "node").collect()
+    held = Counter(r["token"] for r in rows)
+    assert len(rows) > 6000 and sum(n for n in held.values() if n > 1) < 60
+
+
+def test_prefix_join_of_common_lines(spark, monkeypatch):
+    for name, size in (("COUNTERS", 16), ("WORDS", 16), ("COMMON", 2), ("SLOTS", 64), ("FIRST", 2)):
+        monkeypatch.setattr(jaccard_join, name, size)
+    rng = random.Random(11)
+    lines = [" ".join(f"l{i}x{j}" for j in range(15)) for i in range(4)]
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([12, 40, 90]))]
+        for _ in range(rng.choice([1, 2, 6])):
+            text = list(words)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                text[rng.randrange(len(text))] = f"e{rng.randrange(10)}"
+            texts.append(" ".join([*text, rng.choice(lines)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == naive_components(list(enumerate(texts)), 3, 90) and len({c for _, c in got.values()}) < len(texts) - 10
+
+
 @pytest.mark.parametrize(("tile", "side", "dense"), [(1024, 256, 8), (3, 2, 1), (5, 2, 100)])
 def test_divergence_matches_sql(spark, monkeypatch, tile, side, dense):
     for name, size in (("TILE", tile), ("SIDE", side), ("DENSE", dense), ("HELD", 50)):

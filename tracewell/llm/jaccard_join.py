@@ -1,7 +1,11 @@
 """Documents whose sets of word n-grams have a Jaccard similarity of a threshold or more: a grouped prefix join.
 
-Shingles are ordered by how often the corpus holds them, the rarest first, ties by hash.
-Two sets of the threshold share a shingle of both prefixes (the first n - ceil(t * n) + 1).
+Shingles are ordered by how often the corpus holds them, the rarest first, ties by hash:
+as often as their words' frequencies let them meet by chance, or as their counter tells
+where it is far above the others, or as they were counted among all prefixes of such an
+order. So prefixes hold what hardly any document shares but its near copies, at any size
+of the corpus. Any one order finds the same links. Two sets of the threshold share a
+shingle of both prefixes (the first n - ceil(t * n) + 1).
 Shingles that only one prefix holds are left out; documents of equal size and equal
 remaining prefix are one group, and groups with a common prefix shingle meet in its bucket.
 
@@ -21,6 +25,7 @@ has members, and every pair is verified, in one component already, or excluded b
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -31,13 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import connected_components, materialise, passing_tables, prepare, slices, utf8
-from tracewell.llm.neardup import restrict, shingle_sets
-
-#: Counters of the corpus's shingles, a power of two: each task's array of them, and what comes to the driver, is of this size.
-COUNTERS = 1 << 18
+from tracewell.llm.neardup import distinct_sets, restrict, shingle_hashes, shingle_sets
+
+#: Counters of the corpus's shingles and of its words, powers of two: each task's array of them, and what comes to the driver, is of this size.
+COUNTERS, WORDS = 1 << 18, 1 << 16
+#: Steps of a logarithm to base 2; levels for each power of two, and the power of level 0: what is expected less often is as good as unique.
+STEPS, LEVELS, RARE = 16, 2, -16
+#: Documents that a shingle is common in, if so many prefixes hold it; slots of the levels of these, a power of two; what is counted, in lengths of a prefix.
+COMMON, SLOTS, COUNTED = 9, 1 << 22, 1.25
 #: Nodes up to which a table of them is broadcast (32 bytes each); beyond, the join shuffles.
 BROADCAST_NODES = 500_000
-#: Places of a prefix whose buckets give a node its first partner.
+#: Shared shingles of a prefix, the rarest, whose buckets give a node its first partner.
 FIRST = 16
 #: Bits of a prefix; groups of a bucket, and shingles of a family's members, that one block holds; pairs compared at once.
 BITS, GROUPS, SHINGLES, PAIRS = 128, 4096, 1 << 22, 1 << 18
@@ -45,26 +54,72 @@ BITS, GROUPS, SHINGLES, PAIRS = 128, 4096, 1 << 22, 1 << 18
 SKETCHED, ROUNDS = 8, 3
 
 
-def shingle_counts(plain: DataFrame, k: int) -> np.ndarray:
-    """How many documents hold the shingles of each counter: an order of shingles needs no exact counts, only one and the same."""
+def corpus_counts(plain: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents hold the shingles of each counter, and how often the words of each occur: an order of shingles needs no exact counts, only one and the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS + WORDS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
-                total += np.bincount(np.concatenate(shingle_sets(*utf8(part.column(0)), k)) & np.uint64(COUNTERS - 1), minlength=COUNTERS) if part.num_rows else 0
+                words, *rest = shingle_hashes(*utf8(part.column(0)), k)
+                total[:COUNTERS] += np.bincount(np.concatenate(distinct_sets(words, *rest, k)) & np.uint64(COUNTERS - 1), minlength=COUNTERS) if part.num_rows else 0
+                total[COUNTERS:] += np.bincount(words & np.uint64(WORDS - 1), minlength=WORDS)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array(total[held])], names=["counter", "n"])
 
     found = plain.select("text").mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(COUNTERS, np.int64)
+    counts = np.zeros(COUNTERS + WORDS, np.int64)
     counts[found.column("counter").to_numpy()] = found.column("n").to_numpy()
-    return counts
-
-
-def ordered(found: np.ndarray, level: np.ndarray) -> np.ndarray:
-    """The shingles of a set in the corpus's order: seven bits of their counter's level, then 56 of their hash."""
-    return np.sort(level[found & np.uint64(COUNTERS - 1)] << np.uint64(56) | found >> np.uint64(8)).view(np.int64)
+    return counts[:COUNTERS], counts[COUNTERS:]
+
+
+def logarithm(n: np.ndarray | int) -> np.ndarray:
+    return np.round(STEPS * np.log2(n)).astype(np.int32)
+
+
+class Order:
+    """The corpus's order of shingles, by seven bits of how often they are expected and 56 of their hash; whole numbers, so that it is one and the same on all machines."""
+
+    def __init__(self, shingles: np.ndarray, words: np.ndarray, k: int):
+        self.k = k
+        total = max(1, int(words.sum()))
+        # a shingle is expected as often as there are words, times the share of each of its own
+        self.share, self.total = logarithm(np.maximum(1, words)) - logarithm(total), logarithm(total)
+        # what a counter holds beyond twice the usual is one shingle's, such as a line that many documents have
+        self.beyond = logarithm(np.maximum(1, shingles - 2 * np.median(shingles)))
+        self.beyond[self.beyond == 0] = STEPS * RARE
+        self.common = np.zeros(SLOTS, np.uint8)
+
+    def level(self, expected: np.ndarray) -> np.ndarray:
+        return np.clip((expected - STEPS * RARE) * LEVELS // STEPS, 0, 127).astype(np.uint8)
+
+    def tokens(self, words: np.ndarray, joint: np.ndarray) -> np.ndarray:
+        """Each shingle's place in the order, from what shingle_hashes() gives."""
+        share = self.share[words & np.uint64(len(self.share) - 1)]
+        expected = self.total + sum(share[j : j + len(joint)] for j in range(self.k))
+        expected = np.maximum(expected, self.beyond[joint & np.uint64(len(self.beyond) - 1)])
+        low = joint >> np.uint64(8)
+        level = np.maximum(self.level(expected), self.common[low & np.uint64(len(self.common) - 1)]).astype(np.uint64)
+        return (level << np.uint64(56) | low).view(np.int64)
+
+    def with_common(self, plain: DataFrame, percent: int) -> Order:
+        """This order after what many prefixes hold has gone behind, by how many hold it."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    words, edge, joint = shingle_hashes(*utf8(part.column(0)), self.k)
+                    tokens = self.tokens(words, joint)
+                    sets = (np.unique(tokens[a : b - self.k + 1]) for a, b in zip(edge, edge[1:], strict=False) if b - a >= self.k)
+                    first = [s[: int(COUNTED * (len(s) - beyond_prefix(len(s), percent)))] for s in sets]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*first, np.zeros(0, np.int64)]))], names=["token"])
+
+        counts = plain.select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+        found = counts.groupBy(F.col("token").bitwiseAND(SLOTS - 1).cast("int").alias("slot")).agg(F.max("n").alias("n")).toArrow()
+        made = copy.copy(self)
+        made.common = np.zeros(SLOTS, np.uint8)
+        made.common[found.column("slot").to_numpy()] = self.level(logarithm(found.column("n").to_numpy()))
+        return made
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -88,30 +143,29 @@ def sized(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
 
 def prefixes(plain: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, n, digest, prefix) of docs (id, text): prefix holds 8 bytes for each shingle; empty sets and those that only an equal set can be linked with have none."""
-    level = np.minimum(127, 4 * np.log2(1 + shingle_counts(plain, k))).astype(np.uint64)
+    order = Order(*corpus_counts(plain, k), k).with_common(plain, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = shingle_sets(*utf8(part.column(1)), k)
+                words, edge, joint = shingle_hashes(*utf8(part.column(1)), k)
+                sets, tokens = distinct_sets(words, edge, joint, k), order.tokens(words, joint)
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                first = [ordered(s, level)[: len(s) - beyond_prefix(len(s), percent)].tobytes() if len(s) * (100 - percent) >= percent else None for s in sets]
+                first = [np.unique(tokens[a : b - k + 1])[: len(s) - beyond_prefix(len(s), percent)].tobytes() if len(s) * (100 - percent) >= percent else None for s, a, b in zip(sets, edge, edge[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(first, pa.binary())], names=["id", "n", "digest", "prefix"])
 
     return plain.mapInArrow(run, "id long, n long, digest binary, prefix binary")
 
 
 def prefix_rows(nodes: DataFrame) -> DataFrame:
-    """(token, node, place): a row for each shingle of each node's prefix."""
+    """(token, node): a row for each shingle of each node's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
-            size = np.diff(at) // 8
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            yield pa.RecordBatch.from_arrays([pa.array(data[at[0] : at[-1]].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), size)), pa.array(place.astype(np.int32))], names=["token", "node", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(data[at[0] : at[-1]].view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), np.diff(at) // 8))], names=["token", "node"])
 
-    return nodes.where("prefix is not null").select("node", "prefix").mapInArrow(run, "token long, node long, place int")
+    return nodes.where("prefix is not null").select("node", "prefix").mapInArrow(run, "token long, node long")
 
 
 def described(kept: DataFrame) -> DataFrame:
@@ -148,8 +202,9 @@ def may_link(n: tuple, k: tuple, bits: tuple, percent: int, bound: np.ndarray) -
 
 
 def first_pairs(shared: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): of each node b that pivot a of its buckets (token, node, place, pivot) which it meets most often and which is of like size."""
-    pairs = shared.where((F.col("place") < FIRST) & (F.col("node") != F.col("pivot"))).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("common"))
+    """(a, b): of each node b that pivot a of its first buckets (token, node, pivot) which it meets most often and which is of like size."""
+    first = shared.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("token"))).where(F.col("rank") <= FIRST)
+    pairs = first.where(F.col("node") != F.col("pivot")).groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("common"))
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
     near = pairs.join(two, "b").join(one, "a").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     best = near.groupBy("b").agg(F.max(F.struct("common", (-F.col("a")).alias("first"))).alias("m"))

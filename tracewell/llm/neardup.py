@@ -82,22 +82,22 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed((total[end] - total[start]) * down[start]), np.searchsorted(at, start, "right") - 1
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
-    """The sorted distinct 64-bit hashes of each text's k-word shingles; fewer words make one shingle, none an empty set."""
+def shingle_hashes(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, edges of the texts' words, hash of every k words in a row) of texts; those that reach over a text's end are no shingles."""
     data = data[at[0] : at[-1]]
     words, owner = word_hashes(data, at)
-    n = len(at) - 1
-    count = np.bincount(owner, minlength=n)
-    edge = np.concatenate([[0], np.cumsum(count)])
-    if len(words) >= k:
-        m = len(words) - k + 1
-        joint = words[:m] * PLACE[0]
-        for j in range(1, k):
-            joint = joint + words[j : j + m] * PLACE[j]
-        joint = mixed(joint)
+    edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(at) - 1))])
+    m = max(0, len(words) - k + 1)
+    joint = words[:m] * PLACE[0]
+    for j in range(1, k):
+        joint = joint + words[j : j + m] * PLACE[j]
+    return words, edge, mixed(joint)
+
+
+def distinct_sets(words: np.ndarray, edge: np.ndarray, joint: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sets of shingle_sets() from what shingle_hashes() gives."""
     out = []
-    for i in range(n):
-        a, b = edge[i], edge[i + 1]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
         if b - a >= k:
             out.append(np.unique(joint[a : b - k + 1]))
         elif b > a:
@@ -107,6 +107,11 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
     return out
 
 
+def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's k-word shingles; fewer words make one shingle, none an empty set."""
+    return distinct_sets(*shingle_hashes(data, at, k), k)
+
+
 def signature(found: np.ndarray) -> np.ndarray:
     """HASHES minima of a set, 16 bits of each."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
